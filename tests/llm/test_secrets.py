@@ -1,0 +1,75 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from skein.llm.secrets import RULE_VERSION, redact, scan_secrets, scan_unseen, scanned_blobs, span_columns
+
+AKIA = "AKIA" + "ABCDEFGHIJKL"
+HEX = "0123456789abcdef" * 2
+
+
+def brute(text):
+    text, out = text or "", []
+    for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 8:
+            out.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    for m in re.finditer("AKIA[A-Z0-9]+", text):
+        if len(m[0]) >= 16:
+            out.append((m.start(), 1, f"access:{m.start()}:{m.end()}"))
+    for m in re.finditer("[0-9a-f]+", text):
+        if len(m[0]) >= 32:
+            out.append((m.start(), 2, f"hex:{m.start()}:{m.end()}"))
+    return [x[2] for x in sorted(out)]
+
+
+TEXTS = [
+    None,
+    "",
+    "plain words",
+    f"é password={HEX}x tail",
+    f'ToKeN" : "{HEX}" and {AKIA} {AKIA}Z',
+    "passWORD=short secret = longenough1 api_key:abcdefgh APIKEY='12345678'",
+    "passwd=a token=bbbbbbbbb",
+    "x" * 1_000_000 + f" secret={HEX}",
+    f"{AKIA[:15]} {HEX[:31]}",
+    "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1" * 20,
+    "ſecret=abcdefgh1234",
+]
+
+
+def test_spans_equal_brute_force(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(99, TEXTS[4])] * 2 + [(None, TEXTS[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("findings", F.lit(1)).withColumn("blob", F.lit(2))
+    got = scan_secrets(docs).select("doc_id", "text", *[c.alias(n) for n, c in span_columns(F.col("_findings")).items()]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = brute(r.text)
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s.split(":")[0] in ("assign", "access", "hex")] == want
+        assert r.n_hex == sum(s.startswith("hex") for s in want)
+    added = next(r for r in got if r.doc_id == 9).spans
+    assert "private_key:0:" in added and "code_host:" in added
+
+
+def test_ledger_scans_only_unseen_blobs(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    first = scan_unseen(docs)
+    ledger = scanned_blobs(docs).join(first.drop("rule_version"), "blob", "left")
+    more = docs.unionByName(spark.createDataFrame([(50, f"new secret={HEX}")], docs.schema))
+    assert scan_unseen(more, ledger=ledger).count() == 1
+    assert scan_unseen(docs, ledger=ledger).count() == 0
+    assert scan_unseen(docs, ledger=ledger, rule_version=RULE_VERSION + "x").count() == first.count()
+    a = {(r.doc_id, str(r.findings)) for r in scan_secrets(more, ledger=ledger).collect()}
+    assert a == {(r.doc_id, str(r.findings)) for r in scan_secrets(more).collect()}
+
+
+def test_redact(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in redact(scan_secrets(docs), n_chars="n").collect()}
+    assert out[0] is None and out[2] == "plain words" and out[3] == "é [SECRET] tail"
+    assert HEX not in "".join(t or "" for t in out.values())
+
+
+def test_empty_table(spark):
+    assert scan_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
