@@ -21,5 +21,48 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[c.alias(n) for n, c in span_columns(F.col("findings")).items()])
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules, op8_secret_scans)}
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.sharding import shard
+
+    placed = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return placed.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.topk import quantized, top_k
+
+    vectors = quantized(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), 10)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.mixing import TARGETS, labelled_domains, mix
+
+    out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), labelled_domains(table(spark, sf_dir, "labels")), keep=["doc_id", "source"])
+    return out.select("doc_id", "source", "tokens", *[F.element_at("posteriors", i + 1).alias(f"p_{d}") for i, d in enumerate(TARGETS)], "rate", "copies")
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.tokenfile import token_output
+
+    return token_output(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op4_topk_search, op5_mixing, op6_quality_rules, op8_secret_scans, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _oracles() -> None:
+    from skein.llm import topk
+
+    ORACLE_SQL["op4_topk_search"] = topk.ORACLE
+
+
+_oracles()
