@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.llm.common import byte_views, fresh_name, mixed, windows, word_hashes, words
 
@@ -131,10 +133,8 @@ def quality_columns(docs: DataFrame, text: str = "text", rules: QualityRules | N
     rules, names = rules or QualityRules(), []
     for name, _ in FIELDS:
         names.append(fresh_name([*docs.columns, *names], name))
-    kinds = {pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean"}
-    schema = docs.limit(0).withColumns({}).schema
-    for name, (_, kind) in zip(names, FIELDS):
-        schema = schema.add(name, kinds[kind])
+    kinds = {pa.int64(): T.LongType(), pa.float64(): T.DoubleType(), pa.bool_(): T.BooleanType()}
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(name, kinds[kind]) for name, (_, kind) in zip(names, FIELDS))])
     k = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,5 @@ def quality_columns(docs: DataFrame, text: str = "text", rules: QualityRules | N
 
 def quality_filter(docs: DataFrame, text: str = "text", rules: QualityRules | None = None) -> DataFrame:
     """The rows of `docs` that quality_columns keeps, with the columns of `docs`."""
-    from pyspark.sql import functions as F
-
     verdict = fresh_name(docs.columns, "kept")
     return quality_columns(docs, text, rules).filter(F.col(f"`{verdict}`")).select(*[F.col(f"`{c}`") for c in docs.columns])

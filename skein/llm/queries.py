@@ -35,6 +35,20 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.html import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.langid import held_out, predict, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.filter(~held_out(F.col("doc_id"))))
+    return predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model).drop("text")
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.topk import quantized, top_k
 
@@ -49,20 +63,27 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "tokens", *[F.element_at("posteriors", i + 1).alias(f"p_{d}") for i, d in enumerate(TARGETS)], "rate", "copies")
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.tokenfile import token_output
 
     return token_output(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op4_topk_search, op5_mixing, op6_quality_rules, op8_secret_scans, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_html_extraction, op4_topk_search, op5_mixing, op6_quality_rules, op7_language_id, op8_secret_scans, op9_minhash_dedup, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def _oracles() -> None:
-    from skein.llm import topk
+    from skein.llm import neardup, topk
 
     ORACLE_SQL["op4_topk_search"] = topk.ORACLE
+    ORACLE_SQL["op9_minhash_dedup"] = neardup.ORACLE
 
 
 _oracles()
