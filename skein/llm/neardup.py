@@ -6,8 +6,8 @@ candidates, the registers' order and the set sizes estimate similarity jointly b
 estimate doesn't rule out are verified on the full sets. Documents of one set are one class; only classes are compared.
 
 Inside a band's bucket the members are compared with one leader, then with another, and at last every two members that
-are still in different components are: no link between members of a bucket is lost, and a bucket of thousands of copies
-costs a comparison each.
+are still in different components are, in blocks inside a task that yields only the pairs worth verifying. No link
+between members of a bucket is lost, and a bucket of thousands of copies costs a comparison each.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from skein.llm.components import components
 @dataclass(frozen=True)
 class Settings:
     """`base`, `rate` and `levels` are SetSketch's b, a and q; `margin` is how far below the threshold an estimate may
-    lie: five standard deviations of it. At the threshold, a pair shares no band once in 50,000 times, above it less often."""
+    lie: five standard deviations of it. `sample` is about how many shingles of a long text the last comparison looks at before
+    texts are verified, `block` how many members of a bucket a task compares at a time. At the threshold, a pair shares no band once in 50,000 times, above it less often."""
 
     shingle: int = 5
     percent: int = 75
@@ -38,6 +39,8 @@ class Settings:
     rate: float = 20.0
     levels: int = 65534
     margin: float = 0.16
+    sample: int = 1024
+    block: int = 2048
     seed: int = 11
 
     @property
@@ -172,6 +175,109 @@ def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "ta", "b", "tb").mapInArrow(run, "u long, v long")
 
 
+def _samples(texts: DataFrame, s: Settings) -> DataFrame:
+    """(class, level, sample): the shingles of a class's text as 32-bit hashes, of long texts those below 2**(32 - level)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels, samples = [], []
+            for _, _, data, offsets in byte_views(batch.column(1)):
+                for own in shingle_sets(data, offsets, s.shingle):
+                    level = max(0, (len(own) - 1) // s.sample).bit_length()
+                    half = np.unique((own >> np.uint64(32)).astype("<u4"))
+                    levels.append(level)
+                    samples.append(half[: np.searchsorted(half, 1 << (32 - level))].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels, pa.int32()), pa.array(samples, pa.binary())], names=["class", "level", "sample"])
+
+    return texts.select("class", "text").mapInArrow(run, "class long, level int, sample binary")
+
+
+def _similar_by_sample(x: np.ndarray, y: np.ndarray, level: int, s: Settings) -> bool:
+    """Whether samples, cut to one level, leave a link possible; whole sets do so exactly but for equal half hashes."""
+    if level:
+        x, y = (v[: np.searchsorted(v, 1 << (32 - level))] for v in (x, y))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    every = len(x) + len(y) - both
+    slack = 0.01 if not level else 0.01 + 5 * 0.44 / max(every, 1) ** 0.5
+    return both >= (s.percent / 100 - slack) * every
+
+
+def _cells(members: DataFrame, s: Settings) -> DataFrame:
+    """Members dealt into cells (bucket, cell): a bucket of one block is a cell, of more blocks each two blocks are."""
+    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
+    own = members.join(blocks, "bucket").withColumn("block", F.pmod(F.hash("class"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return own.withColumn("other", other).withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).drop("other", "blocks")
+
+
+def _apart(members: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): pairs of members of a bucket, of different labels, that neither registers nor samples rule out.
+
+    Each task reads cells whole, `block` members of two blocks at most; a pair counts in the first band that it shares.
+    """
+    least = s.percent / 100 - s.margin
+    fewest = int((least - 0.05) * s.registers)
+
+    def pairs_of(cell: pa.Table) -> tuple[list, list]:
+        col = lambda name: np.array(cell[name].combine_chunks())
+        classes, n, label, block, band = col("class"), col("n").astype(float), col("label"), col("block"), int(cell["band"][0].as_py())
+        sketch = np.frombuffer(b"".join(cell["sketch"].to_pylist()), "<u2").reshape(len(classes), -1)
+        level, samples = col("level"), [np.frombuffer(x, "<u4") for x in cell["sample"].to_pylist()]
+        alone = len(set(block)) == 1
+        mine, others = [], []
+        for i in range(len(classes) - 1):
+            j = np.arange(i + 1, len(classes))
+            j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= s.percent * np.maximum(n[j], n[i]))]
+            if not alone:
+                j = j[block[j] != block[i]]
+            if len(j):
+                j = j[np.count_nonzero(sketch[j] == sketch[i], axis=1) >= fewest]
+                mine.append(np.full(len(j), i))
+                others.append(j)
+        a, b = [], []
+        mine, others = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (mine, others))
+        for k in range(0, len(mine), 4096):
+            x, y = mine[k : k + 4096], others[k : k + 4096]
+            same = sketch[x] == sketch[y]
+            first = same[:, : s.bands * s.rows].reshape(len(x), s.bands, s.rows).all(2).argmax(1) == band
+            x, y = x[first], y[first]
+            near = estimate(sketch[x], sketch[y], n[x], n[y], s.base) >= np.minimum(least, np.minimum(n[x] / n[y], n[y] / n[x]))
+            for i, j in zip(x[near].tolist(), y[near].tolist()):
+                if _similar_by_sample(samples[i], samples[j], max(level[i], level[j]), s):
+                    a.append(min(classes[i], classes[j]))
+                    b.append(max(classes[i], classes[j]))
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def cells(last: bool):
+            """Whole cells of what is held; the last one may go on in the next batch."""
+            rows = pa.concat_tables(held)
+            held.clear()
+            bucket, cell = np.array(rows["bucket"].combine_chunks()), np.array(rows["cell"].combine_chunks())
+            edges = np.flatnonzero((bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])) + 1
+            edges = np.concatenate([[0], edges, [len(bucket)]])
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if hi == len(bucket) and not last:
+                    held.append(rows.slice(lo))
+                elif hi - lo > 1:
+                    yield pairs_of(rows.slice(lo, hi - lo))
+
+        for batch in batches:
+            if len(batch):
+                held.append(pa.Table.from_batches([batch]))
+                for a, b in cells(False):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        if held:
+            for a, b in cells(True):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _cells(members, s).select("bucket", "cell", "band", "block", "class", "n", "label", "sketch", "level", "sample").repartition(n, "bucket", "cell").sortWithinPartitions("bucket", "cell")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of `docs`.
 
@@ -189,9 +295,9 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, doc_id: s
     )
     width = 2 * s.rows
     bands = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sketch, {i * width + 1}, {width})")) for i in range(s.bands)])
-    members = classes.select(F.explode(bands).alias("bucket"), "class", F.col("n_shingles").alias("n"))
+    members = classes.select(F.posexplode(bands).alias("band", "bucket"), "class", F.col("n_shingles").alias("n"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("leader"), F.min_by("n", "class").alias("leader_n")).filter("size > 1")
-    members = stored(members.join(shared, "bucket").select("bucket", "class", "n", "leader", "leader_n"), "buckets")
+    members = stored(members.join(shared, "bucket").select("bucket", "band", "class", "n", "leader", "leader_n"), "buckets")
     alike = lambda x, y: 100 * F.least(x, y) >= s.percent * F.greatest(x, y)  # noqa: E731  no pair beyond it can be linked
     active = members.select("class").distinct()
     wanted = classes.join(active, "class", "left_semi").select("class", F.col("first.text_key").alias("k"), F.col("first.doc_id").alias("d"))
@@ -206,11 +312,13 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, doc_id: s
     found = links(first)
     labels = stored(components(found), "labels")
 
+    def mixed_buckets(own: DataFrame) -> DataFrame:
+        return own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
+
     def labelled() -> DataFrame:
         """Members of the buckets that more than one component shares."""
-        own = members.join(labels.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", "n", F.coalesce("label", "class").alias("label"))
-        mixed_ = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-        return stored(own.join(mixed_, "bucket"), "mixed")
+        own = members.join(labels.withColumnRenamed("node", "class"), "class", "left").select("bucket", "band", "class", "n", F.coalesce("label", "class").alias("label"))
+        return stored(own.join(mixed_buckets(own), "bucket"), "mixed")
 
     # another leader, at random, for what the first did not link
     left = labelled()
@@ -220,9 +328,9 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, doc_id: s
     labels = stored(components(found), "labels")
     # every two members of a bucket that are still apart
     left = labelled()
-    right = left.select("bucket", F.col("class").alias("c2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
-    third = left.join(right, "bucket").filter((F.col("class") < F.col("c2")) & (F.col("label") != F.col("l2")) & alike(F.col("n"), F.col("n2")))
-    found = found.union(links(third.select(F.col("class").alias("a"), F.col("c2").alias("b"))))
+    samples = _samples(texts.join(left.select("class").distinct(), "class", "left_semi"), s)
+    signs = stored(samples.join(classes.select("class", "sketch"), "class"), "samples")
+    found = found.union(stored(_verified(stored(_apart(left.join(signs, "class"), s), "candidates"), texts, s), "links"))
     labels = components(found)
 
     least = classes.select("class", "least").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
