@@ -1,0 +1,125 @@
+"""Lifecycle policies over logs and lessons, usage and cost analytics, budgets and constraint checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from skein.functions import score as S
+from skein.operators.relational import newest
+
+c = F.col
+
+
+def forget(episodes: DataFrame, now_s: int, ttl_s: int = 30 * 86400, capacity: int = 50_000, decay: float = 0.02, floor: float = 0.05) -> dict[str, DataFrame]:
+    """Survivors of each stage, in order: TTL, capacity (newest ids), decay (score below the floor goes; a floor of 0 or less keeps all)."""
+    fresh = episodes.filter(c("at_s") >= now_s - ttl_s)
+    held = newest(fresh, "id", capacity)
+    score = S.retention(c("salience").cast("double"), F.lit(now_s) - F.coalesce("accessed_s", "at_s"), F.greatest("access_count", F.lit(0)), decay)
+    return {"ttl": fresh, "capacity": held, "decay": held if floor <= 0 else held.filter(~(score < floor))}
+
+
+def keep_lessons(lessons: DataFrame, least: float = 0.2, attempts: int = 3) -> DataFrame:
+    """Lessons but for those tried often enough with success / (attempts + 1) below the least."""
+    n = c("success") + c("failure")
+    return lessons.filter(~((n >= attempts) & (c("success") / (n + 1) < least)))
+
+
+def quarantined(lessons: DataFrame, ratio: float = 0.66, attempts: int = 5) -> DataFrame:
+    """Lessons tried often enough whose share of failures reaches the ratio."""
+    n = c("success") + c("failure")
+    return lessons.filter((n >= attempts) & (c("failure") / F.greatest(n, F.lit(1)) >= ratio))
+
+
+def usage_summary(usage: DataFrame, last: int | None = None) -> DataFrame:
+    """(complexity, n, avg_estimated, avg_actual, ratio) of the last records: averages cut to whole numbers, the ratio of those; each complexity has a row."""
+    rows = newest(usage, "seq", last) if last else usage
+    levels = rows.sparkSession.createDataFrame([("low",), ("medium",), ("high",)], "complexity string")
+    sums = rows.groupBy("complexity").agg(F.count("*").alias("n"), F.floor(F.sum("estimated") / F.count("*")).alias("e"), F.floor(F.sum("actual") / F.count("*")).alias("a"))
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long")
+    return levels.join(sums, "complexity", "left").select("complexity", zero("n").alias("n"), zero("e").alias("avg_estimated"), zero("a").alias("avg_actual"), F.round(F.when(zero("e") > 0, zero("a") / zero("e")).otherwise(0.0), 6).alias("ratio"))
+
+
+def calibration(usage: DataFrame) -> DataFrame:
+    """(complexity, factor, samples): mean actual / estimated where estimated is positive, held to 0..3."""
+    own = usage.filter("estimated > 0")
+    return own.groupBy("complexity").agg(F.round(F.greatest(F.lit(0.0), F.least(F.lit(3.0), F.avg(c("actual") / c("estimated")))), 6).alias("factor"), F.count("*").alias("samples"))
+
+
+def turn_costs(turns: DataFrame) -> DataFrame:
+    """`turns` with actual_cost, cost_no_cache and write_overhead in dollars."""
+    p = lambda i: S.price(c("model"), i)
+    actual = c("cache_write_tokens") * p(2) + c("cache_read_tokens") * p(3) + c("input_tokens") * p(0) + c("output_tokens") * p(1)
+    plain = (c("cache_write_tokens") + c("cache_read_tokens") + c("input_tokens")) * p(0) + c("output_tokens") * p(1)
+    return turns.withColumns({"actual_cost": actual, "cost_no_cache": plain, "write_overhead": c("cache_write_tokens") * (p(2) - p(0))})
+
+
+def session_costs(turns: DataFrame) -> DataFrame:
+    """Per session: turns, the last turn's model, hit rate, costs, savings and grade."""
+    s = turn_costs(turns).groupBy("session_id").agg(
+        F.count("*").alias("n_turns"), F.max_by("model", F.struct("seq", "model")).alias("model"), F.sum("cache_read_tokens").alias("read"), F.sum("cache_write_tokens").alias("write"), F.sum("input_tokens").alias("input"),
+        F.sum("actual_cost").alias("actual"), F.sum("cost_no_cache").alias("plain"), F.sum("write_overhead").alias("overhead"),
+    )
+    hit = F.when(c("read") + c("write") > 0, c("read") / (c("read") + c("write"))).otherwise(0.0)
+    saved = c("plain") - c("actual")
+    return s.select(
+        "session_id", "n_turns", "model", F.round(hit, 3).alias("hit_rate"), F.round("actual", 4).alias("actual_cost"), F.round(saved, 4).alias("savings"), F.round(saved - c("overhead"), 4).alias("net_savings"),
+        F.round(F.when(c("plain") > 0, saved / c("plain") * 100).otherwise(0.0), 1).alias("savings_pct"), S.grade(hit).alias("grade"),
+    )
+
+
+def enforcement_report(events: DataFrame) -> DataFrame:
+    """One row: events in all, blocks, overrides, and overrides / blocks to two decimals."""
+    n = lambda e: F.count_if(c("event") == e)
+    blocks, overrides = n("enforcement_block"), n("enforcement_override")
+    return events.agg(F.count("*").alias("total_events"), blocks.alias("blocks"), overrides.alias("overrides"), F.round(F.when(blocks > 0, overrides / blocks).otherwise(0.0), 2).alias("fp_risk"))
+
+
+def rule_holds(field: Column, op: str, value: str) -> Column:
+    """One condition; a missing field or a pattern that isn't one fails, even for not_contains."""
+    import re
+
+    if op == "regex":
+        try:
+            re.compile(value)
+        except re.error:
+            return F.lit(False)
+        out = field.rlike(value)
+    elif op == "glob":
+        body = re.escape(value).replace(r"\*", ".*").replace(r"\?", ".")
+        out = field.rlike(f"^(?:{body})$")
+    elif op == "contains":
+        out = field.contains(value)
+    elif op == "not_contains":
+        out = ~field.contains(value)
+    elif op == "starts_with":
+        out = field.startswith(value)
+    else:
+        raise ValueError(f"unknown operator {op}")
+    return F.coalesce(out, F.lit(False))
+
+
+def rule_gate(events: DataFrame, rules: list[dict], key: str, tool: str) -> DataFrame:
+    """(key, decision, rule): the first blocking rule that holds, else warn with the first warning one, else allow.
+
+    A rule is {id, matcher: "A|B", conditions: [(column, op, value)], action: block or warn, enabled, stateful?}.
+    """
+    hits = []
+    for r in rules:
+        if not r.get("enabled", True) or r.get("stateful"):
+            continue
+        hit = c(tool).isin(*r["matcher"].split("|"))
+        for name, op, value in r["conditions"]:
+            hit = hit & rule_holds(c(name), op, value)
+        hits.append((r["id"], r["action"], hit))
+    pick = lambda action: F.coalesce(*[F.when(h, F.lit(i)) for i, a, h in hits if a == action], F.lit(None).cast("string"))
+    block, warn = pick("block"), pick("warn")
+    return events.select(key, F.when(block.isNotNull(), "block").when(warn.isNotNull(), "warn").otherwise("allow").alias("decision"), F.coalesce(block, warn).alias("rule"))
+
+
+def plan_violations(tasks: DataFrame, deps: DataFrame, most_tokens: int = 80_000) -> DataFrame:
+    """(id, violation): one row for each constraint that a task breaks."""
+    checks = F.array_compact(F.array(F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "name_missing"), F.when(c("budget_tokens") > most_tokens, "budget_too_large"), F.when(c("budget_tokens") <= 0, "budget_not_positive"), F.when(~c("status").isin("pending", "running", "completed", "failed", "skipped"), "status_unknown")))
+    own = tasks.select("id", F.explode(checks).alias("violation"))
+    missing = deps.join(tasks.select(c("id").alias("dep")), "dep", "left_anti").select("id", F.concat(F.lit("dangling_dependency:"), "dep").alias("violation"))
+    return own.unionByName(missing)

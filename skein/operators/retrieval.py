@@ -47,10 +47,14 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def equals(value: str) -> Callable[[Column], Column]:
+    return lambda t: t == value
+
+
 def bm25(docs: DataFrame, query: list[str], key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of the documents that hold a query term, by BM25; only the query's terms are counted, in one scan."""
     terms = F.filter(F.split(X.ascii_lower(c(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    sized = docs.select(c(key), terms.alias("terms")).select(key, F.size("terms").alias("dl"), *[F.size(F.filter("terms", lambda t, q=q: t == q)).alias(f"tf{i}") for i, q in enumerate(query)])
+    sized = docs.select(c(key), terms.alias("terms")).select(key, F.size("terms").alias("dl"), *[F.size(F.filter("terms", equals(q))).alias(f"tf{i}") for i, q in enumerate(query)])
     stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(c(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
     joined = sized.join(F.broadcast(stats))  # one row of totals
     total = F.lit(0.0)

@@ -1 +1,131 @@
-"""Queries."""
+"""Queries over the property graph and the task graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skein.operators import graph as G
+from skein.plans.registry import query
+
+c = F.col
+
+
+def starts(t, *ids):
+    return t.spark.createDataFrame([(i, i) for i in ids], "root string, id string")
+
+
+def walk(start: str, steps: str, depth: int) -> str:
+    """DuckDB walk over (a, b) from start, as a relation r(id, depth) of least depths; the start isn't in it."""
+    return f"""WITH steps AS ({steps}), w AS (SELECT '{start}' AS id, 0 AS depth UNION SELECT s.b, w.depth + 1 FROM w JOIN steps s ON s.a = w.id WHERE w.depth < {depth}),
+    r AS (SELECT id, min(depth) AS depth FROM w WHERE id <> '{start}' GROUP BY id)"""
+
+
+_OUT = "SELECT src AS a, dst AS b FROM {edges} WHERE kind IN (%s)"
+_IN = "SELECT dst AS a, src AS b FROM {edges} WHERE kind IN (%s)"
+
+
+@query("g01_bfs", walk("order::o10", _OUT % "'calls', 'imports', 'references', 'extends', 'declared_in'", 3) + " SELECT 'order::o10' AS root, id, depth FROM r WHERE id IN (SELECT id FROM {nodes})")
+def _(t):
+    return G.bfs(t.edges, t.nodes, starts(t, "order::o10"), 3)
+
+
+@query("g02_callers", walk("part::p3", _IN % "'calls'", 2) + " SELECT 'part::p3' AS root, id, depth FROM r WHERE id IN (SELECT id FROM {nodes})")
+def _(t):
+    return G.bfs(t.edges, t.nodes, starts(t, "part::p3"), 2, "in", ["calls"])
+
+
+@query("g03_neighbourhood", walk("supplier::s1", "SELECT src AS a, dst AS b FROM {edges} UNION SELECT dst, src FROM {edges}", 2) + " SELECT 'supplier::s1' AS root, id, depth FROM r WHERE id IN (SELECT id FROM {nodes})")
+def _(t):
+    return G.bfs(t.edges, t.nodes, starts(t, "supplier::s1"), 2, "both")
+
+
+@query("g04_impact_up", walk("nation::NATION_3", _IN % "'calls', 'references', 'extends'", 3) + " SELECT 'nation::NATION_3' AS root, id, depth FROM r WHERE id IN (SELECT id FROM {nodes})")
+def _(t):
+    return G.impact(t.edges, t.nodes, starts(t, "nation::NATION_3"), "up", 3)
+
+
+@query(
+    "g05_subgraph",
+    walk("region::ASIA", _IN % "'extends', 'declared_in'", 2) + " SELECT id, depth FROM r WHERE id IN (SELECT id FROM {nodes}) UNION ALL SELECT 'region::ASIA', 0",
+)
+def _(t):
+    return G.subgraph(t.edges, t.nodes, starts(t, "region::ASIA"), 2, 100_000, "in", ["extends", "declared_in"])[0]
+
+
+@query(
+    "g06_resolve",
+    """WITH n AS (SELECT concat('c', c_custkey) AS needle FROM {customer} WHERE c_custkey < 20 UNION ALL SELECT concat('x::part::p', p_partkey) FROM {part} WHERE p_partkey < 60 UNION ALL SELECT 'nothing'),
+    m AS (SELECT needle, id FROM n JOIN {nodes} ON id = needle OR ends_with(id, concat('::', needle)) OR ends_with(needle, concat('::', id)))
+    SELECT needle, CASE WHEN count(*) = 1 THEN min(id) END AS id, count(*) AS n FROM m GROUP BY needle""",
+)
+def _(t):
+    needles = t.customer.filter("c_custkey < 20").select(F.concat(F.lit("c"), "c_custkey").alias("needle")).unionByName(t.part.filter("p_partkey < 60").select(F.concat(F.lit("x::part::p"), "p_partkey").alias("needle")))
+    return G.resolve(t.nodes, needles.unionByName(t.spark.createDataFrame([("nothing",)], "needle string")))
+
+
+@query("g07_path_lengths", walk("order::o20", _OUT % "'calls', 'imports', 'extends'", 6) + " SELECT id, depth FROM r")
+def _(t):
+    return G.shortest_paths(t.edges, starts(t, "order::o20"), 6, "out", ["calls", "imports", "extends"]).filter("depth > 0").select("id", "depth")
+
+
+@query("g07_shortest_path")
+def _(t):
+    return G.shortest_paths(t.edges, starts(t, "order::o20"), 10, targets=t.spark.createDataFrame([("order::o20", "region::ASIA")], "root string, id string")).select("root", "id", "depth", F.array_join("path", " > ").alias("path"))
+
+
+@query("g08_communities")
+def _(t):
+    return G.communities(t.edges)
+
+
+@query("a17_community_summary")
+def _(t):
+    return G.community_summary(G.communities(t.edges), 3)
+
+
+@query("g09_flows")
+def _(t):
+    entries = t.nodes.filter("kind = 'function' AND id LIKE 'order::%' AND line % 40 = 0").select(c("id").alias("root"))
+    return G.flows(t.edges, t.nodes, entries, 4)
+
+
+@query(
+    "g10_taint",
+    """WITH s AS (SELECT id AS root FROM {nodes} WHERE contains(lower(id), 'order::o1')), w AS (SELECT root, root AS id, 0 AS depth FROM s UNION SELECT w.root, e.dst, w.depth + 1 FROM w JOIN {edges} e ON e.src = w.id AND e.kind = 'calls' WHERE w.depth < 4)
+    SELECT root AS source, id AS sink, min(depth) AS hops FROM w WHERE root <> id AND id IN (SELECT id FROM {nodes} WHERE contains(lower(id), 'part::p7')) GROUP BY root, id""",
+)
+def _(t):
+    return G.taint(t.edges, t.nodes, ["ORDER::o1"], ["part::p7"], 4)
+
+
+@query("g14_cycles", "WITH w AS (SELECT id AS root, dep AS here, 1 AS depth FROM {task_deps} UNION SELECT w.root, d.dep, w.depth + 1 FROM w JOIN {task_deps} d ON d.id = w.here WHERE w.depth < 12) SELECT DISTINCT root AS id FROM w WHERE root = here")
+def _(t):
+    steps = t.task_deps.select(c("id").alias("a"), c("dep").alias("b"))
+    # a task is in a cycle if it reaches one that depends on it; roots aren't their own, so the last step is joined
+    reached = G.reachable(steps, t.tasks.select(c("id").alias("root"), "id"), 12).select("root", "id")
+    return reached.join(steps.select(c("a").alias("id"), c("b").alias("root")), ["root", "id"], "left_semi").select(c("root").alias("id")).distinct()
+
+
+@query("g15_waves")
+def _(t):
+    from skein.operators.graph import waves
+
+    # the cycle of the sample is left out, so that tasks have waves
+    return waves(t.tasks, t.task_deps.filter("NOT (id = 1 AND dep = 2)"))
+
+
+@query("a15_impact_by_file", walk("nation::NATION_3", _IN % "'calls', 'references', 'extends'", 3) + " SELECT r.depth, n.path, count(*) AS n FROM r JOIN {nodes} n ON n.id = r.id GROUP BY r.depth, n.path")
+def _(t):
+    hit = G.impact(t.edges, t.nodes, starts(t, "nation::NATION_3"), "up", 3)
+    return hit.join(t.nodes.select("id", "path"), "id").groupBy("depth", "path").agg(F.count("*").alias("n"))
+
+
+@query(
+    "a16_detect_changes",
+    """WITH touched AS (SELECT DISTINCT id FROM {nodes} WHERE path = 'shop/part5.ts' AND line BETWEEN 5 AND 60), w AS (SELECT id, 0 AS depth FROM touched UNION SELECT e.src, w.depth + 1 FROM w JOIN {edges} e ON e.dst = w.id AND e.kind IN ('calls', 'references', 'extends') WHERE w.depth < 2)
+    SELECT id, min(depth) AS depth FROM w WHERE id NOT IN (SELECT id FROM touched) AND id IN (SELECT id FROM {nodes}) GROUP BY id""",
+)
+def _(t):
+    touched = t.nodes.filter("path = 'shop/part5.ts' AND line BETWEEN 5 AND 60").select("id")
+    hit = G.impact(t.edges, t.nodes, touched.select(c("id").alias("root"), "id"), "up", 2)
+    return hit.groupBy("id").agg(F.min("depth").alias("depth")).join(touched, "id", "left_anti")

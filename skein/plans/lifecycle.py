@@ -1 +1,67 @@
-"""Queries."""
+"""Queries over lifecycle policies and constraint checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skein.operators import lifecycle as L
+from skein.operators import relational as R
+from skein.plans.registry import query
+
+c = F.col
+_SCORE = "salience * exp(-0.02 * greatest(0, 900000 - coalesce(accessed_s, at_s)) / 86400.0) * ln(exp(1.0) + access_count)"
+
+
+@query("p01_forget_pass", f"WITH f AS (SELECT * FROM {{episodes}} WHERE at_s >= 300000), h AS (SELECT * FROM f ORDER BY id DESC LIMIT 3000) SELECT id FROM h WHERE NOT {_SCORE} < 0.5")
+def _(t):
+    return L.forget(t.episodes, 900_000, 600_000, 3000, floor=0.5)["decay"].select("id")
+
+
+@query("p02_decay_eviction", f"SELECT id FROM {{episodes}} WHERE {_SCORE} < 0.6")
+def _(t):
+    kept = L.forget(t.episodes, 900_000, 10**9, 10**9, floor=0.6)["decay"].select("id")
+    return t.episodes.join(kept, "id", "left_anti").select("id")
+
+
+@query("p03_low_confidence", "SELECT trigger_text FROM {lessons} WHERE success + failure >= 3 AND success / (success + failure + 1) < 0.6")
+def _(t):
+    return t.lessons.join(L.keep_lessons(t.lessons, 0.6).select("trigger_text"), "trigger_text", "left_anti").select("trigger_text")
+
+
+@query("p04_quarantine", "SELECT trigger_text FROM {lessons} WHERE success + failure >= 5 AND failure / (success + failure) >= 0.2")
+def _(t):
+    return L.quarantined(t.lessons, 0.2).select("trigger_text")
+
+
+@query("p05_retention_cap", "SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY first DESC) AS rn FROM (SELECT user_id, min(event_id) AS first FROM {events} GROUP BY user_id)) WHERE rn <= 50")
+def _(t):
+    return R.newest(t.events.groupBy("user_id").agg(F.min("event_id").alias("first")), "first", 50).select("user_id")
+
+
+@query("v01_plan_violations", "SELECT id, 'budget_too_large' AS violation FROM {tasks} WHERE budget_tokens > 40000 UNION ALL SELECT id, concat('dangling_dependency:', dep) FROM {task_deps} WHERE dep NOT IN (SELECT id FROM {tasks})")
+def _(t):
+    return L.plan_violations(t.tasks, t.task_deps, 40_000)
+
+
+@query("v04_task_ids", "SELECT id, CAST(count(dep) AS BIGINT) AS n_deps FROM {tasks} LEFT JOIN {task_deps} USING (id) GROUP BY id")
+def _(t):
+    return t.tasks.join(t.task_deps, "id", "left").groupBy("id").agg(F.count("dep").alias("n_deps"))
+
+
+RULES = [
+    {"id": "no-errors-5", "matcher": "error|click", "conditions": [("props", "contains", '"k": 5')], "action": "block"},
+    {"id": "warn-9", "matcher": "click|view", "conditions": [("props", "regex", '"k": 9[0-9]')], "action": "warn"},
+    {"id": "bad-pattern", "matcher": "view", "conditions": [("props", "regex", "(")], "action": "block"},
+    {"id": "off", "matcher": "view", "conditions": [], "action": "block", "enabled": False},
+    {"id": "glob", "matcher": "signup", "conditions": [("props", "glob", '*7}'), ("props", "not_contains", "77")], "action": "block"},
+]
+
+
+@query(
+    "f08_rule_gate",
+    """WITH r AS (SELECT event_id, CASE WHEN event_type IN ('error', 'click') AND contains(props, '"k": 5') THEN 'no-errors-5' WHEN event_type = 'signup' AND ends_with(props, '7}') AND NOT contains(props, '77') THEN 'glob' END AS b,
+      CASE WHEN event_type IN ('click', 'view') AND regexp_matches(props, '"k": 9[0-9]') THEN 'warn-9' END AS w FROM {events})
+    SELECT event_id, CASE WHEN b IS NOT NULL THEN 'block' WHEN w IS NOT NULL THEN 'warn' ELSE 'allow' END AS decision, coalesce(b, w) AS rule FROM r""",
+)
+def _(t):
+    return L.rule_gate(t.events, RULES, "event_id", "event_type")

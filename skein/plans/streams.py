@@ -1 +1,48 @@
-"""Queries."""
+"""Queries over the batch forms of the stream operators; tests run the streams against them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skein.plans.registry import query
+from skein.streaming import gates as G
+
+c = F.col
+
+
+@query("x01_debounce", "SELECT path, arg_max(kind, seq) AS kind, max(seq) AS seq FROM {file_events} GROUP BY path, time_bucket(INTERVAL 1 hour, ts)")
+def _(t):
+    return G.debounced(t.file_events, "1 hour").select("path", "kind", "seq")
+
+
+@query("x02_reindex_gate", "SELECT path, seq FROM {file_events} f WHERE NOT EXISTS (SELECT 1 FROM {file_events} g WHERE g.path = f.path AND g.kind = f.kind AND g.seq < 5000 AND g.kind = 'deleted')")
+def _(t):
+    ledger = t.file_events.filter("seq < 5000 AND kind = 'deleted'").select("path", "kind").distinct()
+    return G.unseen(t.file_events, ledger, ["path", "kind"]).select("path", "seq")
+
+
+@query("x07_cool_down")
+def _(t):
+    events = t.events.select("user_id", "ts", c("event_id").alias("seq"))
+    return G.cooled_down(events, "user_id", 6 * 3600.0)
+
+
+@query("x08_after_earlier", "SELECT session_id, seq FROM (SELECT *, max(CASE WHEN event = 'impact' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM {enforcement}) WHERE event = 'enforcement_block' AND seen = 1")
+def _(t):
+    return G.after_earlier(t.enforcement, "session_id", "seq", "impact", "enforcement_block")
+
+
+@query("x09_latch", "SELECT user_id, min(event_id) AS event_id FROM (SELECT *, sum(CAST(value * 100 AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s FROM {events}) WHERE s >= 100000 GROUP BY user_id")
+def _(t):
+    return G.latched(t.events.withColumn("cents", F.round(c("value") * 100).cast("long")), "user_id", "event_id", "cents", 100_000)
+
+
+@query("x06_eviction", "SELECT user_id FROM {events} GROUP BY user_id HAVING max(event_id) <= 9900 OR min(event_id) <= 20")
+def _(t):
+    loads = t.events.select("user_id", c("event_id").alias("accessed_s"), c("event_id").alias("loaded_s"))
+    return G.evicted(loads, "user_id", 10_000, 100, 9980)
+
+
+@query("x10_running_usage", "SELECT session_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM {turn_usage} GROUP BY session_id")
+def _(t):
+    return t.turn_usage.groupBy("session_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))

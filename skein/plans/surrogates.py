@@ -42,7 +42,7 @@ DERIVED = {
     "usage": """
         SELECT o_orderkey AS seq, concat('task-', o_orderkey) AS task_id, concat('session-', o_custkey % 40) AS session_id,
                CASE WHEN o_orderpriority LIKE '1%' THEN 'high' WHEN o_orderpriority LIKE '2%' OR o_orderpriority LIKE '3%' THEN 'medium' ELSE 'low' END AS complexity,
-               CAST(floor(o_totalprice / 10) AS BIGINT) AS estimated, CAST(floor(sum(l_extendedprice) / 5) AS BIGINT) AS actual, CAST(count(*) AS BIGINT) AS tool_calls,
+               CAST(floor(o_totalprice / 10) AS BIGINT) AS estimated, CAST(sum(CAST(floor(l_extendedprice / 5) AS BIGINT)) AS BIGINT) AS actual, CAST(count(*) AS BIGINT) AS tool_calls,
                CASE WHEN o_orderstatus = 'F' THEN 'claude-sonnet' WHEN o_orderstatus = 'O' THEN 'gpt' ELSE NULL END AS model
         FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderpriority, o_totalprice, o_orderstatus""",
     "turn_usage": """

@@ -1 +1,81 @@
-"""Queries."""
+"""Queries over line-stream trimming and user filters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skein.operators import lines as L
+from skein.plans.registry import query
+
+c = F.col
+_LINES = "(SELECT doc_id, source, string_split(text, chr(10)) AS l FROM {documents})"
+
+
+def lines(t):
+    return t.documents.select("doc_id", "source", L.lines_of(c("text")).alias("l"))
+
+
+def joined(x):
+    return F.array_join(x, "\n").alias("body")
+
+
+@query("l01_head_tail", f"SELECT doc_id, array_to_string(l[1:3], chr(10)) AS head, array_to_string(l[-2:], chr(10)) AS tail FROM {_LINES}")
+def _(t):
+    return lines(t).select("doc_id", F.array_join(L.head(c("l"), 3), "\n").alias("head"), F.array_join(L.tail(c("l"), 2), "\n").alias("tail"))
+
+
+@query("l01_grep_out", f"SELECT doc_id, array_to_string(list_filter(l, lambda x: NOT regexp_matches(x, 'the|les') AND trim(x) <> ''), chr(10)) AS body FROM {_LINES}")
+def _(t):
+    return lines(t).select("doc_id", joined(L.without_blanks(L.dropping(c("l"), "the", "les"))))
+
+
+@query("l01_distinct_count", f"SELECT doc_id, CAST(len(list_distinct(l)) AS BIGINT) AS n FROM {_LINES}")
+def _(t):
+    return lines(t).select("doc_id", F.size(L.distinct(c("l"))).cast("long").alias("n"))
+
+
+@query("l01_collapsed_runs", "SELECT user_id, string_agg(CASE WHEN n > 1 THEN concat(event_type, ' (x', n, ')') ELSE event_type END, ' ' ORDER BY run) AS body FROM (SELECT user_id, run, event_type, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS new FROM {events})) GROUP BY user_id, run, event_type) GROUP BY user_id")
+def _(t):
+    own = t.events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("l"))
+    return own.select("user_id", F.array_join(L.collapsed(c("l")), " ").alias("body"))
+
+
+_CMD = "CASE doc_id % 3 WHEN 0 THEN 'git' WHEN 1 THEN 'npm' ELSE 'other' END"
+
+
+@query(
+    "l02_dispatch",
+    f"SELECT doc_id, array_to_string(CASE doc_id % 3 WHEN 0 THEN list_filter(l, lambda x: trim(x) <> '')[1:40] WHEN 1 THEN list_filter(l, lambda x: NOT regexp_matches(x, '^\\s*$|^added \\d+ packages|^up to date|^found 0 vulnerabilities|packages are looking for funding|^npm (warn|WARN) deprecated')) ELSE l END, chr(10)) AS body FROM {_LINES}",
+)
+def _(t):
+    return lines(t).select("doc_id", joined(L.built_in().dispatch(F.expr(_CMD), F.lit("status"), c("l"))))
+
+
+@query("l07_scope_flags", "SELECT doc_id, doc_id % 4 IN (1, 2) AS bypass FROM {documents}")
+def _(t):
+    args = F.array(F.lit("log"), F.when(c("doc_id") % 4 == 1, "--max-count=5").when(c("doc_id") % 4 == 2, "-n").otherwise("--name"))
+    return t.documents.select("doc_id", L.has_scope_flag(args, ("-n", "--max-count")).alias("bypass"))
+
+
+@query("l08_abandon_rule", f"SELECT doc_id, CASE WHEN strlen(array_to_string(list_concat(l, [repeat('x', CAST(doc_id % 200 AS BIGINT))]), chr(10))) > strlen(array_to_string(l, chr(10))) + 64 THEN 'kept' ELSE 'trimmed' END AS outcome FROM {_LINES}")
+def _(t):
+    longer = F.concat("l", F.array(F.expr("repeat('x', CAST(doc_id % 200 AS INT))")))
+    return lines(t).select("doc_id", F.when(F.size(L.trimmed(c("l"), longer)) == F.size("l"), "kept").otherwise("trimmed").alias("outcome"))
+
+
+@query("l10_trim_report", "SELECT doc_id, concat('before=', strlen(text), ' after=', least(strlen(text), 500), ' saved=', CAST(floor(100 - least(strlen(text), 500) * 100 / strlen(text)) AS BIGINT), '%') AS report FROM {documents}")
+def _(t):
+    n = F.octet_length("text")
+    after = F.least(n, F.lit(500))
+    saved = F.floor(100 - after * 100 / n)
+    return t.documents.select("doc_id", F.concat(F.lit("before="), n, F.lit(" after="), after, F.lit(" saved="), saved, F.lit("%")).alias("report"))
+
+
+@query("e01_user_filters", f"SELECT doc_id, array_to_string(CASE WHEN source = 'src1' THEN l[1:2] ELSE l[1:1] END, chr(10)) AS body FROM {_LINES} WHERE source IN ('src1', 'src2')")
+def _(t):
+    r = L.Registry()
+    r.register("src1", None, lambda x: L.head(x, 1), priority=10)
+    r.register("src1", "log", lambda x: L.head(x, 2), priority=1)
+    r.register("src2", None, lambda x: L.head(x, 1))
+    own = lines(t).filter(c("source").isin("src1", "src2"))
+    return own.select("doc_id", joined(r.dispatch(c("source"), F.lit("log"), c("l"))))
