@@ -38,14 +38,14 @@ def newest(rows: DataFrame, order: str, keep: int) -> DataFrame:
     if n <= keep:
         return rows
     if keep <= 100_000:
-        least = rows.select(order).orderBy(c(order).desc()).limit(keep).agg(F.min(order).alias("least"))
+        least = rows.select(order).orderBy(c(order).desc()).limit(keep).agg(F.min(order))
     else:
         low = rows.agg(F.percentile_approx(order, max(0.0, 1 - keep / n - 2e-4), 10_000)).first()[0]
         above = rows.filter(c(order) >= low).count()
         if above < keep:
             low, above = rows.agg(F.min(order)).first()[0], n
-        least = rows.filter(c(order) >= low).select(order).orderBy(order).limit(above - keep + 1).agg(F.max(order).alias("least"))
-    return rows.join(F.broadcast(least), c(order) >= c("least")).drop("least")  # one row
+        least = rows.filter(c(order) >= low).select(order).orderBy(order).limit(above - keep + 1).agg(F.max(order))
+    return rows.filter(c(order) >= F.lit(least.first()[0]))
 
 
 def first_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

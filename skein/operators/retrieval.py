@@ -40,13 +40,6 @@ def metadata_filter(spec: dict, field: Callable[[str], Column]) -> Column:
     return out
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, dl): how often each term stands in each document, and the document's terms in all."""
-    terms = F.filter(F.split(X.ascii_lower(c(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    words = docs.select(c(key), terms.alias("terms"))
-    return words.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
-
-
 def equals(value: str) -> Callable[[Column], Column]:
     return lambda t: t == value
 
@@ -56,15 +49,15 @@ def bm25(docs: DataFrame, query: list[str], key: str, text: str, k1: float = 1.2
     terms = F.filter(F.split(X.ascii_lower(c(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
     sized = docs.select(c(key), terms.alias("terms")).select(key, F.size("terms").alias("dl"), *[F.size(F.filter("terms", equals(q))).alias(f"tf{i}") for i, q in enumerate(query)])
     stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(c(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
-    joined = sized.join(F.broadcast(stats))  # one row of totals
+    s = stats.first()  # one row of totals
     total = F.lit(0.0)
     for i in range(len(query)):
-        idf = F.ln(1 + (c("n") - c(f"df{i}") + 0.5) / (c(f"df{i}") + 0.5))
-        total = total + idf * c(f"tf{i}") * (k1 + 1) / (c(f"tf{i}") + k1 * (1 - b + b * c("dl") / c("avgdl")))
+        idf = F.ln(F.lit(1 + (s.n - s[f"df{i}"] + 0.5) / (s[f"df{i}"] + 0.5)))
+        total = total + idf * c(f"tf{i}") * (k1 + 1) / (c(f"tf{i}") + k1 * (1 - b + b * c("dl") / F.lit(s.avgdl)))
     hit = F.lit(False)
     for i in range(len(query)):
         hit = hit | (c(f"tf{i}") > 0)
-    return joined.filter(hit).select(key, total.alias("score"))
+    return sized.filter(hit).select(key, total.alias("score"))
 
 
 def ranked(hits: DataFrame, stage: str, stage_no: int, order: list[Column], most: int) -> DataFrame:
@@ -84,8 +77,8 @@ def fused(stages: list[DataFrame], k: int = S.RRF_K) -> DataFrame:
 
 def above_floor(hits: DataFrame, floor: float = S.NOISE_FLOOR, least: float = 0.0) -> DataFrame:
     """Hits of `least` or more, and none at all if the best is below the floor."""
-    best = hits.agg(F.max("score").alias("best"))
-    return hits.join(F.broadcast(best)).filter((c("best") >= floor) & (c("score") >= least)).drop("best")
+    best = hits.agg(F.max("score")).first()[0]
+    return hits.filter(c("score") >= least) if best is not None and best >= floor else hits.limit(0)
 
 
 def folded(hits: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -108,10 +108,8 @@ def _(t):
 
 @query("g15_waves")
 def _(t):
-    from skein.operators.graph import waves
-
     # the cycle of the sample is left out, so that tasks have waves
-    return waves(t.tasks, t.task_deps.filter("NOT (id = 1 AND dep = 2)"))
+    return G.waves(t.tasks, t.task_deps.filter("NOT (id = 1 AND dep = 2)"))
 
 
 @query("a15_impact_by_file", walk("nation::NATION_3", _IN % "'calls', 'references', 'extends'", 3) + " SELECT r.depth, n.path, count(*) AS n FROM r JOIN {nodes} n ON n.id = r.id GROUP BY r.depth, n.path")

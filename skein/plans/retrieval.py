@@ -92,11 +92,7 @@ def _(t):
 )
 def _(t):
     hits = t.events.filter("event_id < 3000").select("event_id", "user_id", F.when(c("event_type") != "error", c("event_type")).alias("symbol"), c("value").alias("score"))
-    return R_folded(hits).select("event_id", F.round("score", 6).alias("score"))
-
-
-def R_folded(hits):
-    return Q.folded(hits, ["user_id", "symbol"], [c("score").desc(), c("event_id")])
+    return Q.folded(hits, ["user_id", "symbol"], [c("score").desc(), c("event_id")]).select("event_id", F.round("score", 6).alias("score"))
 
 
 @query("r11_materialised", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10))[1:6], lambda x: trim(x)), lambda x: x <> '')[1:3], ' ⏎ ') AS preview FROM {documents}")
