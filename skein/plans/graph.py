@@ -70,17 +70,17 @@ def _(t):
 
 @query("g07_shortest_path")
 def _(t):
-    return G.shortest_paths(t.edges, starts(t, "order::o20"), 10, targets=t.spark.createDataFrame([("order::o20", "region::ASIA")], "root string, id string")).select("root", "id", "depth", F.array_join("path", " > ").alias("path"))
+    return G.shortest_paths(t.whole_edges, starts(t, "order::o20"), 10, targets=t.spark.createDataFrame([("order::o20", "region::ASIA")], "root string, id string")).select("root", "id", "depth", F.array_join("path", " > ").alias("path"))
 
 
 @query("g08_communities")
 def _(t):
-    return G.communities(t.edges)
+    return G.communities(t.whole_edges)
 
 
 @query("a17_community_summary")
 def _(t):
-    return G.community_summary(G.communities(t.edges), 3)
+    return G.community_summary(G.communities(t.whole_edges), 3)
 
 
 @query("g09_flows")

@@ -31,6 +31,22 @@ DERIVED = {
         UNION SELECT concat('order::o', l_orderkey), concat('part::p', l_partkey), 'calls' FROM {lineitem} WHERE l_orderkey % 10 = 0
         UNION SELECT concat('part::p', l_partkey), concat('supplier::s', l_suppkey), 'imports' FROM {lineitem} WHERE l_orderkey % 10 = 0 AND l_partkey % 50 <> 0
         UNION SELECT concat('supplier::s', l_suppkey), concat('part::p', l_partkey), 'calls' FROM {lineitem} WHERE l_orderkey % 10 = 0 AND l_linenumber = 1""",
+    # the same graph from all orders and lineitem rows, for queries without SQL; nodes and edges hold the tenth that the SQL of the others fixes
+    "whole_nodes": """
+        SELECT concat('region::', r_name) AS id, 'trait' AS kind, 'core/region.rs' AS path, CAST(r_regionkey AS INT) AS line FROM {region}
+        UNION ALL SELECT concat('nation::', n_name), 'type', 'core/nation.rs', CAST(n_nationkey AS INT) FROM {nation}
+        UNION ALL SELECT concat('customer::c', c_custkey), 'type', concat('crm/customer', c_custkey % 7, '.py'), CAST(c_custkey AS INT) FROM {customer}
+        UNION ALL SELECT concat('supplier::s', s_suppkey), 'function', concat('crm/supplier', s_suppkey % 3, '.py'), CAST(s_suppkey AS INT) FROM {supplier}
+        UNION ALL SELECT concat('part::p', p_partkey), 'function', concat('shop/part', p_partkey % 11, '.ts'), CAST(p_partkey AS INT) FROM {part} WHERE p_partkey % 50 <> 0
+        UNION ALL SELECT concat('order::o', o_orderkey), 'function', concat('shop/order', o_orderkey % 13, '.ts'), CAST(o_orderkey AS INT) FROM {orders}""",
+    "whole_edges": """
+        SELECT concat('nation::', n_name) AS src, concat('region::', r_name) AS dst, 'extends' AS kind FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+        UNION SELECT concat('customer::c', c_custkey), concat('nation::', n_name), 'declared_in' FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+        UNION SELECT concat('supplier::s', s_suppkey), concat('nation::', n_name), 'extends' FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+        UNION SELECT concat('order::o', o_orderkey), concat('customer::c', o_custkey), 'references' FROM {orders}
+        UNION SELECT concat('order::o', l_orderkey), concat('part::p', l_partkey), 'calls' FROM {lineitem}
+        UNION SELECT concat('part::p', l_partkey), concat('supplier::s', l_suppkey), 'imports' FROM {lineitem} WHERE l_partkey % 50 <> 0
+        UNION SELECT concat('supplier::s', l_suppkey), concat('part::p', l_partkey), 'calls' FROM {lineitem}""",
     # an append-only log with decay metadata
     "episodes": """
         SELECT event_id AS id, event_type AS kind, ts, props AS payload, (1 + event_id % 10) / 10.0 AS salience, CAST(event_id % 5 AS BIGINT) AS access_count,
