@@ -85,8 +85,8 @@ def _(t):
 
 @query("g09_flows")
 def _(t):
-    entries = t.nodes.filter("kind = 'function' AND id LIKE 'order::%' AND line % 40 = 0").select(c("id").alias("root"))
-    return G.flows(t.edges, t.nodes, entries, 4)
+    entries = t.whole_nodes.filter("kind = 'function' AND id LIKE 'order::%'").select(c("id").alias("root"))
+    return G.flows(t.whole_edges, t.whole_nodes, entries)
 
 
 @query(

@@ -65,3 +65,9 @@ def test_shortest_path_over_the_whole_graph(spark, small):
     assert [r.depth for r in got] == [seen["region::ASIA"]]
     path = got[0].path.split(" > ")
     assert path[0] == "order::o20" and all((a, b) in {e[:2] for e in edges()} for a, b in zip(path, path[1:]))
+
+
+def test_flows_of_all_orders(spark, small):
+    calls = sorted({(f"order::o{o}", f"part::p{p}") for o, p, _, _ in ITEMS})
+    got = {(r.src, r.dst, r.depth) for r in QUERIES["g09_flows"](spark, small).collect()}
+    assert got == {(a, b, 1) for a, b in calls}  # parts call nothing
