@@ -182,13 +182,13 @@ class Blocks(HTMLParser):
         linked, self.part, self.part_linked = self.part_linked, [], 0
         if not text:
             return
-        key = self.owner.key
-        path = self.paths.setdefault(key, Path())
+        # a block may be aside by an inline element, which is no step of its path: it isn't its siblings' path
+        key = f"!{self.owner.key}" if self.owner.aside else self.owner.key
+        path = self.paths.setdefault(key, Path(aside=self.owner.aside))
         path.nodes += 1
         path.chars += len(text)
         path.marks += len(PUNCTUATION.findall(text))
         path.linked += linked
-        path.aside |= self.owner.aside
         path.in_article |= self.owner.article
         self.blocks.append((key, text))
 

@@ -30,6 +30,11 @@ def test_pages_that_do_not_mark_their_article():
     assert got.count("Sentence number") == 9 and "link" not in got and "Bye" not in got and "x" not in got.split()
 
 
+def test_an_advert_in_an_inline_element_leaves_its_siblings():
+    for inner in ('<a class="related" href=x><p>Other story.</p></a>', '<span class="notice"><p>Other story.</p></span>'):
+        assert main_text(f"<article><p>First, text.</p>{inner}<p>Second, text.</p></article>") == "First, text. Second, text."
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, "c"), (2, None, "", "c"), (None, "u", "plain, text.", "c"), (4, "u", "<p>a<![if x]>b</p", "c"), (5, "u", "<!x <a", "c"), (6, "u", "<p>" * 3000 + "deep, text.", "c"), (7, "u", PAGE, None), (7, "u", PAGE, None), (8, "u", "<article>" + "word, " * 200_000, "c")]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
