@@ -2,7 +2,8 @@
 
 Every block of text has a root-to-leaf tag path. Text length, punctuation and link text are added up per path;
 the ratios of text and of punctuation to the path's nodes are smoothed over the paths in page order and fused by
-their product; paths under the threshold are not content. Blocks of kept paths, in page order, are the main text.
+their product; paths under the threshold are not content. Where a page marks its article, all of it is content.
+Blocks of kept paths, in page order, are the main text.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 # Fixed values of HTML: elements without an end tag, elements that hold no page text, elements that stand inside a line,
 # and which open element a start tag ends where its end tag was left out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title textarea select option button svg math iframe object canvas audio video form label fieldset".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SILENT = frozenset("script style noscript template head title textarea select option button svg iframe object canvas audio video form label fieldset annotation annotation-xml".split())
+MATH = frozenset("annotation annotation-xml math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSED_BY = {
     "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")),
     "option": frozenset(("option",)), "thead": frozenset(("tr", "td", "th")), "tbody": frozenset(("thead", "tbody", "tr", "td", "th")), "tfoot": frozenset(("tbody", "tr", "td", "th")),
@@ -40,11 +42,10 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？«»“”]")
 
 @dataclass(frozen=True)
 class Settings:
-    """`threshold` is the share of the mean fused ratio that a path must reach, `marked_threshold` that inside a marked article;
-    `smooth` neighbours on each side count; a path whose text is links to `link_share` or more isn't content."""
+    """`threshold` is the share of the mean fused ratio that a path must reach; `smooth` neighbours on each side count;
+    a path whose text is links to `link_share` or more isn't content. None of them counts inside a marked article."""
 
     threshold: float = 0.1
-    marked_threshold: float = 0.001
     smooth: int = 1
     link_share: float = 0.6
 
@@ -121,7 +122,7 @@ class Blocks(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag in ("svg", "math", "path"):
+        if tag in MATH or tag in ("svg", "path"):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
@@ -208,20 +209,18 @@ def smoothed(values: np.ndarray, reach: int) -> np.ndarray:
 
 
 def content_paths(paths: dict[str, Path], settings: Settings) -> set[str]:
-    """Paths whose fused ratio reaches the threshold. Paths of menus, adverts and the like take no part; where a page marks
-    its article only paths inside it do, and the threshold is the lower one, for its titles and captions belong to it."""
+    """Where a page marks its article, all paths inside it but those of menus, adverts and the like, however short or linked;
+    else the paths whose fused ratio reaches the threshold. Articles of links alone are teasers of others, unless there is no other text."""
     own = {k: p for k, p in paths.items() if not p.aside and p.linked < settings.link_share * p.chars}
-    marked = {k: p for k, p in own.items() if p.in_article}
-    threshold = settings.marked_threshold if marked else settings.threshold
-    own = marked or own
-    if not own:
-        return set()
+    marked = {k for k, p in paths.items() if p.in_article and not p.aside}
+    if not own or any(k in own for k in marked):
+        return marked
     text = np.array([p.chars / p.nodes for p in own.values()], float)
     marks = np.array([(p.marks + 0.5) / p.nodes for p in own.values()], float)
     weight = np.array([p.chars for p in own.values()], float)
     fused = np.maximum(text * marks, smoothed(text, settings.smooth) * smoothed(marks, settings.smooth))
     mean = float((text * marks * weight).sum() / weight.sum())
-    return {k for k, f in zip(own, fused) if f >= threshold * mean}
+    return {k for k, f in zip(own, fused) if f >= settings.threshold * mean}
 
 
 def main_text(page: str | None, settings: Settings = Settings()) -> str:

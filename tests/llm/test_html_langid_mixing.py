@@ -35,6 +35,18 @@ def test_an_advert_in_an_inline_element_leaves_its_siblings():
         assert main_text(f"<article><p>First, text.</p>{inner}<p>Second, text.</p></article>") == "First, text. Second, text."
 
 
+def test_a_marked_article_is_kept_whole():
+    long = "word, " * 100 + "end."
+    cells = "".join(f"<tr><th>h{i}<td>{i}%" for i in range(20))
+    sources = "".join(f"<li><a href=x>Source {i}</a>" for i in range(9))
+    page = f"<nav><a>Menu</a></nav><article><h1>T</h1><p>{long}</p><p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.<p>{long}<p>{long}<table>{cells}</table><figure><figcaption>Cap</figcaption></figure><ol>{sources}</ol></article>"
+    got = main_text(page)
+    want = ["T", long, "Where x=1 holds.", long, long, *(w for i in range(20) for w in (f"h{i}", f"{i}%")), "Cap", *(f"Source {i}" for i in range(9))]
+    assert got == " ".join(want)
+    assert main_text("<article><a href=x>Source</a></article><nav><a>Menu</a></nav>") == "Source"
+    assert main_text(f"<article><a href=x>Other story</a></article><div><p>{long}</div>") == long
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, "c"), (2, None, "", "c"), (None, "u", "plain, text.", "c"), (4, "u", "<p>a<![if x]>b</p", "c"), (5, "u", "<!x <a", "c"), (6, "u", "<p>" * 3000 + "deep, text.", "c"), (7, "u", PAGE, None), (7, "u", PAGE, None), (8, "u", "<article>" + "word, " * 200_000, "c")]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
