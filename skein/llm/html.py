@@ -36,6 +36,17 @@ NAMED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|widget|footer|header|masthead|cookie|cookies|consent|notice|notices|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comment|comments|commentlist|reply|replies|respond|discussion|disqus|pagination|pager|search|skip|hidden|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
+#: Class, id or role tokens that name boilerplate as a whole; inside an article, whose own parts have compound names, only these count.
+BOILERPLATE = frozenset(
+    (
+        "ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer cookie cookies consent notice notices popup modal newsletter subscribe signup login "
+        "share sharing social related recommended comment comments commentlist reply replies respond discussion disqus pagination pager search skip hidden contentinfo complementary "
+        "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper banner-ad google-ad sponsored-content sponsored-links promo-box nav-links nav-menu post-navigation sidebar-widget site-header site-footer page-footer site-nav skip-link skip-links "
+        "cookie-banner cookie-bar cookie-consent cookie-notice newsletter-form newsletter-signup share-bar share-buttons share-links sharing-buttons social-buttons social-icons social-links social-media social-share "
+        "related-articles related-content related-links related-posts related-stories recommended-articles recommended-posts comment-form comment-list comment-respond comments-area comments-section disqus-thread search-box search-form"
+    ).split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 SPACES = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？«»“”]")
 
@@ -67,6 +78,7 @@ class _Frame:
     aside: bool
     silent: bool
     article: bool
+    heading: bool
 
 
 @dataclass
@@ -78,7 +90,7 @@ class Blocks(HTMLParser):
 
     def __post_init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack = [_Frame("", "", False, False, False)]
+        self.stack = [_Frame("", "", False, False, False, False)]
         self.part: list[str] = []
         self.part_linked = 0
         self.links = 0
@@ -105,17 +117,15 @@ class Blocks(HTMLParser):
         if tag not in INLINE:
             self._end_block()
         top = self.stack[-1]
-        named = ""
-        for a, v in attrs:
-            if v and a in ("class", "id", "role"):
-                named += f" {v}"
-            elif a in ("hidden", "aria-hidden") and v != "false":
-                named += " hidden"
+        names = [(a, v) for a, v in attrs if v and a in ("class", "id", "role")]
+        unseen = any(a in ("hidden", "aria-hidden") and v != "false" for a, v in attrs)
+        named = " ".join(v for _, v in names) + " hidden" * unseen
         inside = top.article or tag in ("article", "main")
         # an article's own header holds its title; a page's header doesn't
-        aside = top.aside or (tag in ASIDE and not (tag == "header" and inside)) or bool(named and tag not in ("html", "body", "article", "main") and NAMED.search(named))
+        aside = top.aside or (tag in ASIDE and not (tag == "header" and inside)) or (unseen and tag not in ("article", "main"))
+        aside = aside or bool(names) and _named_aside(tag, names, inside, top.heading)
         key = top.key if tag in INLINE else f"{top.key}/{tag}" + (f".{named.strip()}" if named else "")
-        self.stack.append(_Frame(tag, key, aside, top.silent or tag in SILENT, inside))
+        self.stack.append(_Frame(tag, key, aside, top.silent or tag in SILENT, inside, top.heading or tag in HEADINGS))
         self.links += tag == "a"
         if tag not in INLINE:
             self.owner = self.stack[-1]
@@ -198,6 +208,19 @@ class Blocks(HTMLParser):
         self._end_block()
 
 
+def _named_aside(tag: str, names: list[tuple[str, str]], inside: bool, in_heading: bool) -> bool:
+    """Whether an element's class, id and role (attribute, value) name it as not of the article. Inside one, headings and headers
+    never are, ids of sections, links and what stands in headings are targets of links, and only whole tokens count."""
+    if tag in ("html", "body", "article", "main"):
+        return False
+    if not inside:
+        return bool(NAMED.search(" ".join(v for _, v in names)))
+    if in_heading or tag in HEADINGS or tag == "header":
+        return False
+    target = tag in ("section", "a")
+    return any(t in BOILERPLATE for a, v in names if not (target and a == "id") for t in v.lower().replace("_", "-").split())
+
+
 def smoothed(values: np.ndarray, reach: int) -> np.ndarray:
     """Mean of each value and `reach` neighbours on each side."""
     if reach < 1 or len(values) < 2:

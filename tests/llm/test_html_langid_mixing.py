@@ -47,6 +47,13 @@ def test_a_marked_article_is_kept_whole():
     assert main_text(f"<article><a href=x>Other story</a></article><div><p>{long}</div>") == long
 
 
+def test_names_of_an_articles_parts():
+    page = """<div class="page-header">Site, name.</div><article><header class="entry-header"><h1 class="entry-header">Title</h1></header><div class="article-header">Sub, title.</div>
+    <section id="discussion"><h2 id="related-work">Related <span id="search">work</span></h2><p>Text, one.</p></section><section id="search-methods"><p class="hidden-markov">Text, two.</p></section>
+    <section class="related"><p>Other, story.</p></section><div class="share_buttons">Share, it.</div><div id="comments"><p>Nice, one.</p></div><div class="box related-posts">More, stories.</div><h2 hidden>Unseen</h2></article>"""
+    assert main_text(page) == "Title Sub, title. Related work Text, one. Text, two."
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, "c"), (2, None, "", "c"), (None, "u", "plain, text.", "c"), (4, "u", "<p>a<![if x]>b</p", "c"), (5, "u", "<!x <a", "c"), (6, "u", "<p>" * 3000 + "deep, text.", "c"), (7, "u", PAGE, None), (7, "u", PAGE, None), (8, "u", "<article>" + "word, " * 200_000, "c")]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
