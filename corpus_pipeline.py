@@ -37,8 +37,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay as often as their fitted rates say: more of the clean domain, less of the toxic and the low."""
-    return mixed(docs, labelled_domains(table(spark, sf_dir, "labels")))
+    """Documents stay as often as their fitted rates say: all of the clean domain, and more, less of the toxic and the low."""
+    return mixed(docs, labelled_domains(table(spark, sf_dir, "labels")), whole="clean")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

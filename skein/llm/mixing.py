@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,16 +25,12 @@ TARGETS = {"clean": 0.97, "low": 0.01, "toxic": 0.02}
 
 @dataclass(frozen=True)
 class MixSettings:
-    """`sample` bounds (in expectation) the labelled documents that the classifier learns from, and `features` its words.
-
-    `grid` is the number of steps that posteriors are rounded to, so that documents with equal ones are summed once.
-    """
+    """`sample` bounds (in expectation) the labelled documents that the classifier learns from, and `features` its words."""
 
     sample: int = 20_000
     features: int = 64
     min_documents: int = 5
     smoothing: float = 0.5
-    grid: int = 100
     steps: int = 30
     tolerance: float = 1e-4
 
@@ -84,21 +81,14 @@ class Classifier:
         return seen.withColumns({o: F.aggregate("__hits", F.lit(float(self.prior[i])), add(i)) for i, o in enumerate(out)}).drop("__features", "__hits")
 
 
-def posteriors(logits: list[Column], grid: int) -> Column:
-    """Array of a posterior for each logit, in steps of 1/grid that add up to 1; what rounding down leaves goes to the likeliest."""
+def posteriors(logits: list[Column]) -> Column:
+    """Array of a posterior for each logit."""
     top = F.greatest(*logits) if len(logits) > 1 else logits[0]
     odds = [F.exp(x - top) for x in logits]
     total = odds[0]
     for o in odds[1:]:
         total = total + o
-    steps = [F.floor(o / total * grid) for o in odds]
-    left = F.lit(grid).cast("long")
-    for s in steps:
-        left = left - s
-    best = F.lit(len(logits))
-    for i in reversed(range(len(logits))):
-        best = F.when(logits[i] == top, i).otherwise(best)
-    return F.array(*[(s + F.when(best == i, left).otherwise(0)) / F.lit(float(grid)) for i, s in enumerate(steps)])
+    return F.array(*[o / total for o in odds])
 
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], settings: MixSettings, key: str = "doc_id", text: str = "text") -> Classifier:
@@ -130,12 +120,14 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], settings: Mi
 
 
 def fit_rates(groups: DataFrame, targets: list[float], settings: MixSettings) -> list[float]:
-    """Multipliers m of the rates max(0, 1 - p.m) by projected gradient on the squared misses of the domain totals.
+    """Multipliers m of the rates max(floor, 1 - p.m) by projected gradient on the squared misses of the domain totals.
 
-    `groups` has p (array) and tokens. Gradients of the least squares lie in the span of the posteriors, so a step of
-    all documents' rates is a step of m; it is taken in the metric of the first Hessian and projected on rates >= 0.
+    `groups` has p (array), tokens and, where rates have a floor other than 0, floor. A fit that misses the targets by more than the
+    tolerance gives a warning with both. Gradients of the least squares lie in the span of the posteriors, so a step of
+    all documents' rates is a step of m; it is taken in the metric of the first Hessian and projected on rates >= floor.
     """
     d = len(targets)
+    floor = F.col("floor") if "floor" in groups.columns else F.lit(0.0)
     p = [F.element_at("p", i + 1) for i in range(d)]
     pairs = [F.coalesce(F.sum(F.col("tokens") * p[i] * p[j]), F.lit(0.0)) for i in range(d) for j in range(d)]
     hessian = np.array([float(x) for x in groups.agg(*[x.alias(f"h{k}") for k, x in enumerate(pairs)]).first()]).reshape(d, d)
@@ -146,7 +138,7 @@ def fit_rates(groups: DataFrame, targets: list[float], settings: MixSettings) ->
         dot = F.lit(0.0)
         for i in range(d):
             dot = dot + p[i] * F.lit(float(m[i]))
-        rate = F.greatest(F.lit(0.0), F.lit(1.0) - dot)
+        rate = F.greatest(floor, F.lit(1.0) - dot)
         sums = groups.agg(*[F.coalesce(F.sum(F.col("tokens") * p[i] * rate), F.lit(0.0)).alias(f"s{i}") for i in range(d)]).first()
         miss = np.array([float(x) for x in sums]) - goal
         size = float(np.abs(miss).sum())
@@ -159,16 +151,21 @@ def fit_rates(groups: DataFrame, targets: list[float], settings: MixSettings) ->
         if best <= settings.tolerance * max(goal.sum(), 1.0):
             break
         m = kept + step * metric @ last
+    if best is not None and best > settings.tolerance * max(goal.sum(), 1.0):
+        warnings.warn(f"mixing misses its targets by {(last / max(goal.sum(), 1.0)).round(6).tolist()} of {goal.sum():.0f} tokens", stacklevel=2)
     return kept.tolist()
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, settings: MixSettings | None = None, key: str = "doc_id", text: str = "text", budget: float | None = None, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, settings: MixSettings | None = None, key: str = "doc_id", text: str = "text", budget: float | None = None, keep: list[str] | None = None, whole: str | None = None) -> DataFrame:
     """`docs` (its columns `keep`, if given) with columns tokens, posteriors (one for each domain in order of `targets`), rate and copies.
 
     `labelled` is (doc_id, domain). Tokens are words between spaces and line ends; `budget` tokens are wanted in all, as many as there
     are if None, and each domain's share is its weight. copies = floor(rate + u), with u in [0, 1) from a hash of the id, so that
     expected copies equal the rate. Null text has no tokens and the prior as posterior; repeated rows count each; null ids are one id;
     an empty table, or no label of these domains, gives the prior everywhere. Names that clash get an underscore.
+
+    With a domain `whole`, documents that are likeliest of it have a rate of 1 or more; the other domains' shares are then at most
+    what there is of them, so that none is multiplied to fill its share, and `whole` has the rest of the budget.
     """
     targets, settings = targets or TARGETS, settings or MixSettings()
     domains = list(targets)
@@ -182,15 +179,25 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     body = q(text)
     tokens = F.regexp_count(F.coalesce(body, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     logits = [f"__logit{i}" for i in range(len(domains))]
-    scored = model.with_logits(docs.withColumn(tokens_, tokens), text, logits).withColumn(post_, posteriors([F.col(x) for x in logits], settings.grid))
+    scored = model.with_logits(docs.withColumn(tokens_, tokens), text, logits).withColumn(post_, posteriors([F.col(x) for x in logits]))
     scored = stored(scored.select(*[q(c) for c in keep or docs.columns], q(tokens_), q(post_)), "posteriors")
-    groups = stored(scored.groupBy(q(post_).alias("p")).agg(F.sum(tokens_).cast("double").alias("tokens")), "posterior_groups")
-    total = groups.agg(F.coalesce(F.sum("tokens"), F.lit(0.0))).first()[0]
-    m = fit_rates(groups, (weights * (total if budget is None else budget)).tolist(), settings)
+    p = [F.element_at(q(post_), i + 1) for i in range(len(domains))]
+    floor = F.lit(0.0)
+    if whole is not None:
+        floor = F.when(p[domains.index(whole)] >= F.array_max(q(post_)), 1.0).otherwise(0.0)
+    groups = scored.select(q(post_).alias("p"), q(tokens_).cast("double").alias("tokens"), floor.alias("floor"))
+    sums = groups.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in (F.col("tokens"), *[F.col("tokens") * F.element_at("p", i + 1) for i in range(len(domains))])]).first()
+    goal = weights * (sums[0] if budget is None else budget)
+    if whole is not None:
+        most = np.minimum(goal, np.array(sums[1:], float))
+        k = domains.index(whole)
+        most[k] = goal.sum() - np.delete(most, k).sum()
+        goal = most
+    m = fit_rates(groups, goal.tolist(), settings)
     dot = F.lit(0.0)
-    for i, x in enumerate(m):
-        dot = dot + F.element_at(q(post_), i + 1) * F.lit(float(x))
-    rate = F.round(F.greatest(F.lit(0.0), F.lit(1.0) - dot), 9)
+    for x, y in zip(p, m):
+        dot = dot + x * F.lit(float(y))
+    rate = F.round(F.greatest(floor, F.lit(1.0) - dot), 9)
     u = F.pmod(F.xxhash64(F.lit("copies"), q(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return scored.withColumn(rate_, rate).withColumn(copies_, F.floor(q(rate_) + u).cast("int"))
 

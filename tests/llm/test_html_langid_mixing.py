@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skein.llm.html import extract_pages, main_text, smoothed
@@ -124,6 +125,19 @@ def test_rates_meet_targets(spark):
     assert np.allclose(rate, projected_least_squares(p, tokens, goal), atol=0.02)
 
 
+def test_a_fit_that_misses_is_reported(spark):
+    groups = spark.createDataFrame([([0.5, 0.5], 100.0)], "p array<double>, tokens double")
+    with pytest.warns(UserWarning, match="misses its targets"):
+        fit_rates(groups, [90.0, 10.0], MixSettings())
+
+
+def test_thin_posteriors_count(spark):
+    rows = [(i, "fine " * 20 + ("junk" if i == 0 else "")) for i in range(400)]
+    known = spark.createDataFrame([(i, "low" if i in (0, 1) else "clean") for i in range(400)], "doc_id long, domain string")
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string"), known, {"clean": 0.999, "low": 0.001}).collect()
+    assert all(0 < r.posteriors[1] < 0.01 for r in got[1:])  # a grid of 0.01 made it 0
+
+
 def test_mixing_by_labels(spark):
     rnd = random.Random(8)
     rows, labels = [], []

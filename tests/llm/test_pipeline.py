@@ -41,3 +41,11 @@ def test_rows_without_ids_and_repeated_rows(spark):
     got = corpus_pipeline.minhash_dedup(spark, docs, SMALL)
     assert got.columns == docs.columns
     assert got.filter(F.col("text") == text).count() == 1 and got.filter(F.col("text") == text[::-1]).count() == 1
+
+
+def test_clean_documents_stay_where_few_others_are(spark, tmp_path):
+    rows = [(i, f"word{i % 9} " * 30 + ("junk | junk" if i % 200 == 0 else "fine")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(i, int(i % 200 != 0), 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.mixing(spark, docs, str(tmp_path)).collect()}
+    assert kept >= {i for i, _ in rows if i % 200}
