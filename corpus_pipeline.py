@@ -23,11 +23,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id stays, of repeated rows one; a row without an id has its hash as id."""
-    key, body = fresh_name(docs.columns, "key"), fresh_name(docs.columns, "body")
-    own = docs.withColumns({key: F.coalesce(F.col("doc_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])), body: F.xxhash64("text")})
-    stay = near_duplicates(own, doc_id=key).filter("kept").select(F.col("doc_id").alias(key)).distinct()
-    return own.join(stay, key, "left_semi").dropDuplicates([key, body]).select(*docs.columns)
+    """Of each group of near-duplicates the document of the least id stays, of repeated rows one; a row without an id has its hash as id.
+
+    Different texts under one id are documents of their own.
+    """
+    id_ = fresh_name(docs.columns, "id")
+    key = fresh_name([*docs.columns, id_], "key")
+    own = docs.withColumn(id_, F.coalesce(F.col("doc_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))).withColumn(key, F.xxhash64(id_, "text"))
+    parts = near_duplicates(own, doc_id=key).select(F.col("doc_id").alias(key), "component_id").distinct()
+    first = parts.join(own.select(key, id_), key).groupBy("component_id").agg(F.min(F.struct(id_, key)).alias("least"))
+    stay = first.select(F.col(f"least.{key}").alias(key))
+    return own.join(stay, key, "left_semi").dropDuplicates([key, id_]).select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,11 @@ def test_clean_documents_stay_where_few_others_are(spark, tmp_path):
     spark.createDataFrame([(i, int(i % 200 != 0), 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     kept = {r.doc_id for r in corpus_pipeline.mixing(spark, docs, str(tmp_path)).collect()}
     assert kept >= {i for i, _ in rows if i % 200}
+
+
+def test_different_texts_under_one_id_are_documents_of_their_own(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(200)) for x in "ab")
+    rows = [(5, a), (5, a + " more"), (5, b), (1, b + " more"), (5, "quite another"), (7, None), (7, "")]
+    got = [tuple(r) for r in corpus_pipeline.minhash_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()]
+    assert sum(r in got for r in rows[:2]) == 1
+    assert len(got) == 5 and set(got) - set(rows[:2]) == set(rows[3:])
