@@ -12,6 +12,7 @@ between members of a bucket is lost, and a bucket of thousands of copies costs a
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import byte_views, mixed, stored, windows, word_hashes, words
+from skein.llm.common import Hasher, byte_views, mixed, stored, words
 from skein.llm.components import components
 
 
@@ -29,7 +30,7 @@ from skein.llm.components import components
 class Settings:
     """`base`, `rate` and `levels` are SetSketch's b, a and q; `margin` is how far below the threshold an estimate may
     lie: five standard deviations of it. `sample` is about how many shingles of a long text the last comparison looks at before
-    texts are verified, `block` how many members of a bucket a task compares at a time. At the threshold, a pair shares no band once in 50,000 times, above it less often."""
+    texts are verified, `block` how many members of a bucket a task compares at a time, `salts` into how many parts a hot key is dealt. At the threshold, a pair shares no band once in 50,000 times, above it less often."""
 
     shingle: int = 5
     percent: int = 75
@@ -42,6 +43,7 @@ class Settings:
     sample: int = 1024
     block: int = 2048
     seed: int = 11
+    salts: int = 256
 
     @property
     def registers(self) -> int:
@@ -52,27 +54,44 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
-    """Sorted hashes of the shingles of each document; a document of fewer than n words has its whole sequence as one."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int, hasher: Hasher, second: Hasher | None = None) -> list:
+    """Sorted distinct hashes of the shingles of each document; a document of fewer than n words has its whole sequence as one.
+
+    With a `second` hasher, pairs of the set and its elements' second hashes.
+    """
     data = _LOWER[data]
     starts, ends, doc = words(data, offsets)
-    h = word_hashes(data, starts, ends)
-    at, w = windows(h, doc, n)
-    edges = np.searchsorted(doc[at], np.arange(len(offsets)))
     first = np.searchsorted(doc, np.arange(len(offsets)))
-    out = []
+
+    def windows_of(hasher: Hasher):
+        h = hasher.slices(data, starts, ends)
+        at, w = hasher.windows(h, doc, n)
+        edges = np.searchsorted(doc[at], np.arange(len(offsets)))
+
+        def of(i: int) -> np.ndarray:
+            many = first[i + 1] - first[i]
+            if many >= n or not many:
+                return w[edges[i] : edges[i + 1]]
+            return mixed(hasher.windows(h[first[i] : first[i + 1]], np.zeros(many, np.int64), many)[1] + np.uint64(many))
+
+        return of
+
+    of = windows_of(hasher)
+    if second is None:
+        return [np.unique(of(i)) for i in range(len(offsets) - 1)]
+    check, out = windows_of(second), []
     for i in range(len(offsets) - 1):
-        many = first[i + 1] - first[i]
-        if many >= n:
-            out.append(np.unique(w[edges[i] : edges[i + 1]]))
-        elif many:
-            own = h[first[i] : first[i + 1]]
-            out.append(mixed(windows(own, np.zeros(many, np.int64), many)[1] + np.uint64(many)))
-        else:
-            out.append(np.zeros(0, np.uint64))
+        own, k = np.unique(of(i), return_index=True)
+        out.append((own, check(i)[k]))
     return out
 
 
+def common_shingles(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
+    """Size of the intersection of two sets, whose elements are equal if both their hashes are (122 bits)."""
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    return int(np.count_nonzero(x[1][i] == y[1][j]))
+
+
 class Sketcher:
     def __init__(self, s: Settings):
         self.s = s
@@ -114,22 +133,36 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base:
     return (lo + hi) / 2
 
 
-def sketched(docs: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text_key, n_shingles, class, sketch) of each row of `docs`; class and sketch are null for empty sets."""
+def sketched(docs: DataFrame, s: Settings, doc_id: str, text: str, seed: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, high, low, sketch) of each row of `docs`; high and low are a 128-bit digest of the set, null
+    with the sketch for empty sets. Shingles count as one if they agree in 61 bits at a base that is secret until the run."""
     named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("text_key"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(s)
+        sketcher, hasher = Sketcher(s), Hasher(seed)
         for batch in batches:
-            sizes, classes, sketches = [], [], []
+            sizes, high, low, sketches = [], [], [], []
             for _, _, data, offsets in byte_views(batch.column(2)):
-                for own in shingle_sets(data, offsets, s.shingle):
+                for own in shingle_sets(data, offsets, s.shingle, hasher):
+                    digest = xxhash.xxh3_128_intdigest(own.tobytes())
                     sizes.append(len(own))
-                    classes.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if len(own) else None)
+                    high.append((digest >> 64) - (1 << 63) if len(own) else None)
+                    low.append((digest & ((1 << 64) - 1)) - (1 << 63) if len(own) else None)
                     sketches.append(sketcher.registers(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "text_key", "n_shingles", "class", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "text_key", "n_shingles", "high", "low", "sketch"])
 
-    return named.mapInArrow(run, "doc_id long, text_key long, n_shingles long, class long, sketch binary")
+    return named.mapInArrow(run, "doc_id long, text_key long, n_shingles long, high long, low long, sketch binary")
+
+
+def _attached(rows: DataFrame, key: str | list[str], other: str, table: DataFrame, s: Settings) -> DataFrame:
+    """`rows` joined with `table` (one row for each key) by `key`, a hot key dealt by the hash of `other` into `salts` parts.
+
+    A row of `table` is sent once for each part that has rows, `salts` times at most, so no task gets all rows of a key.
+    """
+    dealt = rows.withColumn("salt", F.pmod(F.hash(other), F.lit(s.salts)))
+    keys = [key] if isinstance(key, str) else key
+    sent = dealt.select(*keys, "salt").distinct().join(table, keys)
+    return dealt.join(sent, [*keys, "salt"]).drop("salt")
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
@@ -146,43 +179,48 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["a", "b"])
 
     of = lambda side: sketches.select(F.col("class").alias(side), F.col("sketch").alias(f"s{side}"), F.col("n_shingles").alias(f"n{side}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(run, "a long, b long")
+    both = _attached(_attached(pairs, "a", "b", of("a"), s), "b", "a", of("b"), s)
+    return both.select("a", "b", "sa", "na", "sb", "nb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, s: Settings, seed: int) -> DataFrame:
     """The pairs (u, v) of classes whose full sets are similar enough."""
 
-    def sets(classes: pa.Array, column: pa.Array) -> list[np.ndarray]:
-        """Sets of a column of texts; runs of one class, as leaders come in, are read once."""
-        ids = np.array(classes)
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        once = [x for _, _, data, offsets in byte_views(column.take(pa.array(first))) for x in shingle_sets(data, offsets, s.shingle)]
-        return [once[r] for r in np.searchsorted(first, np.arange(len(ids)), side="right") - 1]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, second = Hasher(seed), Hasher(seed + 1)
+
+        def sets(classes: pa.Array, column: pa.Array) -> list:
+            """Sets of a column of texts; runs of one class, as leaders come in, are read once."""
+            ids = np.array(classes)
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            once = [x for _, _, data, offsets in byte_views(column.take(pa.array(first))) for x in shingle_sets(data, offsets, s.shingle, hasher, second)]
+            return [once[r] for r in np.searchsorted(first, np.arange(len(ids)), side="right") - 1]
+
         for batch in batches:
             keep = []
             for k in range(0, len(batch), 500):
                 part = batch.slice(k, 500)
                 for i, (x, y) in enumerate(zip(sets(part.column(0), part.column(1)), sets(part.column(2), part.column(3)))):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= s.percent * (len(x) + len(y) - both):
+                    both = common_shingles(x, y)
+                    if 100 * both >= s.percent * (len(x[0]) + len(y[0]) - both):
                         keep.append(k + i)
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take)], names=["u", "v"])
 
     of = lambda side: texts.select(F.col("class").alias(side), F.col("text").alias(f"t{side}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "ta", "b", "tb").mapInArrow(run, "u long, v long")
+    both = _attached(_attached(pairs, "b", "a", of("b"), s), "a", "b", of("a"), s)
+    return both.select("a", "ta", "b", "tb").mapInArrow(run, "u long, v long")
 
 
-def _samples(texts: DataFrame, s: Settings) -> DataFrame:
+def _samples(texts: DataFrame, s: Settings, seed: int) -> DataFrame:
     """(class, level, sample): the shingles of a class's text as 32-bit hashes, of long texts those below 2**(32 - level)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(seed)
         for batch in batches:
             levels, samples = [], []
             for _, _, data, offsets in byte_views(batch.column(1)):
-                for own in shingle_sets(data, offsets, s.shingle):
+                for own in shingle_sets(data, offsets, s.shingle, hasher):
                     level = max(0, (len(own) - 1) // s.sample).bit_length()
                     half = np.unique((own >> np.uint64(32)).astype("<u4"))
                     levels.append(level)
@@ -205,7 +243,7 @@ def _similar_by_sample(x: np.ndarray, y: np.ndarray, level: int, s: Settings) ->
 def _cells(members: DataFrame, s: Settings) -> DataFrame:
     """Members dealt into cells (bucket, cell): a bucket of one block is a cell, of more blocks each two blocks are."""
     blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
-    own = members.join(blocks, "bucket").withColumn("block", F.pmod(F.hash("class"), F.col("blocks")))
+    own = _attached(members, "bucket", "class", blocks, s).withColumn("block", F.pmod(F.hash("class"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return own.withColumn("other", other).withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).drop("other", "blocks")
 
@@ -286,18 +324,21 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, doc_id: s
     component's id unless it has no other: then component_id is null and kept false. Rows that repeat an id are documents
     each. An empty table gives no rows.
     """
-    s = settings or Settings()
-    rows = stored(sketched(docs, s, doc_id, text), "sketches")
-    real = rows.filter(F.col("class").isNotNull())
-    # one row, and one text, for each class
+    s, seed = settings or Settings(), secrets.randbits(120)
+    rows = stored(sketched(docs, s, doc_id, text, seed), "sketches")
+    real = rows.filter(F.col("high").isNotNull())
+    # one row, and one text, for each class; a class is numbered when it is written, so no two share a number
     classes = stored(
-        real.groupBy("class").agg(F.min(F.struct("text_key", "doc_id")).alias("first"), F.min("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least")), "classes"
+        real.groupBy("high", "low")
+        .agg(F.min(F.struct("text_key", "doc_id")).alias("first"), F.min("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"))
+        .withColumn("class", F.monotonically_increasing_id()),
+        "classes",
     )
     width = 2 * s.rows
     bands = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sketch, {i * width + 1}, {width})")) for i in range(s.bands)])
     members = classes.select(F.posexplode(bands).alias("band", "bucket"), "class", F.col("n_shingles").alias("n"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("leader"), F.min_by("n", "class").alias("leader_n")).filter("size > 1")
-    members = stored(members.join(shared, "bucket").select("bucket", "band", "class", "n", "leader", "leader_n"), "buckets")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("leader"), F.min_by("n", "class").alias("leader_n")).filter("size > 1").drop("size")
+    members = stored(_attached(members, "bucket", "class", shared, s).select("bucket", "band", "class", "n", "leader", "leader_n"), "buckets")
     alike = lambda x, y: 100 * F.least(x, y) >= s.percent * F.greatest(x, y)  # noqa: E731  no pair beyond it can be linked
     active = members.select("class").distinct()
     wanted = classes.join(active, "class", "left_semi").select("class", F.col("first.text_key").alias("k"), F.col("first.doc_id").alias("d"))
@@ -306,7 +347,7 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, doc_id: s
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.distinct(), "pairs")
-        return stored(_verified(stored(_estimated(pairs, classes, s), "candidates"), texts, s), "links")
+        return stored(_verified(stored(_estimated(pairs, classes, s), "candidates"), texts, s, seed), "links")
 
     first = members.filter((F.col("class") != F.col("leader")) & alike(F.col("n"), F.col("leader_n"))).select(F.col("leader").alias("a"), F.col("class").alias("b"))
     found = links(first)
@@ -318,26 +359,27 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, doc_id: s
     def labelled() -> DataFrame:
         """Members of the buckets that more than one component shares."""
         own = members.join(labels.withColumnRenamed("node", "class"), "class", "left").select("bucket", "band", "class", "n", F.coalesce("label", "class").alias("label"))
-        return stored(own.join(mixed_buckets(own), "bucket"), "mixed")
+        return stored(_attached(own, "bucket", "class", mixed_buckets(own), s), "mixed")
 
     # another leader, at random, for what the first did not link
     left = labelled()
     other = left.groupBy("bucket").agg(F.min_by(F.struct("class", "n", "label"), F.xxhash64("bucket", "class")).alias("o"))
-    second = left.join(other, "bucket").filter((F.col("label") != F.col("o.label")) & alike(F.col("n"), F.col("o.n")))
+    second = _attached(left, "bucket", "class", other, s).filter((F.col("label") != F.col("o.label")) & alike(F.col("n"), F.col("o.n")))
     found = found.union(links(second.select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b"))))
     labels = stored(components(found), "labels")
     # every two members of a bucket that are still apart
     left = labelled()
-    samples = _samples(texts.join(left.select("class").distinct(), "class", "left_semi"), s)
+    samples = _samples(texts.join(left.select("class").distinct(), "class", "left_semi"), s, seed)
     signs = stored(samples.join(classes.select("class", "sketch"), "class"), "samples")
-    found = found.union(stored(_verified(stored(_apart(left.join(signs, "class"), s), "candidates"), texts, s), "links"))
+    found = found.union(stored(_verified(stored(_apart(left.join(signs, "class"), s), "candidates"), texts, s, seed), "links"))
     labels = components(found)
 
     least = classes.select("class", "least").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     ids = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    named_classes = least.join(ids, "label").select("class", "component_id")
-    out = rows.select("doc_id", "n_shingles", "class").join(named_classes, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    named_classes = _attached(least, "label", "class", ids, s).select("class", "component_id").join(classes.select("class", "high", "low"), "class").drop("class")
+    out = _attached(rows.filter(F.col("high").isNotNull()).select("doc_id", "n_shingles", "high", "low", "text_key"), ["high", "low"], "doc_id", named_classes, s)
+    out = out.select("doc_id", "n_shingles", "component_id").unionByName(rows.filter(F.col("high").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    component = F.col("component_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -1,13 +1,15 @@
 """Quality rules: repetition coverage.
 
 Rolling hashes of several n-gram lengths in numpy measure how many characters of a text lie
-inside n-grams of words, or lines, that the text holds twice or more.
+inside n-grams of words, or lines, that the text holds twice or more. Hashes find the repeats; their
+words and bytes are then compared, so what is counted is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import byte_views, fresh_name, mixed, windows, word_hashes, words
+from skein.llm.common import Hasher, byte_views, fresh_name, mixed, same_slices, words
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -36,22 +38,39 @@ class QualityRules:
     max_symbols_per_word: float = 0.3
 
 
-FIELDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("dup_ngram_share", pa.float64()), ("dup_line_share", pa.float64()), ("base_failed", pa.bool_()), ("kept", pa.bool_())]
+FIELDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("dup_ngram_share", pa.float64()), ("dup_line_share", pa.float64())]
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
 
-def _repeated(keys: np.ndarray) -> np.ndarray:
-    """Mask of the keys that occur twice or more."""
+class Collision(Exception):
+    """Two different texts have one hash."""
+
+
+def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the keys that occur twice or more, the first place of the same key)."""
+    none = np.zeros(0, np.int64)
     if len(keys) < 2:
-        return np.zeros(len(keys), bool)
+        return none, none
     ordered = np.sort(keys)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     if not len(twice):
-        return np.zeros(len(keys), bool)
+        return none, none
     twice = np.unique(twice)
     at = np.searchsorted(twice, keys)
-    return twice[np.minimum(at, len(twice) - 1)] == keys
+    found = np.flatnonzero(twice[np.minimum(at, len(twice) - 1)] == keys)
+    first = np.full(len(twice), -1)
+    first[at[found][::-1]] = found[::-1]  # the earliest is written last
+    return found, first[at[found]]
+
+
+def _word_ids(h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each different word, by its bytes."""
+    _, first, ids = np.unique(h, return_index=True, return_inverse=True)
+    rep, sizes = first[ids], ends - starts
+    if not ((sizes == sizes[rep]).all() and same_slices(data, starts, data, starts[rep], sizes).all()):
+        raise Collision
+    return ids
 
 
 def _in_document(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -61,14 +80,26 @@ def _in_document(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def _covered(at: np.ndarray, n: int, size: int) -> np.ndarray:
     """Mask of the words inside windows of n words that begin at `at`."""
-    step = np.zeros(size + 1, np.int64)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + n, -1)
+    step = np.bincount(at, minlength=size + 1) - np.bincount(at + n, minlength=size + 1)
     return np.cumsum(step[:-1]) > 0
 
 
-def measure(data: np.ndarray, offsets: np.ndarray, rules: QualityRules) -> dict[str, np.ndarray]:
-    """The measures of the documents that lie end to end in `data`."""
+def measure(data: np.ndarray, offsets: np.ndarray, rules: QualityRules, hasher: Hasher | None = None) -> dict[str, np.ndarray]:
+    """The measures of the documents that lie end to end in `data`. What hashes call a repeat is compared word by word; should two
+    different texts have one hash, all is measured again at another base."""
+    while True:
+        try:
+            return _measured(data, offsets, rules, hasher or _hasher())
+        except Collision:
+            hasher = Hasher()
+
+
+@lru_cache(1)
+def _hasher() -> Hasher:
+    return Hasher()
+
+
+def _measured(data: np.ndarray, offsets: np.ndarray, rules: QualityRules, hasher: Hasher) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     starts, ends, doc = words(data, offsets)
     per_doc = lambda mask, weight=None: np.bincount(doc[mask], None if weight is None else weight[mask], n).astype(np.int64)
@@ -77,16 +108,20 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: QualityRules) -> dict[
     everything = np.ones(len(starts), bool)
     symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
     out = {"n_words": per_doc(everything), "word_chars": per_doc(everything, chars), "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]]}
-    h = word_hashes(data, starts, ends)
+    h = hasher.slices(data, starts, ends)
+    sums, ids = hasher.sums(h), None
     share = np.zeros(n)
     broken = np.zeros(n, bool)
     total = np.maximum(out["word_chars"], 1)
     out["n_repeat_words"] = np.zeros(n, np.int64)
     for k in sorted({rules.window, *rules.ngram_chars}):
-        at, w = windows(h, doc, k)
-        again = _repeated(_in_document(w, doc[at]))
-        if not again.any():
+        at, w = hasher.of_sums(sums, doc, k)
+        again, first = _repeated(_in_document(w, doc[at]))
+        if not len(again):
             continue
+        ids = _word_ids(h, data, starts, ends) if ids is None else ids
+        if not (doc[at[again]] == doc[at[first]]).all() or any((ids[at[again] + j] != ids[at[first] + j]).any() for j in range(k)):
+            raise Collision
         inside = _covered(at[again], k, len(starts))
         if k == rules.window:
             out["n_repeat_words"] = per_doc(inside)
@@ -103,19 +138,20 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: QualityRules) -> dict[
     tails = np.maximum(tails, heads)
     owner = np.searchsorted(offsets, heads, side="right") - 1
     # words of each line
-    first, last = np.searchsorted(starts, heads), np.searchsorted(starts, tails)
-    real = last > first
-    heads, tails, owner, first, last = heads[real], tails[real], owner[real], first[real], last[real]
+    first_word, last = np.searchsorted(starts, heads), np.searchsorted(starts, tails)
+    real = last > first_word
+    heads, tails, owner, first_word, last = heads[real], tails[real], owner[real], first_word[real], last[real]
     out["n_dup_lines"] = np.zeros(n, np.int64)
     line_share = np.zeros(n)
     if len(heads):
-        keys = _in_document(word_hashes(data, heads, tails), owner)
-        again = np.flatnonzero(_repeated(keys))
+        again, once = _repeated(_in_document(hasher.slices(data, heads, tails), owner))
         if len(again):
-            sums = np.concatenate([[0], np.cumsum(chars)])
-            _, once = np.unique(keys[again], return_index=True)
-            line_chars = np.bincount(owner[again], sums[last[again]] - sums[first[again]], n)
-            out["n_dup_lines"] = (np.bincount(owner[again], None, n) - np.bincount(owner[again[once]], None, n)).astype(np.int64)
+            sizes = tails - heads
+            if not ((owner[again] == owner[once]) & (sizes[again] == sizes[once])).all() or not same_slices(data, heads[again], data, heads[once], sizes[again]).all():
+                raise Collision
+            so_far = np.concatenate([[0], np.cumsum(chars)])
+            line_chars = np.bincount(owner[again], so_far[last[again]] - so_far[first_word[again]], n)
+            out["n_dup_lines"] = np.bincount(owner[again[again != once]], None, n).astype(np.int64)
             line_share = line_chars / total
     out["dup_ngram_share"], out["dup_line_share"] = share, line_share
     out["base_failed"] = (out["n_words"] < rules.min_words) | (100 * out["n_repeat_words"] > rules.max_repeat_words_percent * out["n_words"])

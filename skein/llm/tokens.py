@@ -2,7 +2,7 @@
 
 A byte-level BPE merges only inside a pre-token, so the ids of a text are the ids of its
 pre-tokens one after another. numpy finds the pre-tokens of many texts at once, a hash table
-holds the ids of those seen, and the library's BPE model encodes the others. Texts that hold an added
+holds the bytes and ids of those seen, and the library's BPE model encodes the others. A hit counts only if the bytes are equal. Texts that hold an added
 token or characters whose class may differ between Unicode versions go to the library whole.
 """
 
@@ -15,13 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 
-from skein.llm.common import Rolling, mixed, slices
+from skein.llm.common import Hasher, mixed, same_slices, slices
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-#: Code points held at a time, and pre-tokens kept before the table starts anew.
-CHUNK_CHARS, TABLE_WORDS = 1 << 19, 3_000_000
+#: Code points held at a time, and pre-tokens and their bytes kept before the table starts anew.
+CHUNK_CHARS, TABLE_WORDS, TABLE_BYTES = 1 << 19, 3_000_000, 64 << 20
 SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
-_HASH = Rolling(0x9FB21C651E98DF25)
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -73,7 +72,7 @@ def pretokens(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts, as one flat array with offsets."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, hasher: Hasher | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -82,6 +81,7 @@ class Encoder:
         # the model reads bytes as printable signs: those that print as they are, the others in order from 256
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.signs = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+        self.hasher = hasher or Hasher()
         self.clear()
 
     def clear(self) -> None:
@@ -89,6 +89,8 @@ class Encoder:
         self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.n, self.filled = 0, 0
         self.begin, self.length, self.ids = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32), np.zeros(1 << 17, np.uint16)
+        # the bytes of the pre-tokens, one after another
+        self.spelt, self.spelt_at, self.spelt_size, self.spelt_end = np.zeros(1 << 18, np.uint8), np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash in the table, or -1."""
@@ -111,21 +113,36 @@ class Encoder:
             self.at[slot[won]] = values[won]
             h, values, slot = h[~won], values[~won], (slot[~won] + 1) & mask
 
-    def _add(self, h: np.ndarray, texts: list[str]) -> None:
+    def _add(self, h: np.ndarray | None, texts: list[str]) -> None:
+        """Adds pre-tokens and their ids; without hashes they are found by their index alone."""
         tokenize, signs = self.tokenizer.model.tokenize, self.signs
         found = [[t.id for t in tokenize(x.encode().decode("latin-1").translate(signs))] for x in texts]
         lengths = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
         if self.ids.dtype == np.uint16 and len(flat) and flat.max() > 0xFFFF:
             self.ids = self.ids.astype(np.uint32)
-        n, total = self.n + len(h), self.filled + len(flat)
+        n, total = self.n + len(texts), self.filled + len(flat)
         while len(self.begin) < n:
-            self.begin, self.length = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.length, 2 * len(self.length))
+            size = 2 * len(self.begin)
+            for name in ("begin", "length", "spelt_at", "spelt_size"):
+                setattr(self, name, np.resize(getattr(self, name), size))
         while len(self.ids) < total:
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.filled : total] = flat
         self.begin[self.n : n] = self.filled + np.cumsum(lengths) - lengths
         self.length[self.n : n] = lengths
+        raw = [x.encode() for x in texts]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        end = self.spelt_end + int(sizes.sum())
+        while len(self.spelt) < end:
+            self.spelt = np.resize(self.spelt, 2 * len(self.spelt))
+        self.spelt[self.spelt_end : end] = np.frombuffer(b"".join(raw), np.uint8)
+        self.spelt_at[self.n : n] = self.spelt_end + np.cumsum(sizes) - sizes
+        self.spelt_size[self.n : n] = sizes
+        self.spelt_end = end
+        if h is None:
+            self.n, self.filled = n, total
+            return
         if 2 * n > len(self.keys):
             old, used = self.keys, self.keys != 0
             values = self.at[used]
@@ -167,9 +184,11 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         starts = pretokens(codes, offsets)
         ends = np.append(starts[1:], len(codes))
-        with np.errstate(over="ignore"):
-            h = mixed(_HASH.of(codes, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
-        if self.n > TABLE_WORDS:
+        data = np.frombuffer(joined.encode(), np.uint8)
+        begin = starts if len(data) == len(codes) else np.flatnonzero((data & 0xC0) != 0x80)[starts]
+        finish = np.append(begin[1:], len(data))
+        h = mixed(self.hasher.slices(data, begin, finish)) | np.uint64(1)
+        if self.n > TABLE_WORDS or self.spelt_end > TABLE_BYTES:
             self.clear()
         at = self._find(h)
         miss = np.flatnonzero(at < 0)
@@ -178,6 +197,16 @@ class Encoder:
             first = miss[first]
             self._add(new, [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
             at[miss] = self._find(h[miss])
+        sizes = finish - begin
+        equal = sizes == self.spelt_size[at]
+        own = np.flatnonzero(equal)
+        equal[own] = same_slices(data, begin[own], self.spelt[: self.spelt_end], self.spelt_at[at[own]], sizes[own])
+        other = np.flatnonzero(~equal)
+        if len(other):  # two pre-tokens of one hash: the later ones have entries of their own
+            texts_of = [joined[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist())]
+            where = {x: self.n + k for k, x in enumerate(dict.fromkeys(texts_of))}
+            self._add(None, list(where))
+            at[other] = [where[x] for x in texts_of]
         lengths = self.length[at].astype(np.int64)
         total = np.zeros(len(at) + 1, np.int64)
         np.cumsum(lengths, out=total[1:])

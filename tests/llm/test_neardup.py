@@ -109,3 +109,19 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(500, 500 + i) for i in range(1, 40)] + [(9, 9), (701, 700)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{500 + i: 500 for i in range(40)}, 700: 700, 701: 700}
+
+
+def test_a_hot_bucket_in_small_blocks(spark):
+    """Many texts that share most shingles, so that buckets are far larger than a block, and links that no leader finds."""
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rnd.choice((2, 9, 10, 11))):
+            own[rnd.randrange(len(own))] = f"v{rnd.randint(0, 40)}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for settings in (Settings(block=16, salts=4), Settings(block=7, bands=120, rows=2, salts=2)):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs, settings).collect()} == want
