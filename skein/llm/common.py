@@ -51,6 +51,14 @@ def fresh_name(taken: list[str], name: str) -> str:
     return name
 
 
+def fresh_names(taken: list[str], *names: str) -> list[str]:
+    """fresh_name() of each, different from each other too."""
+    out: list[str] = []
+    for name in names:
+        out.append(fresh_name([*taken, *out], name))
+    return out
+
+
 def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Runs of rows whose sizes add up to `limit` at most, or one row alone."""
     ends = np.cumsum(sizes)

@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 from skein.llm.common import fresh_name, mixed, slices
 
 UNKNOWN = "und"
-#: Letters above PLAIN share HASHED classes; class 0 is everything that isn't a letter.
-PLAIN, HASHED = 0x400, 0x400
-BITS, CHUNK_CHARS = 11, 1 << 18
+BITS, CHUNK_CHARS = 21, 1 << 18
+#: N-grams whose vectors are held at a time, characters and texts bundled at a time.
+GRAMS, SLICE_CHARS, SLICE_TEXTS = 8192, 1 << 16, 256
 
 
 @dataclass(frozen=True)
@@ -35,27 +35,37 @@ class Profile:
 
 
 @lru_cache(1)
-def letter_classes() -> np.ndarray:
-    """Class of each code point: 0 if it isn't a letter."""
-    out = np.zeros(0x110000, np.uint16)
-    letters = np.array([c for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L"])
-    out[letters] = np.where(letters < PLAIN, letters, PLAIN + mixed(letters.astype(np.uint64)) % HASHED)
+def letters() -> np.ndarray:
+    """Each code point that is a letter as itself, others as 0."""
+    out = np.zeros(0x110000, np.int64)
+    own = np.array([c for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L"])
+    out[own] = own
     return out
 
 
+def letter_vectors(codes: np.ndarray, profile: Profile) -> np.ndarray:
+    """(len(codes), dims) vectors of +-1: each code point has its own, from the bits of its hashes."""
+    words_of = -(-profile.dims // 64)
+    with np.errstate(over="ignore"):
+        place = np.arange(words_of, dtype=np.uint64) + np.uint64(profile.seed) * np.uint64(0x9E3779B97F4A7C15)
+        bits = mixed(mixed(codes.astype(np.uint64))[:, None] + mixed(place)[None, :])
+    return (np.unpackbits(bits.view(np.uint8), axis=1)[:, : profile.dims].astype(np.int8) << 1) - 1
+
+
 class Encoder:
-    """Bundles of texts; vectors of n-grams are made when first met and kept."""
+    """Bundles of texts; vectors of n-grams are made when first met and kept, `keep` at most."""
 
-    def __init__(self, profile: Profile, keep: int = 100_000):
+    def __init__(self, profile: Profile, keep: int = 50_000):
+        if profile.n > 3:
+            raise ValueError("an n-gram is one number of 63 bits: three letters at most")
         self.p, self.keep = profile, keep
-        self.letters = np.random.default_rng(profile.seed).choice(np.array([-1, 1], np.int8), (PLAIN + HASHED, profile.dims))
         self.keys, self.vectors = np.zeros(0, np.int64), np.zeros((0, profile.dims), np.int8)
 
     def _bound(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones((len(keys), self.p.dims), np.int8)
         for place in range(self.p.n):
-            letter = (keys >> (BITS * (self.p.n - 1 - place))) & ((1 << BITS) - 1)
-            out *= np.roll(self.letters[letter], self.p.n - 1 - place, axis=1)
+            letter, which = np.unique((keys >> (BITS * (self.p.n - 1 - place))) & ((1 << BITS) - 1), return_inverse=True)
+            out *= np.roll(letter_vectors(letter, self.p), self.p.n - 1 - place, axis=1)[which]
         return out
 
     def _of(self, keys: np.ndarray) -> np.ndarray:
@@ -72,16 +82,23 @@ class Encoder:
         return self.vectors[at]
 
     def bundles(self, texts: list[str]) -> np.ndarray:
-        """(len(texts), dims) bundle of each text, 0 where it has no letter."""
+        """(len(texts), dims) bundle of each text, 0 where it has no letter. Vectors are held for GRAMS n-grams at a time, so
+        memory follows the characters of the longest text, not its different n-grams times the dimensions."""
         laid = [f" {t} ".lower() for t in texts]
         lengths = np.fromiter(map(len, laid), np.int64, len(laid))
+        out = np.zeros((len(texts), self.p.dims), np.float32)
+        for lo, hi in slices(np.maximum(lengths, SLICE_CHARS // SLICE_TEXTS), SLICE_CHARS):
+            out[lo:hi] = self._bundled(laid[lo:hi], lengths[lo:hi])
+        return out
+
+    def _bundled(self, laid: list[str], lengths: np.ndarray) -> np.ndarray:
         codes = np.frombuffer("".join(laid).encode("utf-32-le" if sys.byteorder == "little" else "utf-32-be", "surrogatepass"), np.uint32)
-        kind = letter_classes()[codes]
-        doc = np.repeat(np.arange(len(texts)), lengths)
+        kind = letters()[codes]
+        doc = np.repeat(np.arange(len(laid)), lengths)
         keep = np.ones(len(kind), bool)  # runs of other than letters count as one
         keep[1:] = (kind[1:] != 0) | (kind[:-1] != 0) | (doc[1:] != doc[:-1])
-        kind, doc = kind[keep].astype(np.int64), doc[keep]
-        n, out = self.p.n, np.zeros((len(texts), self.p.dims), np.float32)
+        kind, doc = kind[keep], doc[keep]
+        n, out = self.p.n, np.zeros((len(laid), self.p.dims), np.float32)
         if len(kind) < n:
             return out
         keys = np.zeros(len(kind) - n + 1, np.int64)
@@ -89,13 +106,16 @@ class Encoder:
             keys = (keys << BITS) | kind[place : len(kind) - n + 1 + place]
         inside = doc[: len(keys)] == doc[n - 1 :]
         keys, doc = keys[inside], doc[: len(inside)][inside]
-        grams, which = np.unique(keys, return_inverse=True)
-        vectors = self._of(grams)
-        for lo, hi in slices(np.full(len(texts), len(grams)), 1 << 21):  # a table of counts, so many texts at a time
-            own = slice(np.searchsorted(doc, lo), np.searchsorted(doc, hi))
-            counts = np.bincount((doc[own] - lo) * len(grams) + which[own], minlength=(hi - lo) * len(grams)).reshape(hi - lo, -1)
-            seen = np.flatnonzero(counts.any(0))
-            out[lo:hi] = counts[:, seen].astype(np.float32) @ vectors[seen].astype(np.float32)
+        order = np.argsort(keys, kind="stable")
+        keys, doc = keys[order], doc[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+        starts = np.append(np.flatnonzero(new), len(keys))
+        for a in range(0, len(starts) - 1, GRAMS):
+            b = min(a + GRAMS, len(starts) - 1)
+            own = slice(starts[a], starts[b])
+            which = np.cumsum(new[own]) - 1
+            counts = np.bincount(doc[own] * (b - a) + which, minlength=len(laid) * (b - a)).reshape(len(laid), -1)
+            out += counts.astype(np.float32) @ self._of(keys[starts[a:b]]).astype(np.float32)
         return out
 
 

@@ -2,8 +2,9 @@
 
 A classifier learned from a labelled table predicts each document's posterior over domains. Nonnegative document
 rates are then fitted by projected-gradient least squares so that the expected tokens of each domain, counted by
-posterior, match the targets. DataFrame and SQL functions only: the classifier's features are exact words, matched
-with array functions, and every gradient is one distributed sum.
+posterior, match the targets: each step moves every document's rate along the gradient and projects it. DataFrame and
+SQL functions only: the classifier's features are exact words, matched with array functions, and every gradient is one
+distributed sum.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import fresh_name, stored
+from skein.llm.common import fresh_names, stored
 
 #: Shares of tokens wanted of each domain of labelled_domains().
 TARGETS = {"clean": 0.97, "low": 0.01, "toxic": 0.02}
@@ -31,7 +32,7 @@ class MixSettings:
     features: int = 64
     min_documents: int = 5
     smoothing: float = 0.5
-    steps: int = 30
+    steps: int = 60
     tolerance: float = 1e-4
 
 
@@ -54,12 +55,13 @@ def with_features(docs: DataFrame, text: str, out: str) -> DataFrame:
 
     Each step is a column of its own, so that none is computed twice.
     """
+    words, n, distinct, symbols = fresh_names([*docs.columns, out], "words", "n", "distinct", "symbols")
     c = lambda name: F.col(f"`{name}`")
     body = F.coalesce(c(text), F.lit(""))
-    split = docs.withColumn("__words", text_words(body))
-    split = split.withColumns({"__n": F.size("__words"), "__distinct": F.array_distinct("__words"), "__symbols": F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))})
-    marks = F.array(F.when(c("__n") < 20, F.lit("<few>")), F.when(c("__symbols") > 0.3 * c("__n"), F.lit("<symbols>")), F.when(F.size("__distinct") < 0.3 * c("__n"), F.lit("<repeated>")))
-    return split.withColumn(out, F.concat("__distinct", F.array_compact(marks))).drop("__words", "__n", "__distinct", "__symbols")
+    split = docs.withColumn(words, text_words(body))
+    split = split.withColumns({n: F.size(c(words)), distinct: F.array_distinct(c(words)), symbols: F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))})
+    marks = F.array(F.when(c(n) < 20, F.lit("<few>")), F.when(c(symbols) > 0.3 * c(n), F.lit("<symbols>")), F.when(F.size(c(distinct)) < 0.3 * c(n), F.lit("<repeated>")))
+    return split.withColumn(out, F.concat(c(distinct), F.array_compact(marks))).drop(words, n, distinct, symbols)
 
 
 @dataclass(frozen=True)
@@ -75,10 +77,11 @@ class Classifier:
         if not self.weights:
             return docs.withColumns({o: F.lit(float(p)) for o, p in zip(out, self.prior)})
         known = F.from_json(F.lit(json.dumps(list(self.weights))), "array<string>")
-        seen = with_features(docs, text, "__features").withColumn("__hits", F.array_intersect("__features", known))
+        features, hits = fresh_names([*docs.columns, *out], "features", "hits")
+        seen = with_features(docs, text, features).withColumn(hits, F.array_intersect(F.col(features), known))
         weight = [F.from_json(F.lit(json.dumps({w: x[i] for w, x in self.weights.items()})), "map<string,double>") for i in range(len(out))]
         add = lambda i: lambda acc, w: acc + F.element_at(weight[i], w)
-        return seen.withColumns({o: F.aggregate("__hits", F.lit(float(self.prior[i])), add(i)) for i, o in enumerate(out)}).drop("__features", "__hits")
+        return seen.withColumns({o: F.aggregate(F.col(hits), F.lit(float(self.prior[i])), add(i)) for i, o in enumerate(out)}).drop(features, hits)
 
 
 def posteriors(logits: list[Column]) -> Column:
@@ -119,45 +122,55 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], settings: Mi
     return Classifier(domains, base, {w: [math.log(x / (1 - x)) for x in r] for w, r in rates.items()})
 
 
-def fit_rates(groups: DataFrame, targets: list[float], settings: MixSettings) -> list[float]:
-    """Multipliers m of the rates max(floor, 1 - p.m) by projected gradient on the squared misses of the domain totals.
+@dataclass(frozen=True)
+class Fit:
+    """The steps of a fit, by which a document's rate follows from its posterior alone, and by how much of all wanted tokens each domain is missed."""
+
+    steps: list[list[float]]
+    miss: list[float]
+
+    def rate(self, posterior: Column, floor: Column) -> Column:
+        """1, moved by each step along the posterior and projected on rates of `floor` or more after each."""
+        if not self.steps:
+            return F.greatest(floor, F.lit(1.0))
+        taken = F.from_json(F.lit(json.dumps(self.steps)), "array<array<double>>")
+        dot = lambda s: F.aggregate(F.zip_with(posterior, s, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+        return F.aggregate(taken, F.lit(1.0), lambda r, s: F.greatest(floor, r - dot(s)))
+
+
+def fit_rates(groups: DataFrame, targets: list[float], settings: MixSettings) -> Fit:
+    """Rates of `floor` or more, all 1 at first, by projected gradient on the squared misses of the domain totals.
 
-    `groups` has p (array), tokens and, where rates have a floor other than 0, floor. A fit that misses the targets by more than the
-    tolerance gives a warning with both. Gradients of the least squares lie in the span of the posteriors, so a step of
-    all documents' rates is a step of m; it is taken in the metric of the first Hessian and projected on rates >= floor.
+    `groups` has p (array), tokens and, where rates have a floor other than 0, floor. Misses are measured in the metric of the first
+    Hessian and rates in that of their tokens, in which the gradient of a rate is p . M . miss and its Lipschitz constant 1: steps
+    of length 1 never raise the misses. A fit that ends beyond the tolerance gives a warning with both.
     """
-    d = len(targets)
+    d, wanted = len(targets), max(float(sum(targets)), 1.0)
     floor = F.col("floor") if "floor" in groups.columns else F.lit(0.0)
     p = [F.element_at("p", i + 1) for i in range(d)]
     pairs = [F.coalesce(F.sum(F.col("tokens") * p[i] * p[j]), F.lit(0.0)) for i in range(d) for j in range(d)]
     hessian = np.array([float(x) for x in groups.agg(*[x.alias(f"h{k}") for k, x in enumerate(pairs)]).first()]).reshape(d, d)
     metric = np.linalg.pinv(hessian, rcond=1e-9)
-    m, goal = np.zeros(d), np.array(targets, float)
-    best, kept, step = None, m.copy(), 1.0
-    for _ in range(settings.steps):
-        dot = F.lit(0.0)
-        for i in range(d):
-            dot = dot + p[i] * F.lit(float(m[i]))
-        rate = F.greatest(floor, F.lit(1.0) - dot)
-        sums = groups.agg(*[F.coalesce(F.sum(F.col("tokens") * p[i] * rate), F.lit(0.0)).alias(f"s{i}") for i in range(d)]).first()
+    steps: list[list[float]] = []
+    goal, before = np.array(targets, float), float("inf")
+    while True:
+        rate = Fit(steps, []).rate(F.col("p"), floor)
+        sums = groups.select("tokens", "p", rate.alias("rate")).agg(*[F.coalesce(F.sum(F.col("tokens") * p[i] * F.col("rate")), F.lit(0.0)).alias(f"s{i}") for i in range(d)]).first()
         miss = np.array([float(x) for x in sums]) - goal
-        size = float(np.abs(miss).sum())
-        if best is None or size < best:
-            best, kept, last = size, m.copy(), miss
-        else:  # a step too far: back to the best, and shorter
-            step /= 2
-            if step < 1 / 64:
-                break
-        if best <= settings.tolerance * max(goal.sum(), 1.0):
-            break
-        m = kept + step * metric @ last
-    if best is not None and best > settings.tolerance * max(goal.sum(), 1.0):
-        warnings.warn(f"mixing misses its targets by {(last / max(goal.sum(), 1.0)).round(6).tolist()} of {goal.sum():.0f} tokens", stacklevel=2)
-    return kept.tolist()
+        size, energy = float(np.abs(miss).sum()), float(miss @ metric @ miss)
+        if size <= settings.tolerance * wanted or len(steps) >= settings.steps or energy > before * (1 - 1e-6):
+            break  # met, out of steps, or as near as nonnegative rates come
+        before = energy
+        steps.append((metric @ miss).tolist())
+    share = (miss / wanted).tolist()
+    if size > settings.tolerance * wanted:
+        warnings.warn(f"mixing misses its targets by {[round(x, 6) for x in share]} of {wanted:.0f} tokens after {len(steps)} steps", stacklevel=2)
+    return Fit(steps, share)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, settings: MixSettings | None = None, key: str = "doc_id", text: str = "text", budget: float | None = None, keep: list[str] | None = None, whole: str | None = None) -> DataFrame:
-    """`docs` (its columns `keep`, if given) with columns tokens, posteriors (one for each domain in order of `targets`), rate and copies.
+    """`docs` (its columns `keep`, if given) with columns tokens, posteriors (one for each domain in order of `targets`), rate, copies and
+    miss (of the whole fit: by how much of all wanted tokens the domains are missed, added up).
 
     `labelled` is (doc_id, domain). Tokens are words between spaces and line ends; `budget` tokens are wanted in all, as many as there
     are if None, and each domain's share is its weight. copies = floor(rate + u), with u in [0, 1) from a hash of the id, so that
@@ -171,14 +184,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     domains = list(targets)
     weights = np.array([targets[d] for d in domains]) / sum(targets.values())
     model = learn(docs, labelled, domains, settings, key, text)
-    names: list[str] = []
-    for name in ("tokens", "posteriors", "rate", "copies"):
-        names.append(fresh_name([*docs.columns, *names], name))
-    tokens_, post_, rate_, copies_ = names
+    tokens_, post_, rate_, copies_, miss_, *logits = fresh_names(docs.columns, "tokens", "posteriors", "rate", "copies", "miss", *[f"logit{i}" for i in range(len(domains))])
     q = lambda c: F.col(f"`{c}`")
     body = q(text)
     tokens = F.regexp_count(F.coalesce(body, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    logits = [f"__logit{i}" for i in range(len(domains))]
     scored = model.with_logits(docs.withColumn(tokens_, tokens), text, logits).withColumn(post_, posteriors([F.col(x) for x in logits]))
     scored = stored(scored.select(*[q(c) for c in keep or docs.columns], q(tokens_), q(post_)), "posteriors")
     p = [F.element_at(q(post_), i + 1) for i in range(len(domains))]
@@ -193,17 +202,14 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
         k = domains.index(whole)
         most[k] = goal.sum() - np.delete(most, k).sum()
         goal = most
-    m = fit_rates(groups, goal.tolist(), settings)
-    dot = F.lit(0.0)
-    for x, y in zip(p, m):
-        dot = dot + x * F.lit(float(y))
-    rate = F.round(F.greatest(floor, F.lit(1.0) - dot), 9)
+    fit = fit_rates(groups, goal.tolist(), settings)
+    rate = F.round(fit.rate(q(post_), floor), 9)
     u = F.pmod(F.xxhash64(F.lit("copies"), q(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return scored.withColumn(rate_, rate).withColumn(copies_, F.floor(q(rate_) + u).cast("int"))
+    return scored.withColumn(rate_, rate).withColumns({copies_: F.floor(q(rate_) + u).cast("int"), miss_: F.lit(float(np.abs(fit.miss).sum()))})
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, **options) -> DataFrame:
     """The rows of `docs` as often as mix() says, with the columns of `docs`."""
     out = mix(docs, labelled, **options)
-    copies = out.columns[-1]
-    return out.withColumn("__copy", F.explode(F.expr(f"CASE WHEN `{copies}` > 0 THEN sequence(1, `{copies}`) END"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = out.columns[-2]
+    return out.withColumn(fresh_names(out.columns, "copy")[0], F.explode(F.expr(f"CASE WHEN `{copies}` > 0 THEN sequence(1, `{copies}`) END"))).select(*[F.col(f"`{c}`") for c in docs.columns])

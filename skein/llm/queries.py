@@ -60,7 +60,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.mixing import TARGETS, labelled_domains, mix
 
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), labelled_domains(table(spark, sf_dir, "labels")), keep=["doc_id", "source"])
-    return out.select("doc_id", "source", "tokens", *[F.element_at("posteriors", i + 1).alias(f"p_{d}") for i, d in enumerate(TARGETS)], "rate", "copies")
+    return out.select("doc_id", "source", "tokens", *[F.element_at("posteriors", i + 1).alias(f"p_{d}") for i, d in enumerate(TARGETS)], "rate", "copies", "miss")
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Secret scans with an incremental blob ledger.
 
 Every historical version of a text is addressed by its content (SHA-256). Only pairs of blob and
-rule version that the ledger doesn't hold yet are scanned, each once; findings are then joined back
-to all paths that hold the blob.
+rule version that the ledger doesn't hold yet are scanned; the ledger is a folder that each scan adds to.
+Findings are then joined back to all paths that hold the blob.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import fresh_name, stored
+from skein.llm.common import fresh_name, fresh_path
 
 RULE_VERSION = "2026-11-1"
 
@@ -60,12 +61,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = hits["assign"]
         for k in RULES:
             some = pc.or_(some, hits[k])
-        rows, out = [], []
+        out = [[] for _ in range(len(batch))]
         for i in pc.indices_nonzero(some).to_pylist():
-            if found := spans_of(batch.column(1)[i].as_py(), [k for k in RULES if hits[k][i].as_py()]):
-                rows.append(i)
-                out.append([{"kind": a, "start": b, "end": c} for a, b, c in found])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out, kind)], names=["blob", "findings"])
+            found = spans_of(batch.column(1)[i].as_py(), [k for k in RULES if hits[k][i].as_py()])
+            out[i] = [{"kind": a, "start": b, "end": c} for a, b, c in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["blob", "findings"])
 
 
 def blob_of(text: str = "text"):
@@ -73,40 +73,60 @@ def blob_of(text: str = "text"):
     return F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
 
 
-def scan_unseen(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Ledger rows (blob, rule_version, findings) of the blobs of `versions` that `ledger` lacks for this rule version.
+LEDGER = f"blob string, rule_version string, findings array<struct<{FINDING.replace(' string', ':string').replace(' int', ':int')}>>"
+_FOUND = LEDGER.split("findings ")[1]
 
-    Each unseen blob with a finding gives one row; append these and `scanned_blobs` to the ledger. Texts are
-    scanned whole. One row of each blob, that of the smallest path, carries its text: copies are not sent.
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """(blob, rule_version, findings) of a ledger's folder, a row for each blob and rule version; none where there is no ledger yet."""
+    try:
+        rows = spark.read.schema(LEDGER).parquet(ledger)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], LEDGER)
+    # two writers at once, or a job that ran again, may have added a pair twice; its findings are the same
+    return rows.dropDuplicates(["blob", "rule_version"])
+
+
+def scan_unseen(versions: DataFrame, ledger: DataFrame, path: str = "doc_id", text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """Ledger rows (blob, rule_version, findings) of all blobs of `versions` that `ledger` lacks for this rule version.
+
+    Texts are scanned whole. One row of each unseen blob, that of the smallest path, is scanned; to find it the rows meet at their
+    blob, so a text is exchanged once. Rows that repeat both path and text are scanned more than once.
     """
     named = versions.select(F.col(f"`{path}`").alias("path"), blob_of(text).alias("blob"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
-    firsts = named.groupBy("blob").agg(F.min("path").alias("first"))
-    if ledger is not None:
-        firsts = firsts.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+    firsts = named.groupBy("blob").agg(F.min("path").alias("first")).join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     one = named.join(firsts.withColumnRenamed("blob", "b"), (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("first")), "left_semi")
-    found = one.select("blob", "body").mapInArrow(_scan, f"blob string, findings array<struct<{FINDING.replace(' ', ':', 1).replace(', start ', ',start:').replace(', end ', ',end:')}>>")
-    # rows that repeat both path and text are scanned more than once
-    return found.groupBy("blob").agg(F.first("findings").alias("findings")).withColumn("rule_version", F.lit(rule_version))
+    found = one.select("blob", "body").mapInArrow(_scan, f"blob string, findings {_FOUND}")
+    return found.groupBy("blob").agg(F.first("findings").alias("findings")).select("blob", F.lit(rule_version).alias("rule_version"), "findings")
+
 
+def update_ledger(versions: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """Scan what the ledger in the folder `ledger` lacks of `versions`, add it there, and return the whole ledger.
 
-def scanned_blobs(versions: DataFrame, text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
-    """Ledger keys of all blobs of `versions`, with or without findings."""
-    return versions.select(blob_of(text).alias("blob")).distinct().withColumn("rule_version", F.lit(rule_version))
+    What is added is written before anything reads it; a run that fails adds nothing or all, and the next one goes on from there.
+    """
+    spark = versions.sparkSession
+    scan_unseen(versions, read_ledger(spark, ledger), path, text, rule_version).write.mode("append").parquet(ledger)
+    return read_ledger(spark, ledger)
 
 
-def scan_secrets(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
+def scan_secrets(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger: str | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
     """`versions` with a column `findings` (array of kind, start, end in code points; empty if none).
 
-    `ledger` (blob, rule_version, findings) holds earlier scans; its findings are joined too. Null text counts
-    as empty, null paths are paths like others, repeated rows each get their blob's findings, an empty table
+    `ledger` is the folder of the ledger of earlier scans, which this one reads and adds to; without one, the scan has a ledger of its
+    own. Null text counts as empty, null paths are paths like others, repeated rows each get their blob's findings, an empty table
     gives no rows, and a column of `versions` named findings gets the result under _findings.
     """
-    new = stored(scan_unseen(versions, path, text, ledger, rule_version).select("blob", "findings"), "ledger")
-    if ledger is not None:
-        new = new.unionByName(ledger.filter((F.col("rule_version") == rule_version) & F.col("findings").isNotNull()).select("blob", "findings"))
-    key, out = fresh_name(versions.columns, "blob"), fresh_name(versions.columns, "findings")
-    both = versions.withColumn(key, blob_of(text)).join(new.select(F.col("blob").alias("__blob"), F.col("findings").alias("__found")), F.col(f"`{key}`") == F.col("__blob"), "left")
-    return both.select(*[F.col(f"`{c}`") for c in versions.columns], F.coalesce("__found", F.array().cast(new.schema["findings"].dataType)).alias(out))
+    known = update_ledger(versions, ledger or fresh_path(versions.sparkSession, "blob_ledger"), path, text, rule_version)
+    names: list[str] = []
+    for name in ("blob", "found_blob", "found", "findings"):
+        names.append(fresh_name([*versions.columns, *names], name))
+    blob_, other_, found_, out_ = names
+    some = known.filter((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select(F.col("blob").alias(other_), F.col("findings").alias(found_))
+    both = versions.withColumn(blob_, blob_of(text)).join(some, F.col(blob_) == F.col(other_), "left")
+    return both.select(*[F.col(f"`{c}`") for c in versions.columns], F.coalesce(F.col(found_), F.array().cast(_FOUND)).alias(out_))
 
 
 def _joined(found, base: bool):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm.html import extract_pages, main_text, smoothed
-from skein.llm.langid import held_out, predict, train
+from skein.llm.langid import Encoder, Profile, held_out, letter_vectors, predict, train
 from skein.llm.mixing import MixSettings, fit_rates, labelled_domains, mix, mixed
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -103,32 +103,118 @@ def test_language_of_empty_tables(spark):
     assert [r.lang_pred for r in predict(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), model).collect()] == ["und"]
 
 
-def projected_least_squares(p, tokens, goal):
-    """Plain projected gradient on the rates of all documents, in numpy."""
-    rate, m = np.ones(len(p)), np.zeros(p.shape[1])
-    scale = np.linalg.pinv(p.T @ (p * tokens[:, None]))
-    for _ in range(500):
-        m = m + 0.2 * scale @ (p.T @ (tokens * rate) - goal)
-        rate = np.maximum(0, 1 - p @ m)
-    return rate
+def test_bundles_equal_plain_products():
+    """Bind, permute and bundle a letter at a time, with no table of n-grams."""
+    profile = Profile(dims=128)
+    texts = ["Hello, world! é", "日本語 текст", "", "12", "a", "x" * 300 + " ab"]
+    for text, got in zip(texts, Encoder(profile).bundles(texts)):
+        letters = [c if c.isalpha() else " " for c in f" {text} ".lower()]
+        letters = [c for i, c in enumerate(letters) if c != " " or i == 0 or letters[i - 1] != " "]
+        want = np.zeros(128)
+        for i in range(len(letters) - 2):
+            v = np.ones(128)
+            for place, x in enumerate(letters[i : i + 3]):
+                v = v * np.roll(letter_vectors(np.array([ord(x) if x != " " else 0]), profile)[0], 2 - place)
+            want += v
+        assert (got == want).all()
 
 
-def test_rates_meet_targets(spark):
+def test_letters_have_vectors_of_their_own():
+    codes = np.concatenate([np.arange(0x400, 0x500), np.arange(0x4E00, 0x5600)])
+    vectors = letter_vectors(codes, Profile()).astype(np.float32)
+    cosine = vectors @ vectors.T / 512
+    np.fill_diagonal(cosine, 0)
+    assert np.abs(cosine).max() < 0.35 and set(np.unique(vectors)) == {-1, 1}
+
+
+def test_a_long_text_of_many_different_ngrams_in_bounded_memory():
+    import tracemalloc
+
+    rnd = random.Random(3)
+    text = "".join(chr(rnd.randint(0x4E00, 0x9FA5)) for _ in range(300_000))
+    tracemalloc.start()
+    Encoder(Profile()).bundles([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+
+
+def active_set(a, b):
+    """Nonnegative least squares by Lawson and Hanson's active sets: another method, for the least residual of |a x - b|."""
+    free, x = np.zeros(a.shape[1], bool), np.zeros(a.shape[1])
+    for _ in range(10 * a.shape[1]):
+        gradient = a.T @ (b - a @ x)
+        gradient[free] = -np.inf
+        if gradient.max() <= 1e-9 * np.abs(a.T @ b).max():
+            break
+        free[gradient.argmax()] = True
+        while True:
+            s = np.zeros(len(x))
+            s[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if (s[free] > 0).all():
+                break
+            low = free & (s <= 0)
+            x = x + (x[low] / (x[low] - s[low])).min() * (s - x)
+            free &= x > 1e-12
+            x[~free] = 0
+        x = s
+    return x
+
+
+def fitted(spark, p, tokens, goal, **options):
+    groups = spark.createDataFrame([(i, x.tolist(), float(t)) for i, (x, t) in enumerate(zip(p, tokens))], "i long, p array<double>, tokens double")
+    fit = fit_rates(groups, goal.tolist(), MixSettings(**options))
+    rows = groups.select("i", fit.rate(F.col("p"), F.lit(0.0)).alias("rate")).collect()
+    return fit, np.array([r.rate for r in sorted(rows)])
+
+
+def some_groups(n, alpha):
     rng = np.random.default_rng(4)
-    p = np.round(rng.dirichlet([0.6, 0.4, 0.3], 400), 2)
-    p[:, 0] = np.round(1 - p[:, 1] - p[:, 2], 2)
-    tokens = rng.integers(1, 500, 400).astype(float)
+    p = rng.dirichlet(alpha, n)
+    return p, rng.integers(1, 500, n).astype(float)
+
+
+def test_rates_meet_targets(spark):
+    p, tokens = some_groups(400, [0.6, 0.4, 0.3])
     goal = tokens.sum() * np.array([0.6, 0.2, 0.2])
-    groups = spark.createDataFrame([(x.tolist(), float(t)) for x, t in zip(p, tokens)], "p array<double>, tokens double")
-    rate = np.maximum(0, 1 - p @ np.array(fit_rates(groups, goal.tolist(), MixSettings())))
-    assert np.abs(p.T @ (tokens * rate) - goal).sum() < 1e-3 * goal.sum()
-    assert np.allclose(rate, projected_least_squares(p, tokens, goal), atol=0.02)
+    fit, rate = fitted(spark, p, tokens, goal)
+    assert np.abs(p.T @ (tokens * rate) - goal).sum() < 1e-3 * goal.sum() and (rate >= 0).all()
+    # the same steps by hand: each moves all rates along the gradient, and projects them
+    metric, want = np.linalg.pinv(p.T @ (p * tokens[:, None])), np.ones(len(p))
+    for _ in fit.steps:
+        want = np.maximum(0, want - p @ (metric @ (p.T @ (tokens * want) - goal)))
+    assert np.allclose(rate, want)
+
+
+def test_unreachable_targets_come_as_near_as_active_sets(spark):
+    p, tokens = some_groups(40, [5, 5, 5])  # no document is of one domain, so shares of 0.98 are out of reach
+    goal = tokens.sum() * np.array([0.98, 0.01, 0.01])
+    with pytest.warns(UserWarning, match="misses its targets"):
+        fit, rate = fitted(spark, p, tokens, goal, steps=400)
+    half = np.linalg.cholesky(np.linalg.inv(p.T @ (p * tokens[:, None]))).T  # misses are measured in this metric
+    a = half @ (p * tokens[:, None]).T
+    size = lambda r: np.linalg.norm(a @ r - half @ goal)
+    assert size(rate) <= 1.02 * size(active_set(a, half @ goal))
+    assert np.allclose(np.array(fit.miss) * goal.sum(), p.T @ (tokens * rate) - goal)
 
 
 def test_a_fit_that_misses_is_reported(spark):
     groups = spark.createDataFrame([([0.5, 0.5], 100.0)], "p array<double>, tokens double")
     with pytest.warns(UserWarning, match="misses its targets"):
-        fit_rates(groups, [90.0, 10.0], MixSettings())
+        assert abs(fit_rates(groups, [90.0, 10.0], MixSettings()).miss[0]) > 0.3
+
+
+def test_clashing_names(spark):
+    names = ["words", "n", "distinct", "symbols", "features", "hits", "logit0", "copy", "tokens", "posteriors", "rate", "copies", "miss"]
+    rows = [(i, "fine " * 20 + ("junk" if i % 3 == 0 else ""), *range(len(names))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    known = spark.createDataFrame([(i, "low" if i % 3 == 0 else "clean") for i in range(60)], "doc_id long, domain string")
+    targets = {"clean": 0.5, "low": 0.5}
+    plain = {r.doc_id: r.rate for r in mix(docs.select("doc_id", "text"), known, targets).collect()}
+    for r in mix(docs, known, targets).collect():
+        assert tuple(r)[2 : 2 + len(names)] == tuple(range(len(names))) and r["_rate"] == plain[r.doc_id]
+    out = mixed(docs, known, targets=targets)
+    assert out.columns == docs.columns and {tuple(r)[2:] for r in out.collect()} == {tuple(range(len(names)))}
 
 
 def test_thin_posteriors_count(spark):

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from skein.llm.secrets import RULE_VERSION, redact, scan_secrets, scan_unseen, scanned_blobs, span_columns
+from skein.llm.secrets import RULE_VERSION, read_ledger, redact, scan_secrets, scan_unseen, span_columns, update_ledger
 
 AKIA = "AKIA" + "ABCDEFGHIJKL"
 HEX = "0123456789abcdef" * 2
@@ -52,16 +52,35 @@ def test_spans_equal_brute_force(spark):
     assert "private_key:0:" in added and "code_host:" in added
 
 
-def test_ledger_scans_only_unseen_blobs(spark):
+def test_ledger_scans_only_unseen_blobs(spark, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    first = scan_unseen(docs)
-    ledger = scanned_blobs(docs).join(first.drop("rule_version"), "blob", "left")
-    more = docs.unionByName(spark.createDataFrame([(50, f"new secret={HEX}")], docs.schema))
-    assert scan_unseen(more, ledger=ledger).count() == 1
-    assert scan_unseen(docs, ledger=ledger).count() == 0
-    assert scan_unseen(docs, ledger=ledger, rule_version=RULE_VERSION + "x").count() == first.count()
+    blobs = len({t or "" for t in TEXTS})
+    first = update_ledger(docs, ledger)
+    assert first.count() == blobs and first.filter(F.size("findings") > 0).count() > 3
+    # the second version: one new text, all else as it was, under other paths
+    more = docs.withColumn("doc_id", F.col("doc_id") + 100).unionByName(spark.createDataFrame([(50, f"new secret={HEX}")], docs.schema))
+    assert [r.findings[0].kind for r in scan_unseen(more, read_ledger(spark, ledger)).collect()] == ["assign"]
+    assert update_ledger(more, ledger).count() == blobs + 1
+    assert scan_unseen(docs, read_ledger(spark, ledger)).count() == 0
+    assert scan_unseen(docs, read_ledger(spark, ledger), rule_version=RULE_VERSION + "x").count() == blobs
     a = {(r.doc_id, str(r.findings)) for r in scan_secrets(more, ledger=ledger).collect()}
     assert a == {(r.doc_id, str(r.findings)) for r in scan_secrets(more).collect()}
+    assert spark.read.parquet(ledger).count() == blobs + 1  # nothing was scanned again
+
+
+def test_a_pair_that_was_added_twice_counts_once(spark, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    docs = spark.createDataFrame([(1, f"secret={HEX}")], "doc_id long, text string")
+    for _ in range(2):
+        scan_unseen(docs, read_ledger(spark, f"{ledger}-none")).write.mode("append").parquet(ledger)
+    assert read_ledger(spark, ledger).count() == 1 and scan_secrets(docs, ledger=ledger).count() == 1
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, f"secret={HEX}", 1, 2, 3, 4)], "doc_id long, text string, blob int, found int, found_blob int, findings int")
+    got = scan_secrets(docs).collect()[0]
+    assert (got.blob, got.found, got.found_blob, got.findings) == (1, 2, 3, 4) and got._findings[0].kind == "assign"
 
 
 def test_redact(spark):
