@@ -1,9 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
-Every block of text has a root-to-leaf tag path. Text length, punctuation and link text are added up per path;
-the ratios of text and of punctuation to the path's nodes are smoothed over the paths in page order and fused by
-their product; paths under the threshold are not content. Where a page marks its article, all of it is content.
-Blocks of kept paths, in page order, are the main text.
+Every block of text has a root-to-leaf tag path. Text length, punctuation and link text are added up per path; the
+ratios of text and of punctuation to the path's nodes are smoothed over the paths in page order, fused by their
+product and weighted by the share of text that isn't links and by priors: little is expected of menus, adverts and the
+like, and of what stands outside a marked article. Paths whose fused ratio reaches the threshold are content nodes.
+Where they lie in a marked article, the rest of the article belongs to it but for what the ratio leaves of its asides;
+else headings, list items, cells and captions beside content nodes do. Blocks of these paths, in page order, are the main text.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -30,13 +32,9 @@ CLOSED_BY = {
     "option": frozenset(("option",)), "thead": frozenset(("tr", "td", "th")), "tbody": frozenset(("thead", "tbody", "tr", "td", "th")), "tfoot": frozenset(("tbody", "tr", "td", "th")),
 }
 ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Elements, and words of class, id or role, that name what isn't the article.
+#: Elements that aren't the article.
 ASIDE = frozenset("nav header footer aside menu dialog".split())
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|widget|footer|header|masthead|cookie|cookies|consent|notice|notices|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comment|comments|commentlist|reply|replies|respond|discussion|disqus|pagination|pager|search|skip|hidden|contentinfo|complementary)(?:$|[\s_-])",
-    re.I,
-)
-#: Class, id or role tokens that name boilerplate as a whole; inside an article, whose own parts have compound names, only these count.
+#: Class, id or role tokens that name boilerplate as a whole; an article's own parts have compound names, such as entry-header.
 BOILERPLATE = frozenset(
     (
         "ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer cookie cookies consent notice notices popup modal newsletter subscribe signup login "
@@ -51,50 +49,72 @@ SPACES = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？«»“”]")
 
 
+#: Elements of content that may be short: beside content nodes they belong to them.
+PARTS = HEADINGS | frozenset("p li dt dd td th caption figcaption blockquote pre summary".split())
+#: Steps of a path that end an open p, or hide open list items and cells from a start tag.
+_P_BARRIER = (ENDS_P - {"p"}) | {"td", "th", "li"}
+_LISTS = frozenset("ul ol dl table select".split())
+
+
 @dataclass(frozen=True)
 class Settings:
     """`threshold` is the share of the mean fused ratio that a path must reach; `smooth` neighbours on each side count;
-    a path whose text is links to `link_share` or more isn't content. None of them counts inside a marked article."""
+    `prior` weighs paths of asides and paths outside a marked article, and is the least weight of links; lists of which
+    `link_share` or more is links aren't parts of content that no article marks."""
 
     threshold: float = 0.1
     smooth: int = 1
+    prior: float = 0.001
     link_share: float = 0.6
 
 
 @dataclass
 class Path:
+    """A step of the tree of paths, with the sums over the blocks that stand right under it."""
+
+    parent: int
+    tag: str
+    aside: bool
+    mark: str = ""  # article or main, if the path lies in one
     nodes: int = 0
     chars: int = 0
     marks: int = 0
     linked: int = 0
-    aside: bool = False
-    in_article: bool = False
 
 
 @dataclass
 class _Frame:
     tag: str
-    key: str
-    aside: bool
+    path: int
+    block: bool
     silent: bool
-    article: bool
     heading: bool
 
 
-@dataclass
 class Blocks(HTMLParser):
-    """Blocks of text with the path that each stands under; markup that isn't closed, or not opened, is taken as browsers do."""
+    """Blocks of text with the path that each stands under; markup that isn't closed, or not opened, is taken as browsers do.
 
-    paths: dict[str, Path] = field(default_factory=dict)
-    blocks: list[tuple[str, str]] = field(default_factory=list)
+    Paths are numbers, parents before children, and open elements are found by tag, so time and memory follow the page's
+    size however deep it nests.
+    """
 
-    def __post_init__(self) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack = [_Frame("", "", False, False, False, False)]
+        self.paths = [Path(-1, "", False)]
+        self.known: dict[tuple[int, str], int] = {}
+        self.blocks: list[tuple[int, str]] = []
+        self.stack = [_Frame("", 0, True, False, False)]
+        self.open: dict[str, list[int]] = {"#block": [0]}  # places in the stack of each tag, and of kinds of tags
         self.part: list[str] = []
         self.part_linked = 0
-        self.links = 0
-        self.owner = self.stack[0]
+
+    @staticmethod
+    def _kinds(frame: _Frame) -> list[str]:
+        return [frame.tag, *["#block"] * frame.block, *["#barrier"] * (frame.tag in _P_BARRIER), *["#list"] * (frame.tag in _LISTS)]
+
+    def _last(self, tag: str) -> int:
+        at = self.open.get(tag)
+        return at[-1] if at else -1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -102,33 +122,35 @@ class Blocks(HTMLParser):
                 self._end_block()
             return
         if tag == "body" or tag == "html":
-            self._leave("head")
+            if self._last("head") >= 0:
+                self._pop_to(self._last("head"))
             return  # a second body or html opens nothing
-        if tag in ENDS_P:
-            self._close_through("p", ENDS_P - {"p"})
+        if tag in ENDS_P and self._last("p") > self._last("#barrier"):
+            self._pop_to(self._last("p"))
         if tag in CLOSED_BY:
-            own = CLOSED_BY[tag]
-            for k in range(len(self.stack) - 1, 0, -1):
-                t = self.stack[k].tag
-                if t in own:
-                    self._pop_to(k)
-                elif t in ("ul", "ol", "dl", "table", "select"):
-                    break
-        if tag not in INLINE:
-            self._end_block()
+            while (k := max(map(self._last, CLOSED_BY[tag]))) > self._last("#list"):
+                self._pop_to(k)
         top = self.stack[-1]
+        path = self.paths[top.path]
         names = [(a, v) for a, v in attrs if v and a in ("class", "id", "role")]
         unseen = any(a in ("hidden", "aria-hidden") and v != "false" for a, v in attrs)
-        named = " ".join(v for _, v in names) + " hidden" * unseen
-        inside = top.article or tag in ("article", "main")
-        # an article's own header holds its title; a page's header doesn't
-        aside = top.aside or (tag in ASIDE and not (tag == "header" and inside)) or (unseen and tag not in ("article", "main"))
-        aside = aside or bool(names) and _named_aside(tag, names, inside, top.heading)
-        key = top.key if tag in INLINE else f"{top.key}/{tag}" + (f".{named.strip()}" if named else "")
-        self.stack.append(_Frame(tag, key, aside, top.silent or tag in SILENT, inside, top.heading or tag in HEADINGS))
-        self.links += tag == "a"
-        if tag not in INLINE:
-            self.owner = self.stack[-1]
+        own = unseen and tag not in ("article", "main")
+        own = own or (tag in ASIDE and not (tag == "header" and (path.mark or tag == "article")))  # an article's own header holds its title
+        own = own or _named_aside(tag, names, bool(path.mark), top.heading)
+        block = tag not in INLINE or own  # an advert or notice in a line is a block of its own
+        number = top.path
+        if block:
+            self._end_block()
+            step = tag + "".join(f".{v}" for _, v in names) + " hidden" * unseen
+            number = self.known.get((top.path, step), -1)
+            if number < 0:
+                number = self.known[top.path, step] = len(self.paths)
+                mark = path.mark if path.mark == "article" or tag not in ("article", "main") else tag
+                self.paths.append(Path(top.path, tag, path.aside or own, mark))
+        frame = _Frame(tag, number, block, top.silent or tag in SILENT, top.heading or tag in HEADINGS)
+        for kind in self._kinds(frame):
+            self.open.setdefault(kind, []).append(len(self.stack))
+        self.stack.append(frame)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -138,52 +160,24 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):
             return
-        if tag == "br":
-            self._end_block()
-            return
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                if tag not in INLINE:
-                    self._end_block()
-                self._pop_to(k)
-                return
-            if tag in INLINE and self.stack[k].tag not in INLINE:
-                return  # an inline end tag doesn't close blocks
-        if tag == "p":
+        k = self._last(tag)
+        if tag == "br" or (tag == "p" and k < 0):
             self._end_block()
-
-    def _leave(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                self._end_block()
-                self._pop_to(k)
-                return
-
-    def _close_through(self, tag: str, barrier: frozenset) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            t = self.stack[k].tag
-            if t == tag:
-                self._end_block()
-                self._pop_to(k)
-                return
-            if t in barrier or t in ("td", "th", "li"):
-                return
+        elif k > 0 and not (tag in INLINE and self._last("#block") > k):  # an inline end tag doesn't close blocks
+            self._pop_to(k)
 
     def _pop_to(self, k: int) -> None:
-        if any(f.tag not in INLINE for f in self.stack[k:]):
+        if self._last("#block") >= k:
             self._end_block()
-        self.links -= sum(f.tag == "a" for f in self.stack[k:])
-        del self.stack[k:]
-        self.owner = next(f for f in reversed(self.stack) if f.tag not in INLINE or not f.tag)
+        while len(self.stack) > k:
+            for kind in self._kinds(self.stack.pop()):
+                self.open[kind].pop()
 
     def handle_data(self, data: str) -> None:
-        top = self.stack[-1]
-        if top.silent:
-            return
-        if top.aside and not self.owner.aside:  # an advert or notice in an inline element
+        if self.stack[-1].silent:
             return
         self.part.append(data)
-        if self.links:
+        if self.open.get("a"):
             self.part_linked += len(data.strip())
 
     def _end_block(self) -> None:
@@ -193,15 +187,13 @@ class Blocks(HTMLParser):
         linked, self.part, self.part_linked = self.part_linked, [], 0
         if not text:
             return
-        # a block may be aside by an inline element, which is no step of its path: it isn't its siblings' path
-        key = f"!{self.owner.key}" if self.owner.aside else self.owner.key
-        path = self.paths.setdefault(key, Path(aside=self.owner.aside))
+        number = self.stack[self._last("#block")].path
+        path = self.paths[number]
         path.nodes += 1
         path.chars += len(text)
         path.marks += len(PUNCTUATION.findall(text))
-        path.linked += linked
-        path.in_article |= self.owner.article
-        self.blocks.append((key, text))
+        path.linked += min(linked, len(text))
+        self.blocks.append((number, text))
 
     def close(self) -> None:
         super().close()
@@ -210,14 +202,10 @@ class Blocks(HTMLParser):
 
 def _named_aside(tag: str, names: list[tuple[str, str]], inside: bool, in_heading: bool) -> bool:
     """Whether an element's class, id and role (attribute, value) name it as not of the article. Inside one, headings and headers
-    never are, ids of sections, links and what stands in headings are targets of links, and only whole tokens count."""
-    if tag in ("html", "body", "article", "main"):
-        return False
-    if not inside:
-        return bool(NAMED.search(" ".join(v for _, v in names)))
-    if in_heading or tag in HEADINGS or tag == "header":
+    never are, and ids of sections, links and what stands in headings are targets of links."""
+    if tag in ("html", "body", "article", "main") or (inside and (in_heading or tag in HEADINGS or tag == "header")):
         return False
-    target = tag in ("section", "a")
+    target = inside and tag in ("section", "a")
     return any(t in BOILERPLATE for a, v in names if not (target and a == "id") for t in v.lower().replace("_", "-").split())
 
 
@@ -231,19 +219,45 @@ def smoothed(values: np.ndarray, reach: int) -> np.ndarray:
     return (total[hi] - total[lo]) / (hi - lo)
 
 
-def content_paths(paths: dict[str, Path], settings: Settings) -> set[str]:
-    """Where a page marks its article, all paths inside it but those of menus, adverts and the like, however short or linked;
-    else the paths whose fused ratio reaches the threshold. Articles of links alone are teasers of others, unless there is no other text."""
-    own = {k: p for k, p in paths.items() if not p.aside and p.linked < settings.link_share * p.chars}
-    marked = {k for k, p in paths.items() if p.in_article and not p.aside}
-    if not own or any(k in own for k in marked):
-        return marked
-    text = np.array([p.chars / p.nodes for p in own.values()], float)
-    marks = np.array([(p.marks + 0.5) / p.nodes for p in own.values()], float)
-    weight = np.array([p.chars for p in own.values()], float)
-    fused = np.maximum(text * marks, smoothed(text, settings.smooth) * smoothed(marks, settings.smooth))
-    mean = float((text * marks * weight).sum() / weight.sum())
-    return {k for k, f in zip(own, fused) if f >= settings.threshold * mean}
+def fused_ratios(paths: list[Path], order: list[int], settings: Settings) -> np.ndarray:
+    """The fused ratio of the paths in `order`, as they come in the page: text and punctuation per node, by themselves and
+    smoothed, times the share that isn't links, times the priors."""
+    own = [paths[k] for k in order]
+    text = np.array([p.chars / p.nodes for p in own])
+    marks = np.array([(p.marks + 0.5) / p.nodes for p in own])
+    fused = np.sqrt(text * marks * smoothed(text, settings.smooth) * smoothed(marks, settings.smooth))
+    free = np.maximum([1 - p.linked / p.chars for p in own], settings.prior)
+    marked = {p.mark for p in own}
+    article = "article" if "article" in marked else "main" if "main" in marked else ""
+    outside = np.array([bool(article) and p.mark != article for p in own])
+    aside = np.array([p.aside for p in own])
+    return fused * free * np.where(aside, settings.prior, 1.0) * np.where(outside, settings.prior, 1.0)
+
+
+def content_paths(paths: list[Path], order: list[int], settings: Settings) -> set[int]:
+    """Content nodes, those whose fused ratio reaches the threshold, and what belongs to them."""
+    if not order:
+        return set()
+    fused = fused_ratios(paths, order, settings)
+    weight = np.array([paths[k].chars for k in order], float)
+    least = settings.threshold * float((fused * weight).sum() / weight.sum())
+    nodes = {k for k, f in zip(order, fused) if f >= least}
+    articles = {paths[k].mark for k in nodes if not paths[k].aside} - {""}
+    if articles:  # the rest of the article, but for asides below the threshold
+        return nodes | {k for k in order if paths[k].mark in articles and not paths[k].aside}
+    # text and links of each path with all below it; parents have lower numbers
+    chars, linked = np.array([p.chars for p in paths]), np.array([p.linked for p in paths])
+    beside = np.zeros(len(paths), bool)  # under the parent of a content node
+    beside[[max(paths[k].parent, 0) for k in nodes]] = True
+    for k in range(len(paths) - 1, 0, -1):
+        chars[paths[k].parent] += chars[k]
+        linked[paths[k].parent] += linked[k]
+    listed = np.zeros(len(paths), bool)  # in a part that is links for the most
+    for k in range(1, len(paths)):
+        up = paths[k].parent
+        listed[k] = listed[up] or (beside[up] and linked[k] >= settings.link_share * max(chars[k], 1))
+        beside[k] |= beside[up]
+    return nodes | {k for k in order if beside[paths[k].parent] and not listed[k] and not paths[k].aside and paths[k].tag in PARTS}
 
 
 def main_text(page: str | None, settings: Settings = Settings()) -> str:
@@ -258,8 +272,8 @@ def main_text(page: str | None, settings: Settings = Settings()) -> str:
         rest = entities.unescape(re.sub(r"<[^<>]*>", " ", parser.rawdata))
         parser.part.append(rest)
         parser._end_block()
-    good = content_paths(parser.paths, settings)
-    return " ".join(text for key, text in parser.blocks if key in good)
+    good = content_paths(parser.paths, list(dict.fromkeys(k for k, _ in parser.blocks)), settings)
+    return " ".join(text for k, text in parser.blocks if k in good)
 
 
 def extract_pages(pages: DataFrame, settings: Settings | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -32,7 +32,7 @@ class MixSettings:
     features: int = 64
     min_documents: int = 5
     smoothing: float = 0.5
-    steps: int = 60
+    steps: int = 30
     tolerance: float = 1e-4
 
 
@@ -158,7 +158,7 @@ def fit_rates(groups: DataFrame, targets: list[float], settings: MixSettings) ->
         sums = groups.select("tokens", "p", rate.alias("rate")).agg(*[F.coalesce(F.sum(F.col("tokens") * p[i] * F.col("rate")), F.lit(0.0)).alias(f"s{i}") for i in range(d)]).first()
         miss = np.array([float(x) for x in sums]) - goal
         size, energy = float(np.abs(miss).sum()), float(miss @ metric @ miss)
-        if size <= settings.tolerance * wanted or len(steps) >= settings.steps or energy > before * (1 - 1e-6):
+        if size <= settings.tolerance * wanted or len(steps) >= settings.steps or energy > before * (1 - 1e-3):
             break  # met, out of steps, or as near as nonnegative rates come
         before = energy
         steps.append((metric @ miss).tolist())

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm.html import extract_pages, main_text, smoothed
+from skein.llm.html import Blocks, Settings, extract_pages, fused_ratios, main_text, smoothed
 from skein.llm.langid import Encoder, Profile, held_out, letter_vectors, predict, train
 from skein.llm.mixing import MixSettings, fit_rates, labelled_domains, mix, mixed
 
@@ -64,6 +64,89 @@ def test_odd_pages(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+BARE = (
+    "<body><div><ul><li><a href=1>Home, sweet</a><li><a href=2>News, old</a></ul></div><div><h1>Title</h1>"
+    + "".join(f"<p>Sentence {i}, which is long enough to be content. " + "And another one, too. " * 12 + "</p>" for i in range(6))
+    + "<ol><li>one<li>two</ol></div><div>Copyright, 2020.</div>"
+)
+
+
+def test_the_ratio_decides():
+    sidebar = "<article><h1>T</h1><p>A paragraph, which is long enough. It goes on.</p><div class=sidebar>Other, things.</div><aside>More of it.</aside><p>The end, of it.</p></article>"
+    for page in (PAGE, BARE, sidebar):
+        assert main_text(page) != main_text(page, Settings(threshold=0.0))
+    assert main_text(sidebar) == "T A paragraph, which is long enough. It goes on. The end, of it."
+    # neither marks nor classes nor ids
+    got = main_text(BARE)
+    assert got.startswith("Title Sentence 0") and got.endswith("too. one two")
+    # an article that says little beside a long text isn't the page's
+    long = "A sentence, among many. " * 40
+    assert main_text(f"<div><p>{long}</p></div><article><a href=x>Teaser</a></article>") == long.strip()
+
+
+def test_path_sums_equal_brute_force():
+    """Sums over well-formed pages by a parser of four lines, and the fused ratios from them a path at a time."""
+    import re
+
+    rnd = random.Random(6)
+
+    def tree(depth):
+        tag = rnd.choice(["div", "p", "section", "article", "ul", "aside"] if depth < 4 else ["p"])
+        if tag == "p" or depth > 5:
+            text = " ".join(rnd.choice(["word", "and,", "so.", "long words"]) for _ in range(rnd.randint(1, 30)))
+            return f"<p>{text} <a>{'link' * rnd.randint(0, 3)}</a></p>"
+        return f"<{tag}>" + "".join(tree(depth + 1) for _ in range(rnd.randint(1, 4))) + f"</{tag}>"
+
+    for _ in range(30):
+        page, stack, want = tree(0) + tree(0), [], {}
+        for end, tag, text in re.findall(r"<(/?)(\w+)>([^<]*)", page):
+            stack.pop() if end else stack.append(tag)
+            if stack and stack[-1] in ("p", "a") and text:
+                key = "/".join(t for t in stack if t != "a")
+                sums = want.setdefault(key, [0, 0, 0, 0])
+                if stack[-1] == "p" and not end:
+                    sums[0] += 1
+                    sums[1] += len(text.strip())
+                    sums[2] += len(re.findall("[.,]", text))
+                if stack[-1] == "a":
+                    sums[1] += len(text) + 1 if text else 0
+                    sums[3] += len(text)
+        parser = Blocks()
+        parser.feed(page)
+        parser.close()
+
+        def name(k):
+            return (name(parser.paths[k].parent) + "/" if parser.paths[k].parent > 0 else "") + parser.paths[k].tag
+
+        order = list(dict.fromkeys(k for k, _ in parser.blocks))
+        got = {name(k): [p.nodes, p.chars, p.marks, p.linked] for k in order for p in [parser.paths[k]]}
+        assert got == want
+        text, marks = [want[name(k)][1] / want[name(k)][0] for k in order], [(want[name(k)][2] + 0.5) / want[name(k)][0] for k in order]
+        near = lambda v, i: sum(v[max(i - 1, 0) : i + 2]) / len(v[max(i - 1, 0) : i + 2])
+        fused = []
+        for i, k in enumerate(order):
+            steps = name(k).split("/")
+            f = (text[i] * marks[i] * near(text, i) * near(marks, i)) ** 0.5 * max(1 - want[name(k)][3] / want[name(k)][1], 0.001)
+            f *= 0.001 if "aside" in steps else 1
+            fused.append(f * (0.001 if "article" not in steps and any("article" in name(j).split("/") for j in order) else 1))
+        assert np.allclose(fused_ratios(parser.paths, order, Settings()), fused)
+
+
+@pytest.mark.parametrize("page", ["<div class=x>" * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<i><p>" + "<b>" * 50_000 + "</i>" * 50_000, "<div>" * 50_000 + "<li>a</li>" * 50_000, "<a><span class=ad>" * 50_000], ids=range(5))
+def test_deep_pages_in_bounded_time_and_memory(page):
+    import time
+    import tracemalloc
+
+    start = time.perf_counter()
+    assert "deep, text." in main_text(page + "deep, text.")
+    assert time.perf_counter() - start < 20
+    tracemalloc.start()
+    main_text(page[: len(page) // 4])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+
+
 def test_smoothing_is_a_local_mean():
     assert smoothed(np.array([3.0, 0.0, 6.0, 9.0]), 1).tolist() == [1.5, 3.0, 5.0, 7.5]
 
