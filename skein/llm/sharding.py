@@ -1,8 +1,9 @@
 """Sharding by histogram sort, near-equal in bytes.
 
-Rows are ordered by (hash of the text, hash of the document's id). Candidate boundaries are probed all at once:
-the exact bytes below each are counted over all partitions, and the intervals that hold the splitters shrink until
-each splitter meets the tolerance. Then rows are exchanged once, straight to their places in the global order.
+Rows are ordered by (hash of the text, hash of the document's id). Candidate boundaries between shards are probed all at
+once: the exact bytes below each are counted over all partitions, and the intervals that hold the splitters shrink until
+each splitter meets the tolerance. Then rows are exchanged once, each shard dealt over places by hash; what the driver
+holds depends on the number of shards alone.
 Equal texts stay in one shard unless their group alone would break the tolerance; such a group is cut by the second hash.
 """
 
@@ -12,14 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import fresh_name, stored
+from skein.llm.common import fresh_names, stored
 
 SHARDS, TOLERANCE, PROBES = 8, 0.01, 31
-#: Bytes of text that one task sorts; a shard is cut into so many places that none has much more.
-PLACE_BYTES = 32 << 20
+#: Bytes of text that one task is dealt, while there are no more than so many places; beyond that places grow.
+PLACE_BYTES, MOST_PLACES = 64 << 20, 100_000
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -89,7 +90,7 @@ def _place(key: Column, second: Column, splitters: list[tuple[int, int]], first:
     return F.when(at_or_past, _place(key, second, splitters[m + 1 :], first + m + 1)).otherwise(_place(key, second, splitters[:m], first))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, key: str = "doc_id", text: str = "text", place_bytes: int = PLACE_BYTES) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, key: str = "doc_id", text: str = "text", place_bytes: int = PLACE_BYTES, most_places: int = MOST_PLACES) -> DataFrame:
     """`docs` with columns size (UTF-8 bytes of the text and 1), shard (0 to shards - 1) and slot (gapless from 0 in each shard).
 
     Names that clash get an underscore. Each shard's bytes differ from the mean by `tolerance` of it at most, unless
@@ -101,9 +102,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, k
     first, second = F.xxhash64(body.isNull(), body), F.xxhash64(F.lit("second"), ident)
     digest = stored(docs.select(first.alias("first"), second.alias("second"), size.alias("size")), "shard_keys")
     total = digest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    per_shard = max(1, -(-total // (shards * place_bytes)))
-    n = shards * per_shard
-    targets = [total * i // n for i in range(1, n)]
+    targets = [total * i // shards for i in range(1, shards)]
     splitters: list[tuple[int, int]] = []
     if total:
         slack = tolerance * total / shards / 2
@@ -117,22 +116,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, k
             for i, (p, _, _) in zip(own, refine(group, "second", [targets[i] for i in own], slack, base, base + held)):
                 splitters[i] = (hot, p)
     splitters.sort()
-    rows = {r.place: r.n for r in digest.groupBy(_place(F.col("first"), F.col("second"), splitters).alias("place")).agg(F.count("*").alias("n")).collect()}  # n rows at most
-    before, running = [], 0
-    for i in range(n):
-        running = 0 if i % per_shard == 0 else running
-        before.append(running)
-        running += rows.get(i, 0)
-
-    names: list[str] = []
-    for name in ("size", "shard", "slot", "place", "first", "second"):
-        names.append(fresh_name([*docs.columns, *names], name))
-    size_, shard_, slot_, place_, first_, second_ = names
+    # equal rows share a place; all others of a shard, copies of one text included, are dealt over its places evenly
+    per_shard = max(1, min(-(-total // (shards * place_bytes)), most_places // shards))
+    n = shards * per_shard
+    place = lambda first, second: (_place(first, second, splitters) * per_shard + F.pmod(F.xxhash64(F.lit("place"), first, second), F.lit(per_shard))).cast("int")
+    counts = digest.groupBy(place(F.col("first"), F.col("second")).alias("place")).agg(F.count("*").alias("n"))  # `most_places` rows at most
+    earlier = Window.partitionBy(F.floor(F.col("place") / per_shard)).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    size_, shard_, slot_, place_, first_, second_, index_, start_ = fresh_names(docs.columns, "size", "shard", "slot", "place", "first", "second", "index", "start")
+    starts = stored(counts.select(F.col("place").alias(place_), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(start_)), "places")
     q = lambda c: F.col(f"`{c}`")
     keyed = docs.withColumns({size_: size, first_: first, second_: second})
-    keyed = keyed.withColumn(place_, _place(q(first_), q(second_), splitters))
+    keyed = keyed.withColumn(place_, place(q(first_), q(second_)))
     # the only exchange of rows; a place is a partition, so the row's index in it gives its slot
-    sent = keyed.repartitionById(n, q(place_).cast("int")).sortWithinPartitions(first_, second_)
-    index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    starts = F.array(*[F.lit(x).cast("long") for x in before])
-    return sent.select(*[q(c) for c in docs.columns], q(size_), F.floor(q(place_) / per_shard).cast("int").alias(shard_), (F.get(starts, q(place_)) + index).alias(slot_))
+    sent = keyed.repartitionById(n, q(place_)).sortWithinPartitions(first_, second_).withColumn(index_, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    slotted = sent.join(F.broadcast(starts), place_)  # bounded by `most_places`
+    return slotted.select(*[q(c) for c in docs.columns], q(size_), F.floor(q(place_) / per_shard).cast("int").alias(shard_), (q(start_) + q(index_)).alias(slot_))
