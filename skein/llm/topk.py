@@ -1,24 +1,28 @@
 """Exact top-k inner-product search: ball-tree branch and bound per shard.
 
-Candidates are hashed into shards, each with a ball tree. Blocks of queries meet stripes of shards: a task
-searches the shards of its stripe one after another and carries each query's current k-th score from one to the
-next, and the first stripe's k-th scores start the search of all others. Nodes are ordered by the upper bound
-q.c + |q| r of the inner product; those below the k-th score are never opened.
+Candidates that lie near each other share a shard, each with a ball tree; a shard is found by a few comparisons that a
+bounded sample fixed. Groups of queries meet the shards' root balls first: a query searches the stripe of shards with the
+highest bound q.c + |q| r, and then, with the k-th score of that, only the stripes whose bound still reaches it. A task
+searches the shards of its stripe one after another and carries each query's current k-th score from one to the next.
+Nodes are ordered by their bound; those below the k-th score are never opened.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import stored
 
-SHARD_ROWS, STRIPE_SHARDS, BLOCK_QUERIES, LEAF_ROWS = 4096, 16, 512, 128
+SHARD_ROWS, LEAF_ROWS = 4096, 128
+#: Largest stripe and group of queries; smaller ones where there would be fewer than two cells for each partition.
+STRIPE_SHARDS, GROUP_QUERIES = 16, 32_768
+#: Roots that a group of queries meets at a time, and rows of the sample that the split into cells is learned from.
+PACK_ROOTS, SAMPLE_ROWS, SAMPLED_LENGTHS, CELLS = 4096, 4096, 64, 256
 _LONG = (1 << 63) - 1
 
 
@@ -159,7 +163,8 @@ def _trees(group: pa.Table) -> pa.Table:
     order = np.argsort(ids, kind="stable")
     t = BallTree.build(points[order], ids[order])
     raw = lambda a: pa.array([np.ascontiguousarray(a).tobytes()], pa.binary())
-    return pa.table({"dims": group["dims"][:1], "shard": group["shard"][:1], "points": raw(t.points), "ids": raw(t.ids), "center": raw(t.center), "radius": raw(t.radius), "nodes": raw(np.stack([t.left, t.lo, t.hi]))})
+    keys = {c: group[c][:1] for c in ("dims", "cell", "part")}
+    return pa.table(keys | {"points": raw(t.points), "ids": raw(t.ids), "center": raw(t.center), "radius": raw(t.radius), "nodes": raw(np.stack([t.left, t.lo, t.hi])), "root": pa.array([t.center[0]], pa.list_(pa.float64())), "reach": pa.array([float(t.radius[0])])})
 
 
 def _tree(row: dict) -> BallTree:
@@ -169,28 +174,86 @@ def _tree(row: dict) -> BallTree:
     return BallTree(np.frombuffer(row["points"]).reshape(len(ids), -1), ids, np.frombuffer(row["center"]).reshape(len(radius), -1), radius, left, lo, hi)
 
 
-def _searched(k: int):
-    """One row for each block and stripe: the stripe's shards come one row after another."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = queries = ids = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if best is None:
-                    ids, known = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["known"])
-                    queries = np.frombuffer(row["queries"]).reshape(len(ids), -1)
-                    best = Best.empty(len(ids), k)
-                search(_tree(row), queries, ids, known, best)
-        if best is not None:
-            at = np.nonzero(best.used)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at[0]]), pa.array(best.ids[at]), pa.array([int(s) for s in best.score[at]], pa.int64())], names=["query_id", "vec_id", "score"])
+def split_cells(sample: np.ndarray, cells: int) -> list:
+    """A tree of comparisons [axis, value, below, else], or a cell's number, that cuts the sample at the medians of its widest axes."""
+    count = iter(range(2 * cells))
+
+    def cut(points: np.ndarray, many: int):
+        spread = points.max(0) - points.min(0) if len(points) else np.zeros(0)
+        if many < 2 or not spread.size or spread.max() == 0:
+            return next(count)
+        axis = int(spread.argmax())
+        value = float(np.median(points[:, axis]))
+        low = points[:, axis] < value
+        if not low.any():
+            value = float(points[:, axis][points[:, axis] > value].min())
+            low = points[:, axis] < value
+        return [axis, value, cut(points[low], many // 2), cut(points[~low], many - many // 2)]
+
+    return cut(sample, cells)
+
+
+def _cell(tree, v: Column) -> Column:
+    if not isinstance(tree, list):
+        return F.lit(tree)
+    axis, value, below, other = tree
+    return F.when(F.get(v, F.lit(axis)) < F.lit(value), _cell(below, v)).otherwise(_cell(other, v))
+
+
+def _cells(sized: DataFrame, shard_rows: int) -> Column:
+    """The cell of a vector (dims, v). Only how many nodes a search opens depends on it, not what it finds: lengths that few
+    vectors have, or that aren't among the commonest, are one cell."""
+    common = sized.groupBy("dims").agg(F.count("*").alias("n")).filter(F.col("n") > shard_rows).orderBy(F.desc("n"), "dims").limit(SAMPLED_LENGTHS).collect()
+    out = F.lit(0)
+    for r in common:
+        own = sized.filter(F.col("dims") == r.dims).orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").collect()
+        cells = min(CELLS, 1 << max(0, (r.n // shard_rows).bit_length()))
+        out = F.when(F.col("dims") == r.dims, _cell(split_cells(np.array([x.v for x in own]), cells), F.col("v"))).otherwise(out)
+    return out
+
+
+def _bounds(best_only: bool):
+    """Which stripes a group of queries has to search: the one of the highest bound, or all others that reach the k-th score."""
+    kind = pa.schema([("vec_id", pa.int64()), ("stripe", pa.int64()), ("bound", pa.float64())])
+
+    def run(asked: pa.Table, roots: pa.Table) -> pa.Table:
+        if not len(asked) or not len(roots):
+            return kind.empty_table()
+        ids, known, done, queries = np.array(asked["vec_id"]), np.array(asked["known"]), np.array(asked["done"]), _matrix(asked["v"])
+        stripe, center, reach = np.array(roots["stripe"]), _matrix(roots["root"]), np.array(roots["reach"])
+        order = np.argsort(stripe, kind="stable")
+        names, first = np.unique(stripe[order], return_index=True)
+        out = []
+        for lo in range(0, len(ids), 512):
+            q = queries[lo : lo + 512]
+            b = q @ center.T + np.sqrt((q**2).sum(1))[:, None] * reach
+            b = np.maximum.reduceat((b + 1e-9 * np.abs(b) + 1e-6)[:, order], first, axis=1)  # with room for rounding
+            if best_only:
+                x, y = np.arange(len(q)), b.argmax(1)
+            else:
+                x, y = np.nonzero((b >= known[lo : lo + 512, None]) & (names[None, :] != done[lo : lo + 512, None]))
+            out.append((ids[lo : lo + 512][x], names[y], b[x, y]))
+        return pa.table([np.concatenate([o[i] for o in out]) for i in range(3)], schema=kind)
 
     return run
 
 
-def _blocks(group: pa.Table) -> pa.Table:
-    raw = lambda a: pa.array([np.ascontiguousarray(a).tobytes()], pa.binary())
-    return pa.table({"dims": group["dims"][:1], "block": group["block"][:1], "query_ids": raw(np.array(group["vec_id"])), "queries": raw(_matrix(group["v"])), "known": raw(np.array(group["known"]))})
+def _searched(k: int):
+    """The k best of each query in a stripe, whose shards are searched by falling bound of their roots."""
+    kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def run(asked: pa.Table, trees: pa.Table) -> pa.Table:
+        if not len(asked) or not len(trees):
+            return kind.empty_table()
+        ids, known, queries = np.array(asked["vec_id"]), np.array(asked["known"]), _matrix(asked["v"])
+        best = Best.empty(len(ids), k)
+        bound = queries.mean(0) @ _matrix(trees["root"]).T + np.sqrt((queries**2).sum(1).max()) * np.array(trees["reach"])
+        for i in np.argsort(-bound, kind="stable").tolist():
+            search(_tree(trees.slice(i, 1).to_pylist()[0]), queries, ids, known, best)
+        at = np.nonzero(best.used)
+        return pa.table([pa.array(ids[at[0]]), pa.array(best.ids[at]), pa.array([int(s) for s in best.score[at]], pa.int64())], schema=kind)
+
+    return run
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -200,39 +263,55 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     of queries with one id the smallest counts, and repeated vectors are candidates each. With fewer candidates
     than k all are returned; empty tables give no rows. A score beyond a long is held to it.
     """
-    shards = lambda n: F.greatest(F.lit(1), F.ceil(n / shard_rows)).cast("long")
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sized = stored(vectors.withColumn("dims", F.size("v")), "vectors")
-    lengths = sized.groupBy("dims").agg(F.count("*").alias("n")).withColumn("shards", shards(F.col("n"))).withColumn("stripes", F.ceil(F.col("shards") / STRIPE_SHARDS).cast("long"))
-    placed = sized.join(lengths, "dims").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")))
-    trees = stored(
-        placed.select("dims", "shard", "vec_id", "v").groupBy("dims", "shard").applyInArrow(_trees, "dims int, shard long, points binary, ids binary, center binary, radius binary, nodes binary"), "ball_trees"
-    )
-    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
-    counted = asked.groupBy("dims").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("long").alias("blocks"))
-    asked = stored(asked.join(counted, "dims").join(lengths.select("dims", "stripes"), "dims").withColumn("block", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), "blocks")), "queries")
-
-    def wave(asked: DataFrame, stripes) -> DataFrame:
-        blocks = asked.select("dims", "block", "vec_id", "v", "known").groupBy("dims", "block").applyInArrow(_blocks, "dims int, block long, query_ids binary, queries binary, known binary")
-        cells = blocks.join(lengths.select("dims", "stripes"), "dims").withColumn("stripe", F.explode(stripes)).drop("stripes")
-        own = trees.join(lengths.select("dims", "stripes"), "dims").withColumn("stripe", F.pmod("shard", "stripes")).drop("stripes")
-        return cells.join(own, ["dims", "stripe"]).groupBy("dims", "block", "stripe").applyInArrow(_grouped(_searched(k)), "query_id long, vec_id long, score long")
-
-    first = stored(wave(asked.withColumn("known", F.lit(float("-inf"))), F.array(F.lit(0).cast("long"))), "first_stripe")
-    known = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("kth"), F.count("*").alias("found"))
-    more = asked.join(known, "vec_id", "left").withColumn("known", F.when(F.col("found") == k, F.col("kth").cast("double")).otherwise(float("-inf")))
-    rest = wave(more, F.when(F.col("stripes") > 1, F.sequence(F.lit(1).cast("long"), F.col("stripes") - 1)).otherwise(F.array().cast("array<bigint>")))
+    celled = sized.withColumn("cell", _cells(sized, shard_rows))
+    parts = celled.groupBy("dims", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("parts"))  # SAMPLED_LENGTHS * CELLS rows, and one for each other length
+    placed = celled.join(parts, ["dims", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    built = placed.select("dims", "cell", "part", "vec_id", "v").groupBy("dims", "cell", "part")
+    trees = stored(built.applyInArrow(_trees, "dims int, cell int, part long, points binary, ids binary, center binary, radius binary, nodes binary, root array<double>, reach double"), "ball_trees")
+    asked = stored(queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v")), "queries")
+    shards, wanted = trees.count(), asked.count()
+    stripe_shards = min(STRIPE_SHARDS, max(1, shards // (2 * partitions)))
+    groups = max(1, -(-wanted // min(GROUP_QUERIES, max(512, -(-wanted // (2 * partitions))))))
+    # shards by number, near ones after each other: three numbers a shard
+    number = F.row_number().over(Window.partitionBy("dims").orderBy("cell", "part")) - 1
+    named = trees.select("dims", "cell", "part").withColumn("number", number).select("dims", "cell", "part", F.floor(F.col("number") / stripe_shards).alias("stripe"), F.floor(F.col("number") / PACK_ROOTS).alias("pack"))
+    trees = stored(trees.join(named, ["dims", "cell", "part"]), "stripes")
+    packs = trees.select("dims", "pack").distinct()
+    asked = asked.withColumn("group", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(groups)))
+
+    def cogrouped(left: DataFrame, right: DataFrame, *keys: str):
+        # a number of partitions that is asked for stays, however small the rows are: a cell is much work
+        own = right.withColumnsRenamed({k: f"{k}_of_tree" for k in keys})
+        other = [f"{k}_of_tree" for k in keys]
+        return left.repartition(partitions, *keys).groupBy(*keys).cogroup(own.repartition(partitions, *other).groupBy(*other))
+
+    def stripes(asked: DataFrame, best_only: bool) -> DataFrame:
+        """(vec_id, stripe) that _bounds names for the queries (vec_id, v, dims, group, known, done)."""
+        met = asked.join(packs, "dims")
+        roots = trees.select("dims", "pack", "stripe", "root", "reach").join(met.select("dims", "pack", "group").distinct(), ["dims", "pack"])
+        live = cogrouped(met, roots, "dims", "pack", "group").applyInArrow(_bounds(best_only), "vec_id long, stripe long, bound double")
+        live = live.groupBy("vec_id").agg(F.max_by("stripe", F.struct("bound", "stripe")).alias("stripe")) if best_only else live.select("vec_id", "stripe")
+        return stored(live, "live_stripes")
+
+    def searched(asked: DataFrame, live: DataFrame) -> DataFrame:
+        """The k best of each query in each of its live stripes. A stripe's trees are sent to a group of queries if one of them is live there."""
+        pairs, cell = live.join(asked, "vec_id"), ["dims", "stripe", "group"]
+        sent = trees.drop("cell", "part", "pack").join(pairs.select(*cell).distinct(), ["dims", "stripe"])
+        return cogrouped(pairs.select(*cell, "vec_id", "v", "known"), sent, *cell).applyInArrow(_searched(k), "query_id long, vec_id long, score long")
+
+    fresh = asked.withColumns({"known": F.lit(float("-inf")), "done": F.lit(-1).cast("long")})
+    chosen = stripes(fresh, True)
+    first = stored(searched(fresh, chosen), "first_stripe")
+    kth = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("kth"), F.count("*").alias("found"))
+    tops = asked.join(chosen.withColumnRenamed("stripe", "done"), "vec_id").join(kth, "vec_id", "left")
+    tops = tops.withColumn("known", F.when(F.col("found") == k, F.col("kth").cast("double")).otherwise(float("-inf"))).drop("kth", "found")
+    rest = searched(tops, stripes(tops, False))
     ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _grouped(run):
-    def grouped(group: pa.Table) -> pa.Table:
-        found = list(run(group.to_batches(max_chunksize=1)))
-        return pa.Table.from_batches(found, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
-
-    return grouped
-
-
 ORACLE = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e

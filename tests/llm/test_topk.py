@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from skein.llm.topk import BallTree, Best, quantized, search, top_k
+from skein.llm.topk import BallTree, Best, quantized, search, split_cells, top_k
 
 
 def brute(rows, queries, k):
@@ -52,3 +52,38 @@ def test_bounds_prune():
 def test_empty(spark):
     vectors = quantized(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert top_k(vectors, vectors).collect() == []
+
+
+def test_cells_hold_near_vectors_and_all_of_them():
+    rng = np.random.default_rng(3)
+    points = rng.normal(0, 100, (3000, 5))
+    tree = split_cells(points, 16)
+
+    def cell(t, p):
+        return cell(t[2] if p[t[0]] < t[1] else t[3], p) if isinstance(t, list) else t
+
+    sizes = np.bincount([cell(tree, p) for p in points])
+    assert len(sizes) == 16 and sizes.min() > 150
+    assert split_cells(np.ones((50, 3)), 8) == 0 and split_cells(np.zeros((0, 3)), 8) == 0
+
+
+def test_far_stripes_are_not_searched(spark):
+    """Clusters far from each other: the bounds leave a query its own cluster's stripes alone."""
+    rng = np.random.default_rng(7)
+    centers = rng.normal(0, 40, (8, 6))
+    rows = [(i, (centers[i % 8] + rng.normal(0, 0.1, 6)).tolist()) for i in range(1600)]
+    vectors = quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    asked = vectors.filter("vec_id % 100 = 0")
+    seen = []
+    from skein.llm import topk
+
+    kept = topk.stored
+    topk.stored = lambda df, label: seen.append((label, out := kept(df, label))) or out
+    try:
+        got = top_k(vectors, asked, 10, 40).collect()
+    finally:
+        topk.stored = kept
+    assert sorted(map(tuple, got)) == brute(rows, range(0, 1600, 100), 10)
+    live = [df.count() for label, df in seen if label == "live_stripes"]
+    stripes = next(df for label, df in seen if label == "stripes").select("stripe").distinct().count()
+    assert live[0] == 16 and live[1] < 16 * (stripes - 1) / 2
