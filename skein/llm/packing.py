@@ -169,7 +169,8 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, en
             pad = padded[np.searchsorted(edges, sequence, side="right") - 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset), pa.array(pad)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"])
 
-    ranked = pieces.join(before, ["length", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("local") + F.col("earlier")).alias("rank"))
+    # the counts grow with the partitions, so they are merged, never broadcast
+    ranked = pieces.join(before.hint("merge"), ["length", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("local") + F.col("earlier")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long")
 
 

@@ -28,6 +28,8 @@ from skein.llm.tokens import encoder, tokenizer_path
 # Fixed values of the seekable format: skippable frame magics, footer magic, checksum flag.
 SKIP_INDEX, SKIP_TABLE, SEEK_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_BYTES, LEVEL = 1 << 18, 1
+#: Bytes of text, and what a row counts besides, that a file holds about; rows that a reader gives at a time.
+FILE_BYTES, ROW_BYTES, READ_ROWS = 256 << 20, 64, 1 << 16
 _INDEX = np.dtype([("doc", "<i8"), ("known", "u1"), ("tokens", "<u8"), ("frame", "<u4")])
 
 
@@ -138,15 +140,19 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     """Encode `docs` and write one file for each range of doc_id to `folder`; returns the manifest.
 
     Ids ascend over the files in order of `part` and inside each; equal ids stand by text, null ids come first,
-    null text counts as empty (its only token is `end_id`). The manifest (part, path, n_docs, n_tokens) lists the
-    files that hold; a task that runs again writes a file of another name, so lost executors do no harm.
+    null text counts as empty (its only token is `end_id`). The manifest (part, path, n_docs, n_tokens, first_id, last_id) lists
+    the files that hold; a task that runs again writes a file of another name, so lost executors do no harm. There are as
+    many files as shuffle partitions, and more where a file would hold more than FILE_BYTES.
     """
     spark, path = docs.sparkSession, tokenizer or tokenizer_path()
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = files
+    if n is None:
+        total = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + ROW_BYTES)).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
     dealt = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, enc, docs, tokens = TaskContext.get().partitionId(), encoder(path), 0, 0
+        part, enc, docs, tokens, ends = TaskContext.get().partitionId(), encoder(path), 0, 0, []
         store, where = _store(folder)
         store.create_dir(where, recursive=True)
         name = f"{where}/tokens-{part:06d}-{uuid.uuid4().hex}.zst"
@@ -154,6 +160,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         for batch in batches:
             keys = batch.column(0)
             known = np.array(keys.is_valid())
+            if keys.null_count < len(keys):
+                ends = [*ends[:1], *keys.drop_null()[:: max(1, len(keys) - keys.null_count - 1)].to_pylist()]
             values = np.array(keys.fill_null(0))
             for lo, hi, ids, offsets in enc.encode(batch.column(1).to_pylist()):
                 if writer is None:
@@ -166,9 +174,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         if writer is not None:
             writer.close()
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64()), pa.array([ends[0] if ends else None], pa.int64()), pa.array([ends[-1] if ends else None], pa.int64())], names=["part", "path", "n_docs", "n_tokens", "first_id", "last_id"])
 
-    return stored(dealt.mapInArrow(run, "part int, path string, n_docs long, n_tokens long"), "token_manifest")
+    return stored(dealt.mapInArrow(run, "part int, path string, n_docs long, n_tokens long, first_id long, last_id long"), "token_manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -185,13 +193,47 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 with store.open_input_file(path) as source:
                     reader = Reader(source, source.size())
                     crcs = np.fromiter((zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in reader.documents()), np.int64, len(reader.index))
-                keys = pa.array(reader.index["doc"], mask=reader.index["known"] == 0)
-                yield pa.RecordBatch.from_arrays([keys, pa.array(start + reader.before[:-1]), pa.array(reader.index["tokens"].astype(np.int64)), pa.array(crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                for lo in range(0, len(crcs), READ_ROWS):
+                    own = slice(lo, min(lo + READ_ROWS, len(crcs)))
+                    keys = pa.array(reader.index["doc"][own], mask=reader.index["known"][own] == 0)
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(start + reader.before[:-1][own]), pa.array(reader.index["tokens"][own].astype(np.int64)), pa.array(crcs[own])], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return listed.select("path", "start").repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def read_documents(manifest: DataFrame, folder: str, wanted: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, ids) of the documents of the files in `manifest` whose ids `wanted` holds: only the frames that hold them are read and
+    decompressed, each once. Ids that no file has and null ids give no row; rows that share an id are all given.
+    """
+    spark = manifest.sparkSession
+    files = manifest.filter(F.col("first_id").isNotNull()).orderBy("part").select("path", "first_id", "last_id").collect()  # a row for each file
+    sent = spark.sparkContext.broadcast(([f.path for f in files], np.array([f.first_id for f in files], np.int64), np.array([f.last_id for f in files], np.int64)))
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, first, last = sent.value
+        for batch in batches:
+            ids = np.array(batch.column(0))
+            at = np.searchsorted(first, ids, side="right") - 1
+            held = np.flatnonzero((at >= 0) & (ids <= last[np.maximum(at, 0)])) if len(first) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([paths[k] for k in at[held]], pa.string()), pa.array(ids[held])], names=["path", "doc_id"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = _store(folder)
+        for batch in batches:
+            for path, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_input_file(path) as source:
+                    reader = Reader(source, source.size())
+                    rows = np.flatnonzero((reader.index["known"] == 1) & np.isin(reader.index["doc"], ids))
+                    for lo in range(0, len(rows), 1024):
+                        some = [(int(reader.index["doc"][r]), x.astype(np.int64)) for r, x in reader.documents(rows[lo : lo + 1024].tolist())]
+                        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array([x for _, x in some], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    asked = wanted.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    # the ids asked of a file are one row: never more than the file has documents of
+    return asked.mapInArrow(locate, "path string, doc_id long").groupBy("path").agg(F.collect_list("doc_id").alias("ids")).mapInArrow(read, "doc_id long, ids array<long>")
+
+
 def token_output(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, folder: str | None = None) -> DataFrame:
     """Write `docs` (doc_id, text) as token files and return what read_token_files finds in them."""
     folder = folder or fresh_path(docs.sparkSession, "tokens")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from skein.llm.packing import CapacityTree, best_fit, pack, plan_lengths
-from skein.llm.tokenfile import CorruptFrame, Reader, token_output, write_token_files
+from skein.llm.tokenfile import CorruptFrame, Reader, read_documents, token_output, write_token_files
 from skein.llm.tokens import Encoder, tokenizer_path
 
 PARTS = ["a", "b", "Z", " ", "  ", "\n", "\t", "'", "'s", "'ll", "'re", "don't", "é", "1", "23", "²", "!", "..", "_", " ", "日本", "😀", "<|endoftext|>", " 's", "ß", "́", "'ve", "\x00", "\x1c"]
@@ -66,6 +66,17 @@ def test_token_files_round_trip(spark, tokenizer, tmp_path):
         Reader(io.BytesIO(raw[:-1]), len(raw) - 1)
 
 
+def test_only_requested_documents_are_read(spark, tokenizer, tmp_path):
+    docs, rows = table(spark)
+    folder = f"file://{tmp_path}/tokens"
+    manifest = write_token_files(docs, folder)
+    asked = [0, 9, 15, 18, 300, 301, 10**9, -4, None]
+    got = read_documents(manifest, folder, spark.createDataFrame([(i,) for i in asked], "doc_id long")).collect()
+    want = [(r[0], [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0]) for r in rows if r[0] in asked and r[0] is not None]
+    assert sorted((r.doc_id, list(r.ids)) for r in got) == sorted(want)
+    assert read_documents(manifest, folder, spark.createDataFrame([], "doc_id long")).collect() == []
+
+
 def test_packing_is_whole_and_gapless(spark, tokenizer):
     docs, rows = table(spark)
     got = pack(docs, window=256).collect()
