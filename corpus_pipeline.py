@@ -18,14 +18,15 @@ from skein.llm.secrets import redact, scan_secrets
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null and empty texts too, for they have no words. An empty table gives no rows."""
     return quality_filter(docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the least id stays, of repeated rows one; a row without an id has its hash as id.
 
-    Different texts under one id are documents of their own.
+    Different texts under one id are documents of their own. Null and empty texts are near no other and stay, one row of each id. An
+    empty table gives no rows.
     """
     id_ = fresh_name(docs.columns, "id")
     key = fresh_name([*docs.columns, id_], "key")
@@ -37,18 +38,19 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts give way to a mask; n_chars follows."""
+    """Secrets in the texts give way to a mask; n_chars follows. All rows stay, null texts as they are; an empty table gives no rows."""
     found = scan_secrets(docs)
     return redact(found, found=found.columns[-1], n_chars="n_chars" if "n_chars" in docs.columns else None).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay as often as their fitted rates say: all of the clean domain, and more, less of the toxic and the low."""
+    """Documents stay as often as their fitted rates say: all of the clean domain, and more, less of the toxic and the low. Null texts
+    have the prior as posterior; an empty table gives no rows."""
     return mixed(docs, labelled_domains(table(spark, sf_dir, "labels")), whole="clean")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences; a null text is its end id alone, an empty table gives no rows."""
     return pack(docs)
 
 

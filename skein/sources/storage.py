@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a default one only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/skein_checkpoints").rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a local session gets one of its own and a cluster an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a shared folder")
+        found = f"file://{tempfile.gettempdir()}/skein_checkpoints"  # one machine: its own folder is shared
+    return found.rstrip("/")
 
 
 def written(df: DataFrame, label: str = "step") -> DataFrame:
