@@ -8,9 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RRF_K, NOISE_FLOOR = 10, 0.05
-# Prices in dollars per million tokens (input, output, cache write, cache read), first match by name wins.
-PRICES = (("large", 15.0, 75.0, 18.75, 1.5), ("medium", 3.0, 15.0, 3.75, 0.3), ("small", 0.8, 4.0, 1.0, 0.08))
-OTHER_PRICE = (3.0, 15.0, 3.75, 0.3)
+# Prices in dollars per million tokens (input, cache write, cache read, output) by what a model's name, in lower case
+# without dashes and underscores, matches; the first match wins, and the last row is for all others.
+PRICES = (
+    ("claudefable", 10.0, 12.50, 1.00, 50.0),
+    ("claudeopus4(?!1)", 5.0, 6.25, 0.50, 25.0),
+    ("claudeopus41|claudeopus3", 15.0, 18.75, 1.50, 75.0),
+    ("claudesonnet", 3.0, 3.75, 0.30, 15.0),
+    ("claudehaiku45", 1.0, 1.25, 0.10, 5.0),
+    ("claudehaiku3", 0.25, 0.30, 0.03, 1.25),
+    ("", 3.0, 3.75, 0.30, 15.0),
+)
+INPUT, CACHE_WRITE, CACHE_READ, OUTPUT = range(4)
 # Least score of each grade.
 GRADES = ((0.70, "A"), (0.50, "B"), (0.30, "C"), (0.10, "D"))
 
@@ -34,12 +43,11 @@ def grade(score: Column) -> Column:
 
 
 def price(model: Column, which: int) -> Column:
-    """Price per token of input (0), output (1), cache writes (2) or cache reads (3)."""
-    out = None
-    for name, *prices in PRICES:
-        hit = model.contains(name)
-        out = F.when(hit, prices[which] / 1e6) if out is None else out.when(hit, prices[which] / 1e6)
-    return out.otherwise(OTHER_PRICE[which] / 1e6)
+    """Price per token of INPUT, CACHE_WRITE, CACHE_READ or OUTPUT."""
+    name, out = F.regexp_replace(F.lower(model), "[-_]", ""), None
+    for pattern, *prices in PRICES:
+        out = F.when(name.rlike(pattern), prices[which] / 1e6) if out is None else out.when(name.rlike(pattern), prices[which] / 1e6)
+    return F.coalesce(out, F.lit(PRICES[-1][1 + which] / 1e6))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ Edges are (src, dst, kind); nodes have id.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 
 import pandas as pd
@@ -31,15 +32,15 @@ def directed(edges: DataFrame, direction: str = "out", kinds: list[str] | None =
     return out if direction == "out" else back if direction == "in" else out.unionByName(back)
 
 
-def reachable(steps: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """(root, id, depth) of every id within max_depth steps (a, b) of a root, at its least depth; roots aren't their own.
+def reachable(steps: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFrame:
+    """(root, id, depth) of every id within max_depth steps (a, b) of a root, however far if None, at its least depth; roots aren't their own.
 
-    `starts` is (root, id). Ids without a node are walked through.
+    `starts` is (root, id). Ids without a node are walked through. The steps are written once, for each layer reads them.
     """
-    steps = steps.select(c("a").alias("id"), "b").distinct()
+    steps = written(steps.select(c("a").alias("id"), "b").distinct(), "steps")
     front = written(starts.select("root", "id").distinct(), "frontier")
     seen = front.withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         new = front.join(steps, "id").select("root", c("b").alias("id")).distinct().join(seen, ["root", "id"], "left_anti")
         front = written(new, "frontier")
         if front.isEmpty():
@@ -82,7 +83,7 @@ def resolve(nodes: DataFrame, needles: DataFrame) -> DataFrame:
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10, direction: str = "out", kinds: list[str] | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(root, id, depth, path): one shortest path from each root to each id (to `targets` (root, id) if given), the parents discovered first winning ties."""
-    steps = directed(edges, direction, kinds).select(c("a").alias("id"), "b").distinct()
+    steps = written(directed(edges, direction, kinds).select(c("a").alias("id"), "b").distinct(), "steps")
     front = written(starts.select("root", "id", F.array("id").alias("path")).distinct(), "paths")
     seen = front
     for _ in range(max_depth):
@@ -104,7 +105,7 @@ def subgraph(edges: DataFrame, nodes: DataFrame, starts: DataFrame, max_depth: i
     max_nodes is a feature of the answer: what a reader can take in.
     """
     own = nodes.select("id")
-    steps = directed(edges, direction, kinds).select(c("a").alias("id"), "b").distinct()
+    steps = written(directed(edges, direction, kinds).select(c("a").alias("id"), "b").distinct(), "steps")
     front = written(starts.select("id").distinct().join(own, "id", "left_semi").orderBy("id").limit(max_nodes), "layer")
     kept, n, cut = front.withColumn("depth", F.lit(0)), front.count(), False
     for depth in range(1, max_depth + 1):
@@ -236,10 +237,28 @@ def taint(edges: DataFrame, nodes: DataFrame, sources: list[str], sinks: list[st
     return reached.join(ends, "id", "left_semi").filter("root <> id").select(c("root").alias("source"), c("id").alias("sink"), c("depth").alias("hops"))
 
 
-def waves(tasks: DataFrame, deps: DataFrame, max_waves: int = 200) -> DataFrame:
+def cyclic(deps: DataFrame) -> DataFrame:
+    """(id) of the tasks (id, dep) that lie in a cycle, however long. What nothing depends on, and what depends on nothing, is taken
+    away until nothing more goes; only among what is left are reachable pairs looked for."""
+    left = written(deps.select("id", "dep").distinct(), "deps")
+    size = left.count()
+    while size:
+        both = left.join(left.select(c("dep").alias("id")).distinct(), "id", "left_semi").join(left.select(c("id").alias("dep")).distinct(), "dep", "left_semi")
+        left = written(both.select("id", "dep"), "deps")
+        before, size = size, left.count()
+        if size == before:
+            break
+    steps = left.select(c("id").alias("a"), c("dep").alias("b"))
+    reached = reachable(steps, left.select(c("id").alias("root"), "id").distinct(), None).select("root", "id")
+    # roots aren't their own, so the last step of a cycle is joined; a task that depends on itself is one
+    closed = reached.join(steps.select(c("a").alias("id"), c("b").alias("root")), ["root", "id"], "left_semi").select(c("root").alias("id"))
+    return closed.union(left.filter("id = dep").select("id")).distinct()
+
+
+def waves(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """(id, wave): topological layers from 0; tasks in a cycle, behind one, or with a missing dependency have a null wave."""
     left, done, pending = tasks.select("id"), None, deps.select("id", "dep").distinct()
-    for wave in range(max_waves):
+    for wave in itertools.count():
         ready = written(left.join(pending.select("id"), "id", "left_anti"), "wave")
         if ready.isEmpty():
             break

@@ -49,25 +49,38 @@ def calibration(usage: DataFrame) -> DataFrame:
 def turn_costs(turns: DataFrame) -> DataFrame:
     """`turns` with actual_cost, cost_no_cache and write_overhead in dollars."""
     p = lambda i: S.price(c("model"), i)
-    actual = c("cache_write_tokens") * p(2) + c("cache_read_tokens") * p(3) + c("input_tokens") * p(0) + c("output_tokens") * p(1)
-    plain = (c("cache_write_tokens") + c("cache_read_tokens") + c("input_tokens")) * p(0) + c("output_tokens") * p(1)
-    return turns.withColumns({"actual_cost": actual, "cost_no_cache": plain, "write_overhead": c("cache_write_tokens") * (p(2) - p(0))})
+    actual = c("cache_write_tokens") * p(S.CACHE_WRITE) + c("cache_read_tokens") * p(S.CACHE_READ) + c("input_tokens") * p(S.INPUT) + c("output_tokens") * p(S.OUTPUT)
+    plain = (c("cache_write_tokens") + c("cache_read_tokens") + c("input_tokens")) * p(S.INPUT) + c("output_tokens") * p(S.OUTPUT)
+    return turns.withColumns({"actual_cost": actual, "cost_no_cache": plain, "write_overhead": c("cache_write_tokens") * (p(S.CACHE_WRITE) - p(S.INPUT))})
 
 
 def session_costs(turns: DataFrame) -> DataFrame:
-    """Per session: turns, the last turn's model, hit rate, costs, savings and grade."""
+    """Per session: turns, the last turn's model, hit rate, costs, savings, efficiency (the hit rate weighted by how much of what is
+    read and cached is cached) and its grade."""
     s = turn_costs(turns).groupBy("session_id").agg(
         F.count("*").alias("n_turns"), F.max_by("model", F.struct("seq", "model")).alias("model"), F.sum("cache_read_tokens").alias("read"), F.sum("cache_write_tokens").alias("write"), F.sum("input_tokens").alias("input"),
         F.sum("actual_cost").alias("actual"), F.sum("cost_no_cache").alias("plain"), F.sum("write_overhead").alias("overhead"),
     )
     hit = F.when(c("read") + c("write") > 0, c("read") / (c("read") + c("write"))).otherwise(0.0)
-    saved = c("plain") - c("actual")
+    saved, cached = c("plain") - c("actual"), c("read") + c("write")
+    score = F.when(c("input") + 2 * cached > 0, hit * cached / (c("input") + 2 * cached)).otherwise(0.0)
     return s.select(
         "session_id", "n_turns", "model", F.round(hit, 3).alias("hit_rate"), F.round("actual", 4).alias("actual_cost"), F.round(saved, 4).alias("savings"), F.round(saved - c("overhead"), 4).alias("net_savings"),
-        F.round(F.when(c("plain") > 0, saved / c("plain") * 100).otherwise(0.0), 1).alias("savings_pct"), S.grade(hit).alias("grade"),
+        F.round(F.when(c("plain") > 0, saved / c("plain") * 100).otherwise(0.0), 1).alias("savings_pct"), F.round(score, 3).alias("efficiency"), S.grade(score).alias("grade"),
     )
 
 
+def portfolio_costs(turns: DataFrame, top: int = 10) -> DataFrame:
+    """One row for the `top` sessions (turns have session_id, seq) of the latest turns: how many, what they cost in all, what the cache saved, and the mean hit rate."""
+    latest = turns.groupBy("session_id").agg(F.max("seq").alias("last")).orderBy(F.desc("last"), "session_id").limit(top).select("session_id")
+    own = turn_costs(turns.join(F.broadcast(latest), "session_id"))  # `top` rows
+    each = own.groupBy("session_id").agg(F.sum("cache_read_tokens").alias("read"), F.sum("cache_write_tokens").alias("write"), F.sum("actual_cost").alias("actual"), F.sum("cost_no_cache").alias("plain"), F.sum("write_overhead").alias("overhead"))
+    hit = F.when(c("read") + c("write") > 0, c("read") / (c("read") + c("write"))).otherwise(0.0)
+    all_ = each.agg(F.count("*").alias("sessions"), F.sum("actual").alias("a"), F.sum("plain").alias("p"), F.sum("overhead").alias("o"), F.avg(hit).alias("h"))
+    pct = F.when(c("p") > 0, (c("p") - c("a")) / c("p") * 100).otherwise(0.0)
+    return all_.select("sessions", F.round("a", 4).alias("actual_cost"), F.round("p", 4).alias("cost_no_cache"), F.round(c("p") - c("a"), 4).alias("savings"), F.round(c("p") - c("a") - c("o"), 4).alias("net_savings"), F.round(pct, 1).alias("savings_pct"), F.round("h", 3).alias("hit_rate"))
+
+
 def enforcement_report(events: DataFrame) -> DataFrame:
     """One row: events in all, blocks, overrides, and overrides / blocks to two decimals."""
     n = lambda e: F.count_if(c("event") == e)
@@ -75,6 +88,31 @@ def enforcement_report(events: DataFrame) -> DataFrame:
     return events.agg(F.count("*").alias("total_events"), blocks.alias("blocks"), overrides.alias("overrides"), F.round(F.when(blocks > 0, overrides / blocks).otherwise(0.0), 2).alias("fp_risk"))
 
 
+def glob_regex(glob: str) -> str | None:
+    """The pattern of a shell glob over the whole value: `*`, `**`, `?` and classes; null if a class isn't closed or stars are three."""
+    import re
+
+    out, i = "", 0
+    while i < len(glob):
+        x = glob[i]
+        if x == "*":
+            n = len(glob) - i - len(glob[i:].lstrip("*"))
+            if n > 2:
+                return None
+            out, i = out + "(?s:.*)", i + n
+        elif x == "?":
+            out, i = out + "(?s:.)", i + 1
+        elif x == "[":
+            end = glob.find("]", i + 3 if glob[i + 1 : i + 2] == "!" else i + 2)
+            if end < 0:
+                return None
+            inside = glob[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("^", "\\^")
+            out, i = out + ("[^" + inside[1:] if inside.startswith("!") else "[" + inside) + "]", end + 1
+        else:
+            out, i = out + re.escape(x), i + 1
+    return f"^(?:{out})$"
+
+
 def rule_holds(field: Column, op: str, value: str) -> Column:
     """One condition; a missing field or a pattern that isn't one fails, even for not_contains."""
     import re
@@ -86,8 +124,7 @@ def rule_holds(field: Column, op: str, value: str) -> Column:
             return F.lit(False)
         out = field.rlike(value)
     elif op == "glob":
-        body = re.escape(value).replace(r"\*", ".*").replace(r"\?", ".")
-        out = field.rlike(f"^(?:{body})$")
+        out = field.rlike(glob_regex(value)) if glob_regex(value) else F.lit(False)
     elif op == "contains":
         out = field.contains(value)
     elif op == "not_contains":
@@ -117,6 +154,68 @@ def rule_gate(events: DataFrame, rules: list[dict], key: str, tool: str) -> Data
     return events.select(key, F.when(block.isNotNull(), "block").when(warn.isNotNull(), "warn").otherwise("allow").alias("decision"), F.coalesce(block, warn).alias("rule"))
 
 
+# The rules that a project starts with: id, enforcement, matcher, conditions (field, operator, value), action, stateful.
+DEFAULT_RULES = (
+    ("no-edit-claude", "prompt", "Edit|Write", (("file_path", "contains", ".claude/"),), "block", None),
+    ("no-bare-unwrap", "prompt", "Edit|Write", (("new_string", "regex", r"\bunwrap\(\)"),), "warn", None),
+    ("no-todo-unimplemented", "prompt", "Edit|Write", (("new_string", "regex", r"\b(todo!|unimplemented!)"),), "warn", None),
+    ("no-git-add-force", "prompt", "Bash", (("command", "regex", r"git\s+add\s+(-f|--force)"),), "block", None),
+    ("warn-git-add-all", "prompt", "Bash", (("command", "regex", r"git\s+add\s+(-A|\.)"),), "warn", None),
+    ("no-git-stash", "hook", "Bash", (("command", "regex", r"git\s+stash"),), "block", None),
+    ("no-force-push-main", "hook", "Bash", (("command", "regex", r"git\s+push.*--force.*(main|master)"),), "block", None),
+    ("no-skip-hooks", "hook", "Bash", (("command", "regex", r"--no-verify"),), "block", None),
+    ("require-memory-impact", "hook", "Edit|Write", (), "block", "require-memory-impact"),
+    ("require-detect-changes", "hook", "Bash", (), "block", "require-detect-changes"),
+    ("no-git-add-ignored", "hook", "Bash", (), "block", "no-git-add-ignored"),
+)
+
+
+def default_rules() -> list[dict]:
+    """DEFAULT_RULES as rule_gate() takes them, all enabled."""
+    return [{"id": i, "enforcement": e, "matcher": m, "conditions": list(conditions), "action": a, "stateful": s, "enabled": True} for i, e, m, conditions, a, s in DEFAULT_RULES]
+
+
+def rules_table(spark, rules: list[dict]) -> DataFrame:
+    """Rules as rows (ord, id, enforcement, matcher, action, stateful, enabled)."""
+    names = ("id", "enforcement", "matcher", "action", "stateful", "enabled")
+    return spark.createDataFrame([(i, *(r.get(n) for n in names)) for i, r in enumerate(rules)], "ord long, id string, enforcement string, matcher string, action string, stateful string, enabled boolean")
+
+
+def rule_layers(base: DataFrame, over: DataFrame) -> DataFrame:
+    """The rules of `over` in the places of those of `base` with their ids, its others after them; of repeated ids of a layer the last of
+    `over` and the first of `base` counts where `over` has it."""
+    from skein.operators.relational import overlay
+
+    first = base.groupBy("id").agg(F.min_by(F.struct(*[c(x) for x in base.columns if x != "id"]), "ord").alias("r")).select("r.*", "id").select(*base.columns)
+    last = over.groupBy("id").agg(F.max_by(F.struct(*[c(x) for x in over.columns if x != "id"]), "ord").alias("r")).select("r.*", "id").select(*base.columns)
+    return overlay(first, last, "id", "ord")
+
+
+def stateful_enabled(rules: DataFrame, asked: DataFrame) -> DataFrame:
+    """(stateful, enabled) of each asked one: whether the first rule of that state is there and enabled."""
+    first = rules.filter("stateful IS NOT NULL").groupBy("stateful").agg(F.min_by("enabled", "ord").alias("on"))
+    return asked.join(first, "stateful", "left").select("stateful", F.coalesce("on", F.lit(False)).alias("enabled"))
+
+
+def review_route(requested: Column, review: Column, conflict: Column, reason: Column, strict: Column, size: Column, room: Column) -> Column:
+    """Where a new memory goes: staged if that is asked for, in review mode or against a trigger that is there; else rejected if the
+    content policy has a reason against it and is strict, or the file has no room; else appended, with a warning or without."""
+    return F.when(requested | review | conflict, "staged").when(reason.isNotNull() & strict, "rejected").when(size > room, "over_capacity").when(reason.isNotNull(), "appended_with_warning").otherwise("appended")
+
+
+def addon_skip(addon: dict[str, Column], stack: Column, task: Column, role: Column) -> Column:
+    """Why an addon (stacks, task_types, exclude_task_types, roles, exclude_roles: arrays, empty for any; gate: boolean) isn't used; null if it is."""
+    none = lambda a: F.size(a) == 0
+    return (
+        F.when(~none(addon["stacks"]) & ~F.arrays_overlap(addon["stacks"], stack), "stack")
+        .when(F.array_contains(addon["exclude_task_types"], task), "excluded_task_type")
+        .when(~none(addon["task_types"]) & ~F.array_contains(addon["task_types"], task), "task_type")
+        .when(F.array_contains(addon["exclude_roles"], role), "excluded_role")
+        .when(~none(addon["roles"]) & ~F.array_contains(addon["roles"], role), "role")
+        .when(~addon["gate"], "gate")
+    )
+
+
 def plan_violations(tasks: DataFrame, deps: DataFrame, most_tokens: int = 80_000) -> DataFrame:
     """(id, violation): one row for each constraint that a task breaks."""
     checks = F.array_compact(F.array(F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "name_missing"), F.when(c("budget_tokens") > most_tokens, "budget_too_large"), F.when(c("budget_tokens") <= 0, "budget_not_positive"), F.when(~c("status").isin("pending", "running", "completed", "failed", "skipped"), "status_unknown")))

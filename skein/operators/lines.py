@@ -102,9 +102,9 @@ def built_in() -> Registry:
     r.register("cargo", None, lambda x: without_blanks(dropping(x, *BUILD_NOISE)))
     r.register("npm", None, lambda x: dropping(x, *PACKAGE_NOISE))
     r.register("ls", None, lambda x: sandwich(x, 80, 40, 200))
-    r.register("find", None, lambda x: F.when(F.size(x) > 500, F.concat(head(x, 500), F.array(F.format_string(MARKER, F.size(x) - 500)))).otherwise(x))
+    r.register("cat", None, lambda x: F.when(F.size(x) > 500, F.concat(head(x, 500), F.array(F.format_string(MARKER, F.size(x) - 500)))).otherwise(x))
     r.register("grep", None, lambda x: sandwich(collapsed(x), 200, 60, 300))
-    r.register("cat", None, lambda x: sandwich(x, 200, 60, 300))
+    r.register("find", None, lambda x: sandwich(x, 200, 60, 300))
     return r
 
 

@@ -131,3 +131,11 @@ def purge_path(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame
     gone = nodes.filter(c("path") == path).select("id")
     left = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
     return nodes.filter(c("path") != path), left.select(*edges.columns)
+
+
+def event_trace(rows: DataFrame, topic: str, role: str, who: str) -> DataFrame:
+    """Who emits and who subscribes to each topic, each once, with `others`: how many are on its other side. Emitters aren't joined
+    with subscribers, for a topic that all share would give all pairs."""
+    each = rows.select(topic, role, who).distinct()
+    sides = each.groupBy(topic).agg(F.count_if(c(role) == "emits").alias("emitters"), F.count_if(c(role) == "subscribes").alias("subscribers"))
+    return each.join(sides, topic).select(topic, role, who, F.when(c(role) == "emits", c("subscribers")).otherwise(c("emitters")).alias("others"))

@@ -45,27 +45,42 @@ def _(t):
     return t.usage.rollup("session_id").agg(F.sum("actual").alias("tokens"), F.count("*").alias("tasks"))
 
 
+# input, cache write, cache read and output of each model of the sample, written out here so that the SQL checks the operator's table
+_PRICES = {"claude-opus-4-1": (15.0, 18.75, 1.5, 75.0), "claude-sonnet-4": (3.0, 3.75, 0.3, 15.0), "Claude_Haiku_4_5": (1.0, 1.25, 0.1, 5.0), "other": (3.0, 3.75, 0.3, 15.0)}
+
+
 def _price(i: int) -> str:
-    p = {"large": (15.0, 75.0, 18.75, 1.5), "medium": (3.0, 15.0, 3.75, 0.3), "small": (0.8, 4.0, 1.0, 0.08)}
-    return "(CASE " + " ".join(f"WHEN contains(model, '{k}') THEN CAST({v[i]} AS DOUBLE) / 1e6" for k, v in p.items()) + " END)"
+    return "(CASE model " + " ".join(f"WHEN '{k}' THEN CAST({v[i]} AS DOUBLE) / 1e6" for k, v in _PRICES.items()) + " END)"
 
 
-_ACTUAL = f"(cache_write_tokens * {_price(2)} + cache_read_tokens * {_price(3)} + input_tokens * {_price(0)} + output_tokens * {_price(1)})"
-_PLAIN = f"((cache_write_tokens + cache_read_tokens + input_tokens) * {_price(0)} + output_tokens * {_price(1)})"
+_ACTUAL = f"(cache_write_tokens * {_price(1)} + cache_read_tokens * {_price(2)} + input_tokens * {_price(0)} + output_tokens * {_price(3)})"
+_PLAIN = f"((cache_write_tokens + cache_read_tokens + input_tokens) * {_price(0)} + output_tokens * {_price(3)})"
+_SESSIONS = f"""s AS (SELECT session_id, count(*) AS n_turns, max(seq) AS last, split_part(max(printf('%09d|%s', seq, model)), '|', 2) AS model, sum(input_tokens) AS i, sum(cache_read_tokens) AS r, sum(cache_write_tokens) AS w, sum({_ACTUAL}) AS actual, sum({_PLAIN}) AS plain,
+      sum(cache_write_tokens * ({_price(1)} - {_price(0)})) AS o FROM {{turn_usage}} GROUP BY session_id),
+    h AS (SELECT *, CASE WHEN r + w > 0 THEN r / (r + w) ELSE 0.0 END AS hit, CASE WHEN r + w > 0 THEN r / (r + w) ELSE 0.0 END * (r + w) / (i + 2 * (r + w)) AS score FROM s)"""
 
 
 @query(
     "a09_session_costs",
-    f"""WITH s AS (SELECT session_id, count(*) AS n_turns, split_part(max(printf('%09d|%s', seq, model)), '|', 2) AS model, sum(cache_read_tokens) AS r, sum(cache_write_tokens) AS w, sum({_ACTUAL}) AS actual, sum({_PLAIN}) AS plain, sum(cache_write_tokens * ({_price(2)} - {_price(0)})) AS o FROM {{turn_usage}} GROUP BY session_id),
-    h AS (SELECT *, CASE WHEN r + w > 0 THEN r / (r + w) ELSE 0.0 END AS hit FROM s)
-    SELECT session_id, n_turns, model, round(hit, 3) AS hit_rate, round(actual, 4) AS actual_cost, round(plain - actual, 4) AS savings, round(plain - actual - o, 4) AS net_savings, round((plain - actual) / plain * 100, 1) AS savings_pct,
-      CASE WHEN hit >= 0.7 THEN 'A' WHEN hit >= 0.5 THEN 'B' WHEN hit >= 0.3 THEN 'C' WHEN hit >= 0.1 THEN 'D' ELSE 'F' END AS grade FROM h""",
+    f"""WITH {_SESSIONS}
+    SELECT session_id, n_turns, model, round(hit, 3) AS hit_rate, round(actual, 4) AS actual_cost, round(plain - actual, 4) AS savings, round(plain - actual - o, 4) AS net_savings, round((plain - actual) / plain * 100, 1) AS savings_pct, round(score, 3) AS efficiency,
+      CASE WHEN score >= 0.7 THEN 'A' WHEN score >= 0.5 THEN 'B' WHEN score >= 0.3 THEN 'C' WHEN score >= 0.1 THEN 'D' ELSE 'F' END AS grade FROM h""",
 )
 def _(t):
     # one row of a key and number may be there twice in the sample; the later model by name then counts as last
     return L.session_costs(t.turn_usage)
 
 
+@query(
+    "a10_portfolio_costs",
+    f"""WITH {_SESSIONS}, k AS (SELECT * FROM h ORDER BY last DESC, session_id LIMIT 10)
+    SELECT count(*) AS sessions, round(sum(actual), 4) AS actual_cost, round(sum(plain), 4) AS cost_no_cache, round(sum(plain) - sum(actual), 4) AS savings, round(sum(plain) - sum(actual) - sum(o), 4) AS net_savings,
+      round((sum(plain) - sum(actual)) / sum(plain) * 100, 1) AS savings_pct, round(avg(hit), 3) AS hit_rate FROM k""",
+)
+def _(t):
+    return L.portfolio_costs(t.turn_usage)
+
+
 @query("a12_enforcement_report", "SELECT count(*) AS total_events, count(*) FILTER (event = 'enforcement_block') AS blocks, count(*) FILTER (event = 'enforcement_override') AS overrides, round(count(*) FILTER (event = 'enforcement_override') / count(*) FILTER (event = 'enforcement_block'), 2) AS fp_risk FROM {enforcement}")
 def _(t):
     return L.enforcement_report(t.enforcement)

@@ -63,14 +63,14 @@ def _(t):
     return t.events.select("event_id", M.compacted_json("props").alias("props"))
 
 
-@query("c24_json_patch", "SELECT event_id, concat('{\"k\":', event_id, ',\"tags\":[\"a\",', json_extract(props, '$.k'), ']}') AS patched FROM {events} WHERE event_id < 2000")
+@query("c24_json_patch", "SELECT event_id, concat('{\"k\":', event_id, ',\"tags\":[\"a\",', json_extract(props, '$.k'), ']}') AS patched FROM {events}")
 def _(t):
     old = F.try_variant_get(F.try_parse_json("props"), "$.k", "string")
     patch = F.concat(F.lit('[{"op":"test","path":"/k","value":'), old, F.lit('},{"op":"add","path":"/tags","value":["a"]},{"op":"copy","from":"/k","path":"/tags/-"},{"op":"replace","path":"/k","value":'), c("event_id").cast("string"), F.lit("}]"))
-    return t.events.filter("event_id < 2000").select("event_id", M.patched_json("props", patch).alias("patched"))
+    return t.events.select("event_id", M.patched_json("props", patch).alias("patched"))
 
 
-_STATEMENTS = "SELECT concat('o', l_orderkey) AS fn, CAST(min(l_linenumber) AS INT) AS line, concat('let p', min(l_partkey) % 4, ' = f(p', min(l_suppkey) % 4, ')') AS text FROM {lineitem} WHERE l_orderkey % 5 = 0 GROUP BY l_orderkey, l_linenumber"
+_STATEMENTS = "SELECT concat('o', l_orderkey) AS fn, CAST(min(l_linenumber) AS INT) AS line, concat('let p', min(l_partkey) % 4, ' = f(p', min(l_suppkey) % 4, ')') AS text FROM {lineitem} GROUP BY l_orderkey, l_linenumber"
 
 
 @query(

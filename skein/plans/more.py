@@ -50,9 +50,9 @@ def _(t):
     return t.turns.groupBy("session_id").agg(F.count("*").alias("n")).filter("n < 5").orderBy("session_id").limit(20)
 
 
-@query("s28_usage_lines", "SELECT session_id, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens FROM {turn_usage} WHERE model = 'large-model' GROUP BY session_id")
+@query("s28_usage_lines", "SELECT session_id, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens FROM {turn_usage} WHERE model = 'claude-opus-4-1' GROUP BY session_id")
 def _(t):
-    return t.turn_usage.filter("model = 'large-model'").groupBy("session_id").agg(F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"))
+    return t.turn_usage.filter("model = 'claude-opus-4-1'").groupBy("session_id").agg(F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"))
 
 
 @query("s34_table_rows", "SELECT p_partkey, p_name AS cell FROM {part}")
@@ -156,9 +156,9 @@ def _(t):
     return t.usage.groupBy("session_id").agg(F.sum("actual").alias("tokens"), F.count_if(c("complexity") == "high").alias("high"), F.floor(F.sum("actual") / F.count("*")).alias("per_task"))
 
 
-@query("a11_token_tally", "SELECT model, CAST(sum(CASE WHEN model = 'large-model' THEN greatest(input_tokens - cache_read_tokens, 0) ELSE input_tokens END) AS BIGINT) AS tokens FROM {turn_usage} GROUP BY model")
+@query("a11_token_tally", "SELECT model, CAST(sum(CASE WHEN model = 'claude-opus-4-1' THEN greatest(input_tokens - cache_read_tokens, 0) ELSE input_tokens END) AS BIGINT) AS tokens FROM {turn_usage} GROUP BY model")
 def _(t):
-    own = F.when(c("model") == "large-model", F.greatest(c("input_tokens") - c("cache_read_tokens"), F.lit(0))).otherwise(c("input_tokens"))
+    own = F.when(c("model") == "claude-opus-4-1", F.greatest(c("input_tokens") - c("cache_read_tokens"), F.lit(0))).otherwise(c("input_tokens"))
     return t.turn_usage.groupBy("model").agg(F.sum(own).alias("tokens"))
 
 
@@ -194,9 +194,20 @@ def _(t):
 # scalars
 
 
-@query("c18_prices", "SELECT DISTINCT model, CASE model WHEN 'large-model' THEN 15.0 WHEN 'medium-model' THEN 3.0 ELSE 0.8 END::DOUBLE AS dollars FROM {turn_usage}")
+# every class of prices by a name of its own, an unknown one and names that only look alike
+_MODELS = {"claude-fable-1": (10.0, 12.5, 1.0, 50.0), "Claude_Opus_4_5": (5.0, 6.25, 0.5, 25.0), "claude-opus-4-1-x": (15.0, 18.75, 1.5, 75.0), "claude-opus-3": (15.0, 18.75, 1.5, 75.0), "claude-sonnet-4": (3.0, 3.75, 0.3, 15.0), "CLAUDE-HAIKU-4-5": (1.0, 1.25, 0.1, 5.0), "claude-haiku-3": (0.25, 0.3, 0.03, 1.25), "claude-haiku-4": (3.0, 3.75, 0.3, 15.0), "gpt": (3.0, 3.75, 0.3, 15.0)}
+_MODEL_ROWS = ", ".join(f"('{m}', {', '.join(map(str, p))})" for m, p in _MODELS.items())
+
+
+@query(
+    "c18_prices",
+    f"""WITH m(model, i, w, r, o) AS (VALUES {_MODEL_ROWS}), k AS (SELECT *, row_number() OVER (ORDER BY model) - 1 AS k FROM m)
+    SELECT p_partkey, model, CAST(i AS DOUBLE) AS input, CAST(w AS DOUBLE) AS cache_write, CAST(r AS DOUBLE) AS cache_read, CAST(o AS DOUBLE) AS output FROM {{part}} JOIN k ON k = p_partkey % {len(_MODELS)}""",
+)
 def _(t):
-    return t.turn_usage.select("model").distinct().select("model", F.round(S.price(c("model"), 0) * 1e6, 6).alias("dollars"))
+    model = F.get(F.array(*[F.lit(m) for m in sorted(_MODELS)]), (c("p_partkey") % len(_MODELS)).cast("int"))
+    rows = t.part.select("p_partkey", model.alias("model"))
+    return rows.select("p_partkey", "model", *[F.round(S.price(c("model"), i) * 1e6, 6).alias(n) for i, n in enumerate(("input", "cache_write", "cache_read", "output"))])
 
 
 @query("c23_map_merge", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'patched' ELSE event_type END AS kind FROM {events}")
@@ -238,12 +249,6 @@ def _(t):
     return near.select("id", F.round(1.0 / (1 + c("d")), 6).alias("score"))
 
 
-@query("g12_call_bridge", "SELECT DISTINCT e.src, e.dst FROM {edges} e JOIN {nodes} n ON n.id = e.src WHERE e.kind = 'calls' AND contains(n.path, 'order') AND contains(concat('use ', e.dst), '1')")
-def _(t):
-    own = t.nodes.filter(c("path").contains("order")).select(c("id").alias("src"))
-    return t.edges.filter("kind = 'calls'").join(own, "src").filter(F.concat(F.lit("use "), "dst").contains("1")).select("src", "dst").distinct()
-
-
 @query("g17_incident_edges", "SELECT src, dst, kind FROM {edges} WHERE src = 'part::p3' OR dst = 'part::p3'")
 def _(t):
     return t.edges.filter((c("src") == "part::p3") | (c("dst") == "part::p3"))

@@ -55,23 +55,17 @@ def _(t):
 
 @query(
     "j10_alias_resolution",
-    """WITH leafs AS (SELECT split_part(id, '::', -1) AS leaf, min(id) AS fqn FROM {nodes} GROUP BY 1), calls AS (SELECT l_orderkey, l_linenumber, concat(CASE WHEN l_partkey % 3 = 0 THEN 's' ELSE 'p' END, l_partkey) AS callee FROM {lineitem} WHERE l_orderkey % 10 = 0),
+    """WITH leafs AS (SELECT split_part(id, '::', -1) AS leaf, min(id) AS fqn FROM {nodes} GROUP BY 1), calls AS (SELECT l_orderkey, l_linenumber, concat(CASE WHEN l_partkey % 3 = 0 THEN 's' ELSE 'p' END, l_partkey) AS callee FROM {lineitem}),
     alias AS (SELECT concat('p', p_partkey) AS name, concat('alias::p', p_partkey) AS target FROM {part} WHERE p_partkey % 10 = 0)
     SELECT l_orderkey, l_linenumber, coalesce(a.target, f.fqn, callee) AS resolved FROM calls LEFT JOIN alias a ON a.name = callee LEFT JOIN leafs f ON f.leaf = callee""",
 )
 def _(t):
     leafs = t.nodes.groupBy(X.last_segment(c("id")).alias("callee")).agg(F.min("id").alias("fqn"))
     alias = t.part.filter("p_partkey % 10 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("callee"), F.concat(F.lit("alias::p"), "p_partkey").alias("target"))
-    calls = t.lineitem.filter("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", F.concat(F.when(c("l_partkey") % 3 == 0, "s").otherwise("p"), "l_partkey").alias("callee"))
+    calls = t.lineitem.select("l_orderkey", "l_linenumber", F.concat(F.when(c("l_partkey") % 3 == 0, "s").otherwise("p"), "l_partkey").alias("callee"))
     return calls.join(alias, "callee", "left").join(leafs, "callee", "left").select("l_orderkey", "l_linenumber", F.coalesce("target", "fqn", "callee").alias("resolved"))
 
 
-@query("j11_constant_folding", "SELECT s_suppkey, p_name AS topic FROM {supplier} JOIN {part} ON p_partkey = s_suppkey * 2 WHERE p_size > 5")
-def _(t):
-    consts = t.part.filter("p_size > 5").select((c("p_partkey")).alias("k"), c("p_name").alias("topic"))
-    return t.supplier.withColumn("k", c("s_suppkey") * 2).join(consts, "k").select("s_suppkey", "topic")
-
-
 @query(
     "j12_overlay",
     """WITH g AS (SELECT n_nationkey AS id, n_name AS message, n_nationkey AS ord FROM {nation} WHERE n_nationkey < 15), p AS (SELECT n_nationkey AS id, concat('project ', n_name) AS message, 24 - n_nationkey AS ord FROM {nation} WHERE n_nationkey % 2 = 0)
@@ -125,11 +119,15 @@ def _(t):
     return R.capped_per_key(rows, ["id", "section"], [c("other")], 4)
 
 
-@query("j19_event_trace", "SELECT e.user_id AS emitter, s.user_id AS subscriber, e.event_type AS topic FROM (SELECT DISTINCT user_id, event_type FROM {events} WHERE event_id % 50 = 0) e JOIN (SELECT DISTINCT user_id, event_type FROM {events} WHERE event_id % 70 = 1) s USING (event_type)")
+@query(
+    "j19_event_trace",
+    """WITH r AS (SELECT DISTINCT event_type AS topic, CASE WHEN event_id % 2 = 0 THEN 'emits' ELSE 'subscribes' END AS role, user_id FROM {events}),
+    n AS (SELECT topic, count(*) FILTER (role = 'emits') AS emitters, count(*) FILTER (role = 'subscribes') AS subscribers FROM r GROUP BY topic)
+    SELECT topic, role, user_id, CASE role WHEN 'emits' THEN subscribers ELSE emitters END AS others FROM r JOIN n USING (topic)""",
+)
 def _(t):
-    emit = t.events.filter("event_id % 50 = 0").select(c("user_id").alias("emitter"), c("event_type").alias("topic")).distinct()
-    hear = t.events.filter("event_id % 70 = 1").select(c("user_id").alias("subscriber"), c("event_type").alias("topic")).distinct()
-    return emit.join(hear, "topic").select("emitter", "subscriber", "topic")
+    role = F.when(c("event_id") % 2 == 0, "emits").otherwise("subscribes")
+    return R.event_trace(t.events.select(c("event_type").alias("topic"), role.alias("role"), "user_id"), "topic", "role", "user_id")
 
 
 @query("j22_fuzzy_paths", "WITH u AS (SELECT path, split_part(path, '/', -1) AS leaf FROM (SELECT DISTINCT path FROM {nodes})) SELECT leaf, min(path) AS fixed FROM u GROUP BY leaf HAVING count(*) = 1")
@@ -243,20 +241,20 @@ def _(t):
 
 @query(
     "k01_node_upsert",
-    """WITH ch AS (SELECT concat('part::p', l_partkey) AS id, 'function' AS kind, concat('moved/', l_suppkey, '.ts') AS path, CAST(l_linenumber AS INT) AS line, l_orderkey * 10 + l_linenumber AS seq FROM {lineitem} WHERE l_orderkey < 500),
+    """WITH ch AS (SELECT concat('part::p', l_partkey) AS id, 'function' AS kind, concat('moved/', l_suppkey, '.ts') AS path, CAST(l_linenumber AS INT) AS line, l_orderkey * 10 + l_linenumber AS seq FROM {lineitem}),
     n AS (SELECT id, kind, path, line FROM ch QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC, path DESC) = 1)
     SELECT id, kind, path, line FROM {nodes} WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT id, kind, path, line FROM n""",
 )
 def _(t):
-    changes = t.lineitem.filter("l_orderkey < 500").select(
+    changes = t.lineitem.select(
         F.concat(F.lit("part::p"), "l_partkey").alias("id"), F.lit("function").alias("kind"), F.concat(F.lit("moved/"), "l_suppkey", F.lit(".ts")).alias("path"), c("l_linenumber").cast("int").alias("line"), F.struct(c("l_orderkey") * 10 + c("l_linenumber"), F.concat(F.lit("moved/"), "l_suppkey", F.lit(".ts"))).alias("seq")
     )
     return R.upsert(t.nodes, changes, ["id"], "seq")
 
 
-@query("k03_edge_upsert", "SELECT src, dst, kind FROM {edges} UNION SELECT concat('order::o', o_orderkey), concat('customer::c', o_custkey), 'references' FROM {orders} WHERE o_orderkey < 200")
+@query("k03_edge_upsert", "SELECT src, dst, kind FROM {edges} UNION SELECT concat('order::o', o_orderkey), concat('customer::c', o_custkey), 'subscribes' FROM {orders}")
 def _(t):
-    new = t.orders.filter("o_orderkey < 200").select(F.concat(F.lit("order::o"), "o_orderkey").alias("src"), F.concat(F.lit("customer::c"), "o_custkey").alias("dst"), F.lit("references").alias("kind"))
+    new = t.orders.select(F.concat(F.lit("order::o"), "o_orderkey").alias("src"), F.concat(F.lit("customer::c"), "o_custkey").alias("dst"), F.lit("subscribes").alias("kind"))
     return t.edges.unionByName(new).dropDuplicates(["src", "kind", "dst"])
 
 

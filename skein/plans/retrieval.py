@@ -86,12 +86,12 @@ def _(t):
 
 @query(
     "r10_fold_duplicates",
-    """WITH h AS (SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS symbol, value AS score FROM {events} WHERE event_id < 3000),
+    """WITH h AS (SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS symbol, value AS score FROM {events}),
     r AS (SELECT *, row_number() OVER (PARTITION BY user_id, symbol ORDER BY score DESC, event_id) AS rn, sum(score) OVER (PARTITION BY user_id, symbol) AS s FROM h)
     SELECT event_id, round(CASE WHEN symbol IS NULL THEN score ELSE s END, 6) AS score FROM r WHERE symbol IS NULL OR rn = 1""",
 )
 def _(t):
-    hits = t.events.filter("event_id < 3000").select("event_id", "user_id", F.when(c("event_type") != "error", c("event_type")).alias("symbol"), c("value").alias("score"))
+    hits = t.events.select("event_id", "user_id", F.when(c("event_type") != "error", c("event_type")).alias("symbol"), c("value").alias("score"))
     return Q.folded(hits, ["user_id", "symbol"], [c("score").desc(), c("event_id")]).select("event_id", F.round("score", 6).alias("score"))
 
 
@@ -112,9 +112,19 @@ def _(t):
     return R.capped_per_key(rows, ["label"], [c("distance"), c("id")], 3).orderBy("distance", "id").limit(10)
 
 
+# the words are written out here, not taken from the operator, so that the SQL checks them
+_TOPICS = {
+    "technical": "code,python,rust,function,bug,error,api,database,server,deploy,git,test,debug,refactor,compile,build,cargo,npm,typescript,javascript",
+    "architecture": "architecture,design,pattern,structure,schema,interface,module,component,service,layer,crate",
+    "planning": "plan,roadmap,milestone,deadline,priority,sprint,backlog,scope,requirement,spec,todo",
+    "decisions": "decided,chose,picked,switched,migrated,replaced,trade-off,alternative,option,approach,instead",
+    "problems": "problem,issue,broken,failed,crash,stuck,workaround,fix,solved,resolved",
+}
+
+
 def _topic_sql(x: str) -> str:
     low = f"translate(substring({x}, 1, 3000), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    n = {k: " + ".join(f"CAST(contains({low}, '{w}') AS INT)" for w in ws) for k, ws in Q.TOPICS.items()}
+    n = {k: f"len(list_filter(string_split('{ws}', ','), lambda w: contains({low}, w)))" for k, ws in _TOPICS.items()}
     best = f"greatest({', '.join(n.values())})"
     return f"CASE WHEN {best} = 0 THEN 'general' " + " ".join(f"WHEN {v} = {best} THEN '{k}'" for k, v in n.items()) + " END"
 

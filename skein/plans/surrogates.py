@@ -17,29 +17,13 @@ DERIVED = {
     "turns": "SELECT CAST(conv_id AS STRING) AS session_id, CAST(turn + 1 AS BIGINT) AS turn_number, role, text AS content FROM {conversations}",
     # symbols of a property graph; parts divisible by 50 are referred to but not defined
     "nodes": """
-        SELECT concat('region::', r_name) AS id, 'trait' AS kind, 'core/region.rs' AS path, CAST(r_regionkey AS INT) AS line FROM {region}
-        UNION ALL SELECT concat('nation::', n_name), 'type', 'core/nation.rs', CAST(n_nationkey AS INT) FROM {nation}
-        UNION ALL SELECT concat('customer::c', c_custkey), 'type', concat('crm/customer', c_custkey % 7, '.py'), CAST(c_custkey AS INT) FROM {customer}
-        UNION ALL SELECT concat('supplier::s', s_suppkey), 'function', concat('crm/supplier', s_suppkey % 3, '.py'), CAST(s_suppkey AS INT) FROM {supplier}
-        UNION ALL SELECT concat('part::p', p_partkey), 'function', concat('shop/part', p_partkey % 11, '.ts'), CAST(p_partkey AS INT) FROM {part} WHERE p_partkey % 50 <> 0
-        UNION ALL SELECT concat('order::o', o_orderkey), 'function', concat('shop/order', o_orderkey % 13, '.ts'), CAST(o_orderkey AS INT) FROM {orders} WHERE o_orderkey % 10 = 0""",
-    "edges": """
-        SELECT concat('nation::', n_name) AS src, concat('region::', r_name) AS dst, 'extends' AS kind FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
-        UNION SELECT concat('customer::c', c_custkey), concat('nation::', n_name), 'declared_in' FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
-        UNION SELECT concat('supplier::s', s_suppkey), concat('nation::', n_name), 'extends' FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
-        UNION SELECT concat('order::o', o_orderkey), concat('customer::c', o_custkey), 'references' FROM {orders} WHERE o_orderkey % 10 = 0
-        UNION SELECT concat('order::o', l_orderkey), concat('part::p', l_partkey), 'calls' FROM {lineitem} WHERE l_orderkey % 10 = 0
-        UNION SELECT concat('part::p', l_partkey), concat('supplier::s', l_suppkey), 'imports' FROM {lineitem} WHERE l_orderkey % 10 = 0 AND l_partkey % 50 <> 0
-        UNION SELECT concat('supplier::s', l_suppkey), concat('part::p', l_partkey), 'calls' FROM {lineitem} WHERE l_orderkey % 10 = 0 AND l_linenumber = 1""",
-    # the same graph from all orders and lineitem rows, for queries without SQL; nodes and edges hold the tenth that the SQL of the others fixes
-    "whole_nodes": """
         SELECT concat('region::', r_name) AS id, 'trait' AS kind, 'core/region.rs' AS path, CAST(r_regionkey AS INT) AS line FROM {region}
         UNION ALL SELECT concat('nation::', n_name), 'type', 'core/nation.rs', CAST(n_nationkey AS INT) FROM {nation}
         UNION ALL SELECT concat('customer::c', c_custkey), 'type', concat('crm/customer', c_custkey % 7, '.py'), CAST(c_custkey AS INT) FROM {customer}
         UNION ALL SELECT concat('supplier::s', s_suppkey), 'function', concat('crm/supplier', s_suppkey % 3, '.py'), CAST(s_suppkey AS INT) FROM {supplier}
         UNION ALL SELECT concat('part::p', p_partkey), 'function', concat('shop/part', p_partkey % 11, '.ts'), CAST(p_partkey AS INT) FROM {part} WHERE p_partkey % 50 <> 0
         UNION ALL SELECT concat('order::o', o_orderkey), 'function', concat('shop/order', o_orderkey % 13, '.ts'), CAST(o_orderkey AS INT) FROM {orders}""",
-    "whole_edges": """
+    "edges": """
         SELECT concat('nation::', n_name) AS src, concat('region::', r_name) AS dst, 'extends' AS kind FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
         UNION SELECT concat('customer::c', c_custkey), concat('nation::', n_name), 'declared_in' FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
         UNION SELECT concat('supplier::s', s_suppkey), concat('nation::', n_name), 'extends' FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
@@ -63,7 +47,7 @@ DERIVED = {
         FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderpriority, o_totalprice, o_orderstatus""",
     "turn_usage": """
         SELECT CAST(l_orderkey AS BIGINT) AS session_id, CAST(l_linenumber AS BIGINT) AS seq,
-               CASE l_returnflag WHEN 'A' THEN 'large-model' WHEN 'N' THEN 'medium-model' ELSE 'small-model' END AS model,
+               CASE l_returnflag WHEN 'A' THEN 'claude-opus-4-1' WHEN 'N' THEN 'claude-sonnet-4' WHEN 'R' THEN 'Claude_Haiku_4_5' ELSE 'other' END AS model,
                CAST(floor(l_quantity * 10) AS BIGINT) AS input_tokens, CAST(floor(l_quantity * 7) AS BIGINT) AS output_tokens,
                CAST(floor(l_extendedprice / 10) AS BIGINT) AS cache_read_tokens, CAST(floor(l_extendedprice * l_discount) AS BIGINT) AS cache_write_tokens
         FROM {lineitem}""",
@@ -79,7 +63,7 @@ DERIVED = {
                concat('src/file', event_id % 17, '.rs') AS file, concat('rule-', event_id % 5) AS rule, value FROM {events}""",
     # spans of symbols in files, and changed line ranges
     "spans": "SELECT concat(source, '/d', doc_id) AS path, concat('doc::d', doc_id, '::', k) AS fqn, CAST(1 + k * 10 AS INT) AS start_line, CAST(10 + k * 10 AS INT) AS end_line FROM {documents} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) AS ks",
-    "hunks": "SELECT concat(source, '/d', doc_id) AS path, CAST(1 + doc_id % 40 AS INT) AS a, CAST(4 + doc_id % 40 AS INT) AS b FROM {documents} WHERE doc_id % 3 = 0",
+    "hunks": "SELECT concat(source, '/d', doc_id) AS path, CAST(1 + doc_id % 40 AS INT) AS a, CAST(4 + doc_id % 40 AS INT) AS b FROM {documents}",
     "vec_chunks": "SELECT vec_id AS id, CASE WHEN label % 2 = 0 THEN 'c0' ELSE 'c1' END AS collection, label, embedding FROM {embeddings}",
     "file_events": "SELECT event_id AS seq, ts, concat('src/f', user_id, '.rs') AS path, CASE WHEN event_type IN ('error', 'signup') THEN 'deleted' ELSE 'changed' END AS kind FROM {events}",
 }

@@ -40,9 +40,9 @@ def edges():
 
 def test_whole_graph_has_all_orders_and_items(spark, small):
     t = Tables(spark, small)
-    got = [tuple(r) for r in t.whole_edges.collect()]
+    got = [tuple(r) for r in t.edges.collect()]
     assert set(got) == edges() and len(got) == len(set(got))
-    assert {r.id for r in t.whole_nodes.filter(F.col("id").startswith("order::")).collect()} == {f"order::o{k}" for k, _ in ORDERS}
+    assert {r.id for r in t.nodes.filter(F.col("id").startswith("order::")).collect()} == {f"order::o{k}" for k, _ in ORDERS}
 
 
 def test_communities_of_the_whole_graph(spark, small):
