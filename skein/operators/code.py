@@ -46,7 +46,7 @@ _DEFINITIONS = {
     "javascript": [
         ("Function", r"\b(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)(?=\s*\()"),
         ("Type", r"\bclass\s+(?P<name>[\w$]+)"),
-        ("Method", r"(?:^|(?<=[{};\n]))[ \t]*(?P<def>(?:(?:public|private|protected|static|async|override|get|set)\s+)*\*?\s*(?P<name>[#\w$]+)\s*(?:<[^<>()]*>)?\((?:[^()]|\([^()]*\))*\)[^{};=\n]*(?=\{))"),
+        ("Method", r"(?:^|(?<=[{};\n]))[ \t]*(?:@\w+(?:\([^()]*\))?\s+)*(?P<def>(?:(?:public|private|protected|static|async|override|get|set)\s+)*\*?\s*(?P<name>[#\w$]+)\s*(?:<[^<>()]*>)?\((?:[^()]|\([^()]*\))*\)[^{};=\n]*(?=\{))"),
     ],
     "go": [
         ("Function", r"^func\s+(?:\([^)]*\)\s*)?(?P<name>\w+)"),

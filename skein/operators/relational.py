@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.sources.storage import written
+
 c = F.col
 
 
@@ -133,6 +135,25 @@ def purge_path(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame
     return nodes.filter(c("path") != path), left.select(*edges.columns)
 
 
+def global_ranks(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """`rows` with their ranks, from 0, in an order that should have no ties. Rows are sorted in ranges and written once; what is added to a
+    range's own ranks is how many rows the ranges before it hold, so no task has all rows."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": at}), "ranges")
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))  # `n` rows
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return dealt.join(F.broadcast(before), "__part").withColumn(name, c("__before") + c("__at")).drop("__part", "__at", "__before")
+
+
+def ranks_per_key(rows: DataFrame, key: str, order: list[Column], name: str = "rank") -> DataFrame:
+    """`rows` with their ranks, from 0, among the rows of their key, however many rows a key has."""
+    ranked = global_ranks(rows, [c(key), *order], name)
+    first = ranked.groupBy(key).agg(F.min(name).alias("__first"))
+    return ranked.join(first, key).withColumn(name, c(name) - c("__first")).drop("__first")
+
+
 def event_trace(rows: DataFrame, topic: str, role: str, who: str) -> DataFrame:
     """Who emits and who subscribes to each topic, each once, with `others`: how many are on its other side. Emitters aren't joined
     with subscribers, for a topic that all share would give all pairs."""

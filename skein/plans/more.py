@@ -50,11 +50,6 @@ def _(t):
     return t.turns.groupBy("session_id").agg(F.count("*").alias("n")).filter("n < 5").orderBy("session_id").limit(20)
 
 
-@query("s28_usage_lines", "SELECT session_id, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens FROM {turn_usage} WHERE model = 'claude-opus-4-1' GROUP BY session_id")
-def _(t):
-    return t.turn_usage.filter("model = 'claude-opus-4-1'").groupBy("session_id").agg(F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"))
-
-
 @query("s34_table_rows", "SELECT p_partkey, p_name AS cell FROM {part}")
 def _(t):
     text = F.concat(F.lit("# Spec\n\n## Tasks\n\n| Name | Size |\n|---|---|\n| "), "p_name", F.lit(" | 3 |\n\n## Other\n\n| x | y |\n"))
@@ -172,7 +167,7 @@ def _(t):
 
 @query("w09_stage_ranks", "SELECT event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) - 1 AS BIGINT) AS rank FROM {events}")
 def _(t):
-    return t.events.select("event_id", (F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")) - 1).cast("long").alias("rank"))
+    return R.ranks_per_key(t.events.select("event_type", "value", "event_id"), "event_type", [F.desc("value"), c("event_id")]).select("event_id", "rank")
 
 
 @query("t01_top_k", "SELECT c_custkey FROM {customer} ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
@@ -219,12 +214,6 @@ def _(t):
     return t.events.select("event_id", F.try_element_at(merged, F.lit("kind")).alias("kind"))
 
 
-@query("c29_event_summaries", "SELECT event_id, CASE event_type WHEN 'error' THEN concat('error from ', user_id) WHEN 'purchase' THEN concat('bought for ', CAST(round(value) AS BIGINT)) ELSE event_type END AS line FROM {events}")
-def _(t):
-    line = F.when(c("event_type") == "error", F.concat(F.lit("error from "), "user_id")).when(c("event_type") == "purchase", F.concat(F.lit("bought for "), F.round("value").cast("long"))).otherwise(c("event_type"))
-    return t.events.select("event_id", line.alias("line"))
-
-
 @query("c31_file_specs", "SELECT path, start_line AS a, end_line AS b FROM {spans}")
 def _(t):
     spec = F.concat("path", F.lit(":"), "start_line", F.lit("-"), "end_line")
@@ -237,10 +226,11 @@ def _(t):
     return t.turn_usage.groupBy("session_id").agg(F.greatest(F.lit(0), F.max("input_tokens") - F.min("input_tokens")).alias("delta"))
 
 
-@query("r05_graph_stage", "SELECT DISTINCT dst AS id FROM {edges} WHERE src IN ('order::o10', 'order::o20', 'order::o30') UNION SELECT DISTINCT src FROM {edges} WHERE dst IN ('order::o10', 'order::o20', 'order::o30')")
+@query("r05_graph_stage", "WITH s AS (SELECT unnest(['order::o10', 'order::o20', 'order::o30']) AS seed, unnest([0, 1, 2]) AS n), b AS (SELECT dst AS id, n FROM {edges} JOIN s ON src = seed UNION ALL SELECT src, n FROM {edges} JOIN s ON dst = seed) SELECT id, CAST(min(n) AS INTEGER) AS seed FROM b WHERE id IN (SELECT id FROM {nodes}) GROUP BY id")
 def _(t):
-    seeds = t.spark.createDataFrame([(f"order::o{i}",) for i in (10, 20, 30)], "a string")
-    return G.directed(t.edges, "both").join(F.broadcast(seeds), "a").select(c("b").alias("id")).distinct()
+    from skein.operators.retrieval import graph_stage
+
+    return graph_stage(t.edges, t.nodes, ["order::o10", "order::o20", "order::o30"]).select("id", c("at").alias("seed"))
 
 
 @query("r13_appended_hits", "SELECT id, round(1.0 / (1 + d), 6) AS score FROM (SELECT vec_id AS id, vec_id % 17 / 10.0 AS d FROM {embeddings} ORDER BY vec_id % 17, vec_id LIMIT 5)")

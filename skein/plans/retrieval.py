@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.functions import score as S
@@ -51,13 +50,22 @@ def _(t):
     return Q.above_floor(Q.fused([full, grep])).orderBy(c("score").desc(), "id").limit(12)
 
 
-@query("r02_symbol_stage", "SELECT DISTINCT id FROM {nodes} JOIN (SELECT unnest(['part::p12', 'order::o9', 'nation']) AS token) ON starts_with(id, token)")
+@query(
+    "r02_symbol_stage",
+    "SELECT id, CAST(min(n) AS INTEGER) AS token FROM {nodes} JOIN (SELECT unnest(['part::p12', 'order::o9', 'nation']) AS token, unnest([0, 1, 2]) AS n) ON starts_with(id, token) GROUP BY id",
+)
+def _(t):
+    return Q.symbol_stage(t.nodes, ["part::p12", "order::o9", "nation"]).select("id", c("at").alias("token"))
+
+
+@query("r01_all_stages")
 def _(t):
-    tokens = ("part::p12", "order::o9", "nation")
-    hit = F.lit(False)
-    for k in tokens:
-        hit = hit | c("id").startswith(k)
-    return t.nodes.filter(hit).select("id")
+    """Every stage over the engine's tables: nodes and edges of the graph, documents as chunks, parts as facts, lessons, nations as preferences."""
+    chunks = t.documents.select(F.concat(F.lit("d"), "doc_id").alias("id"), c("source").alias("path"), F.lit(None).cast("string").alias("symbol"), "text")
+    facts = t.part.select(c("p_partkey").alias("n"), F.concat("p_name", F.lit(" "), "p_type").alias("key"), F.concat("p_name", F.lit(" "), "p_type").alias("text"), c("p_brand").alias("tags"))
+    lessons = t.lessons.select(F.xxhash64("trigger_text").alias("n"), c("trigger_text").alias("key"), c("trigger_text").alias("text"))
+    preferences = t.nation.select(c("n_nationkey").alias("n"), c("n_name").alias("key"), c("n_name").alias("text"), F.lit("").alias("tags"))
+    return Q.recall("part::p12 widget worthless src1 nation_7", t.nodes, t.edges, chunks, facts, lessons, preferences, k=12)
 
 
 @query("r04_fuzzy_terms", "SELECT DISTINCT p_name AS term FROM {part} WHERE levenshtein(split_part(p_name, ' ', 2), 'widgte') <= 1 OR split_part(p_name, ' ', 2) = 'widget'")
@@ -75,7 +83,7 @@ def _(t):
 @query("r08_rank_fusion", "WITH r AS (SELECT user_id AS id, event_type AS stage, row_number() OVER (PARTITION BY event_type ORDER BY sum(value) DESC, user_id) - 1 AS rank FROM {events} GROUP BY user_id, event_type) SELECT id, round(sum(1.0 / (11 + rank)), 9) AS score FROM r GROUP BY id")
 def _(t):
     sums = t.events.groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
-    ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("v"), "user_id")) - 1)
+    ranked = R.ranks_per_key(sums, "event_type", [F.desc("v"), c("user_id")])
     return ranked.groupBy(c("user_id").alias("id")).agg(F.round(F.sum(S.reciprocal_rank(c("rank"))), 9).alias("score"))
 
 
