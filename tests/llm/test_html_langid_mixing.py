@@ -341,3 +341,16 @@ def test_mixing_without_rows_or_labels(spark):
     assert mix(none, known).collect() == []
     one = mix(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), known).collect()
     assert len(one) == 1 and one[0].tokens == 2
+
+
+def test_held_out_accuracy_on_documents(spark):
+    import os
+
+    from skein.llm.queries import op7_language_id
+
+    small = "/root/testdata/sf0.001"
+    if not os.path.isdir(small):
+        pytest.skip("needs the small tables")
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang").collect()}
+    own = [r for r in op7_language_id(spark, small).collect() if r.held_out and truth[r.doc_id] is not None and r.lang_pred != "und"]
+    assert len(own) > 20 and sum(r.lang_pred == truth[r.doc_id] for r in own) >= 0.9 * len(own)
