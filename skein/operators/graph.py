@@ -54,18 +54,50 @@ def bfs(edges: DataFrame, nodes: DataFrame, starts: DataFrame, max_depth: int, d
     return reachable(directed(edges, direction, kinds), starts, max_depth).join(nodes.select("id"), "id", "left_semi").select("root", "id", "depth")
 
 
-IMPACT = {"up": ("in", ["calls", "references", "extends"]), "down": ("out", ["calls", "extends"])}
+IMPACT = {"up": ("in", ["calls", "references", "extends"]), "down": ("out", ["calls", "extends"]), "both": ("both", ["calls", "references", "extends"])}
+
+
+def suffixes(name: Column) -> Column:
+    """Array of (walk, suffix): the last two segments of a name and the last one, where they are shorter than it."""
+    parts = F.filter(F.split(name, "::"), lambda x: x != "")
+    ends = F.array(*[F.struct(F.lit(i).alias("walk"), F.when(F.size(parts) > n, F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "::")).alias("suffix")) for i, n in ((1, 2), (2, 1))])
+    return F.filter(ends, lambda x: x["suffix"].isNotNull())
+
+
+def sole_owners(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, walk, suffix) of the suffixes of `names` (id) that no other node is, ends with, or is an end of. Owners are counted by suffix
+    before they meet a name, so a suffix that many nodes share is one row."""
+    asked = names.select("id").distinct().select("id", F.inline(suffixes(c("id"))))
+    ends = F.concat(F.transform(suffixes(c("id")), lambda x: x["suffix"]), F.array("id"))
+    owned = nodes.select("id", F.explode(F.array_distinct(ends)).alias("suffix")).groupBy("suffix").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    # a node of one segment is the end of every longer suffix that ends with it
+    short = nodes.select(c("id").alias("leaf")).filter(~c("leaf").contains("::")).distinct().withColumn("short", c("leaf"))
+    met = asked.withColumn("leaf", F.element_at(F.split("suffix", "::"), -1)).join(owned, "suffix", "left").join(short, "leaf", "left")
+    alone = lambda x: F.coalesce(c(x) == c("id"), F.lit(True))
+    return met.filter(alone("least") & alone("most") & alone("short")).select("id", "walk", "suffix")
 
 
 def impact(edges: DataFrame, nodes: DataFrame, starts: DataFrame, direction: str = "up", depth: int = 3) -> DataFrame:
-    """What a change reaches: callers, referrers and subtypes up, callees and supertypes down; both is the union at the least depth."""
-    sides = ["up", "down"] if direction == "both" else [direction]
-    found = None
-    for side in sides:
-        way, kinds = IMPACT[side]
-        one = bfs(edges, nodes, starts, depth, way, kinds)
-        found = one if found is None else found.unionByName(one)
-    return found.groupBy("root", "id").agg(F.min("depth").alias("depth"))
+    """(root, id, depth) of what a change reaches: callers, referrers and subtypes up, callees and supertypes down, either way at each step for both.
+
+    Up and both also walk from the root's shorter names, for edges that were never resolved: its last two segments, then the last, each only
+    if no other node owns it. The first walk that finds an id gives its depth; a root doesn't reach itself.
+    """
+    way, kinds = IMPACT[direction]
+    walks = starts.select("root", F.lit(0).alias("walk"), "id")
+    if direction != "down":
+        extra = sole_owners(nodes, starts).select("id", "walk", "suffix")
+        walks = walks.unionByName(starts.join(extra, "id").select("root", "walk", c("suffix").alias("id")))
+    found = bfs(edges, nodes, walks.select(F.struct("root", "walk").alias("root"), "id"), depth, way, kinds)
+    return found.select("root.root", "root.walk", "id", "depth").filter("id <> root").groupBy("root", "id").agg(F.min_by("depth", "walk").alias("depth"))
+
+
+def in_neighbours(edges: DataFrame, nodes: DataFrame, kinds: list[str]) -> DataFrame:
+    """(dst, id, path): the nodes with an edge to each name, each once, and for nodes also those with an edge to a suffix that they alone own."""
+    own = edges.filter(c("kind").isin(*kinds)).select(c("src").alias("id"), "dst").distinct()
+    loose = sole_owners(nodes, nodes).select(c("suffix").alias("dst"), c("id").alias("owner"))
+    by_suffix = own.join(loose, "dst").filter("owner <> id").select("id", c("owner").alias("dst"))
+    return own.unionByName(by_suffix).distinct().join(nodes, "id").select("dst", "id", "path")
 
 
 def resolve(nodes: DataFrame, needles: DataFrame) -> DataFrame:
@@ -227,14 +259,43 @@ def flows(edges: DataFrame, nodes: DataFrame, entries: DataFrame, max_depth: int
     return own.select("root", "a", "b", "known").groupBy("root").applyInPandas(_depth_first(max_depth), "root string, step int, src string, dst string, depth int")
 
 
-def taint(edges: DataFrame, nodes: DataFrame, sources: list[str], sinks: list[str], max_depth: int = 12, text: str = "id") -> DataFrame:
+def _matching(nodes: DataFrame, patterns: list[str], texts: tuple[str, ...]) -> DataFrame:
+    """Nodes of which a text column holds a pattern, in any case; a null text holds none."""
+    hit = F.lit(False)
+    for text in texts:
+        for p in patterns:
+            hit = hit | F.coalesce(F.contains(F.lower(c(text)), F.lit(p.lower())), F.lit(False))
+    return nodes.filter(hit).select("id").distinct()
+
+
+def taint(edges: DataFrame, nodes: DataFrame, sources: list[str], sinks: list[str], max_depth: int = 12, texts: tuple[str, ...] = ("id",)) -> DataFrame:
     """(source, sink, hops): sinks reachable from sources over data_dep and calls, a node never from itself; patterns are substrings, in any case."""
-    low = F.lower(c(text))
-    hit = lambda ps: F.exists(F.array(*[F.lit(p.lower()) for p in ps]), lambda p: F.contains(low, p))
-    starts = nodes.filter(hit(sources)).select(c("id").alias("root"), "id")
-    ends = nodes.filter(hit(sinks)).select("id")
+    starts = _matching(nodes, sources, texts).select(c("id").alias("root"), "id")
     reached = reachable(directed(edges, "out", ["data_dep", "calls"]), starts, max_depth)
-    return reached.join(ends, "id", "left_semi").filter("root <> id").select(c("root").alias("source"), c("id").alias("sink"), c("depth").alias("hops"))
+    return reached.join(_matching(nodes, sinks, texts), "id", "left_semi").filter("root <> id").select(c("root").alias("source"), c("id").alias("sink"), c("depth").alias("hops"))
+
+
+def taint_report(edges: DataFrame, nodes: DataFrame, sources: list[str], sinks: list[str], max_depth: int = 12, max_findings: int = 100, texts: tuple[str, ...] = ("id",)) -> tuple[DataFrame, bool, int, int]:
+    """(findings (source, sink, hops, path), truncated, sources matched, sinks matched): one shortest path for each of the first max_findings pairs.
+
+    Sources come by name, a source's sinks in the order in which a search finds them. max_findings is a feature of the report; it also bounds
+    the sources whose paths are kept.
+    """
+    matched = _matching(nodes, sources, texts).count(), _matching(nodes, sinks, texts).count()
+    pairs = written(taint(edges, nodes, sources, sinks, max_depth, texts), "taint")
+    asked = written(pairs.orderBy("source", "hops", "sink").limit(max_findings).select(c("source").alias("id")).distinct(), "taint_sources")
+    targets = pairs.join(asked.withColumnRenamed("id", "source"), "source", "left_semi").select(c("source").alias("root"), c("sink").alias("id"))
+    paths = shortest_paths(edges, asked.select(c("id").alias("root"), "id"), max_depth, "out", ["data_dep", "calls"], targets)
+    first = written(paths.orderBy("root", "depth", "path").limit(max_findings).select(c("root").alias("source"), c("id").alias("sink"), c("depth").alias("hops"), "path"), "findings")
+    return first, first.count() >= max_findings, *matched
+
+
+def upsert_statements(nodes: DataFrame, statements: DataFrame) -> DataFrame:
+    """Nodes (id, kind, path, line, text) with the statements (id, path, line, text) put in: a statement replaces the node of its id. Other nodes have no text."""
+    new = statements.select("id", F.lit("stmt").alias("kind"), "path", "line", "text")
+    new = new.groupBy("id").agg(*[F.max(F.struct("line", "path", "text", "kind"))[x].alias(x) for x in ("kind", "path", "line", "text")])
+    old = nodes if "text" in nodes.columns else nodes.withColumn("text", F.lit(None).cast("string"))
+    return old.select("id", "kind", "path", "line", "text").join(new.select("id"), "id", "left_anti").unionByName(new)
 
 
 def cyclic(deps: DataFrame) -> DataFrame:

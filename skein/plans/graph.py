@@ -39,9 +39,15 @@ def _(t):
     return G.bfs(t.edges, t.nodes, starts(t, "supplier::s1"), 2, "both")
 
 
-@query("g04_impact_up", walk("nation::NATION_3", _IN % "'calls', 'references', 'extends'", 3) + " SELECT 'nation::NATION_3' AS root, id, depth FROM r WHERE id IN (SELECT id FROM {nodes})")
+@query(
+    "g04_impact_up",
+    f"""WITH steps AS (SELECT dst AS a, src AS b FROM (SELECT * FROM {{edges}} UNION ALL SELECT * FROM {{loose_edges}}) WHERE kind IN ('calls', 'references', 'extends')),
+    w AS (SELECT * FROM (VALUES ('nation::NATION_3', 0, 0), ('NATION_3', 2, 0)) v(id, walk, depth) UNION SELECT s.b, w.walk, w.depth + 1 FROM w JOIN steps s ON s.a = w.id WHERE w.depth < 3),
+    r AS (SELECT id, walk, min(depth) AS depth FROM w WHERE id <> 'nation::NATION_3' AND id IN (SELECT id FROM {{nodes}}) GROUP BY id, walk)
+    SELECT 'nation::NATION_3' AS root, id, arg_min(depth, walk) AS depth FROM r GROUP BY id""",
+)
 def _(t):
-    return G.impact(t.edges, t.nodes, starts(t, "nation::NATION_3"), "up", 3)
+    return G.impact(t.edges.unionByName(t.loose_edges), t.nodes, starts(t, "nation::NATION_3"), "up", 3)
 
 
 @query(
@@ -98,6 +104,17 @@ def _(t):
     return G.taint(t.edges, t.nodes, ["ORDER::o1"], ["part::p7"], 4)
 
 
+@query(
+    "g10_taint_report",
+    """WITH s AS (SELECT id AS root FROM {nodes} WHERE contains(lower(id), 'supplier::s1')), w AS (SELECT root, root AS id, 0 AS depth, [root] AS path FROM s UNION ALL SELECT w.root, e.dst, w.depth + 1, list_append(w.path, e.dst) FROM w JOIN (SELECT DISTINCT src, dst FROM {edges} WHERE kind IN ('calls', 'data_dep')) e ON e.src = w.id WHERE w.depth < 4 AND NOT list_contains(w.path, e.dst)),
+    p AS (SELECT root AS source, id AS sink, depth AS hops, array_to_string(path, ' > ') AS path FROM w WHERE root <> id AND id IN (SELECT id FROM {nodes} WHERE contains(lower(id), 'part::p7')) QUALIFY row_number() OVER (PARTITION BY root, id ORDER BY depth, path) = 1)
+    SELECT *, (SELECT count(*) FROM p) >= 50 AS truncated, (SELECT count(*) FROM s) AS n_sources, (SELECT count(*) FROM {nodes} WHERE contains(lower(id), 'part::p7')) AS n_sinks FROM p ORDER BY source, hops, path LIMIT 50""",
+)
+def _(t):
+    found, truncated, n_sources, n_sinks = G.taint_report(t.edges, t.nodes, ["supplier::s1"], ["part::p7"], 4, 50)
+    return found.withColumns({"path": F.array_join("path", " > "), "truncated": F.lit(truncated), "n_sources": F.lit(n_sources).cast("long"), "n_sinks": F.lit(n_sinks).cast("long")})
+
+
 @query(
     "g14_cycles",
     """WITH w AS (SELECT id AS root, dep AS here FROM {task_deps} UNION SELECT w.root, d.dep FROM w JOIN {task_deps} d ON d.id = w.here)

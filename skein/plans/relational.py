@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.operators import graph as G
 from skein.operators import relational as R
 from skein.plans.registry import query
 
@@ -17,9 +18,14 @@ def _(t):
     return t.edges.filter("kind = 'calls'").select("src", c("dst").alias("id")).join(t.nodes, "id").select("src", "id", "kind", "path")
 
 
-@query("j02_in_neighbours", "SELECT DISTINCT e.dst, n.id, n.path FROM {edges} e JOIN {nodes} n ON n.id = e.src WHERE e.kind IN ('calls', 'imports')")
+@query(
+    "j02_in_neighbours",
+    """WITH e AS (SELECT * FROM {edges} UNION ALL SELECT * FROM {loose_edges}), o AS (SELECT split_part(id, '::', -1) AS suffix, min(id) AS owner FROM {nodes} GROUP BY suffix HAVING count(DISTINCT id) = 1),
+    p AS (SELECT src, dst FROM e WHERE kind IN ('calls', 'imports') UNION SELECT e.src, o.owner FROM e JOIN o ON o.suffix = e.dst WHERE kind IN ('calls', 'imports') AND e.src <> o.owner)
+    SELECT p.dst, n.id, n.path FROM p JOIN {nodes} n ON n.id = p.src""",
+)
 def _(t):
-    return t.edges.filter(c("kind").isin("calls", "imports")).select(c("src").alias("id"), "dst").distinct().join(t.nodes, "id").select("dst", "id", "path")
+    return G.in_neighbours(t.edges.unionByName(t.loose_edges), t.nodes, ["calls", "imports"])
 
 
 @query("j03_unresolved", "SELECT e.src, e.dst FROM {edges} e WHERE e.kind = 'calls' AND NOT EXISTS (SELECT 1 FROM {nodes} n WHERE n.id = e.dst)")
@@ -252,6 +258,12 @@ def _(t):
     return R.upsert(t.nodes, changes, ["id"], "seq")
 
 
+@query("k02_statement_upsert", "SELECT id, kind, path, line, CAST(NULL AS VARCHAR) AS text FROM {nodes} WHERE id NOT LIKE 'order::%' UNION ALL SELECT concat('order::o', o_orderkey), 'stmt', 'shop/stmt.ts', CAST(o_orderkey AS INTEGER), concat('let total = ', o_custkey) FROM {orders}")
+def _(t):
+    statements = t.orders.select(F.concat(F.lit("order::o"), "o_orderkey").alias("id"), F.lit("shop/stmt.ts").alias("path"), c("o_orderkey").cast("int").alias("line"), F.concat(F.lit("let total = "), "o_custkey").alias("text"))
+    return G.upsert_statements(t.nodes, statements)
+
+
 @query("k03_edge_upsert", "SELECT src, dst, kind FROM {edges} UNION SELECT concat('order::o', o_orderkey), concat('customer::c', o_custkey), 'subscribes' FROM {orders}")
 def _(t):
     new = t.orders.select(F.concat(F.lit("order::o"), "o_orderkey").alias("src"), F.concat(F.lit("customer::c"), "o_custkey").alias("dst"), F.lit("subscribes").alias("kind"))

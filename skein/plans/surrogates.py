@@ -31,6 +31,10 @@ DERIVED = {
         UNION SELECT concat('order::o', l_orderkey), concat('part::p', l_partkey), 'calls' FROM {lineitem}
         UNION SELECT concat('part::p', l_partkey), concat('supplier::s', l_suppkey), 'imports' FROM {lineitem} WHERE l_partkey % 50 <> 0
         UNION SELECT concat('supplier::s', l_suppkey), concat('part::p', l_partkey), 'calls' FROM {lineitem}""",
+    # edges that were never resolved: their ends are the last segments of names
+    "loose_edges": """
+        SELECT concat('customer::c', c_custkey) AS src, n_name AS dst, 'references' AS kind FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+        UNION SELECT concat('order::o', l_orderkey), concat('p', l_partkey), 'calls' FROM {lineitem}""",
     # an append-only log with decay metadata
     "episodes": """
         SELECT event_id AS id, event_type AS kind, ts, props AS payload, (1 + event_id % 10) / 10.0 AS salience, CAST(event_id % 5 AS BIGINT) AS access_count,

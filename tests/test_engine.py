@@ -43,11 +43,38 @@ def test_bfs_walks_through_unresolved_ids(spark, graph):
     assert rows(G.bfs(edges, nodes, starts(spark, "a::foo"), 1, kinds=["calls"])) == [("a::foo", "a::bar", 1)]
     assert rows(G.bfs(edges, nodes, starts(spark, "a::foo"), 3, kinds=["imports"])) == [("a::foo", "a::base", 2)]
     assert rows(G.impact(edges, nodes, starts(spark, "b::baz"), "up", 2)) == [("b::baz", "a::bar", 1), ("b::baz", "a::foo", 1)]
-    assert rows(G.impact(edges, nodes, starts(spark, "a::foo"), "both", 2)) == [("a::foo", "a::bar", 1), ("a::foo", "a::base", 1), ("a::foo", "b::baz", 2)]
+    assert rows(G.impact(edges, nodes, starts(spark, "a::foo"), "both", 2)) == [("a::foo", "a::bar", 1), ("a::foo", "a::base", 1), ("a::foo", "b::baz", 1)]  # by the reference to it
     with pytest.raises(ValueError):
         G.directed(edges, "out", ["nonsense"])
 
 
+def test_impact_follows_the_suffixes_of_one_owner(spark):
+    nodes = spark.createDataFrame([(i,) for i in ("m::Store::open", "main", "cli::run", "x::Other::close", "y::Other::close", "cmd::go", "z::go")], "id string")
+    edges = spark.createDataFrame([("main", "Store::open", "calls"), ("cli::run", "open", "calls"), ("cli::run", "main", "calls"), ("main", "Other::close", "calls"), ("cli::run", "go", "calls"), ("m::Store::open", "open", "calls")], "src string, dst string, kind string")
+    assert rows(G.impact(edges, nodes, starts(spark, "m::Store::open"), "up", 3)) == [("m::Store::open", "cli::run", 2), ("m::Store::open", "main", 1)]
+    assert rows(G.impact(edges, nodes, starts(spark, "x::Other::close", "cmd::go"), "up", 3)) == []  # others end alike
+    assert rows(G.impact(edges, nodes, starts(spark, "m::Store::open"), "down", 3)) == []
+    near = rows(G.in_neighbours(edges, nodes.withColumn("path", F.lit("f")), ["calls"]))
+    assert [x[:2] for x in near if "::" in x[0] and x[0].startswith("m::")] == [("m::Store::open", "cli::run"), ("m::Store::open", "main")]
+    assert not [x for x in near if x[0] in ("x::Other::close", "cmd::go")]
+
+
+def test_taint_report_has_paths_counts_and_a_cap(spark):
+    nodes = spark.createDataFrame([("s1", "env"), ("s2", "ENV"), ("k1", "exec"), ("k2", "exec"), ("m", None)], "id string, text string")
+    edges = spark.createDataFrame([("s1", "m", "data_dep"), ("m", "k1", "calls"), ("m", "k2", "calls"), ("s2", "k2", "data_dep"), ("s2", "k1", "imports")], "src string, dst string, kind string")
+    found, cut, n_sources, n_sinks = G.taint_report(edges, nodes, ["env"], ["exec"], texts=("id", "text"))
+    assert rows(found) == [("s1", "k1", 2, ["s1", "m", "k1"]), ("s1", "k2", 2, ["s1", "m", "k2"]), ("s2", "k2", 1, ["s2", "k2"])] and (cut, n_sources, n_sinks) == (False, 2, 2)
+    found, cut, *_ = G.taint_report(edges, nodes, ["env"], ["exec"], max_findings=2, texts=("text",))
+    assert [r[1] for r in rows(found)] == ["k1", "k2"] and cut
+    assert rows(G.taint_report(edges, nodes.limit(0), ["env"], ["exec"])[0]) == []
+
+
+def test_statements_take_the_place_of_nodes(spark):
+    nodes = spark.createDataFrame([("a", "function", "f", 1), ("b", "type", "f", 2)], "id string, kind string, path string, line int")
+    new = spark.createDataFrame([("b", "g", 3, "x = 1"), ("b", "g", 3, "x = 1"), ("c", None, None, None)], "id string, path string, line int, text string")
+    assert rows(G.upsert_statements(nodes, new)) == [("a", "function", "f", 1, None), ("b", "stmt", "g", 3, "x = 1"), ("c", "stmt", None, None, None)]
+
+
 def test_paths_and_cycles(spark):
     edges = spark.createDataFrame([("a", "b", "calls"), ("b", "c", "calls"), ("x", "y", "calls"), ("y", "x", "calls"), ("a", "z", "calls"), ("z", "c", "calls")], "src string, dst string, kind string")
     got = {r.id: (r.depth, r.path) for r in G.shortest_paths(edges, starts(spark, "a")).collect()}
@@ -80,7 +107,7 @@ def test_flows_go_depth_first(spark):
 def test_taint_and_waves(spark):
     nodes = spark.createDataFrame([("h#s3", "let x = env::var()"), ("h#s4", "Command::new(x)"), ("k", "other")], "id string, text string")
     edges = spark.createDataFrame([("h#s3", "h#s4", "data_dep"), ("h#s3", "k", "cfg")], "src string, dst string, kind string")
-    assert rows(G.taint(edges, nodes, ["ENV::VAR"], ["command::new", "other"], text="text")) == [("h#s3", "h#s4", 1)]
+    assert rows(G.taint(edges, nodes, ["ENV::VAR"], ["command::new", "other"], texts=("text",))) == [("h#s3", "h#s4", 1)]
     tasks = spark.createDataFrame([(i,) for i in range(1, 8)], "id long")
     deps = spark.createDataFrame([(2, 1), (3, 1), (4, 2), (4, 3), (5, 99), (6, 7), (7, 6)], "id long, dep long")
     assert {r.id: r.wave for r in G.waves(tasks, deps).collect()} == {1: 0, 2: 1, 3: 1, 4: 2, 5: None, 6: None, 7: None}
