@@ -93,12 +93,16 @@ def sanitised_query(q: Column) -> Column:
     return F.when(F.octet_length(q) <= 200, q).otherwise(F.substring(F.coalesce(last(lines), last(questions), last(parts), q), -250, 250))
 
 
+def _no_json(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def _compacted(s: pd.Series) -> pd.Series:
     def one(x: str | None) -> str | None:
         if x is None:
             return None
         try:
-            short = json.dumps(json.loads(x), ensure_ascii=False, separators=(",", ":")) + ("\n" if x.endswith("\n") else "")
+            short = json.dumps(json.loads(x, parse_constant=_no_json), ensure_ascii=False, separators=(",", ":")) + ("\n" if x.endswith("\n") else "")
         except ValueError:
             return x
         return short if len(short.encode()) < len(x.encode()) else x

@@ -83,3 +83,42 @@ def text_files(spark: SparkSession, root: str, patterns: list[str] = (), max_byt
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Rows of an append-only JSON log; lines that don't parse are skipped, fields that lack are null."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+# Kinds of sessions, and folders of built files that no index enters.
+SESSION_TYPES = ("feat", "fix", "refactor", "perf", "test", "docs", "chore", "brainstorm")
+BUILD_DIRS = ("node_modules", "target", "__pycache__", "dist", "build")
+
+
+def file_index(files: DataFrame) -> DataFrame:
+    """(path) of files (path, ...) but for hidden ones and what build folders hold, at any depth."""
+    return files.filter(~F.col("path").rlike(rf"(^|/)(\..*|{'|'.join(BUILD_DIRS)})(/|$)")).select("path")
+
+
+def session_catalog(files: DataFrame) -> DataFrame:
+    """(id, type, name, files, modified) of the sessions `<type>/<name>` that files (path, modificationTime) lie in; types that aren't known are left
+    out. A session was modified when its newest file was; order by `modified` for a listing, ties by id."""
+    own = files.select(F.split("path", "/").alias("at"), "modificationTime").filter((F.size("at") > 2) & F.col("at")[0].isin(*SESSION_TYPES))
+    named = own.select(F.col("at")[0].alias("type"), F.col("at")[1].alias("name"), F.col("at")[2].alias("file"), "modificationTime")
+    held = named.groupBy("type", "name").agg(F.array_sort(F.collect_set("file")).alias("files"), F.max("modificationTime").alias("modified"))
+    return held.select(F.concat_ws("/", "type", "name").alias("id"), "type", "name", "files", "modified")
+
+
+def transcript_files(files: DataFrame, rollouts: bool = False) -> DataFrame:
+    """(project, session_id, path, modified) of the transcripts among files (path, modificationTime, and content for rollouts).
+
+    Projects hold `<project>/<session>.jsonl` or `<project>/sessions/<session>/conversation.jsonl`. Rollouts are `rollout-*.jsonl` under four
+    folders at most; their project is the working folder that their first line, of type session_meta, names, and without one they are
+    left out. Hyphens and slashes of a project's name are one.
+    """
+    path = F.col("path")
+    if rollouts:
+        head = F.substring_index(F.col("content").cast("string"), "\n", 1)
+        project = F.when(F.get_json_object(head, "$.type") == "session_meta", F.get_json_object(head, "$.payload.cwd"))
+        session = F.regexp_extract(path, r"^(?:[^/]+/){0,4}(rollout-[^/]*)\.jsonl$", 1)
+    else:
+        project = F.regexp_extract(path, "^([^/]+)/", 1)
+        nested = F.regexp_extract(path, r"^[^/]+/sessions/([^/]+)/conversation\.jsonl$", 1)
+        session = F.when(nested != "", nested).otherwise(F.regexp_extract(path, r"^[^/]+/([^/]+)\.jsonl$", 1))
+    found = files.select(project.alias("project"), session.alias("session_id"), "path", F.col("modificationTime").alias("modified"))
+    return found.filter((F.col("session_id") != "") & F.col("project").isNotNull()).withColumn("project", F.translate("project", "-", "/"))
