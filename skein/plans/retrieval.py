@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skein.functions import score as S
 from skein.functions import text as X
 from skein.operators import relational as R
+from skein.operators import fulltext as I
 from skein.operators import retrieval as Q
 from skein.plans.registry import query
 
@@ -29,6 +30,29 @@ def _(t):
     return bm25(t)
 
 
+def _indexed(text: str) -> str:
+    return f"WITH {_BM25} SELECT doc_id, score FROM bm".replace("{documents}", f"(SELECT doc_id, {text} AS text FROM {{documents}})")
+
+
+@query("j04_indexed_search", f"WITH {_BM25} SELECT doc_id, score, source FROM bm JOIN {{documents}} USING (doc_id)")
+def _(t):
+    index = I.build(t.documents, "doc_id", "text")
+    return I.search(t.spark, index, " ".join(ASKED)).withColumn("score", F.round("score", 6)).join(t.documents.select("doc_id", "source"), "doc_id")
+
+
+@query("k06_indexed_upsert", _indexed(f"CASE WHEN source = 'src1' THEN concat(text, ' {ASKED[0]}') ELSE text END"))
+def _(t):
+    index = I.build(t.documents, "doc_id", "text")
+    changed = t.documents.filter("source = 'src1'").select("doc_id", F.concat("text", F.lit(f" {ASKED[0]}")).alias("text"))
+    return I.search(t.spark, I.upsert(index, changed, "text"), " ".join(ASKED)).withColumn("score", F.round("score", 6))
+
+
+@query("r17_turn_search")
+def _(t):
+    turns = t.turns.withColumn("id", F.concat_ws("/", "session_id", "turn_number"))
+    return I.search_turns(t.spark, I.build(turns, "id", "content", stems=True), turns, "things", 10)
+
+
 _GREP = "gr AS (SELECT doc_id, n_chars FROM {documents} WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'worthless'))"
 _Q0 = "q0 AS (SELECT [CAST(x AS DOUBLE) FOR x IN embedding] AS q FROM {embeddings} WHERE vec_id = 7)"
 _DIST = "round(1.0 - list_sum(list_transform(list_zip(embedding, q), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(q, lambda x: x * x)))), 6)"
