@@ -46,3 +46,20 @@ def _(t):
 @query("x10_running_usage", "SELECT session_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM {turn_usage} GROUP BY session_id")
 def _(t):
     return t.turn_usage.groupBy("session_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+
+
+@query("x03_embedding_batches", "SELECT doc_id, CASE WHEN text IS NOT NULL THEN CAST(length(text) AS DOUBLE) END AS size FROM {documents}")
+def _(t):
+    rows = t.documents.select("doc_id", "text")
+    return G.embedded(rows, "text", lambda texts: [[len(x)] for x in texts]).select("doc_id", F.get("embedding", F.lit(0)).alias("size"))
+
+
+@query(
+    "x05_registry_reconcile",
+    """WITH b AS (SELECT s_suppkey * 20 AS k, s_suppkey % 2 = 0 AS known FROM {supplier}) SELECT concat('p', c_custkey) AS slug, 'add' AS action, c_name AS path FROM {customer} WHERE c_custkey NOT IN (SELECT k FROM b)
+    UNION ALL SELECT concat('p', k), 'remove', concat('/', k) FROM b WHERE known AND k NOT IN (SELECT c_custkey FROM {customer})""",
+)
+def _(t):
+    id_ = c("s_suppkey") * 20
+    bound = t.supplier.select(F.concat(F.lit("p"), id_).alias("slug"), F.when(c("s_suppkey") % 2 == 0, F.concat(F.lit("/"), id_)).alias("source_path"))
+    return G.reconciled(t.customer.select(F.concat(F.lit("p"), "c_custkey").alias("slug"), c("c_name").alias("path")), bound)

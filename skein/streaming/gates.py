@@ -88,3 +88,51 @@ def after_earlier(events: DataFrame, key: str, seq: str, need: str, then: str, e
     w = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.max((c(event) == need).cast("int")).over(w), F.lit(0))
     return events.withColumn("seen", seen).filter((c(event) == then) & (c("seen") == 1)).select(key, seq)
+
+
+def reconciled(registry: DataFrame, bound: DataFrame) -> DataFrame:
+    """(slug, action, path): projects of the registry (slug, path) that aren't bound are added; bound ones (slug, source_path) that it lacks are removed,
+    unless they have no source path, for those never came from it."""
+    add = registry.join(bound.select("slug"), "slug", "left_anti").groupBy("slug").agg(F.max("path").alias("path"))
+    gone = bound.filter("source_path IS NOT NULL").join(registry.select("slug"), "slug", "left_anti").select("slug", c("source_path").alias("path")).distinct()
+    return add.select("slug", F.lit("add").alias("action"), "path").unionByName(gone.select("slug", F.lit("remove").alias("action"), "path"))
+
+
+def reconcile_batches(changes: DataFrame, load: Callable[[], tuple[DataFrame, DataFrame]], sink: Callable[[DataFrame], None], checkpoint: str):
+    """Start a query that reconciles once for each micro-batch of changes to the registry, however many it holds; `load` gives registry and bound projects."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            sink(reconciled(*load()))
+
+    return changes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+
+
+def embedded(chunks: DataFrame, text: str, embed: Callable[[list[str | None]], list[list[float]]], size: int = 256) -> DataFrame:
+    """`chunks` with an `embedding` of their texts, asked for in batches of `size` and a last one of what is left of a partition.
+
+    Partitions are pulled, so no more than a batch waits. Where `embed` raises, the rows of that batch have a null embedding and the rest goes on.
+    """
+    schema = chunks.drop("embedding").withColumn("embedding", F.array().cast("array<double>")).schema
+    schema["embedding"].nullable = True
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(batch: pd.DataFrame) -> pd.DataFrame:
+            try:
+                found = [list(map(float, v)) for v in embed(list(batch[text]))]
+                if len(found) != len(batch):
+                    raise ValueError(f"{len(found)} vectors for {len(batch)} texts")
+            except Exception:  # whatever a model raises costs its own batch alone
+                found = [None] * len(batch)
+            return batch.assign(embedding=pd.Series(found, index=batch.index, dtype=object))
+
+        left = None
+        for frame in frames:
+            left = frame if left is None else pd.concat([left, frame], ignore_index=True)
+            while len(left) >= size:
+                yield one(left.iloc[:size])
+                left = left.iloc[size:]
+        if left is not None and len(left):
+            yield one(left)
+
+    return chunks.drop("embedding").mapInPandas(run, schema)
