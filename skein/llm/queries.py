@@ -75,15 +75,29 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_html_extraction, op4_topk_search, op5_mixing, op6_quality_rules, op7_language_id, op8_secret_scans, op9_minhash_dedup, op10_token_output)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.decontam import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_html_extraction, op4_topk_search, op5_mixing, op6_quality_rules, op7_language_id, op8_secret_scans, op9_minhash_dedup, op10_token_output, op11_filter_audit, op12_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def _oracles() -> None:
-    from skein.llm import neardup, topk
+    from skein.llm import audit, decontam, neardup, topk
 
     ORACLE_SQL["op4_topk_search"] = topk.ORACLE
     ORACLE_SQL["op9_minhash_dedup"] = neardup.ORACLE
+    ORACLE_SQL["op11_filter_audit"] = audit.ORACLE
+    ORACLE_SQL["op12_decontamination"] = decontam.ORACLE
 
 
 _oracles()
