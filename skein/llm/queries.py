@@ -87,17 +87,24 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_html_extraction, op4_topk_search, op5_mixing, op6_quality_rules, op7_language_id, op8_secret_scans, op9_minhash_dedup, op10_token_output, op11_filter_audit, op12_decontamination)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_html_extraction, op4_topk_search, op5_mixing, op6_quality_rules, op7_language_id, op8_secret_scans, op9_minhash_dedup, op10_token_output, op11_filter_audit, op12_decontamination, op13_prefix_trie)}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def _oracles() -> None:
-    from skein.llm import audit, decontam, neardup, topk
+    from skein.llm import audit, decontam, neardup, topk, trie
 
     ORACLE_SQL["op4_topk_search"] = topk.ORACLE
     ORACLE_SQL["op9_minhash_dedup"] = neardup.ORACLE
     ORACLE_SQL["op11_filter_audit"] = audit.ORACLE
     ORACLE_SQL["op12_decontamination"] = decontam.ORACLE
+    ORACLE_SQL["op13_prefix_trie"] = trie.ORACLE
 
 
 _oracles()
