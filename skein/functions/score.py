@@ -86,3 +86,24 @@ def osa_at_most(a: Column, b: Column, limit: int) -> Column:
     swap = (F.length(a) == F.length(b)) & (F.levenshtein(a, b) == limit + 1)
     one = F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: F.levenshtein(F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))), b) <= limit - 1)
     return near | (swap & one)
+
+
+def osa_distance(a: Column, b: Column) -> Column:
+    """Insertions, deletions, substitutions and swaps of neighbours that lead from a to b, no part being edited twice: the table's rows are
+    folded, each from the two before it."""
+    at = lambda s, i: F.substring(s, i, F.lit(1))
+    steps = lambda n: F.sequence(F.lit(1), n)
+    first = F.transform(F.sequence(F.lit(0), F.length(b)), lambda j: j.cast("int"))
+
+    def row(state: Column, i: Column) -> Column:
+        above, two = state["above"], state["two"]
+
+        def cell(done: Column, j: Column) -> Column:
+            same = at(a, i) == at(b, j)
+            swap = F.when((i > 1) & (j > 1) & (at(a, i) == at(b, j - 1)) & (at(a, i - 1) == at(b, j)), F.get(two, j - 2) + 1)
+            return F.array_append(done, F.least(F.get(done, j - 1) + 1, F.get(above, j) + 1, F.get(above, j - 1) + F.when(same, 0).otherwise(1), swap))
+
+        return F.struct(F.aggregate(steps(F.length(b)), F.array(i.cast("int")), cell).alias("above"), above.alias("two"))
+
+    whole = F.aggregate(steps(F.length(a)), F.struct(first.alias("above"), first.alias("two")), row, lambda s: F.get(s["above"], F.length(b)))
+    return F.when(F.length(a) == 0, F.length(b)).when(F.length(b) == 0, F.length(a)).otherwise(whole)
