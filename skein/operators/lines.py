@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from skein.operators.memory import compacted_json
 
-MARKER = "… %d lines omitted …"
+#: Fixed value: what stands where lines were left out.
+MARKER = "… (%d lines trimmed) …"
 #: A result this many bytes longer than its input is given up.
 ABANDON = 64
 
@@ -45,19 +46,29 @@ def keeping(lines: Column, pattern: str) -> Column:
 
 
 def without_blanks(lines: Column) -> Column:
-    return F.filter(lines, lambda x: F.trim(x) != "")
+    return F.filter(lines, lambda x: ~F.rlike(x, F.lit(r"(?U)^\s*$")))
 
 
 def distinct(lines: Column) -> Column:
     return F.array_distinct(lines)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value found once however often f names it: lambdas don't share what stands outside them."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def collapsed(lines: Column) -> Column:
     """Runs of one line as `line (xN)`."""
-    step = lambda s, x: F.when((F.size(s) > 0) & (F.element_at(s, -1)["line"] == x), F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(x.alias("line"), (F.element_at(s, -1)["n"] + 1).alias("n"))))).otherwise(F.concat(s, F.array(F.struct(x.alias("line"), F.lit(1).alias("n")))))
-    safe = lambda s, x: F.when(F.size(s) == 0, F.array(F.struct(x.alias("line"), F.lit(1).alias("n")))).otherwise(step(s, x))
-    runs = F.aggregate(lines, F.array().cast("array<struct<line:string,n:int>>"), safe)
-    return F.transform(runs, lambda r: F.when(r["n"] > 1, F.format_string("%s (x%d)", r["line"], r["n"])).otherwise(r["line"]))
+
+    def runs(own: Column) -> Column:
+        def of(at: Column) -> Column:
+            n = lambda i, k: F.coalesce(F.get(at, k + 1), F.size(own) + 1) - i
+            return F.transform(at, lambda i, k: F.when(n(i, k) > 1, F.format_string("%s (x%d)", F.get(own, i - 1), n(i, k))).otherwise(F.get(own, i - 1)))
+
+        return bound(F.filter(F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1))), lambda i: (i == 1) | (F.get(own, i - 1) != F.get(own, i - 2))), of)
+
+    return F.when(F.size(lines) < 2, lines).otherwise(bound(lines, runs))
 
 
 def has_scope_flag(args: Column, flags: tuple[str, ...]) -> Column:
@@ -65,10 +76,6 @@ def has_scope_flag(args: Column, flags: tuple[str, ...]) -> Column:
     return F.exists(args, lambda a: F.coalesce(a.isin(*flags) | F.lit(False), F.lit(False)) | F.exists(F.array(*[F.lit(f"{f}=") for f in flags]), lambda f: F.startswith(a, f)))
 
 
-# Progress lines of a build tool and of package managers.
-BUILD_NOISE = (r"^\s*Compiling ", r"^\s*Downloading ", r"^\s*Downloaded ", r"^\s*Checking ", r"^\s*Fresh ", r"^\s*Updating ", r"^\s*Locking ", r"^\s*Blocking ")
-PACKAGE_NOISE = (r"^npm (warn|WARN) deprecated", r"^added \d+ packages", r"^up to date", r"^found 0 vulnerabilities", r"^\s*$", r"packages are looking for funding")
-
 # Arguments of an HTTP client whose output isn't a body alone.
 BODY_SCOPE = ("-v", "--verbose", "-i", "--include", "-D", "--dump-header", "-o", "--output", "-O", "--remote-name", "--trace", "--trace-ascii")
 
@@ -103,21 +110,6 @@ class Registry:
         return out.otherwise(lines)
 
 
-def built_in() -> Registry:
-    r = Registry()
-    r.register("git", "status", lambda x: head(without_blanks(x), 40))
-    r.register("git", "diff", lambda x: sandwich(x, 120, 40))
-    r.register("git", "log", lambda x: head(x, 60))
-    r.register("git", "show", lambda x: F.when(F.size(x) > 150, F.concat(head(x, 8), sandwich(F.slice(x, 9, 1 << 20), 80, 40))).otherwise(x))
-    r.register("cargo", None, lambda x: without_blanks(dropping(x, *BUILD_NOISE)))
-    r.register("npm", None, lambda x: dropping(x, *PACKAGE_NOISE))
-    r.register("ls", None, lambda x: sandwich(x, 80, 40, 200))
-    r.register("cat", None, lambda x: F.when(F.size(x) > 500, F.concat(head(x, 500), F.array(F.format_string(MARKER, F.size(x) - 500)))).otherwise(x))
-    r.register("grep", None, lambda x: sandwich(collapsed(x), 200, 60, 300))
-    r.register("find", None, lambda x: sandwich(x, 200, 60, 300))
-    return r
-
-
 def trimmed(before: Column, after: Column) -> Column:
     """`after`, unless it is longer than `before` by more than ABANDON bytes."""
     size = lambda x: F.octet_length(F.array_join(x, "\n"))

@@ -244,17 +244,6 @@ def _(t):
     return t.edges.filter((c("src") == "part::p3") | (c("dst") == "part::p3"))
 
 
-@query("l03_build_noise", "SELECT doc_id, concat('error: ', source) AS body FROM {documents}")
-def _(t):
-    out = F.concat(F.lit("   Compiling x v1\n\nerror: "), "source", F.lit("\n  Downloaded y\n   Fresh z"))
-    return t.documents.select("doc_id", F.array_join(N.built_in().dispatch(F.lit("cargo"), F.lit("build"), N.lines_of(out)), "\n").alias("body"))
-
-
-@query("l09_capture_cap", "SELECT doc_id, length(text) > 400 AS cut, substring(text, 1, 400) AS body FROM {documents}")
-def _(t):
-    return t.documents.select("doc_id", (F.length("text") > 400).alias("cut"), F.substring("text", 1, 400).alias("body"))
-
-
 @query("p07_detail_lookup", "SELECT 'F' AS kind, p_partkey AS id FROM {part} WHERE contains(p_name, 'widget') ORDER BY p_partkey LIMIT 1")
 def _(t):
     hits = t.part.filter(c("p_name").contains("widget")).select(F.lit("F").alias("kind"), c("p_partkey").alias("id"), F.lit(0).alias("order"))

@@ -182,7 +182,7 @@ def test_lines(spark):
     body = lambda x: one(spark, F.array_join(x, ","))
     lines = N.lines_of(text)
     assert body(N.collapsed(lines)) == "a (x2),,b (x3),c"
-    assert body(N.sandwich(lines, 1, 1)) == "a,… 5 lines omitted …,c" and body(N.tail(lines, 2)) == "b,c" and body(N.dropping(lines, "^a", "c$")) == ",b,b,b"
+    assert body(N.sandwich(lines, 1, 1)) == "a,… (5 lines trimmed) …,c" and body(N.tail(lines, 2)) == "b,c" and body(N.dropping(lines, "^a", "c$")) == ",b,b,b"
     r = N.Registry()
     r.register("git", None, lambda x: N.head(x, 1), priority=99)
     r.register("git", "log", lambda x: N.head(x, 2))
@@ -237,3 +237,46 @@ def test_cool_down_stream_equals_its_batch_form(spark, tmp_path):
 def test_json_is_read_leniently(spark):
     props = spark.createDataFrame([(json.dumps({"k": 3}),), ("{",)], "p string")
     assert rows(props.select(F.try_variant_get(F.try_parse_json("p"), "$.k", "bigint"))) == [(3,), (None,)]
+
+
+def test_handlers(spark):
+    from skein.operators import handlers as H
+
+    big = "".join(f"line {i}\n" for i in range(200))
+    status = 'On branch main\n  (use "git add <file>..." to update)\n\nmodified:   foo.rs\n'
+    ask = lambda cmd, sub, args, text, strict=False, errors=False: (cmd, sub, args, text, strict, errors)
+    cases = [
+        (ask("git", "log", [], "a\n\n \t\nb"), "a\nb\n"),
+        (ask("git", "log", ["-n=3"], "a\n\nb"), "a\n\nb"),
+        (ask("git", "log", [], big), "".join(f"line {i}\n" for i in range(40))),
+        (ask("git", "log", [], big, True), big),
+        (ask("git", "status", [], status, True), status.replace('  (use "git add <file>..." to update)\n', "")),
+        (ask("git", "status", ["--porcelain"], status), status),
+        (ask("git", "blame", [], big), "".join(f"line {i}\n" for i in range(60))),
+        (ask("git", "blame", [], big, True), big),
+        (ask("git", "push", [], big), big),
+        (ask("git", "show", [], "x"), "x\n"),
+        (ask("cargo", "build", [], "   Compiling a\nFinished\n\n"), "Finished\n"),
+        (ask("cargo", "build", [], "Documenting a\nwarning: x", errors=True), "warning: x\n"),
+        (ask("cargo", "doc", [], "Documenting a\n"), "Documenting a\n"),
+        (ask("npm", None, [], "added 3 packages\nnpm notice\nnpm fund\n⠹ x\n[## ] 4%\nProgress: resolved 3\n\nup to date\n"), "added 3 packages\nup to date\n"),
+        (ask("pip3", None, [], "Collecting x\n  Using cached y\nERROR: z\n"), "ERROR: z\n"),
+        (ask("pip", None, ["-q"], "Collecting x\n"), "Collecting x\n"),
+        (ask("rg", None, [], "a\na\nb"), "a (x2)\nb\n"),
+        (ask("rg", None, [], "a\na\nb", True), "a\nb\n"),
+        (ask("rg", None, [], "a\nb"), "a\nb"),
+        (ask("grep", None, [], "a\na", errors=True), "a\na"),
+        (ask("ls", None, [], big), big),
+        (ask("ls", None, [], big + "z"), "".join(f"line {i}\n" for i in range(80)) + "… (81 lines trimmed) …\n" + "".join(f"line {i}\n" for i in range(161, 200)) + "z\n"),
+        (ask("cat", None, [], "x\n" * 501), "x\n" * 500 + "… (1 more lines — use Read tool for full) …\n"),
+        (ask("curl", None, [], '{ "a": 1 }'), '{"a":1}'),
+        (ask("make", None, [], "\n\n"), "\n\n"),
+        (ask("git", "log", [], ""), ""),
+        (ask("git", "log", [], None), None),
+    ]
+    rows = spark.createDataFrame([(i, *a) for i, (a, _) in enumerate(cases)], "i int, cmd string, sub string, args array<string>, text string, strict boolean, errors boolean")
+    cols = [F.col(x) for x in ("cmd", "sub", "args", "text", "strict")]
+    got = {}
+    for errors in (False, True):
+        got |= {r.i: r.out for r in rows.filter(F.col("errors") == errors).select("i", H.handled(*cols, errors=errors).alias("out")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
