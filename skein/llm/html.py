@@ -1,11 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
-Every block of text has a root-to-leaf tag path. Text length, punctuation and link text are added up per path; the
-ratios of text and of punctuation to the path's nodes are smoothed over the paths in page order, fused by their
-product and weighted by the share of text that isn't links and by priors: little is expected of menus, adverts and the
-like, and of what stands outside a marked article. Paths whose fused ratio reaches the threshold are content nodes.
-Where they lie in a marked article, the rest of the article belongs to it but for what the ratio leaves of its asides;
-else headings, list items, cells and captions beside content nodes do. Blocks of these paths, in page order, are the main text.
+Every block of text has a root-to-leaf tag path. Text length, punctuation and link text are added up per path; the ratios of
+text and of punctuation to the path's nodes are smoothed over the paths in page order, fused by their geometric mean and
+weighted by the share of text that isn't links and by priors: little is expected of menus, adverts, forms and the like, and of what
+stands outside a marked article. The ratios are then smoothed over the page's tree, where the paths of one article share their mean,
+and so do, where none is marked, the paths of much text and the short headings, items and cells beside them. Paths within a share
+of the best ratio are the content nodes. Blocks of these paths, in page order, are the main text.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +23,9 @@ from pyspark.sql import functions as F
 # Fixed values of HTML: elements without an end tag, elements that hold no page text, elements that stand inside a line,
 # and which open element a start tag ends where its end tag was left out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title textarea select option button svg iframe object canvas audio video form label fieldset annotation annotation-xml".split())
+SILENT = frozenset("script style noscript template head title textarea select option svg iframe object canvas audio video annotation annotation-xml".split())
 MATH = frozenset("annotation annotation-xml math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
-INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSED_BY = {
     "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")),
     "option": frozenset(("option",)), "thead": frozenset(("tr", "td", "th")), "tbody": frozenset(("thead", "tbody", "tr", "td", "th")), "tfoot": frozenset(("tbody", "tr", "td", "th")),
@@ -44,6 +43,9 @@ BOILERPLATE = frozenset(
         "related-articles related-content related-links related-posts related-stories recommended-articles recommended-posts comment-form comment-list comment-respond comments-area comments-section disqus-thread search-box search-form"
     ).split()
 )
+#: Names of menus: they name one where most of its text is links, and else a list like others.
+MENUS = frozenset("menu nav navbar navigation nav-menu nav-links pager pagination".split())
+FORMS = frozenset(("form", "fieldset"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 SPACES = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？«»“”]")
@@ -58,13 +60,14 @@ _LISTS = frozenset("ul ol dl table select".split())
 
 @dataclass(frozen=True)
 class Settings:
-    """`threshold` is the share of the mean fused ratio that a path must reach; `smooth` neighbours on each side count;
-    `prior` weighs paths of asides and paths outside a marked article, and is the least weight of links; lists of which
-    `link_share` or more is links aren't parts of content that no article marks."""
+    """`threshold` is the share of the best smoothed ratio that a path must reach; `smooth` neighbours on each side count. `prior` weighs
+    asides, forms and paths outside a marked article, and is the least weight of links. Where no article is marked, paths of `much` of the mean
+    ratio are content, and lists of which `link_share` or more is links aren't parts of it; so much of a menu is links."""
 
-    threshold: float = 0.1
+    threshold: float = 0.8
     smooth: int = 1
-    prior: float = 0.001
+    prior: float = 0.02
+    much: float = 0.3
     link_share: float = 0.6
 
 
@@ -76,6 +79,8 @@ class Path:
     tag: str
     aside: bool
     mark: str = ""  # article or main, if the path lies in one
+    form: bool = False
+    menu: bool = False  # a menu by its name
     nodes: int = 0
     chars: int = 0
     marks: int = 0
@@ -91,22 +96,80 @@ class _Frame:
     heading: bool
 
 
-class Blocks(HTMLParser):
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: What follows a tag's name, to the `>` that no quoted value holds; and one attribute. Neither goes back over what it read.
+_REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+>""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "title", "textarea")}
+
+
+def attributes(rest: str) -> list[tuple[str, str]]:
+    return [(m[1].lower(), entities.unescape(next((v for v in m.group(2, 3, 4) if v is not None), ""))) for m in _ATTRIBUTE.finditer(rest)]
+
+
+class Blocks:
     """Blocks of text with the path that each stands under; markup that isn't closed, or not opened, is taken as browsers do.
 
     Paths are numbers, parents before children, and open elements are found by tag, so time and memory follow the page's
-    size however deep it nests.
+    size however deep it nests. What is looked for and missing once (the end of a comment, of a quoted value, of a script) is not looked for
+    again: such constructs end with the page, or are read as if they weren't there.
     """
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.paths = [Path(-1, "", False)]
         self.known: dict[tuple[int, str], int] = {}
         self.blocks: list[tuple[int, str]] = []
         self.stack = [_Frame("", 0, True, False, False)]
         self.open: dict[str, list[int]] = {"#block": [0]}  # places in the stack of each tag, and of kinds of tags
         self.part: list[str] = []
-        self.part_linked = 0
+        self.part_linked = self.part_control = self.part_own = 0
+
+    def feed(self, page: str) -> None:
+        at, quotes, unclosed = 0, True, set()
+        while at < len(page):
+            here = page.find("<", at)
+            if here < 0 or here > at:
+                self.handle_data(entities.unescape(page[at : here if here >= 0 else len(page)]))
+                if here < 0:
+                    return
+            name = _NAME.match(page, here + 1)
+            if name:
+                tag, end = name[0].lower(), -1
+                rest = _REST.match(page, name.end()) if quotes else None
+                if rest:
+                    end = rest.end() - 1
+                else:
+                    quotes, end = False, page.find(">", name.end())
+                if end < 0:
+                    return
+                found = attributes(page[name.end() : end]) if end > name.end() else []
+                self.handle_starttag(tag, found)
+                if page[end - 1] == "/" and (tag in MATH or tag in ("svg", "path")):
+                    self.handle_endtag(tag)
+                at = end + 1
+                if tag in _RAW and tag not in unclosed:
+                    close = _RAW[tag].search(page, at)
+                    if close:
+                        at = close.start()
+                    elif tag in ("script", "style"):
+                        return
+                    else:
+                        unclosed.add(tag)
+            elif page.startswith("</", here) and (name := _NAME.match(page, here + 2)):
+                end = page.find(">", name.end())
+                if end < 0:
+                    return
+                self.handle_endtag(name[0].lower())
+                at = end + 1
+            elif page.startswith(("<!", "<?", "</"), here):
+                mark = "-->" if page.startswith("<!--", here) else ">"
+                end = page.find(mark, here + 2)
+                if end < 0:
+                    return
+                at = end + len(mark)
+            else:
+                self.handle_data("<")
+                at = here + 1
 
     @staticmethod
     def _kinds(frame: _Frame) -> list[str]:
@@ -137,6 +200,9 @@ class Blocks(HTMLParser):
         own = unseen and tag not in ("article", "main")
         own = own or (tag in ASIDE and not (tag == "header" and (path.mark or tag == "article")))  # an article's own header holds its title
         own = own or _named_aside(tag, names, bool(path.mark), top.heading)
+        own = own or (tag == "article" and path.mark == "article")  # an article in an article is a comment on it, or another
+        menu = not own and tag not in ("html", "body", "article", "main") and any(t in MENUS for a, v in names if a != "id" for t in _tokens(v))
+        form = tag in FORMS or (path.form and tag not in ("article", "main"))
         block = tag not in INLINE or own  # an advert or notice in a line is a block of its own
         number = top.path
         if block:
@@ -146,17 +212,12 @@ class Blocks(HTMLParser):
             if number < 0:
                 number = self.known[top.path, step] = len(self.paths)
                 mark = path.mark if path.mark == "article" or tag not in ("article", "main") else tag
-                self.paths.append(Path(top.path, tag, path.aside or own, mark))
+                self.paths.append(Path(top.path, tag, path.aside or own, mark, form, path.menu or menu))
         frame = _Frame(tag, number, block, top.silent or tag in SILENT, top.heading or tag in HEADINGS)
         for kind in self._kinds(frame):
             self.open.setdefault(kind, []).append(len(self.stack))
         self.stack.append(frame)
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag in MATH or tag in ("svg", "path"):
-            self.handle_endtag(tag)
-
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):
             return
@@ -177,15 +238,20 @@ class Blocks(HTMLParser):
         if self.stack[-1].silent:
             return
         self.part.append(data)
+        size = len(data.strip())
+        self.part_own += size
         if self.open.get("a"):
-            self.part_linked += len(data.strip())
+            self.part_linked += size
+        if self.open.get("button") or self.open.get("label"):
+            self.part_control += size
 
     def _end_block(self) -> None:
         if not self.part:
             return
         text = SPACES.sub(" ", "".join(self.part)).strip()
-        linked, self.part, self.part_linked = self.part_linked, [], 0
-        if not text:
+        linked, control = self.part_linked, self.part_control == self.part_own
+        self.part, self.part_linked, self.part_control, self.part_own = [], 0, 0, 0
+        if not text or control:  # a button or label in a sentence is its words, but one alone is no text
             return
         number = self.stack[self._last("#block")].path
         path = self.paths[number]
@@ -196,17 +262,24 @@ class Blocks(HTMLParser):
         self.blocks.append((number, text))
 
     def close(self) -> None:
-        super().close()
         self._end_block()
 
 
+def _tokens(value: str) -> list[str]:
+    return value.lower().replace("_", "-").split()
+
+
+def _names_boilerplate(token: str) -> bool:
+    return (token in BOILERPLATE and token not in MENUS) or token.endswith(("-comment", "-comments", "-reply", "-replies"))
+
+
 def _named_aside(tag: str, names: list[tuple[str, str]], inside: bool, in_heading: bool) -> bool:
     """Whether an element's class, id and role (attribute, value) name it as not of the article. Inside one, headings and headers
     never are, and ids of sections, links and what stands in headings are targets of links."""
-    if tag in ("html", "body", "article", "main") or (inside and (in_heading or tag in HEADINGS or tag == "header")):
+    if tag in ("html", "body", "main") or (tag == "article" and not inside and not any(_names_boilerplate(t) for _, v in names for t in _tokens(v))) or (inside and (in_heading or tag in HEADINGS or tag == "header")):
         return False
     target = inside and tag in ("section", "a")
-    return any(t in BOILERPLATE for a, v in names if not (target and a == "id") for t in v.lower().replace("_", "-").split())
+    return any(_names_boilerplate(t) for a, v in names if not (target and a == "id") for t in _tokens(v))
 
 
 def smoothed(values: np.ndarray, reach: int) -> np.ndarray:
@@ -219,45 +292,73 @@ def smoothed(values: np.ndarray, reach: int) -> np.ndarray:
     return (total[hi] - total[lo]) / (hi - lo)
 
 
-def fused_ratios(paths: list[Path], order: list[int], settings: Settings) -> np.ndarray:
-    """The fused ratio of the paths in `order`, as they come in the page: text and punctuation per node, by themselves and
-    smoothed, times the share that isn't links, times the priors."""
+def path_ratios(paths: list[Path], order: list[int], settings: Settings) -> np.ndarray:
+    """The ratio of each path in `order`, as they come in the page: the geometric mean of text and punctuation per node, by themselves
+    and smoothed, times the share that isn't links."""
     own = [paths[k] for k in order]
     text = np.array([p.chars / p.nodes for p in own])
     marks = np.array([(p.marks + 0.5) / p.nodes for p in own])
-    fused = np.sqrt(text * marks * smoothed(text, settings.smooth) * smoothed(marks, settings.smooth))
-    free = np.maximum([1 - p.linked / p.chars for p in own], settings.prior)
-    marked = {p.mark for p in own}
-    article = "article" if "article" in marked else "main" if "main" in marked else ""
-    outside = np.array([bool(article) and p.mark != article for p in own])
-    aside = np.array([p.aside for p in own])
-    return fused * free * np.where(aside, settings.prior, 1.0) * np.where(outside, settings.prior, 1.0)
+    fused = (text * marks * smoothed(text, settings.smooth) * smoothed(marks, settings.smooth)) ** 0.25
+    return fused * np.maximum([1 - p.linked / p.chars for p in own], settings.prior)
 
 
-def content_paths(paths: list[Path], order: list[int], settings: Settings) -> set[int]:
-    """Content nodes, those whose fused ratio reaches the threshold, and what belongs to them."""
-    if not order:
-        return set()
-    fused = fused_ratios(paths, order, settings)
-    weight = np.array([paths[k].chars for k in order], float)
-    least = settings.threshold * float((fused * weight).sum() / weight.sum())
-    nodes = {k for k, f in zip(order, fused) if f >= least}
-    articles = {paths[k].mark for k in nodes if not paths[k].aside} - {""}
-    if articles:  # the rest of the article, but for asides below the threshold
-        return nodes | {k for k in order if paths[k].mark in articles and not paths[k].aside}
+def _beside(paths: list[Path], order: list[int], nodes: np.ndarray, settings: Settings) -> np.ndarray:
+    """Which paths in `order` are parts of content that stand under the parent of a content node, and in no list of links."""
     # text and links of each path with all below it; parents have lower numbers
     chars, linked = np.array([p.chars for p in paths]), np.array([p.linked for p in paths])
-    beside = np.zeros(len(paths), bool)  # under the parent of a content node
-    beside[[max(paths[k].parent, 0) for k in nodes]] = True
+    under = np.zeros(len(paths), bool)  # under the parent of a content node
+    under[[max(paths[order[i]].parent, 0) for i in np.flatnonzero(nodes)]] = True
     for k in range(len(paths) - 1, 0, -1):
         chars[paths[k].parent] += chars[k]
         linked[paths[k].parent] += linked[k]
-    listed = np.zeros(len(paths), bool)  # in a part that is links for the most
+    listed = np.zeros(len(paths), bool)
     for k in range(1, len(paths)):
         up = paths[k].parent
-        listed[k] = listed[up] or (beside[up] and linked[k] >= settings.link_share * max(chars[k], 1))
-        beside[k] |= beside[up]
-    return nodes | {k for k in order if beside[paths[k].parent] and not listed[k] and not paths[k].aside and paths[k].tag in PARTS}
+        listed[k] = listed[up] or (under[up] and linked[k] >= settings.link_share * max(chars[k], 1))
+        under[k] |= under[up]
+    return np.array([bool(under[paths[k].parent]) and not listed[k] and paths[k].tag in PARTS for k in order])
+
+
+def fused_ratios(paths: list[Path], order: list[int], settings: Settings) -> np.ndarray:
+    """The ratios of the paths in `order`, weighted by priors and smoothed over the tree.
+
+    The paths of the marked article but its asides share their mean ratio, and what stands outside has a prior; a path outside that is
+    better all the same shows that the article isn't the page's, and then no article counts. Without an article the paths of much text, and the
+    parts of content beside them, share the mean ratio of the former.
+    """
+    own = [paths[k] for k in order]
+    chars = np.array([p.chars for p in own], float)
+    ratio = path_ratios(paths, order, settings)
+    linked: dict[bool, float] = {m: sum(p.linked for p in own if p.menu == m) / max(1, sum(p.chars for p in own if p.menu == m)) for m in (True, False)}
+    aside = np.array([p.aside or (p.menu and linked[True] >= settings.link_share) for p in own])
+    form = np.array([p.form for p in own])
+    if 2 * chars[form & ~aside].sum() > chars[~aside].sum():
+        form[:] = False  # a form around the page is none of its parts
+    low = aside | form
+    weighted = ratio * np.where(aside, settings.prior, 1.0) * np.where(form, settings.prior, 1.0)
+    mean = lambda mask, values: float((values * chars)[mask].sum() / chars[mask].sum())
+    for mark in ("article", "main"):
+        inside = np.array([p.mark == mark for p in own])
+        if not (inside & ~low).any():
+            continue
+        out = np.where(inside, weighted, weighted * settings.prior)
+        shared = mean(inside & ~low, ratio)
+        if shared >= out[~inside].max(initial=0.0):
+            out[inside & ~low] = shared
+            return out
+    nodes = ~low & (weighted >= settings.much * mean(np.ones(len(own), bool), weighted))
+    if not nodes.any():
+        return weighted
+    weighted[nodes | (_beside(paths, order, nodes, settings) & ~low)] = mean(nodes, weighted)
+    return weighted
+
+
+def content_paths(paths: list[Path], order: list[int], settings: Settings) -> set[int]:
+    """Content nodes: the paths whose fused ratio is within the threshold's share of the best."""
+    if not order:
+        return set()
+    fused = fused_ratios(paths, order, settings)
+    return {k for k, f in zip(order, fused) if f >= settings.threshold * fused.max()}
 
 
 def main_text(page: str | None, settings: Settings = Settings()) -> str:
@@ -265,13 +366,8 @@ def main_text(page: str | None, settings: Settings = Settings()) -> str:
     if not page:
         return ""
     parser = Blocks()
-    try:
-        parser.feed(page)
-        parser.close()
-    except (AssertionError, ValueError):  # a malformed declaration: the rest as plain text without tags
-        rest = entities.unescape(re.sub(r"<[^<>]*>", " ", parser.rawdata))
-        parser.part.append(rest)
-        parser._end_block()
+    parser.feed(page)
+    parser.close()
     good = content_paths(parser.paths, list(dict.fromkeys(k for k, _ in parser.blocks)), settings)
     return " ".join(text for k, text in parser.blocks if k in good)
 
