@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import fresh_name, fresh_path
+from skein.llm.dealt import attached
 
 RULE_VERSION = "2026-11-1"
 
@@ -35,7 +36,7 @@ BASE = {
 ADDED = {
     "private_key": ("-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1, "-----BEGIN "),
     "code_host": ("gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, "gh[pousr]_[A-Za-z0-9]{36}"),
-    "web_token": (r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1, r"eyJ[A-Za-z0-9_-]{10}"),
+    "web_token": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1, r"eyJ[A-Za-z0-9_-]{10}"),
     "chat": ("xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, "xox[abprs]-"),
 }
 RULES = BASE | ADDED
@@ -121,11 +122,12 @@ def scan_secrets(versions: DataFrame, path: str = "doc_id", text: str = "text",
     """
     known = update_ledger(versions, ledger or fresh_path(versions.sparkSession, "blob_ledger"), path, text, rule_version)
     names: list[str] = []
-    for name in ("blob", "found_blob", "found", "findings"):
+    for name in ("blob", "found", "findings"):
         names.append(fresh_name([*versions.columns, *names], name))
-    blob_, other_, found_, out_ = names
-    some = known.filter((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select(F.col("blob").alias(other_), F.col("findings").alias(found_))
-    both = versions.withColumn(blob_, blob_of(text)).join(some, F.col(blob_) == F.col(other_), "left")
+    blob_, found_, out_ = names
+    some = known.filter((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select(F.col("blob").alias(blob_), F.col("findings").alias(found_))
+    # copies of one text are many tasks' work
+    both = attached(versions.withColumn(blob_, blob_of(text)), blob_, path, some, "left")
     return both.select(*[F.col(f"`{c}`") for c in versions.columns], F.coalesce(F.col(found_), F.array().cast(_FOUND)).alias(out_))
 
 
