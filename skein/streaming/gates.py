@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skein.streaming.changes import starts
+
 c = F.col
 
 
@@ -48,13 +50,9 @@ def _accepted(times: list[tuple[float, int]], last: float | None, wait: float) -
 
 def cooled_down(events: DataFrame, key: str, seconds: float = 60.0) -> DataFrame:
     """(key, seq) of the events accepted: none within `seconds` of the last accepted one of its key. Batch form."""
-    kind = dict(events.dtypes)[key]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, _ = _accepted(list(zip(pdf["at"], pdf["seq"])), None, seconds)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(kept), "seq": kept})
-
-    return events.select(key, c("ts").cast("timestamp").cast("double").alias("at"), "seq").groupBy(key).applyInPandas(run, f"{key} {kind}, seq long")
+    rows = events.select(key, F.unix_micros(c("ts").cast("timestamp")).alias("at"), "seq")
+    accepted = starts(rows, key, "at", round(seconds * 1_000_000)).withColumnRenamed("start", "at")
+    return rows.join(accepted, [key, "at"]).groupBy(key, "at").agg(F.min("seq").alias("seq")).select(key, "seq")
 
 
 def cooled_down_stream(events: DataFrame, key: str, seconds: float = 60.0) -> DataFrame:
