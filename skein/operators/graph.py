@@ -37,7 +37,7 @@ def reachable(steps: DataFrame, starts: DataFrame, max_depth: int | None) -> Dat
 
     `starts` is (root, id). Ids without a node are walked through. The steps are written once, for each layer reads them.
     """
-    steps = written(steps.select(c("a").alias("id"), "b").distinct(), "steps")
+    steps = written(steps.select(c("a").alias("id"), "b"), "steps")  # what repeats falls together in each layer
     front = written(starts.select("root", "id").distinct(), "frontier")
     seen = front.withColumn("depth", F.lit(0))
     for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
@@ -64,15 +64,21 @@ def suffixes(name: Column) -> Column:
     return F.filter(ends, lambda x: x["suffix"].isNotNull())
 
 
-def sole_owners(nodes: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, walk, suffix) of the suffixes of `names` (id) that no other node is, ends with, or is an end of. Owners are counted by suffix
-    before they meet a name, so a suffix that many nodes share is one row."""
+def sole_owners(nodes: DataFrame, names: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(id, walk, suffix) of the suffixes of `names` (id), of those in `among` (suffix) if given, that no other node is, ends with, or is an
+    end of. Only nodes whose last segment is asked for are looked at, and owners are counted by suffix before they meet a name, so a
+    suffix that many nodes share is one row."""
+    leaf = lambda x: F.substring_index(x, "::", -1)
     asked = names.select("id").distinct().select("id", F.inline(suffixes(c("id"))))
+    if among is not None:
+        asked = asked.join(among.select("suffix").distinct(), "suffix", "left_semi").select("id", "walk", "suffix")
+    asked = written(asked.withColumn("leaf", leaf("suffix")), "suffixes")
+    near = nodes.select("id", leaf("id").alias("leaf")).join(asked.select("leaf").distinct(), "leaf", "left_semi")
     ends = F.concat(F.transform(suffixes(c("id")), lambda x: x["suffix"]), F.array("id"))
-    owned = nodes.select("id", F.explode(F.array_distinct(ends)).alias("suffix")).groupBy("suffix").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    owned = near.select("id", F.explode(F.array_distinct(ends)).alias("suffix")).groupBy("suffix").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     # a node of one segment is the end of every longer suffix that ends with it
-    short = nodes.select(c("id").alias("leaf")).filter(~c("leaf").contains("::")).distinct().withColumn("short", c("leaf"))
-    met = asked.withColumn("leaf", F.element_at(F.split("suffix", "::"), -1)).join(owned, "suffix", "left").join(short, "leaf", "left")
+    short = near.filter(c("leaf") == c("id")).select("leaf", c("leaf").alias("short")).distinct()
+    met = asked.join(owned, "suffix", "left").join(short, "leaf", "left")
     alone = lambda x: F.coalesce(c(x) == c("id"), F.lit(True))
     return met.filter(alone("least") & alone("most") & alone("short")).select("id", "walk", "suffix")
 
@@ -94,8 +100,8 @@ def impact(edges: DataFrame, nodes: DataFrame, starts: DataFrame, direction: str
 
 def in_neighbours(edges: DataFrame, nodes: DataFrame, kinds: list[str]) -> DataFrame:
     """(dst, id, path): the nodes with an edge to each name, each once, and for nodes also those with an edge to a suffix that they alone own."""
-    own = edges.filter(c("kind").isin(*kinds)).select(c("src").alias("id"), "dst").distinct()
-    loose = sole_owners(nodes, nodes).select(c("suffix").alias("dst"), c("id").alias("owner"))
+    own = written(edges.filter(c("kind").isin(*kinds)).select(c("src").alias("id"), "dst"), "edges_in")
+    loose = sole_owners(nodes, nodes, own.select(c("dst").alias("suffix"))).select(c("suffix").alias("dst"), c("id").alias("owner"))
     by_suffix = own.join(loose, "dst").filter("owner <> id").select("id", c("owner").alias("dst"))
     return own.unionByName(by_suffix).distinct().join(nodes, "id").select("dst", "id", "path")
 

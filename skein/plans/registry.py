@@ -31,5 +31,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["r01_hybrid_recall"](spark, sf_dir)
 
 
-for _module in ("scans", "text", "relational", "graph", "retrieval", "lifecycle", "analytics", "trimming", "streams", "memory", "more", "code", "traces", "records", "ranking"):
+for _module in ("scans", "text", "relational", "graph", "retrieval", "lifecycle", "analytics", "trimming", "streams", "memory", "more", "code", "traces", "records", "ranking", "trees"):
     importlib.import_module(f"skein.plans.{_module}")
