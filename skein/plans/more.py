@@ -233,12 +233,6 @@ def _(t):
     return graph_stage(t.edges, t.nodes, ["order::o10", "order::o20", "order::o30"]).select("id", c("at").alias("seed"))
 
 
-@query("r13_appended_hits", "SELECT id, round(1.0 / (1 + d), 6) AS score FROM (SELECT vec_id AS id, vec_id % 17 / 10.0 AS d FROM {embeddings} ORDER BY vec_id % 17, vec_id LIMIT 5)")
-def _(t):
-    near = t.embeddings.select(c("vec_id").alias("id"), (c("vec_id") % 17 / 10.0).alias("d")).orderBy("d", "id").limit(5)
-    return near.select("id", F.round(1.0 / (1 + c("d")), 6).alias("score"))
-
-
 @query("g17_incident_edges", "SELECT src, dst, kind FROM {edges} WHERE src = 'part::p3' OR dst = 'part::p3'")
 def _(t):
     return t.edges.filter((c("src") == "part::p3") | (c("dst") == "part::p3"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.operators import postings as P
+from skein.operators import vectors as V
 from skein.operators.recall import Scope, recall, span_id
 from skein.plans.registry import query
 
@@ -67,3 +68,42 @@ def _(t):
     preferences = t.nation.select(c("n_nationkey").alias("n"), c("n_name").alias("text"))
     index = P.build(bodies.filter("body <> ''"), "id", ["body", "symbol"])
     return recall(index, "doc::d12::1 worthless thanedqble src1 widget nation_7", nodes, edges, files, facts, lessons, preferences, scope=Scope(paths=("src",)), k=12)
+
+
+_DIST = "round(1.0 - list_sum(list_transform(list_zip(embedding, q), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(q, lambda x: x * x)))), 9)"
+_ARCHIVE = f"q0 AS (SELECT [CAST(x AS DOUBLE) FOR x IN embedding] AS q FROM {{embeddings}} WHERE vec_id = 7), d AS (SELECT vec_id, vec_id // 8 AS session_id, vec_id % 8 AS chunk, label, {_DIST} AS distance FROM {{embeddings}}, q0)"
+
+
+def _archive(t):
+    """The embeddings as an archive: sessions of eight chunks, with the project and topic of their labels."""
+    session, chunk = (c("vec_id") / 8).cast("long"), c("vec_id") % 8
+    return t.embeddings.select("vec_id", session.alias("session_id"), chunk.alias("chunk"), F.when(c("label") % 2 == 0, "even").otherwise("odd").alias("project"), F.concat(F.lit("t"), "label").alias("topic"), F.concat(F.lit("chunk "), "vec_id").alias("text"), "embedding")
+
+
+def _asked(t):
+    return list(t.embeddings.filter("vec_id = 7").first().embedding)
+
+
+@query(
+    "r16_archive_filtered",
+    f"""WITH {_ARCHIVE}, f AS (SELECT * FROM d WHERE label % 2 = 1 ORDER BY distance, vec_id LIMIT 40), k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY distance, vec_id) AS rn FROM f)
+    SELECT vec_id, session_id, chunk, round(distance, 6) AS distance, concat_ws(chr(10) || '---' || chr(10), CASE WHEN chunk > 0 THEN concat('chunk ', vec_id - 1) END, concat('chunk ', vec_id), CASE WHEN chunk < 7 AND vec_id + 1 <= (SELECT max(vec_id) FROM {{embeddings}}) THEN concat('chunk ', vec_id + 1) END) AS expanded
+    FROM k WHERE rn <= 3 ORDER BY k.distance, vec_id LIMIT 20""",
+)
+def _(t):
+    archive = _archive(t)
+    found = V.archive_search(V.build(archive.drop("text"), "vec_id"), archive.select("session_id", "chunk", "text"), _asked(t), 20, project="odd")
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query("r16_archive_topic", f"WITH {_ARCHIVE} SELECT vec_id, round(distance, 6) AS distance FROM d WHERE label % 2 = 0 AND label = 2 ORDER BY d.distance, vec_id LIMIT 15")
+def _(t):
+    where = (c("project") == "even") & (c("topic") == "t2")
+    return V.nearest(V.build(_archive(t).drop("text"), "vec_id"), _asked(t), 15, where).rows.withColumn("distance", F.round("distance", 6))
+
+
+@query("r13_appended_hits", f"WITH {_ARCHIVE} SELECT vec_id AS id, round(1.0 / (1 + distance), 6) AS score FROM d ORDER BY d.distance, vec_id LIMIT 5")
+def _(t):
+    """The five nearest of the archive, which come after a recall's own answers, scored by their distance."""
+    near = V.nearest(V.build(_archive(t).drop("text"), "vec_id"), _asked(t), 5).rows
+    return near.select(c("vec_id").alias("id"), F.round(1.0 / (1 + c("distance")), 6).alias("score"))
