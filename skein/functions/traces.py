@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,122 +177,118 @@ def fingerprint(command: Column, args: Column, env: Column) -> Column:
 # transcripts
 
 
-def tool_use(name: str | None, given) -> str | None:
-    """One line for a call of a tool."""
-    if name is None:
-        return None
-    given = given if isinstance(given, dict) else {}
-    text = lambda k, other="": given[k] if isinstance(given.get(k), str) else other
-    if name == "Bash":
-        return f"[Bash] {cut(text('command'), 200)}"
-    if name == "Read":
-        span = [given.get(k) for k in ("offset", "limit")]
-        whole = all(isinstance(x, int) and not isinstance(x, bool) and x >= 0 for x in span)
-        return f"[Read {text('file_path', '?')}" + (f":{span[0]}-{sum(span)}]" if whole else "]")
-    if name == "Grep":
-        return f"[Grep] {text('pattern')} in {text('path') if 'path' in given else text('glob')}"
-    if name == "Glob":
-        return f"[Glob] {text('pattern')}"
-    if name in ("Edit", "Write"):
-        return f"[{name} {text('file_path', '?')}]"
-    body = json.dumps(given, ensure_ascii=False, separators=(",", ":"), sort_keys=True) if given else "null"
-    return f"[{name}] {cut(body, 200)}{'...' if len(body.encode()) > 200 else ''}"
-
-
-def tool_result(content, name: str) -> str | None:
-    """What a tool gave, shortened; nothing for tools whose results are in the files."""
-    if name in ("Read", "Edit", "Write"):
-        return None
-    if isinstance(content, list):
-        content = "\n".join(b["text"] for b in content if isinstance(b, dict) and b.get("type") == "text" and isinstance(b.get("text"), str))
-    text = content.strip() if isinstance(content, str) else ""
-    if not text:
-        return None
-    lines = [f"→ {x}" for x in text.splitlines()]
-    if name == "Bash":
-        return "\n".join(lines) if len(lines) <= 40 else "\n".join([*lines[:20], f"→ ... [{len(lines) - 40} lines omitted] ...", *lines[-20:]])
-    if name in ("Grep", "Glob"):
-        return "\n".join(lines) if len(lines) <= 20 else "\n".join([*lines[:20], f"→ ... [{len(lines) - 20} more matches]"])
-    size = len(text.encode())
-    return f"→ {text}" if size <= 2048 else f"→ {cut(text, 2048)}... [truncated, {size} chars]"
-
-
-def _entries(line: str | None) -> dict | None:
-    """What a transcript line says, in either format: role, parts (text, or a tool's id and result), the tools that it calls, and how it joins."""
-    try:
-        v = json.loads(line or "")
-    except ValueError:
-        return None
-    if not isinstance(v, dict):
-        return None
-    kind, payload = v.get("type") if isinstance(v.get("type"), str) else "", v.get("payload")
-    if kind == "response_item":
-        return _rollout(v, payload) if isinstance(payload, dict) else None
-    role = kind if kind in ("user", "assistant") else (v.get("role") or "unknown") if kind == "" else None
-    if role in (None, "system", "tool"):
-        return None
-    message = v.get("message")
-    content = message["content"] if isinstance(message, dict) and "content" in message else v.get("content")
-    parts, tools = [], {}
-    if isinstance(content, str):
-        parts = [("text", content, None)]
-    elif isinstance(content, list):
-        for b in (b for b in content if isinstance(b, dict)):
-            if b.get("type") == "text" and isinstance(b.get("text"), str):
-                parts.append(("text", b["text"], None))
-            elif b.get("type") == "tool_use":
-                if isinstance(b.get("id"), str) and role == "assistant":
-                    tools[b["id"]] = b["name"] if isinstance(b.get("name"), str) else "Unknown"
-                if (text := tool_use(b.get("name"), b.get("input"))) is not None:
-                    parts.append(("text", text, None))
-            elif b.get("type") == "tool_result":
-                parts.append(("result", json.dumps(b.get("content")), b.get("tool_use_id") if isinstance(b.get("tool_use_id"), str) else ""))
-    elif isinstance(content, dict) and isinstance(content.get("text"), str):
-        parts = [("text", content["text"], None)]
-    only = isinstance(content, list) and all(isinstance(b, dict) and b.get("type") == "tool_result" for b in content)
-    return {"role": role, "join": "tool" if only else "turn", "parts": parts, "tools": tools, "lead": "\n", "most": 0}
-
-
-def _rollout(v: dict, payload: dict) -> dict | None:
-    kind, out = payload.get("type"), {"role": "assistant", "join": "trace", "tools": {}, "lead": "\n", "most": 0}
-    if kind == "message" and payload.get("role") in ("user", "assistant"):
-        blocks = payload.get("content") if isinstance(payload.get("content"), list) else []
-        text = "\n".join(b["text"] for b in blocks if isinstance(b, dict) and b.get("type") in ("input_text", "output_text") and isinstance(b.get("text"), str))
-        if payload["role"] == "user" and text.lstrip().startswith(INJECTED):
-            return None
-        return out | {"role": payload["role"], "join": "turn", "parts": [("text", text, None)]}
-    if kind in ("function_call", "custom_tool_call") and isinstance(payload.get("name"), str):
-        given = next((payload[k] for k in ("arguments", "input") if isinstance(payload.get(k), str)), "")
-        return out | {"parts": [("text", f"🔧 {payload['name']}({cut(given, 160)})", None)]}
-    if kind in ("function_call_output", "custom_tool_call_output") and isinstance(payload.get("output"), str):
-        return out | {"parts": [("text", payload["output"], None)], "lead": "\n  → ", "most": 200}
-    return None
-
-
-_ENTRY = "session_id string, line_no long, role string, joins string, lead string, most int, parts array<struct<kind:string,text:string,id:string>>, tools map<string,string>"
+def _variant(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "variant")
 
 
-def transcript_entries(lines: DataFrame) -> DataFrame:
-    """Lines (session_id, line_no, line) of transcripts as entries; malformed lines, and those that say nothing of the conversation, are left out."""
-    part = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("id", pa.string())]))
+def _is(v: Column, kind: str) -> Column:
+    """Whether a variant is of a kind, by the beginning of its schema."""
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False))
+
+
+def _string(v: Column, path: str) -> Column:
+    """A field that is a string; null for others."""
+    return F.when(_is(_variant(v, path), "STRING"), F.try_variant_get(v, path, "string"))
+
+
+def _count(v: Column, path: str) -> Column:
+    n = F.try_variant_get(v, path, "long")
+    return F.when(_is(_variant(v, path), "BIGINT") & (n >= 0), n)
+
+
+def tool_use(name: Column, given: Column) -> Column:
+    """One line for a call of a tool with an input (variant); null without a name."""
+    text = lambda k, other="": F.coalesce(_string(given, f"$.{k}"), F.lit(other))
+    first, lines = _count(given, "$.offset"), _count(given, "$.limit")
+    target = F.when(_variant(given, "$.path").isNotNull(), text("path")).otherwise(text("glob"))
+    body = F.coalesce(F.to_json(given), F.lit("null"))
+    return (
+        F.when(name == "Bash", F.concat(F.lit("[Bash] "), cut_bytes(text("command"), 200)))
+        .when(name == "Read", F.concat(F.lit("[Read "), text("file_path", "?"), F.coalesce(F.concat(F.lit(":"), first, F.lit("-"), first + lines), F.lit("")), F.lit("]")))
+        .when(name == "Grep", F.concat(F.lit("[Grep] "), text("pattern"), F.lit(" in "), target))
+        .when(name == "Glob", F.concat(F.lit("[Glob] "), text("pattern")))
+        .when(name.isin("Edit", "Write"), F.concat(F.lit("["), name, F.lit(" "), text("file_path", "?"), F.lit("]")))
+        .when(name.isNotNull(), F.concat(F.lit("["), name, F.lit("] "), cut_bytes(body, 200), F.when(F.octet_length(body) > 200, "...").otherwise("")))
+    )
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, found = [], []
-            for i, line in enumerate(batch.column(2).to_pylist()):
-                if (e := _entries(line)) is not None:
-                    keep.append(i)
-                    found.append(e)
-            own = [batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)]
-            text = lambda k: pa.array([e[k] for e in found], pa.string())
-            parts = pa.array([[dict(zip(("kind", "text", "id"), p)) for p in e["parts"]] for e in found], part)
-            yield pa.RecordBatch.from_arrays([*own, text("role"), text("join"), text("lead"), pa.array([e["most"] for e in found], pa.int32()), parts, pa.array([list(e["tools"].items()) for e in found], pa.map_(pa.string(), pa.string()))], names=[x.split()[0] for x in _ENTRY.split(", ")])
+def result_text(content: Column) -> Column:
+    """What a tool gave (variant): a string, or the texts of an array's blocks; without white space at its ends, null if nothing is left."""
+    blocks = F.filter(F.try_variant_get(content, "$", "array<variant>"), lambda b: (_string(b, "$.type") == "text") & _string(b, "$.text").isNotNull())
+    joined = F.array_join(F.transform(blocks, lambda b: _string(b, "$.text")), "\n")
+    whole = F.when(_is(content, "STRING"), F.try_variant_get(content, "$", "string")).when(_is(content, "ARRAY"), joined)
+    bare = F.regexp_replace(whole, r"(?U)^\s+|\s+$", "")
+    return F.when(bare != "", bare)
 
-    return lines.select(c("session_id").cast("string"), c("line_no").cast("long"), "line").mapInArrow(run, _ENTRY)
+
+def tool_result(text: Column, name: Column) -> Column:
+    """A result's text, shortened; null for tools whose results are in the files."""
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.concat(F.lit("→ "), x))
+    n, size, join = F.size(lines), F.octet_length(text), lambda x: F.array_join(x, "\n")
+    both_ends = F.concat(F.slice(lines, 1, 20), F.array(F.format_string("→ ... [%d lines omitted] ...", n - 40)), F.slice(lines, -20, 20))
+    head = F.concat(F.slice(lines, 1, 20), F.array(F.format_string("→ ... [%d more matches]", n - 20)))
+    return (
+        F.when(name.isin("Read", "Edit", "Write"), F.lit(None))
+        .when(name == "Bash", join(F.when(n <= 40, lines).otherwise(both_ends)))
+        .when(name.isin("Grep", "Glob"), join(F.when(n <= 20, lines).otherwise(head)))
+        .when(size <= 2048, F.concat(F.lit("→ "), text))
+        .otherwise(F.concat(F.lit("→ "), cut_bytes(text, 2048), F.lit("... [truncated, "), size, F.lit(" chars]")))
+    )
+
+
+def _part(kind: str, text: Column, id_: Column | None = None) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), text.alias("text"), (F.lit(None).cast("string") if id_ is None else id_).alias("id"))
 
 
-def _results(content: pd.Series, name: pd.Series) -> pd.Series:
-    return pd.Series([tool_result(json.loads(x), n) for x, n in zip(content, name)], dtype=object)
+def _block(b: Column) -> Column:
+    """What a block of a message says, or null."""
+    kind, none = _string(b, "$.type"), F.lit(None)
+    called = tool_use(_string(b, "$.name"), _variant(b, "$.input"))
+    given = _part("result", result_text(_variant(b, "$.content")), F.coalesce(_string(b, "$.tool_use_id"), F.lit("")))
+    return F.when((kind == "text") & _string(b, "$.text").isNotNull(), _part("text", _string(b, "$.text"))).when((kind == "tool_use") & called.isNotNull(), _part("text", called)).when(kind == "tool_result", given).otherwise(none)
+
+
+def transcript_entries(lines: DataFrame) -> DataFrame:
+    """(session_id, line_no, role, joins, lead, most, parts, tools) of the lines (session_id, line_no, line) of transcripts, in either wire format.
+
+    Each line is parsed once. Parts are texts, or a tool's id and what it gave; tools are the calls of an assistant, by id. Malformed
+    lines, and those that say nothing of the conversation, are left out.
+    """
+    v, none = c("v"), F.lit(None).cast("string")
+    read = lines.select(c("session_id").cast("string"), c("line_no").cast("long"), F.try_parse_json("line").alias("v")).filter(_is(v, "OBJECT"))
+    kind, empty = F.coalesce(_string(v, "$.type"), F.lit("")), F.array().cast("array<struct<kind:string,text:string,id:string>>")
+    no_tools = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    # messages
+    role = F.when(kind.isin("user", "assistant"), kind).when(kind == "", F.coalesce(_string(v, "$.role"), F.lit("unknown")))
+    messages = read.filter((kind != "response_item") & role.isNotNull() & ~role.isin("system", "tool")).select("session_id", "line_no", role.alias("role"), F.coalesce(_variant(v, "$.message.content"), _variant(v, "$.content")).alias("content"))
+    messages = messages.withColumn("blocks", F.when(_is(c("content"), "ARRAY"), F.try_variant_get("content", "$", "array<variant>")))
+    told = F.filter(F.transform("blocks", _block), lambda p: p.isNotNull())
+    whole = F.when(_is(c("content"), "STRING"), F.try_variant_get("content", "$", "string")).when(_is(c("content"), "OBJECT"), _string(c("content"), "$.text"))
+    calls = F.filter("blocks", lambda b: (_string(b, "$.type") == "tool_use") & _string(b, "$.id").isNotNull())
+    called = F.map_from_entries(F.array_distinct(F.transform(calls, lambda b: F.struct(_string(b, "$.id"), F.coalesce(_string(b, "$.name"), F.lit("Unknown"))))))
+    only = c("blocks").isNotNull() & F.forall("blocks", lambda b: F.coalesce(_string(b, "$.type") == "tool_result", F.lit(False)))
+    spoken = messages.select(
+        "session_id", "line_no", "role", F.when(only, "tool").otherwise("turn").alias("joins"), F.lit("\n").alias("lead"), F.lit(0).alias("most"),
+        F.coalesce(told, F.when(whole.isNotNull(), F.array(_part("text", whole))), empty).alias("parts"), F.when((c("role") == "assistant") & c("blocks").isNotNull(), called).otherwise(no_tools).alias("tools"),
+    )
+    # rollouts
+    p = c("p")
+    rolled = read.filter(kind == "response_item").select("session_id", "line_no", _variant(v, "$.payload").alias("p")).filter(_is(p, "OBJECT"))
+    item, who, name = _string(p, "$.type"), _string(p, "$.role"), _string(p, "$.name")
+    said = F.filter(F.try_variant_get(_variant(p, "$.content"), "$", "array<variant>"), lambda b: _string(b, "$.type").isin("input_text", "output_text") & _string(b, "$.text").isNotNull())
+    text = F.coalesce(F.array_join(F.transform(said, lambda b: _string(b, "$.text")), "\n"), F.lit(""))
+    message = (item == "message") & who.isin("user", "assistant")
+    injected = (who == "user") & F.regexp_replace(text, r"(?U)^\s+", "").rlike("^(?:" + "|".join(re.escape(x) for x in INJECTED) + ")")
+    call = item.isin("function_call", "custom_tool_call") & name.isNotNull()
+    given = cut_bytes(F.coalesce(_string(p, "$.arguments"), _string(p, "$.input"), F.lit("")), 160)
+    output = _string(p, "$.output")
+    gave = item.isin("function_call_output", "custom_tool_call_output") & output.isNotNull()
+    body = F.when(message & ~injected, text).when(call, F.concat(F.lit("🔧 "), name, F.lit("("), given, F.lit(")"))).when(gave, output).otherwise(none)
+    rows = rolled.select(
+        "session_id", "line_no", F.when(message, who).otherwise("assistant").alias("role"), F.when(message, "turn").otherwise("trace").alias("joins"),
+        F.when(F.coalesce(gave, F.lit(False)), "\n  → ").otherwise("\n").alias("lead"), F.when(F.coalesce(gave, F.lit(False)), 200).otherwise(0).alias("most"), F.when(body.isNotNull(), F.array(_part("text", body))).alias("parts"), no_tools.alias("tools"),
+    ).filter("parts IS NOT NULL")
+    return spoken.unionByName(rows)
 
 
 def transcript_turns(lines: DataFrame) -> DataFrame:
@@ -307,8 +301,8 @@ def transcript_turns(lines: DataFrame) -> DataFrame:
     named = entries.select("session_id", F.explode("tools").alias("id", "name")).groupBy("session_id", "id").agg(F.max("name").alias("name"))
     parts = entries.select("session_id", "line_no", F.posexplode("parts").alias("at", "part"))
     texts = parts.filter("part.kind = 'text'").select("session_id", "line_no", "at", c("part.text").alias("text"))
-    results = parts.filter("part.kind = 'result'").select("session_id", "line_no", "at", c("part.id").alias("id"), c("part.text").alias("content")).join(named, ["session_id", "id"], "left")
-    results = results.select("session_id", "line_no", "at", F.pandas_udf(_results, "string")("content", F.coalesce("name", F.lit("Unknown"))).alias("text")).filter("text IS NOT NULL")
+    results = parts.filter("part.kind = 'result'").select("session_id", "line_no", "at", c("part.id").alias("id"), c("part.text").alias("content")).filter("content IS NOT NULL").join(named, ["session_id", "id"], "left")
+    results = results.select("session_id", "line_no", "at", tool_result(c("content"), F.coalesce("name", F.lit("Unknown"))).alias("text")).filter("text IS NOT NULL")
     said = texts.unionByName(results).groupBy("session_id", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n").alias("raw"))
     kept = entries.drop("parts", "tools").join(said, ["session_id", "line_no"]).withColumn("text", without_noise(c("raw"))).filter("text <> ''")
     kept = kept.withColumn("text", F.when(c("most") > 0, cut_bytes(c("text"), 200)).otherwise(c("text")))
