@@ -191,6 +191,12 @@ def rule_layers(base: DataFrame, over: DataFrame) -> DataFrame:
     return overlay(first, last, "id", "ord")
 
 
+def rule_counters(rules: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, enabled, disabled, hooks) of rules (keys, enabled, enforcement)."""
+    count = lambda x, name: F.count_if(x).alias(name)
+    return rules.groupBy(*keys).agg(F.count("*").alias("n"), count(c("enabled"), "enabled"), count(~c("enabled"), "disabled"), count(c("enforcement") == "hook", "hooks"))
+
+
 def stateful_enabled(rules: DataFrame, asked: DataFrame) -> DataFrame:
     """(stateful, enabled) of each asked one: whether the first rule of that state is there and enabled."""
     first = rules.filter("stateful IS NOT NULL").groupBy("stateful").agg(F.min_by("enabled", "ord").alias("on"))

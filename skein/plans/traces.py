@@ -165,17 +165,24 @@ def _(t):
     return L.rule_gate(calls, L.default_rules(), "p_partkey", "tool")
 
 
-@query("a23_rule_counters", "SELECT 11 AS n, 11 AS enabled, 0 AS disabled, 6 AS hooks")
+_RULES = """SELECT p_brand AS project, p_partkey AS ord, concat('rule-', p_size) AS id, CASE WHEN p_size % 3 = 0 THEN 'prompt' ELSE 'hook' END AS enforcement, p_partkey % 4 <> 0 AS enabled,
+    CASE WHEN p_size % 7 > 0 THEN concat(p_brand, '/', p_size % 7) END AS stateful FROM {part}"""
+
+
+@query("a23_rule_counters", f"WITH r AS ({_RULES}) SELECT project, count(*) AS n, count(*) FILTER (enabled) AS enabled, count(*) FILTER (NOT enabled) AS disabled, count(*) FILTER (enforcement = 'hook') AS hooks FROM r GROUP BY project")
 def _(t):
-    count = lambda x: F.count_if(x).cast("int")
-    return L.rules_table(t.spark, L.default_rules()).agg(F.count("*").cast("int").alias("n"), count(c("enabled")).alias("enabled"), count(~c("enabled")).alias("disabled"), count(c("enforcement") == "hook").alias("hooks"))
+    """Counters of the rules of each project; parts stand for rules."""
+    return L.rule_counters(t.spark.sql(_RULES, part=t.part), ["project"])
 
 
-@query("f09_stateful_rules", "SELECT * FROM (VALUES ('require-memory-impact', FALSE), ('require-detect-changes', TRUE), ('unknown', FALSE)) AS v(stateful, enabled)")
+@query(
+    "f09_stateful_rules",
+    f"""WITH r AS ({_RULES}), q AS (SELECT DISTINCT concat(p_brand, '/', p_size % 8) AS stateful FROM {{part}}), s AS (SELECT stateful, arg_min(enabled, ord) AS enabled FROM r WHERE stateful IS NOT NULL GROUP BY stateful)
+    SELECT q.stateful, coalesce(enabled, false) AS enabled FROM q LEFT JOIN s USING (stateful)""",
+)
 def _(t):
-    rules = [r | {"enabled": r["id"] != "require-memory-impact"} for r in L.default_rules()]
-    asked = t.spark.createDataFrame([("require-memory-impact",), ("require-detect-changes",), ("unknown",)], "stateful string")
-    return L.stateful_enabled(L.rules_table(t.spark, rules), asked)
+    asked = t.part.select(F.concat("p_brand", F.lit("/"), c("p_size") % 8).alias("stateful")).distinct()
+    return L.stateful_enabled(t.spark.sql(_RULES, part=t.part), asked)
 
 
 @query(
