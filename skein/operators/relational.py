@@ -84,10 +84,33 @@ def overlay(base: DataFrame, over: DataFrame, key: str, order: str) -> DataFrame
     return both.select(row.alias("row"), place.alias("place")).select(*[c(f"row.{x}").alias(x) for x in base.columns if x != order], F.when(c("place.extra"), c("place.at") + F.lit(1 << 40)).otherwise(c("place.at")).alias(order))
 
 
+def running(rows: DataFrame, keys: list[str], order: list[Column], **folds: tuple[str, Column]) -> DataFrame:
+    """`rows` with the folds (`sum` or `max`, of a column) of each key's rows so far, in an order that should have no ties.
+
+    Rows are sorted in ranges and written once; a range's own folds are completed by those of the ranges before it, of which a key has one
+    row each, so a key that holds most rows is many tasks' work. Nulls add nothing.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    apply, both = {"sum": F.sum, "max": F.max}, {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest}
+    given = rows.withColumns({f"__{name}": column for name, (_, column) in folds.items()})
+    by = [*map(c, keys), *order]
+    dealt = written(given.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "ranges")
+    of = lambda name, kind: apply[kind](f"__{name}")
+    totals = dealt.groupBy("__part", *keys).agg(*[of(name, kind).alias(f"__{name}") for name, (kind, _) in folds.items()])
+    ahead = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("__part", *[c(k).alias(f"__key_{k}") for k in keys], *[of(name, kind).over(ahead).alias(f"__before_{name}") for name, (kind, _) in folds.items()])
+    so_far = Window.partitionBy("__part", *keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumns({f"__{name}": of(name, kind).over(so_far) for name, (kind, _) in folds.items()}).withColumnRenamed("__part", "__own")
+    same = c("__own") == c("__part")
+    for k in keys:
+        same = same & c(k).eqNullSafe(c(f"__key_{k}"))
+    met = local.join(carried, same)
+    return met.select(*rows.columns, *[both[kind](c(f"__{name}"), c(f"__before_{name}")).alias(name) for name, (kind, _) in folds.items()])
+
+
 def islands(rows: DataFrame, keys: list[str], order: str, starts: Column) -> DataFrame:
     """`rows` with `island`: how many rows of the keys so far start one."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("island", F.sum(starts.cast("long")).over(w))
+    return running(rows.withColumn("__start", starts), keys, [c(order)], island=("sum", c("__start").cast("long"))).drop("__start")
 
 
 def collapsed_runs(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -98,17 +121,19 @@ def collapsed_runs(rows: DataFrame, keys: list[str], order: str, value: str) ->
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, percents: list[int]) -> DataFrame:
-    """For each percent the value at index round((n - 1) * p / 100) of the sorted values, not interpolated."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("i", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda p: F.max(F.when(c("i") == F.floor((c("n") - 1) * p / 100 + 0.5), c(value))).alias(f"p{p}")
-    return ranked.groupBy(*keys).agg(*[at(p) for p in percents])
+    """For each percent the value at index round((n - 1) * p / 100) of the sorted values, not interpolated. Values are ranked in ranges, so a key
+    that holds most rows is many tasks' work."""
+    ranked = ranks_per_key(rows.select(*keys, value), keys, [c(value)], "__i")
+    sizes = ranked.groupBy(*keys).agg(F.count("*").alias("__n"))
+    index = {p: F.floor((c("__n") - 1) * p / 100 + 0.5) for p in percents}
+    hit = ranked.join(sizes, keys).filter(c("__i").isin(*index.values()))
+    return hit.groupBy(*keys).agg(*[F.max(F.when(c("__i") == i, c(value))).alias(f"p{p}") for p, i in index.items()])
 
 
 def within_budget(rows: DataFrame, keys: list[str], order: str, size: Column, budget: int) -> DataFrame:
     """Rows that begin before the sizes of the rows ahead of them reach the budget."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("spent", F.coalesce(F.sum(size).over(w), F.lit(0))).filter(c("spent") < budget).drop("spent")
+    spent = running(rows.withColumn("__size", size), keys, [c(order)], __spent=("sum", c("__size")))
+    return spent.filter(c("__spent") - F.coalesce("__size", F.lit(0)) < budget).drop("__size", "__spent")
 
 
 def last_definition(uses: DataFrame, keys: list[str], line: str, is_def: str) -> DataFrame:
@@ -147,11 +172,12 @@ def global_ranks(rows: DataFrame, order: list[Column], name: str = "rank") -> Da
     return dealt.join(F.broadcast(before), "__part").withColumn(name, c("__before") + c("__at")).drop("__part", "__at", "__before")
 
 
-def ranks_per_key(rows: DataFrame, key: str, order: list[Column], name: str = "rank") -> DataFrame:
+def ranks_per_key(rows: DataFrame, key: str | list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """`rows` with their ranks, from 0, among the rows of their key, however many rows a key has."""
-    ranked = global_ranks(rows, [c(key), *order], name)
-    first = ranked.groupBy(key).agg(F.min(name).alias("__first"))
-    return ranked.join(first, key).withColumn(name, c(name) - c("__first")).drop("__first")
+    keys = [key] if isinstance(key, str) else key
+    ranked = global_ranks(rows, [*map(c, keys), *order], name)
+    first = ranked.groupBy(*keys).agg(F.min(name).alias("__first"))
+    return ranked.join(first, keys).withColumn(name, c(name) - c("__first")).drop("__first")
 
 
 def event_trace(rows: DataFrame, topic: str, role: str, who: str) -> DataFrame:

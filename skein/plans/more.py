@@ -69,11 +69,6 @@ def _(t):
     return R.upsert(old, put, ["key"], "seq").filter("key <> '9'")
 
 
-@query("k07_full_text_delete", "SELECT doc_id FROM {documents} WHERE source <> 'src4'")
-def _(t):
-    return t.documents.filter("source <> 'src4'").select("doc_id")
-
-
 @query("k08_vector_upsert", "SELECT vec_id, CAST(CASE WHEN vec_id % 5 = 0 THEN label + 100 ELSE label END AS INTEGER) AS label FROM {embeddings}")
 def _(t):
     old = t.embeddings.select("vec_id", "label")

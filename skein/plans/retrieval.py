@@ -47,6 +47,13 @@ def _(t):
     return I.search(t.spark, I.upsert(index, changed, "text"), " ".join(ASKED)).withColumn("score", F.round("score", 6))
 
 
+@query("k07_full_text_delete", f"WITH {_BM25} SELECT doc_id, score FROM bm".replace("{documents}", "(SELECT doc_id, text FROM {documents} WHERE source <> 'src2')"))
+def _(t):
+    """A search after the documents of one source were removed from the index: neither they nor their words count."""
+    index = I.remove(I.build(t.documents, "doc_id", "text"), t.documents.filter("source = 'src2'").select("doc_id"))
+    return I.search(t.spark, index, " ".join(ASKED)).withColumn("score", F.round("score", 6))
+
+
 @query("r17_turn_search")
 def _(t):
     turns = t.turns.withColumn("id", F.concat_ws("/", "session_id", "turn_number"))

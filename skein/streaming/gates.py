@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skein.operators.relational import running
 from skein.streaming.changes import starts
 
 c = F.col
@@ -72,8 +73,8 @@ def cooled_down_stream(events: DataFrame, key: str, seconds: float = 60.0) -> Da
 
 def latched(events: DataFrame, key: str, seq: str, value: str, threshold: float) -> DataFrame:
     """(key, seq): the first event at which the running sum of a key's values reaches the threshold; one for each key at most."""
-    w = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("sum", F.sum(value).over(w)).filter(c("sum") >= threshold).groupBy(key).agg(F.min(seq).alias(seq))
+    sums = running(events.select(key, seq, value), [key], [c(seq)], __sum=("sum", c(value)))
+    return sums.filter(c("__sum") >= threshold).groupBy(key).agg(F.min(seq).alias(seq))
 
 
 def evicted(loads: DataFrame, key: str, now_s: int, idle_s: int = 1800, age_s: int = 1800) -> DataFrame:
@@ -83,9 +84,9 @@ def evicted(loads: DataFrame, key: str, now_s: int, idle_s: int = 1800, age_s: i
 
 def after_earlier(events: DataFrame, key: str, seq: str, need: str, then: str, event: str = "event") -> DataFrame:
     """(key, seq) of events `then` with an event `need` of the key before them."""
-    w = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.max((c(event) == need).cast("int")).over(w), F.lit(0))
-    return events.withColumn("seen", seen).filter((c(event) == then) & (c("seen") == 1)).select(key, seq)
+    own = (c(event) == need).cast("long")
+    seen = running(events.select(key, seq, event), [key], [c(seq)], __seen=("sum", own))
+    return seen.filter((c(event) == then) & (c("__seen") - own > 0)).select(key, seq)
 
 
 def reconciled(registry: DataFrame, bound: DataFrame) -> DataFrame:

@@ -280,3 +280,22 @@ def test_handlers(spark):
     for errors in (False, True):
         got |= {r.i: r.out for r in rows.filter(F.col("errors") == errors).select("i", H.handled(*cols, errors=errors).alias("out")).collect()}
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_running_folds_of_a_hot_key(spark):
+    import random
+
+    rnd = random.Random(6)
+    data = [("hot" if i % 10 else None, i, rnd.choice([None, 1, 2, 5]), rnd.randint(0, 9)) for i in range(500)] + [("one", 1, 3, 4)]
+    got = R.running(spark.createDataFrame(data, "k string, at long, v long, m long").repartition(7), ["k"], [F.col("at")], total=("sum", F.col("v")), top=("max", F.col("m")))
+    want, state = set(), {}
+    for k, at, v, m in sorted(data, key=lambda r: (str(r[0]), r[1])):
+        total, top = state.get(k, (0, -1))
+        state[k] = (total + (v or 0), max(top, m))
+        want.add((k, at, v, m, *state[k]))
+    assert {tuple(r) for r in got.collect()} == want
+    assert R.running(spark.createDataFrame([], "k string, at long"), ["k"], [F.col("at")], n=("sum", F.lit(1))).collect() == []
+    values = [("a", i % 37) for i in range(200)] + [("b", 5)]
+    found = {r.k: (r.p0, r.p50, r.p95, r.p100) for r in R.nearest_rank(spark.createDataFrame(values, "k string, v long"), ["k"], "v", [0, 50, 95, 100]).collect()}
+    ordered = sorted(v for k, v in values if k == "a")
+    assert found == {"a": tuple(ordered[int((199 * p) / 100 + 0.5)] for p in (0, 50, 95, 100)), "b": (5, 5, 5, 5)}
