@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.sources.storage import written
+
 c = F.col
 # Elements that a client wraps round what isn't conversation.
 NOISE_TAGS = ("system-reminder", "command-message", "command-name", "task-notification", "user-prompt-submit-hook", "hook_output", "local-command-caveat", "local-command-stdout", "command-args")
@@ -297,7 +299,7 @@ def transcript_turns(lines: DataFrame) -> DataFrame:
     Results of tools, and what an assistant says after it spoke, join the assistant's turn before; traces of tools without one are
     left out. Noise goes; a turn that says nothing isn't one.
     """
-    entries = transcript_entries(lines)
+    entries = written(transcript_entries(lines), "transcript_entries")  # lines are parsed once, and read three times
     named = entries.select("session_id", F.explode("tools").alias("id", "name")).groupBy("session_id", "id").agg(F.max("name").alias("name"))
     parts = entries.select("session_id", "line_no", F.posexplode("parts").alias("at", "part"))
     texts = parts.filter("part.kind = 'text'").select("session_id", "line_no", "at", c("part.text").alias("text"))
