@@ -21,6 +21,8 @@ from skein.llm.common import stored
 SHARD_ROWS, LEAF_ROWS = 4096, 128
 #: Largest stripe and group of queries; smaller ones where there would be fewer than two cells for each partition.
 STRIPE_SHARDS, GROUP_QUERIES = 16, 32_768
+#: Bytes of vectors that a shard, a stripe, a group of queries and a pack of roots hold at most: long vectors get smaller ones.
+CELL_BYTES = 64 << 20
 #: Roots that a group of queries meets at a time, and rows of the sample that the split into cells is learned from.
 PACK_ROOTS, SAMPLE_ROWS, SAMPLED_LENGTHS, CELLS = 4096, 4096, 64, 256
 _LONG = (1 << 63) - 1
@@ -265,6 +267,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     """
     partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sized = stored(vectors.withColumn("dims", F.size("v")), "vectors")
+    fits = max(1, CELL_BYTES // (8 * max(1, sized.agg(F.max("dims")).first()[0] or 0)))  # vectors of a cell
+    shard_rows = min(shard_rows, fits)
     celled = sized.withColumn("cell", _cells(sized, shard_rows))
     parts = celled.groupBy("dims", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("parts"))  # SAMPLED_LENGTHS * CELLS rows, and one for each other length
     placed = celled.join(parts, ["dims", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
@@ -272,11 +276,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     trees = stored(built.applyInArrow(_trees, "dims int, cell int, part long, points binary, ids binary, center binary, radius binary, nodes binary, root array<double>, reach double"), "ball_trees")
     asked = stored(queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v")), "queries")
     shards, wanted = trees.count(), asked.count()
-    stripe_shards = min(STRIPE_SHARDS, max(1, shards // (2 * partitions)))
-    groups = max(1, -(-wanted // min(GROUP_QUERIES, max(512, -(-wanted // (2 * partitions))))))
+    stripe_shards = min(STRIPE_SHARDS, max(1, fits // shard_rows), max(1, shards // (2 * partitions)))
+    groups = max(1, -(-wanted // min(GROUP_QUERIES, fits, max(512, -(-wanted // (2 * partitions))))))
     # shards by number, near ones after each other: three numbers a shard
     number = F.row_number().over(Window.partitionBy("dims").orderBy("cell", "part")) - 1
-    named = trees.select("dims", "cell", "part").withColumn("number", number).select("dims", "cell", "part", F.floor(F.col("number") / stripe_shards).alias("stripe"), F.floor(F.col("number") / PACK_ROOTS).alias("pack"))
+    named = trees.select("dims", "cell", "part").withColumn("number", number).select("dims", "cell", "part", F.floor(F.col("number") / stripe_shards).alias("stripe"), F.floor(F.col("number") / min(PACK_ROOTS, fits)).alias("pack"))
     trees = stored(trees.join(named, ["dims", "cell", "part"]), "stripes")
     packs = trees.select("dims", "pack").distinct()
     asked = asked.withColumn("group", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(groups)))

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from skein.llm import topk
 from skein.llm.topk import BallTree, Best, quantized, search, split_cells, top_k
 
 
@@ -87,3 +88,18 @@ def test_far_stripes_are_not_searched(spark):
     live = [df.count() for label, df in seen if label == "live_stripes"]
     stripes = next(df for label, df in seen if label == "stripes").select("stripe").distinct().count()
     assert live[0] == 16 and live[1] < 16 * (stripes - 1) / 2
+
+
+def test_long_vectors_get_smaller_cells(spark, monkeypatch):
+    """Cells follow bytes: with room for 50 vectors a cell, results stay those of all products."""
+    monkeypatch.setattr(topk, "CELL_BYTES", 50 * 8 * 96)
+    rnd = np.random.default_rng(5)
+    points = rnd.integers(-50, 50, size=(700, 96)).astype(float)
+    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, v array<double>").repartition(3)
+    got = {}
+    for r in topk.top_k(table, table.filter("vec_id % 100 = 0"), 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 700, 100):
+        scores = points @ points[q]
+        want = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:5]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
