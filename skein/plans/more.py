@@ -9,7 +9,6 @@ from skein.functions import score as S
 from skein.functions import text as X
 from skein.operators import graph as G
 from skein.operators import lifecycle as L
-from skein.operators import lines as N
 from skein.operators import relational as R
 from skein.plans.registry import query
 
