@@ -1,7 +1,8 @@
 """Property-graph operators: bounded traversal, impact, paths, communities, flows, taint, task graphs.
 
 Frontiers stay DataFrames; each layer is written to shared storage, so plans stay short and lost executors cost one layer.
-Edges are (src, dst, kind); nodes have id.
+Edges are (src, dst, kind); nodes have id. What walks from a frontier also takes an Adjacency in place of edges, which is written once
+for many walks and read by the buckets of the frontier.
 """
 
 from __future__ import annotations
@@ -13,45 +14,56 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.adjacency import Adjacency, Steps, steps_of
 from skein.sources.storage import written
 
 c = F.col
 KINDS = ("calls", "imports", "references", "extends", "declared_in", "emits", "subscribes", "cfg", "data_dep")
 
 
+def _checked(direction: str, kinds: list[str] | None) -> None:
+    if unknown := set(kinds or ()) - set(KINDS):
+        raise ValueError(f"unknown edge kinds: {sorted(unknown)}")
+    if direction not in ("out", "in", "both"):
+        raise ValueError(f"unknown direction {direction}")
+
+
 def directed(edges: DataFrame, direction: str = "out", kinds: list[str] | None = None) -> DataFrame:
     """(a, b, kind): steps from a to b along `out`, `in` or `both` directions, of the kinds given (all if None)."""
+    _checked(direction, kinds)
     if kinds:
-        if unknown := set(kinds) - set(KINDS):
-            raise ValueError(f"unknown edge kinds: {sorted(unknown)}")
         edges = edges.filter(c("kind").isin(*kinds))
     out = edges.select(c("src").alias("a"), c("dst").alias("b"), "kind")
     back = edges.select(c("dst").alias("a"), c("src").alias("b"), "kind")
-    if direction not in ("out", "in", "both"):
-        raise ValueError(f"unknown direction {direction}")
     return out if direction == "out" else back if direction == "in" else out.unionByName(back)
 
 
-def reachable(steps: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFrame:
-    """(root, id, depth) of every id within max_depth steps (a, b) of a root, however far if None, at its least depth; roots aren't their own.
+def _steps(edges: DataFrame | Adjacency, direction: str = "out", kinds: list[str] | None = None) -> Steps:
+    _checked(direction, kinds)
+    return edges.steps(direction, kinds or None) if isinstance(edges, Adjacency) else steps_of(directed(edges, direction, kinds))
 
-    `starts` is (root, id). Ids without a node are walked through. The steps are written once, for each layer reads them.
+
+def reachable(steps: DataFrame | Steps, starts: DataFrame, max_depth: int | None) -> DataFrame:
+    """(root, id, depth) of every id within max_depth steps of a root, however far if None, at its least depth; roots aren't their own.
+
+    `starts` is (root, id). Ids without a node are walked through. Steps (a, b) that are given as a DataFrame are written once, for each
+    layer reads them; what repeats falls together in each layer.
     """
-    steps = written(steps.select(c("a").alias("id"), "b"), "steps")  # what repeats falls together in each layer
+    steps = steps if isinstance(steps, Steps) else steps_of(steps)
     front = written(starts.select("root", "id").distinct(), "frontier")
     seen = front.withColumn("depth", F.lit(0))
     for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
-        new = front.join(steps, "id").select("root", c("b").alias("id")).distinct().join(seen, ["root", "id"], "left_anti")
-        front = written(new, "frontier")
-        if front.isEmpty():
+        near = steps.near(front)
+        if near is None:
             break
+        front = written(near.select("root", c("b").alias("id")).distinct().join(seen, ["root", "id"], "left_anti"), "frontier")
         seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
     return seen.filter("depth > 0")
 
 
-def bfs(edges: DataFrame, nodes: DataFrame, starts: DataFrame, max_depth: int, direction: str = "out", kinds: list[str] | None = None) -> DataFrame:
+def bfs(edges: DataFrame | Adjacency, nodes: DataFrame, starts: DataFrame, max_depth: int, direction: str = "out", kinds: list[str] | None = None) -> DataFrame:
     """reachable(), without the ids that have no node."""
-    return reachable(directed(edges, direction, kinds), starts, max_depth).join(nodes.select("id"), "id", "left_semi").select("root", "id", "depth")
+    return reachable(_steps(edges, direction, kinds), starts, max_depth).join(nodes.select("id"), "id", "left_semi").select("root", "id", "depth")
 
 
 IMPACT = {"up": ("in", ["calls", "references", "extends"]), "down": ("out", ["calls", "extends"]), "both": ("both", ["calls", "references", "extends"])}
@@ -83,7 +95,7 @@ def sole_owners(nodes: DataFrame, names: DataFrame, among: DataFrame | None = No
     return met.filter(alone("least") & alone("most") & alone("short")).select("id", "walk", "suffix")
 
 
-def impact(edges: DataFrame, nodes: DataFrame, starts: DataFrame, direction: str = "up", depth: int = 3) -> DataFrame:
+def impact(edges: DataFrame | Adjacency, nodes: DataFrame, starts: DataFrame, direction: str = "up", depth: int = 3) -> DataFrame:
     """(root, id, depth) of what a change reaches: callers, referrers and subtypes up, callees and supertypes down, either way at each step for both.
 
     Up and both also walk from the root's shorter names, for edges that were never resolved: its last two segments, then the last, each only
@@ -119,17 +131,18 @@ def resolve(nodes: DataFrame, needles: DataFrame) -> DataFrame:
     return found.select("needle", F.coalesce("exact", F.when(c("n") == 1, c("any"))).alias("id"), "n")
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10, direction: str = "out", kinds: list[str] | None = None, targets: DataFrame | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame | Adjacency, starts: DataFrame, max_depth: int = 10, direction: str = "out", kinds: list[str] | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(root, id, depth, path): one shortest path from each root to each id (to `targets` (root, id) if given), the parents discovered first winning ties."""
-    steps = written(directed(edges, direction, kinds).select(c("a").alias("id"), "b").distinct(), "steps")
+    steps = _steps(edges, direction, kinds)
     front = written(starts.select("root", "id", F.array("id").alias("path")).distinct(), "paths")
     seen = front
     for _ in range(max_depth):
+        near = steps.near(front)
+        if near is None:
+            break
         # ids come to light in order of their parents, then by name, so the least path of a layer is the first found
-        new = front.join(steps, "id").select("root", c("b").alias("id"), F.concat("path", F.array("b")).alias("path")).groupBy("root", "id").agg(F.min("path").alias("path")).join(seen.select("root", "id"), ["root", "id"], "left_anti")
+        new = near.select("root", c("b").alias("id"), F.concat("path", F.array("b")).alias("path")).groupBy("root", "id").agg(F.min("path").alias("path")).join(seen.select("root", "id"), ["root", "id"], "left_anti")
         front = written(new, "paths")
-        if front.isEmpty():
-            break
         seen = seen.unionByName(front)
         if targets is not None and targets.join(seen, ["root", "id"], "left_anti").isEmpty():
             break
@@ -137,17 +150,20 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10, dir
     return out.select("root", "id", (F.size("path") - 1).alias("depth"), "path")
 
 
-def subgraph(edges: DataFrame, nodes: DataFrame, starts: DataFrame, max_depth: int = 3, max_nodes: int = 500, direction: str = "out", kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame, bool]:
+def subgraph(edges: DataFrame | Adjacency, nodes: DataFrame, starts: DataFrame, max_depth: int = 3, max_nodes: int = 500, direction: str = "out", kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame, bool]:
     """(nodes with depth, edges among them, truncated): layers in order of id until max_nodes; ids without a node aren't walked on.
 
     max_nodes is a feature of the answer: what a reader can take in.
     """
     own = nodes.select("id")
-    steps = written(directed(edges, direction, kinds).select(c("a").alias("id"), "b").distinct(), "steps")
+    steps = _steps(edges, direction, kinds)
     front = written(starts.select("id").distinct().join(own, "id", "left_semi").orderBy("id").limit(max_nodes), "layer")
     kept, n, cut = front.withColumn("depth", F.lit(0)), front.count(), False
     for depth in range(1, max_depth + 1):
-        new = front.join(steps, "id").select(c("b").alias("id")).distinct().join(kept, "id", "left_anti").join(own, "id", "left_semi")
+        near = steps.near(front)
+        if near is None:
+            break
+        new = near.select(c("b").alias("id")).distinct().join(kept, "id", "left_anti").join(own, "id", "left_semi")
         layer = written(new, "layer")
         size = layer.count()
         if not size:
@@ -159,7 +175,8 @@ def subgraph(edges: DataFrame, nodes: DataFrame, starts: DataFrame, max_depth: i
         if cut:
             break
     inner = kept.filter(c("depth") < max_depth).select(c("id").alias("a"))
-    among = directed(edges, direction, kinds).join(inner, "a", "left_semi").join(kept.select(c("id").alias("b")), "b", "left_semi")
+    own_edges = edges.edges() if isinstance(edges, Adjacency) else edges
+    among = directed(own_edges, direction, kinds).join(inner, "a", "left_semi").join(kept.select(c("id").alias("b")), "b", "left_semi")
     src, dst = ("b", "a") if direction == "in" else ("a", "b")
     return kept, among.select(c(src).alias("src"), c(dst).alias("dst"), "kind").distinct(), cut
 
@@ -274,14 +291,14 @@ def _matching(nodes: DataFrame, patterns: list[str], texts: tuple[str, ...]) ->
     return nodes.filter(hit).select("id").distinct()
 
 
-def taint(edges: DataFrame, nodes: DataFrame, sources: list[str], sinks: list[str], max_depth: int = 12, texts: tuple[str, ...] = ("id",)) -> DataFrame:
+def taint(edges: DataFrame | Adjacency, nodes: DataFrame, sources: list[str], sinks: list[str], max_depth: int = 12, texts: tuple[str, ...] = ("id",)) -> DataFrame:
     """(source, sink, hops): sinks reachable from sources over data_dep and calls, a node never from itself; patterns are substrings, in any case."""
     starts = _matching(nodes, sources, texts).select(c("id").alias("root"), "id")
-    reached = reachable(directed(edges, "out", ["data_dep", "calls"]), starts, max_depth)
+    reached = reachable(_steps(edges, "out", ["data_dep", "calls"]), starts, max_depth)
     return reached.join(_matching(nodes, sinks, texts), "id", "left_semi").filter("root <> id").select(c("root").alias("source"), c("id").alias("sink"), c("depth").alias("hops"))
 
 
-def taint_report(edges: DataFrame, nodes: DataFrame, sources: list[str], sinks: list[str], max_depth: int = 12, max_findings: int = 100, texts: tuple[str, ...] = ("id",)) -> tuple[DataFrame, bool, int, int]:
+def taint_report(edges: DataFrame | Adjacency, nodes: DataFrame, sources: list[str], sinks: list[str], max_depth: int = 12, max_findings: int = 100, texts: tuple[str, ...] = ("id",)) -> tuple[DataFrame, bool, int, int]:
     """(findings (source, sink, hops, path), truncated, sources matched, sinks matched): one shortest path for each of the first max_findings pairs.
 
     Sources come by name, a source's sinks in the order in which a search finds them. max_findings is a feature of the report; it also bounds

@@ -7,9 +7,12 @@ from the same rows. `{name}` stands for another table of this module or a base t
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.operators.adjacency import Adjacency
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 DERIVED = {
@@ -77,6 +80,13 @@ def _needs(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", text)))
 
 
+def _bases(name: str) -> set[str]:
+    return {name} if name not in DERIVED else {b for n in _needs(DERIVED[name]) for b in _bases(n)}
+
+
+_ADJACENCIES: dict[tuple, Adjacency] = {}
+
+
 class Tables:
     """Base and derived tables of one directory, made when first asked for."""
 
@@ -94,6 +104,21 @@ class Tables:
 
     __getattr__ = __getitem__
 
+    def adjacency(self, *names: str) -> Adjacency:
+        """The edges of these tables, written once for a session's walks; written anew where the base tables or the folder have changed."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+        fs = lambda p: path(p).getFileSystem(conf)
+        base = sorted({b for n in names for b in _bases(n)})
+        files = [f"{self.dir}/{b}.parquet" for b in base]
+        state = tuple((fs(f).getFileStatus(path(f)).getModificationTime(), fs(f).getContentSummary(path(f)).getLength()) for f in files)
+        key = (self.spark.sparkContext.applicationId, self.dir, names, state)
+        known = _ADJACENCIES.get(key)
+        if known is None or not fs(known.path).exists(path(f"{known.path}/_SUCCESS")):
+            edges = reduce(DataFrame.unionByName, [self[n] for n in names])
+            known = _ADJACENCIES[key] = Adjacency.build(edges)
+        return Adjacency.read(self.spark, known.path, known.buckets)
+
 
 def oracle(text: str) -> str:
     """DuckDB SQL of a query that names derived tables as `{name}`: their definitions come before it."""
