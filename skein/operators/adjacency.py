@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.sources.storage import shared_dir, written
@@ -17,14 +18,15 @@ MOST_BUCKETS = 1024
 SENT_BYTES = 16 << 20
 
 
-class Steps:
-    """Steps (id, b, bucket) out of ids; `bucket` is a folder of the table, found by hash of the id."""
+def _bucket(name: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int")
+
 
-    def __init__(self, table: DataFrame, buckets: int):
-        self.table, self.buckets = table, buckets
+class Steps:
+    """Steps (id, b, bucket) out of ids, in parts of (table, number of buckets); `bucket` is a folder, found by hash of the id."""
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
+    def __init__(self, *parts: tuple[DataFrame, int]):
+        self.parts = parts
 
     def near(self, front: DataFrame) -> DataFrame | None:
         """(columns of `front`, b) of the steps out of `front` (id, ...), a step for each edge; None if it has no rows.
@@ -33,24 +35,26 @@ class Steps:
         holds SENT_BYTES at most. A larger one is shuffled, where adaptive execution splits the partitions of hubs.
         """
         size = F.sum(F.length(F.to_json(F.struct(*front.columns)))).alias("size")
-        found = front.agg(F.count("*").alias("n"), size, F.collect_set(self._bucket()).alias("buckets")).first()
+        found = front.agg(F.count("*").alias("n"), size, *[F.collect_set(_bucket("id", n)).alias(f"b{i}") for i, (_, n) in enumerate(self.parts)]).first()
         if not found["n"]:
             return None
-        steps = self.table
-        if len(found["buckets"]) < self.buckets:
-            steps = steps.filter(c("bucket").isin(*found["buckets"]))
+        hit = []
+        for i, (table, n) in enumerate(self.parts):
+            hit.append((table if len(found[f"b{i}"]) == n else table.filter(c("bucket").isin(*found[f"b{i}"]))).select("id", "b"))
+        steps = reduce(DataFrame.unionByName, hit)
         small = found["size"] <= SENT_BYTES
-        return steps.drop("bucket").join(F.broadcast(front) if small else front, "id").select(*[c(x) for x in front.columns], "b")
+        return steps.join(F.broadcast(front) if small else front, "id").select(*[c(x) for x in front.columns], "b")
 
 
 class Adjacency:
     """The edges (src, dst, kind) of a graph in both ways, in folders by way, kind and bucket of the id that a step starts from.
 
     Files hold ranges of (id, b), so the edges of a hub lie in many files and those of an id otherwise together. Repeated edges stay.
+    `parts` are (folder, table, number of buckets): tables of edges that were written one by one are walked as one.
     """
 
-    def __init__(self, path: str, table: DataFrame, buckets: int):
-        self.path, self.table, self.buckets = path, table, buckets
+    def __init__(self, *parts: tuple[str, DataFrame, int]):
+        self.parts = parts
 
     @classmethod
     def build(cls, edges: DataFrame, path: str | None = None, per_bucket: int = PER_BUCKET) -> Adjacency:
@@ -60,27 +64,30 @@ class Adjacency:
         own = written(edges.select("src", "dst", "kind").dropna(), "edges")
         buckets = max(1, min(MOST_BUCKETS, own.count() // per_bucket))
         way = lambda name, a, b: own.select(F.lit(name).alias("way"), "kind", c(a).alias("id"), c(b).alias("b"))
-        both = way("out", "src", "dst").unionByName(way("in", "dst", "src")).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+        both = way("out", "src", "dst").unionByName(way("in", "dst", "src")).withColumn("bucket", _bucket("id", buckets))
         order = ["way", "kind", "bucket", "id", "b"]
         both.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("way", "kind", "bucket").parquet(path)
         return cls.read(spark, path, buckets)
 
     @classmethod
-    def read(cls, spark, path: str, buckets: int) -> Adjacency:
-        return cls(path, spark.read.schema("id string, b string, way string, kind string, bucket int").parquet(path), buckets)
+    def read(cls, spark: SparkSession, path: str, buckets: int) -> Adjacency:
+        return cls((path, spark.read.schema("id string, b string, way string, kind string, bucket int").parquet(path), buckets))
+
+    def __add__(self, other: Adjacency) -> Adjacency:
+        return Adjacency(*self.parts, *other.parts)
 
     def edges(self) -> DataFrame:
         """(src, dst, kind) of all edges."""
-        return self.table.filter("way = 'out'").select(c("id").alias("src"), c("b").alias("dst"), "kind")
+        return reduce(DataFrame.unionByName, [t.filter("way = 'out'").select(c("id").alias("src"), c("b").alias("dst"), "kind") for _, t, _ in self.parts])
 
     def steps(self, direction: str = "out", kinds: list[str] | None = None) -> Steps:
         """Steps along `out`, `in` or `both`, of the kinds given (all if None)."""
-        table = self.table if kinds is None else self.table.filter(c("kind").isin(*kinds))
+        hit = F.lit(True) if kinds is None else c("kind").isin(*kinds)
         if direction != "both":
-            table = table.filter(c("way") == direction)
-        return Steps(table.select("id", "b", "bucket"), self.buckets)
+            hit = hit & (c("way") == direction)
+        return Steps(*[(t.filter(hit).select("id", "b", "bucket"), n) for _, t, n in self.parts])
 
 
 def steps_of(pairs: DataFrame) -> Steps:
     """Steps (a, b) that are walked once: written as they are, in one bucket, without those that lack an end."""
-    return Steps(written(pairs.select(c("a").alias("id"), "b").dropna().withColumn("bucket", F.lit(0)), "steps"), 1)
+    return Steps((written(pairs.select(c("a").alias("id"), "b").dropna().withColumn("bucket", F.lit(0)), "steps"), 1))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.sources.parsers import exploded_lines
+
 c = F.col
 SCHEMA = "path string, tag string, a string, b string, kind string, start_line int, end_line int, body string"
 # Methods that publish and subscribe, and decorators that subscribe.
@@ -530,6 +532,18 @@ def code_edges(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return out.unionByName(imports).unionByName(of("extend", "extends")).unionByName(references).unionByName(emits).unionByName(heard).filter("dst <> ''").distinct()
 
 
+def body_statements(chunks: DataFrame) -> DataFrame:
+    """(fn, line, text) of the statements of functions (fn, path, start_line, body), a line each: without the line of the signature, unless the
+    body stands on it, blank lines, comments, docstrings of one line and lines of brackets alone."""
+    lines = exploded_lines(chunks, ["fn", "path", "start_line"], "body").select("fn", "path", (c("start_line") + c("line") - 1).alias("line"), "start_line", c("body").alias("text"))
+    python = c("path").rlike(r"\.pyi?$")
+    first = c("line") == c("start_line")
+    inside = F.when(python, F.regexp_extract("text", r"^.*?\)\s*(?:->[^:]*)?:\s*(.*)$", 1)).otherwise(F.regexp_extract("text", r"^[^{]*\{(.*)$", 1))
+    text = F.when(first, inside).otherwise(c("text"))
+    skipped = r"^\s*(?:[\]\[{}();,]*|//.*|#.*|/\*.*\*/|\"\"\".*\"\"\"|\'\'\'.*\'\'\')\s*$"
+    return lines.withColumn("text", text).filter(~F.rlike("text", F.lit(skipped))).select("fn", "line", "text")
+
+
 def call_bridges(statements: DataFrame, calls: DataFrame) -> DataFrame:
     """(src, dst): from a statement (fn, line, text) of a function to what the function calls (fn, callee), where the text has the callee's last name."""
     leaf = F.element_at(F.split("callee", "::"), -1)

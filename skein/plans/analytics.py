@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import lifecycle as L
 from skein.operators import relational as R
+from skein.operators import sessions as N
 from skein.plans.registry import query
 
 c = F.col
@@ -86,15 +87,39 @@ def _(t):
     return L.enforcement_report(t.enforcement)
 
 
-@query("a13_stop_fold", "SELECT session_id, coalesce(max(seq) FILTER (event = 'impact') > max(seq) FILTER (event = 'enforcement_block'), false) AS resolved FROM {enforcement} GROUP BY session_id")
+@query(
+    "a07_session_report",
+    """WITH p AS (SELECT session_id, coalesce(phase, '?') AS phase, CAST(sum(greatest(coalesce(tokens, 0), 0)) AS BIGINT) AS tokens, count(*) AS n FROM {phase_stats} GROUP BY 1, 2),
+    s AS (SELECT session_id, string_agg(concat(phase, '=', tokens), ',' ORDER BY phase) AS phases, CAST(sum(tokens) AS BIGINT) AS total, CAST(coalesce(sum(n) FILTER (phase = 'fix'), 0) AS BIGINT) AS fixes FROM p GROUP BY session_id),
+    k AS (SELECT session_id, count(*) AS n, count(*) FILTER (status IN ('completed', 'done', 'passed')) AS done, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (ui) AS ui FROM {session_tasks} GROUP BY session_id)
+    SELECT coalesce(s.session_id, k.session_id) AS session_id, coalesce(phases, '') AS phases, coalesce(total, 0) AS total_tokens, CASE WHEN done > 0 THEN coalesce(total, 0) // done ELSE 0 END AS tokens_per_completed_task, coalesce(fixes, 0) AS fix_rounds,
+      coalesce(n, 0) AS tasks_total, coalesce(done, 0) AS completed, coalesce(failed, 0) AS failed, coalesce(ui, 0) AS ui_tasks FROM s FULL JOIN k ON k.session_id = s.session_id""",
+)
+def _(t):
+    found = N.session_reports(t.phase_stats, t.session_tasks)
+    return found.withColumn("phases", F.array_join(F.transform(F.map_entries("phases"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ","))
+
+
+_LOG = """(SELECT CAST(user_id AS BIGINT) AS session_id, CAST(event_id AS BIGINT) AS seq, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS event FROM {events})"""
+
+
+@query(
+    "a13_stop_fold",
+    f"""SELECT session_id, count(*) FILTER (event = 'error') > 0 AS has_frustration, coalesce(max(seq) FILTER (event = 'signup') > max(seq) FILTER (event = 'error'), false) AS lesson_saved_after, 2 * count(*) FILTER (event = 'view') AS n_triggers
+    FROM {_LOG} GROUP BY session_id""",
+)
+def _(t):
+    return N.stop_fold(t.session_log)
+
+
+@query("a13_surfaced_triggers", f"SELECT session_id, seq, CAST(k AS INTEGER) AS position, CASE k WHEN 0 THEN concat('t', seq % 5) ELSE 'all' END AS trigger FROM {_LOG}, (VALUES (0), (1)) v(k) WHERE event = 'view'")
 def _(t):
-    last = lambda e: F.max(F.when(c("event") == e, c("seq")))
-    return t.enforcement.groupBy("session_id").agg(F.coalesce(last("impact") > last("enforcement_block"), F.lit(False)).alias("resolved"))
+    return N.surfaced_triggers(t.session_log)
 
 
-@query("a14_search_threshold", "SELECT session_id FROM {enforcement} WHERE event = 'code_search' AND rule = 'rule-3' GROUP BY session_id HAVING count(*) >= 4")
+@query("a14_search_threshold", f"SELECT session_id, count(*) AS searches FROM {_LOG} WHERE event = 'click' AND session_id NOT IN (SELECT o_custkey FROM {{orders}} WHERE o_orderkey % 7 = 0) GROUP BY session_id HAVING count(*) >= 4")
 def _(t):
-    return t.enforcement.filter("event = 'code_search' AND rule = 'rule-3'").groupBy("session_id").agg(F.count("*").alias("n")).filter("n >= 4").select("session_id")
+    return N.search_nudges(t.session_log, t.orders.filter("o_orderkey % 7 = 0").select(c("o_custkey").cast("long").alias("session_id")))
 
 
 @query("a18_budget_by_wave", "WITH d AS (SELECT DISTINCT id FROM {task_deps}) SELECT CAST(CASE WHEN d.id IS NULL THEN 1 ELSE 2 END AS INTEGER) AS wave, CAST(sum(budget_tokens) AS BIGINT) AS budget, count(*) AS tasks FROM {tasks} t LEFT JOIN d ON d.id = t.id GROUP BY 1")

@@ -80,13 +80,16 @@ def _(t):
     return asked.join(consts, ["path", "expression"]).select("owner", "expression", "topic")
 
 
-@query("g12_call_bridge", f"WITH f AS ({_FILES}) SELECT concat('p', k, '::f', k, '#s6') AS src, concat('f', k + 1) AS dst FROM f WHERE k % 2 = 1 UNION ALL SELECT concat('p', k, '::f', k, '#s5'), 'bus::emit' FROM f WHERE k % 2 = 1")
+@query(
+    "g12_call_bridge",
+    f"""WITH f AS ({_FILES}) SELECT concat('p', k, '::f', k, '#s6') AS src, concat('f', k + 1) AS dst FROM f WHERE k % 2 = 1 UNION ALL SELECT concat('p', k, '::f', k, '#s5'), 'bus::emit' FROM f WHERE k % 2 = 1
+    UNION ALL SELECT concat('p', k, '::Box', k, '::show#s10'), concat('f', k) FROM f WHERE k % 2 = 1
+    UNION ALL SELECT concat('p', k, '::C', k, '::run#s', n), 'g' FROM f, (VALUES (4), (5), (6), (7)) v(n) WHERE k % 2 = 0 AND n >= 6 UNION ALL SELECT concat('p', k, '::C', k, '::run#s6'), 'bus::on' FROM f WHERE k % 2 = 0""",
+)
 def _(t):
-    from skein.sources.parsers import exploded_lines
-
-    chunks = rows(t).filter("tag = 'chunk' AND kind = 'Function' AND path LIKE '%.rs' AND start_line < 9").select(c("a").alias("fn"), "start_line", "body")
-    statements = exploded_lines(chunks, ["fn", "start_line"], "body").select("fn", (c("start_line") + c("line") - 1).alias("line"), c("body").alias("text")).filter("line > start_line AND trim(text) <> '}'")
-    return K.call_bridges(statements, rows(t).filter("tag = 'call'").select(c("a").alias("fn"), c("b").alias("callee")))
+    found = rows(t)
+    chunks = found.filter("tag = 'chunk' AND kind = 'Function'").select(c("a").alias("fn"), "path", "start_line", "body")
+    return K.call_bridges(K.body_statements(chunks), found.filter("tag = 'call'").select(c("a").alias("fn"), c("b").alias("callee")))
 
 
 @query("r15_docstrings", f"WITH f AS ({_FILES}) SELECT path, concat(CASE WHEN k % 2 = 1 THEN 'Makes ' ELSE 'Runs ' END, size, CASE WHEN k % 2 = 1 THEN ' of them.' ELSE '.' END) AS doc FROM f")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import lifecycle as L
 from skein.operators import relational as R
+from skein.operators.constraints import TASK_TYPE, plan_findings
 from skein.plans.registry import query
 
 c = F.col
@@ -43,6 +44,37 @@ def _(t):
     return L.plan_violations(t.tasks, t.task_deps, 40_000)
 
 
+# a plan of each order with its lines as tasks; what is wrong with them follows their numbers, and so does its SQL
+_LINES = "SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, CAST(floor(l_quantity * 2000) AS BIGINT) AS budget FROM {lineitem}"
+
+
+@query(
+    "v01_plan_findings",
+    f"""WITH RECURSIVE l AS ({_LINES}), g AS (SELECT k, CAST(sum(budget) AS BIGINT) AS total FROM l GROUP BY k), d AS (SELECT k, n, CASE WHEN p % 13 = 0 THEN n + 1 WHEN p % 7 = 0 THEN n + 100 WHEN n > 1 THEN n - 1 END AS dep FROM l WHERE n > 0),
+    w AS (SELECT k, n AS root, dep AS here FROM d WHERE dep IS NOT NULL UNION SELECT w.k, w.root, d.dep FROM w JOIN d ON d.k = w.k AND d.n = w.here WHERE d.dep IS NOT NULL)
+    SELECT k AS plan, NULL AS task, 'error' AS severity, 'workspace_not_absolute' AS finding FROM g WHERE k % 4 = 0 UNION ALL SELECT k, NULL, 'error', 'missing:name' FROM g WHERE k % 6 = 0
+    UNION ALL SELECT k, NULL, 'warning', concat('budget_mismatch:', k % 200 * 1000, ':', total) FROM g WHERE k % 200 > 0 AND abs((total - k % 200 * 1000) / (k % 200 * 1000)) > 0.1
+    UNION ALL SELECT k, concat('t', n), 'error', 'complexity_unknown' FROM l WHERE p % 4 = 3 UNION ALL SELECT k, concat('t', n), 'error', 'missing:complexity' FROM l WHERE p % 4 = 2
+    UNION ALL SELECT k, concat('t', n), 'warning', concat('budget_too_large:', budget) FROM l WHERE budget > 80000 UNION ALL SELECT k, concat('t', n), 'error', 'files_empty' FROM l WHERE p % 5 = 0
+    UNION ALL SELECT k, concat('t', n), 'error', concat('file_not_absolute:src/p', p) FROM l WHERE p % 5 = 1 UNION ALL SELECT k, concat('t', n), 'warning', concat('pointer_not_absolute:src/p', p, ':1-2') FROM l WHERE p % 5 = 2
+    UNION ALL SELECT k, concat('t', n), 'warning', 'acceptance_not_runnable' FROM l WHERE p % 3 = 1 UNION ALL SELECT k, concat('t', n), 'error', 'test_cases[1]_missing:verify' FROM l WHERE p % 2 = 0
+    UNION ALL SELECT k, concat('t', n), 'warning', 'missing:edge_cases' FROM l WHERE p % 9 = 0 UNION ALL SELECT k, concat('t', n), 'warning', 'missing:type' FROM l
+    UNION ALL SELECT DISTINCT k, concat('t', n), 'error', concat('dangling:t', dep) FROM d WHERE dep IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l WHERE l.k = d.k AND l.n = d.dep)
+    UNION ALL SELECT DISTINCT k, concat('t', root), 'error', 'cycle' FROM w WHERE root = here""",
+)
+def _(t):
+    lines = t.spark.sql(_LINES, lineitem=t.lineitem)
+    dep = "CASE WHEN p % 13 = 0 THEN n + 1 WHEN p % 7 = 0 THEN n + 100 WHEN n > 1 THEN n - 1 END"
+    task = f"""named_struct('id', concat('t', n), 'name', concat('part ', p), 'complexity', CASE p % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' WHEN 3 THEN 'huge' END, 'budget_tokens', budget,
+      'files', CASE p % 5 WHEN 0 THEN array() WHEN 1 THEN array('/w/a', concat('src/p', p)) ELSE array('/w/a') END, 'depends_on', filter(array(concat('t', {dep})), x -> x IS NOT NULL),
+      'context_pointers', CASE p % 5 WHEN 2 THEN array('', concat('src/p', p, ':1-2')) ELSE array('/w/a:1-2') END, 'acceptance', CASE p % 3 WHEN 1 THEN 'Works well' WHEN 2 THEN ' make test' ELSE '' END,
+      'test_cases', array(named_struct('name', 'a', 'expected', 'b', 'verify', 'c'), named_struct('name', 'a', 'expected', 'b', 'verify', CASE p % 2 WHEN 0 THEN ' ' ELSE 'c' END)),
+      'edge_cases', CASE WHEN p % 9 <> 0 THEN array() END, 'ui', false, 'type', NULL)"""
+    plans = lines.groupBy(c("k").alias("plan")).agg(F.collect_list(F.expr(f"CAST({task} AS {TASK_TYPE})")).alias("tasks"))
+    plans = plans.withColumns({"name": F.when(c("plan") % 6 != 0, "plan"), "workspace_dir": F.when(c("plan") % 4 == 0, "w").otherwise("/w"), "budget_tokens": (c("plan") % 200 * 1000).cast("long")})
+    return plan_findings(plans, "plan")
+
+
 @query("v04_task_ids", "SELECT id, CAST(count(dep) AS BIGINT) AS n_deps FROM {tasks} LEFT JOIN {task_deps} USING (id) GROUP BY id")
 def _(t):
     return t.tasks.join(t.task_deps, "id", "left").groupBy("id").agg(F.count("dep").alias("n_deps"))

@@ -140,11 +140,6 @@ def _(t):
     return n("nodes").unionByName(n("edges"))
 
 
-@query("a07_session_report", "SELECT session_id, CAST(sum(actual) AS BIGINT) AS tokens, count(*) FILTER (complexity = 'high') AS high, CAST(floor(sum(actual) / count(*)) AS BIGINT) AS per_task FROM {usage} GROUP BY session_id")
-def _(t):
-    return t.usage.groupBy("session_id").agg(F.sum("actual").alias("tokens"), F.count_if(c("complexity") == "high").alias("high"), F.floor(F.sum("actual") / F.count("*")).alias("per_task"))
-
-
 @query("a11_token_tally", "SELECT model, CAST(sum(CASE WHEN model = 'claude-opus-4-1' THEN greatest(input_tokens - cache_read_tokens, 0) ELSE input_tokens END) AS BIGINT) AS tokens FROM {turn_usage} GROUP BY model")
 def _(t):
     own = F.when(c("model") == "claude-opus-4-1", F.greatest(c("input_tokens") - c("cache_read_tokens"), F.lit(0))).otherwise(c("input_tokens"))

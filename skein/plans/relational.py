@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as X
 from skein.operators import graph as G
 from skein.operators import relational as R
+from skein.operators.context import symbol_context
 from skein.plans.registry import query
 
 c = F.col
@@ -113,16 +114,18 @@ def _(t):
 
 @query(
     "j18_symbol_context",
-    """WITH s AS (SELECT dst AS id, 'callers' AS section, src AS other FROM {edges} WHERE kind = 'calls' UNION ALL SELECT src, 'callees', dst FROM {edges} WHERE kind = 'calls' UNION ALL SELECT src, 'extends', dst FROM {edges} WHERE kind = 'extends'
-      UNION ALL SELECT dst, 'extended_by', src FROM {edges} WHERE kind = 'extends' UNION ALL SELECT dst, 'references', src FROM {edges} WHERE kind = 'references'),
-    r AS (SELECT *, row_number() OVER (PARTITION BY id, section ORDER BY other) AS rn FROM s)
-    SELECT id, section, other FROM r WHERE rn <= 4""",
+    """WITH own AS (SELECT split_part(id, '::', -1) AS suffix, min(id) AS owner FROM {bus_nodes} GROUP BY suffix HAVING count(DISTINCT id) = 1),
+    pairs AS (SELECT src AS id, kind, 'out' AS way, dst AS other, 0 AS walk FROM {bus_edges} UNION ALL SELECT dst, kind, 'in', src, 0 FROM {bus_edges} UNION ALL SELECT owner, kind, 'in', src, 2 FROM {bus_edges} JOIN own ON suffix = dst AND owner <> src AND owner <> dst),
+    names(kind, way, section) AS (VALUES ('calls', 'in', 'callers'), ('calls', 'out', 'callees'), ('extends', 'out', 'extends'), ('extends', 'in', 'extended_by'), ('references', 'in', 'references'), ('emits', 'out', 'emits'),
+      ('emits', 'in', 'emitted_by'), ('subscribes', 'out', 'subscribers'), ('subscribes', 'in', 'subscribes_to'), ('imports', 'out', 'imports_unresolved')),
+    met AS (SELECT p.id, section, other, min(walk) AS walk FROM pairs p JOIN names n ON n.kind = p.kind AND n.way = p.way WHERE p.id IN (SELECT id FROM {bus_nodes}) GROUP BY p.id, section, other),
+    known AS (SELECT *, other IN (SELECT id FROM {bus_nodes}) AS known FROM met),
+    inside AS (SELECT id, section, other, walk FROM known WHERE known AND section <> 'imports_unresolved' UNION ALL SELECT a.id, 'siblings', b.id, 0 FROM {bus_nodes} a JOIN (SELECT id, path FROM {bus_nodes} QUALIFY row_number() OVER (PARTITION BY path ORDER BY id) <= 5) b ON b.path = a.path AND b.id <> a.id)
+    SELECT id, section, other FROM inside QUALIFY row_number() OVER (PARTITION BY id, section ORDER BY walk, other) <= 4
+    UNION ALL SELECT id, section, other FROM known WHERE NOT known AND section = 'imports_unresolved'""",
 )
 def _(t):
-    sections = {"calls": [("callers", "dst", "src"), ("callees", "src", "dst")], "extends": [("extends", "src", "dst"), ("extended_by", "dst", "src")], "references": [("references", "dst", "src")]}
-    tagged = F.array(*[F.when(c("kind") == k, F.struct(c(a).alias("id"), F.lit(s).alias("section"), c(b).alias("other"))) for k, own in sections.items() for s, a, b in own])
-    rows = t.edges.select(F.explode(F.array_compact(tagged)).alias("x")).select("x.*")  # the edges are read once
-    return R.capped_per_key(rows, ["id", "section"], [c("other")], 4)
+    return symbol_context(t.bus_edges, t.bus_nodes, 4)
 
 
 @query(

@@ -68,6 +68,19 @@ DERIVED = {
         SELECT event_id AS seq, user_id AS session_id,
                CASE event_type WHEN 'error' THEN 'enforcement_block' WHEN 'click' THEN 'code_search' WHEN 'view' THEN 'impact' WHEN 'signup' THEN 'enforcement_override' ELSE 'detect_changes' END AS event,
                concat('src/file', event_id % 17, '.rs') AS file, concat('rule-', event_id % 5) AS rule, value FROM {events}""",
+    # topics as symbols, who emits and who subscribes to them
+    "bus_nodes": "SELECT id, kind, path, line FROM {nodes} UNION ALL SELECT DISTINCT concat('event::bus::', event_type), 'event', 'bus/events.rs', CAST(0 AS INT) FROM {events} WHERE event_type IS NOT NULL",
+    "bus_edges": """
+        SELECT src, dst, kind FROM {edges} UNION ALL SELECT src, dst, kind FROM {loose_edges}
+        UNION ALL SELECT DISTINCT concat('customer::c', user_id), concat('event::bus::', event_type), 'emits' FROM {events} WHERE event_id % 2 = 0 AND event_type IS NOT NULL AND user_id IS NOT NULL
+        UNION ALL SELECT DISTINCT concat('event::bus::', event_type), concat('supplier::s', user_id), 'subscribes' FROM {events} WHERE event_id % 2 = 1 AND event_type IS NOT NULL AND user_id IS NOT NULL""",
+    # lines of a session's log, some of them broken; the tokens of its phases and the tasks of its plan
+    "session_log": """
+        SELECT CAST(user_id AS BIGINT) AS session_id, CAST(event_id AS BIGINT) AS seq,
+               CASE WHEN event_id % 11 = 0 THEN concat(chr(123), '"event": "frustration"') WHEN event_type = 'error' THEN concat(chr(123), '"event": "frustration"', chr(125)) WHEN event_type = 'signup' THEN concat(chr(123), '"event": "lesson_saved"', chr(125))
+                    WHEN event_type = 'view' THEN concat(chr(123), '"event": "lesson_surfaced", "triggers": ["t', event_id % 5, '", 7, "all"]', chr(125)) WHEN event_type = 'click' THEN concat(chr(123), '"event": "code_search"', chr(125)) ELSE '"other"' END AS line FROM {events}""",
+    "phase_stats": "SELECT CAST(user_id AS BIGINT) AS session_id, CASE event_type WHEN 'error' THEN 'fix' WHEN 'click' THEN 'implement' WHEN 'view' THEN 'review' END AS phase, CAST(floor(value * 10) AS BIGINT) - 20 AS tokens FROM {events}",
+    "session_tasks": "SELECT CAST(o_custkey AS BIGINT) AS session_id, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN CASE o_orderkey % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'done' ELSE 'passed' END END AS status, o_orderkey % 5 = 0 AS ui FROM {orders}",
     # spans of symbols in files, and changed line ranges
     "spans": "SELECT concat(source, '/d', doc_id) AS path, concat('doc::d', doc_id, '::', k) AS fqn, CAST(1 + k * 10 AS INT) AS start_line, CAST(10 + k * 10 AS INT) AS end_line FROM {documents} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) AS ks",
     "hunks": "SELECT concat(source, '/d', doc_id) AS path, CAST(1 + doc_id % 40 AS INT) AS a, CAST(4 + doc_id % 40 AS INT) AS b FROM {documents}",
@@ -84,7 +97,7 @@ def _bases(name: str) -> set[str]:
     return {name} if name not in DERIVED else {b for n in _needs(DERIVED[name]) for b in _bases(n)}
 
 
-_ADJACENCIES: dict[tuple, Adjacency] = {}
+_ADJACENCIES: dict[tuple, tuple[str, int]] = {}
 
 
 class Tables:
@@ -105,19 +118,21 @@ class Tables:
     __getattr__ = __getitem__
 
     def adjacency(self, *names: str) -> Adjacency:
-        """The edges of these tables, written once for a session's walks; written anew where the base tables or the folder have changed."""
+        """The edges of these tables, each written once for a session's walks, and anew where its base tables or the folder have changed."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         fs = lambda p: path(p).getFileSystem(conf)
-        base = sorted({b for n in names for b in _bases(n)})
-        files = [f"{self.dir}/{b}.parquet" for b in base]
-        state = tuple((fs(f).getFileStatus(path(f)).getModificationTime(), fs(f).getContentSummary(path(f)).getLength()) for f in files)
-        key = (self.spark.sparkContext.applicationId, self.dir, names, state)
-        known = _ADJACENCIES.get(key)
-        if known is None or not fs(known.path).exists(path(f"{known.path}/_SUCCESS")):
-            edges = reduce(DataFrame.unionByName, [self[n] for n in names])
-            known = _ADJACENCIES[key] = Adjacency.build(edges)
-        return Adjacency.read(self.spark, known.path, known.buckets)
+
+        def one(name: str) -> Adjacency:
+            files = [f"{self.dir}/{b}.parquet" for b in sorted(_bases(name))]
+            state = tuple((fs(f).getFileStatus(path(f)).getModificationTime(), fs(f).getContentSummary(path(f)).getLength()) for f in files)
+            key = (self.spark.sparkContext.applicationId, self.dir, name, state)
+            if key not in _ADJACENCIES or not fs(_ADJACENCIES[key][0]).exists(path(f"{_ADJACENCIES[key][0]}/_SUCCESS")):
+                (folder, _, buckets), = Adjacency.build(self[name]).parts
+                _ADJACENCIES[key] = folder, buckets
+            return Adjacency.read(self.spark, *_ADJACENCIES[key])
+
+        return reduce(Adjacency.__add__, map(one, names))
 
 
 def oracle(text: str) -> str:

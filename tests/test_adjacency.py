@@ -25,7 +25,7 @@ def test_walks_equal_those_over_edges(spark):
     edges = chain(spark)
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).dropna().distinct()
     adj = A.Adjacency.build(edges, per_bucket=50)
-    assert adj.buckets > 10
+    assert adj.parts[0][2] > 10
     starts = spark.createDataFrame([("a", "n3"), ("a", "n9"), ("b", "hub"), ("c", "nowhere")], "root string, id string")
     for direction, kinds in (("out", ["calls"]), ("in", None), ("both", ["calls", "extends"])):
         assert rows(G.bfs(adj, nodes, starts, 4, direction, kinds)) == rows(G.bfs(edges, nodes, starts, 4, direction, kinds))
@@ -39,8 +39,9 @@ def test_a_layer_reads_its_buckets_alone(spark):
     adj = A.Adjacency.build(chain(spark), per_bucket=50)
     near = adj.steps("out", ["calls"]).near(spark.createDataFrame([("n3",)], "id string"))
     assert rows(near) == [("n3", "n4")] * 2
-    files = {r[0] for r in adj.table.select(F.input_file_name()).distinct().collect()}
-    read = {r[0] for r in adj.steps("out", ["calls"]).table.filter(F.col("bucket") == F.pmod(F.xxhash64(F.lit("n3")), F.lit(adj.buckets))).select(F.input_file_name()).distinct().collect()}
+    (_, table, buckets), = adj.parts
+    files = {r[0] for r in table.select(F.input_file_name()).distinct().collect()}
+    read = {r[0] for r in table.filter("way = 'out' AND kind = 'calls'").filter(F.col("bucket") == F.pmod(F.xxhash64(F.lit("n3")), F.lit(buckets))).select(F.input_file_name()).distinct().collect()}
     assert len(read) * 10 < len(files)
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
@@ -62,9 +63,19 @@ def test_no_frontier_and_no_edges(spark):
     assert rows(G.reachable(adj.steps(), some, None)) == []
 
 
+def test_tables_are_walked_as_one(spark):
+    edges = chain(spark).dropna()
+    one, two = edges.filter("kind = 'calls'"), edges.filter("kind = 'extends'")
+    adj = A.Adjacency.build(one, per_bucket=50) + A.Adjacency.build(two)
+    starts = spark.createDataFrame([("a", "n3"), ("b", "hub")], "root string, id string")
+    assert rows(G.reachable(adj.steps("both"), starts, 3)) == rows(G.reachable(G.directed(edges, "both"), starts, 3))
+
+
 def test_a_session_writes_it_once_and_anew_where_its_folder_is_gone(spark, small):  # noqa: F811
-    one, two = Tables(spark, small).adjacency("edges"), Tables(spark, small).adjacency("edges")
-    assert one.path == two.path and rows(one.edges()) == rows(Tables(spark, small).edges)
-    shutil.rmtree(one.path.removeprefix("file://"))
-    three = Tables(spark, small).adjacency("edges")
-    assert three.path != one.path and rows(three.edges()) == rows(Tables(spark, small).edges)
+    at = lambda: Tables(spark, small).adjacency("edges")
+    one, two = at(), at()
+    folder = one.parts[0][0]
+    assert folder == two.parts[0][0] and rows(one.edges()) == rows(Tables(spark, small).edges)
+    shutil.rmtree(folder.removeprefix("file://"))
+    three = at()
+    assert three.parts[0][0] != folder and rows(three.edges()) == rows(Tables(spark, small).edges)
