@@ -123,7 +123,7 @@ def spans_of_lines(c: Column, start: Column, end: Column) -> Column:
 
 def preview(c: Column, lines: int = 3) -> Column:
     """The first lines that aren't blank, trimmed."""
-    return F.array_join(F.slice(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, lines), " ⏎ ")
+    return F.array_join(F.slice(F.filter(F.transform(F.split(c, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\f\v"))), lambda x: x != ""), 1, lines), " ⏎ ")
 
 
 def truncated_path(c: Column, keep: int = 4) -> Column:

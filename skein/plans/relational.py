@@ -201,8 +201,8 @@ def _(t):
 
 @query("w07_carry_forward", "SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS heading FROM {events}")
 def _(t):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.select("event_id", F.last(F.when(c("event_type") == "view", c("event_id")), ignorenulls=True).over(w).alias("heading"))
+    # numbers rise, so the last heading is the highest so far
+    return R.running(t.events.select("user_id", "event_id", "event_type"), ["user_id"], [c("event_id")], heading=("max", F.when(c("event_type") == "view", c("event_id")))).select("event_id", "heading")
 
 
 @query("w08_latest_match", "SELECT user_id, max(event_id) AS event_id FROM {events} WHERE event_type = 'purchase' GROUP BY user_id")

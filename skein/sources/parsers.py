@@ -18,7 +18,7 @@ def exploded_lines(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
 def text_chunks(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, start_line, end_line, chars): paragraphs between blank lines, in pieces of CHUNK_LINES lines at most."""
     lines = exploded_lines(docs, keys, text)
-    blank = F.trim("body") == ""
+    blank = ~F.rlike("body", F.lit(r"\S"))
     w = Window.partitionBy(*keys).orderBy("line")
     marked = lines.withColumn("blank", blank).withColumn("paragraph", F.sum(F.when(blank, 1).otherwise(0)).over(w)).filter(~c("blank"))
     piece = F.floor((F.row_number().over(Window.partitionBy(*keys, "paragraph").orderBy("line")) - 1) / CHUNK_LINES)
