@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.sources.parsers import exploded_lines
+from skein.sources.storage import dealt, written
 
 c = F.col
 SCHEMA = "path string, tag string, a string, b string, kind string, start_line int, end_line int, body string"
@@ -65,6 +66,10 @@ _IMPORTS["typescript"] = _IMPORTS["javascript"]
 _NOT_CALLS = frozenset("if while for match return switch catch function fn let const new await typeof super loop in else yield throw import func go defer select case struct enum impl where move unsafe as mut ref pub use mod type trait class interface static async".split())
 _CALL = re.compile(r"(?P<name>[A-Za-z_$][\w$]*(?:\s*(?:::|\?\.|\.)\s*(?:<[^<>()]*>\s*::\s*)?[A-Za-z_$#][\w$]*)*)\s*(?:::\s*<[^()]*?>)?\s*(?P<macro>!?)\s*(?P<open>[(\[{])")
 
+_PARAMETERS = re.compile(r"\s*[<(]")
+#: Rows, and characters of text, of a batch that goes back to Spark.
+BATCH_ROWS, BATCH_CHARS = 10_000, 8 << 20
+
 
 def blanked(text: str, language: str) -> str:
     """The text with comments, and what stands inside string literals, as spaces; line ends and places stay."""
@@ -367,8 +372,9 @@ def _parse_braces(out: Parsed, module: str, language: str) -> None:
         heads[id(d)] = (d.start, header_end)
         out.define(d, text[d.start : d.end], out.line(d.start), out.line(max(d.start, d.end - 1)))
         tail = text[d.start : header_end]
-        cut = re.search(r"\bimpl\b", tail) if language == "rust" and d.kind == "Type" and "impl" in tail.split("{")[0] else re.search(rf"\b{re.escape(d.name)}\b", tail)
-        for parent in _supertypes(d, language, tail[cut.end() :] if cut else tail):
+        word = "impl" if language == "rust" and d.kind == "Type" and "impl" in tail.split("{")[0] else d.name
+        cut = _word(tail, word)
+        for parent in _supertypes(d, language, tail if cut is None else tail[cut + len(word) :]):
             out.add("extend", d.fqn, parent)
         if language in ("javascript", "typescript"):
             for name, arguments in re.findall(r"@(\w+)\(([^()]*)\)", text[_before(code, d.start) : d.start]):
@@ -379,7 +385,7 @@ def _parse_braces(out: Parsed, module: str, language: str) -> None:
         for local, target in aliases(text[a:b], language):
             out.add("alias", local, target)
     # a name before its own parameters is no call
-    names = {d.start + m.start() for d in defined if (m := re.search(rf"(?<![\w$]){re.escape(d.name)}\s*[<(]", code[d.start : d.end]))}
+    names = {at for d in defined if (at := _headed(code, d)) is not None}
     for m in _CALL.finditer(code):
         d = owner(m.start())
         name = m.group("name")
@@ -406,6 +412,27 @@ def _parse_braces(out: Parsed, module: str, language: str) -> None:
     _constants(out, code, language, owner)
 
 
+def _in_word(x: str) -> bool:
+    return x.isalnum() or x == "_"
+
+
+def _word(text: str, name: str) -> int | None:
+    """Place of the first `name` that stands between ends of words; names differ by file, so there is no pattern to compile for each."""
+    edge = lambda i: (i > 0 and _in_word(text[i - 1])) != (i < len(text) and _in_word(text[i]))
+    at = text.find(name)
+    while at >= 0 and not (edge(at) and edge(at + len(name))):
+        at = text.find(name, at + 1)
+    return at if at >= 0 else None
+
+
+def _headed(code: str, d: Definition) -> int | None:
+    """Place of the definition's name where parameters follow it."""
+    at = code.find(d.name, d.start, d.end)
+    while at >= 0 and not ((at == d.start or not (_in_word(code[at - 1]) or code[at - 1] == "$")) and _PARAMETERS.match(code, at + len(d.name), d.end)):
+        at = code.find(d.name, at + 1, d.end)
+    return at if at >= 0 else None
+
+
 def _split_places(text: str) -> list[tuple[int, int]]:
     out, at = [], 0
     for piece in split_outside(text, ","):
@@ -468,12 +495,20 @@ def parse_code(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.string()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
+        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(8)], names=names)
         for batch in batches:
+            rows, size = [], 0
             for path, text, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                rows = parsed_file(path, text or "", own) if path else []
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(8)], names=names)
+                new = parsed_file(path, text or "", own) if path else []
+                rows += new
+                size += sum(len(r[7] or "") for r in new)
+                if len(rows) >= BATCH_ROWS or size >= BATCH_CHARS:
+                    yield packed(rows)
+                    rows, size = [], 0
+            if rows:
+                yield packed(rows)
 
-    return files.select("path", "content", module.alias("module")).mapInArrow(run, SCHEMA)
+    return dealt(files.select("path", "content", module.alias("module")), "path").mapInArrow(run, SCHEMA)
 
 
 def with_modules(files: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -507,8 +542,9 @@ def code_edges(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
 
     A called name is the symbol or import of that name in its file; else, `Type::method` of a type of the file is that type's; else it
     stays as it is written. Topics that are named by a constant get its value, and are left out where there is none. `files` (path,
-    module) names the modules that import, by default the files' stems.
+    module) names the modules that import, by default the files' stems. `rows` are written once, for each kind of edge reads them.
     """
+    rows = written(rows.filter("tag <> 'chunk'").drop("start_line", "end_line"), "parsed")
     known = resolutions(rows)
     types = rows.filter("tag = 'symbol' AND kind = 'Type'").select("path", F.element_at(F.split("a", "::"), -1).alias("head"), c("a").alias("head_fqn")).groupBy("path", "head").agg(F.min("head_fqn").alias("head_fqn"))
     calls = _resolved(rows.filter("tag = 'call'").select("path", "a", "b"), known, "b")
@@ -616,4 +652,4 @@ def docstrings(chunks: DataFrame) -> DataFrame:
             docs = [docstring(p or "", b) for p, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(docs, pa.string())], names=["path", "start_line", "doc"])
 
-    return chunks.select("path", "start_line", "body").mapInArrow(run, "path string, start_line int, doc string").filter("doc IS NOT NULL")
+    return dealt(chunks.select("path", "start_line", "body"), "path", "start_line").mapInArrow(run, "path string, start_line int, doc string").filter("doc IS NOT NULL")

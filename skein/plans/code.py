@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import code as K
 from skein.plans.registry import query
+from skein.sources.storage import written
 
 c = F.col
 _FILES = """SELECT CASE WHEN p_partkey % 2 = 1 THEN concat('crates/shop-', p_partkey % 3, '/src/p', p_partkey, '.rs') ELSE concat('py/p', p_partkey, '.py') END AS path,
@@ -24,6 +25,11 @@ def rows(t):
     return K.parse_code(files(t))
 
 
+def parsed(t, *tags):
+    """Rows of these tags, written once: what reads them twice would parse twice."""
+    return written(rows(t).filter(c("tag").isin(*tags)), "parsed")
+
+
 @query("s05_code_symbols", f"WITH f AS ({_FILES}), s AS ({_SYMBOLS}) SELECT path, fqn, kind, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line FROM s")
 def _(t):
     return rows(t).filter("tag = 'chunk'").select("path", c("a").alias("fqn"), "kind", "start_line", "end_line")
@@ -33,7 +39,7 @@ def _(t):
 def _(t):
     from skein.operators.relational import upsert
 
-    have = rows(t).filter("tag = 'symbol'").select(c("a").alias("fqn"), "path").distinct()
+    have = parsed(t, "symbol").select(c("a").alias("fqn"), "path").distinct()
     changes = have.filter(c("path").endswith(".rs")).select("fqn", F.lit("moved.rs").alias("path"), F.lit(1).alias("seq"))
     return upsert(have, changes, ["fqn"], "seq")
 
@@ -74,7 +80,7 @@ def _(t):
 
 @query("j11_constant_folding", f"WITH f AS ({_FILES}) SELECT concat('p', k, '::C', k, '::run') AS owner, 'TOPIC' AS expression, 'made' AS topic FROM f WHERE k % 2 = 0")
 def _(t):
-    found = rows(t)
+    found = parsed(t, "const", "event")
     consts = found.filter("tag = 'const'").select("path", c("a").alias("expression"), c("b").alias("topic"))
     asked = found.filter("tag = 'event' AND kind LIKE '%?'").select("path", c("a").alias("owner"), c("b").alias("expression"))
     return asked.join(consts, ["path", "expression"]).select("owner", "expression", "topic")
@@ -87,7 +93,7 @@ def _(t):
     UNION ALL SELECT concat('p', k, '::C', k, '::run#s', n), 'g' FROM f, (VALUES (4), (5), (6), (7)) v(n) WHERE k % 2 = 0 AND n >= 6 UNION ALL SELECT concat('p', k, '::C', k, '::run#s6'), 'bus::on' FROM f WHERE k % 2 = 0""",
 )
 def _(t):
-    found = rows(t)
+    found = parsed(t, "chunk", "call")
     chunks = found.filter("tag = 'chunk' AND kind = 'Function'").select(c("a").alias("fn"), "path", "start_line", "body")
     return K.call_bridges(K.body_statements(chunks), found.filter("tag = 'call'").select(c("a").alias("fn"), c("b").alias("callee")))
 

@@ -2,6 +2,9 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from skein.functions import traces as X
 from skein.operators import catalogs as C
 from skein.operators import code as K
@@ -142,3 +145,22 @@ def test_a_log_is_emptied_when_it_is_full(spark, tmp_path):
     rows = spark.createDataFrame([("x" * 100,)], "line string")
     where = f"file://{tmp_path}/log"
     assert [C.rotating_append(where, rows, 250) for _ in range(4)] == [False, False, False, True] and spark.read.json(where).count() == 1
+
+
+def test_files_of_one_split_are_parsed_by_many_tasks_in_batches(spark):
+    """Each file once took a core's time in the table's own split, went back as a batch of its own, and was parsed anew for each join."""
+    files = spark.range(0, 600, 1, 1).select(F.concat(F.lit("p"), "id", F.lit(".py")).alias("path"), F.concat(F.lit("def f"), "id", F.lit("():\n    g()\n")).alias("content"))
+    found = K.parse_code(files)
+    used = found.filter("tag = 'chunk'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used >= 4 and found.filter("tag = 'chunk'").count() == 600
+    assert K.code_edges(found)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 0
+
+
+@pytest.mark.parametrize("text, name", [("impl Ab for Abc {", "Abc"), ("x$a b(a)", "a"), ("fn ab(a: ab) ab<", "ab"), ("$f f", "$f"), ("é1 1", "1"), ("none", "x")])
+def test_words_without_a_pattern_for_each(text, name):
+    import re
+
+    m = re.search(rf"\b{re.escape(name)}\b", text)
+    assert K._word(text, name) == (m.start() if m else None)
+    m = re.search(rf"(?<![\w$]){re.escape(name)}\s*[<(]", text)
+    assert K._headed(text, K.Definition(0, len(text), "", name, "")) == (m.start() if m else None)
