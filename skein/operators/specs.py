@@ -1,4 +1,4 @@
-"""Checks of specifications, and of plans against the specifications of their tests. A document is one row, so nothing is shuffled."""
+"""Checks of specifications, and of plans against the specifications of their tests. A document is one row."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import normalized
 from skein.sources.parsers import front_matter
+from skein.sources.storage import dealt
 
 c = F.col
 # Front matter that specifications need.
@@ -45,31 +46,36 @@ def _findings(docs: DataFrame, key: str, checks: list[tuple[Column, str, Column
     return docs.select(key, F.inline(F.array_compact(F.array(*rows))))
 
 
-def _front_checks(text: Column, keys: tuple[str, ...]) -> list[tuple[Column, str, str]]:
-    none = ~F.coalesce(text.rlike(r"^---\r?\n(?s:.*?)\n---"), F.lit(False))
-    front = front_matter(F.replace(text, F.lit("\r\n"), F.lit("\n")))
-    return [(none, "error", "front_matter_missing"), *[(~none & F.try_element_at(front, F.lit(k)).isNull(), "error", f"key_missing:{k}") for k in keys]]
+def _opened(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, front, none): the text, null as empty, its front matter, found once for all checks, and whether it has none; dealt over all cores."""
+    own = dealt(docs.select(key, F.coalesce(c(text), F.lit("")).alias("_text")), key)
+    none = ~c("_text").rlike(r"^---\r?\n(?s:.*?)\n---")
+    return own.withColumns({"_front": front_matter(F.replace("_text", F.lit("\r\n"), F.lit("\n"))), "_none": none})
+
+
+def _front_checks(keys: tuple[str, ...]) -> list[tuple[Column, str, str]]:
+    return [(c("_none"), "error", "front_matter_missing"), *[(~c("_none") & F.try_element_at("_front", F.lit(k)).isNull(), "error", f"key_missing:{k}") for k in keys]]
 
 
 def spec_findings(specs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, severity, finding) of what a specification lacks: front matter and its keys, sections, code blocks. A null text lacks all of it."""
-    t = F.coalesce(c(text), F.lit(""))
+    t = c("_text")
     lacks = lambda heading: ~t.contains(f"## {heading}")
     checks = [(lacks(h), severity, f"section_missing:{h}") for h, severity in (("Types", "warning"), ("Interfaces", "warning"), ("Implementations", "error"), ("Acceptance", "error"))]
-    return _findings(specs, key, [*_front_checks(t, SPEC_KEYS), *checks, (F.regexp_count(t, F.lit("```")) < 4, "warning", "few_code_blocks")])
+    return _findings(_opened(specs, key, text), key, [*_front_checks(SPEC_KEYS), *checks, (F.regexp_count(t, F.lit("```")) < 4, "warning", "few_code_blocks")])
 
 
 def test_spec_findings(specs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, severity, finding) of what a specification of tests lacks, by its category: `ops` needs smoke tests, `content` a checklist, others
     unit or integration tests, edge cases, and what their surface asks for."""
-    t = F.coalesce(c(text), F.lit(""))
-    front = front_matter(F.replace(t, F.lit("\r\n"), F.lit("\n")))
-    category, surface = F.try_element_at(front, F.lit("category")), F.try_element_at(front, F.lit("surface"))
+    t, front = c("_text"), c("_front")
+    category, surface = c("_category"), c("_surface")
+    opened = _opened(specs, key, text).withColumns({"_category": F.try_element_at(front, F.lit("category")), "_surface": F.try_element_at(front, F.lit("surface"))})
     kind = F.coalesce(category, F.lit("code"))
     code, lacks = ~kind.isin("ops", "content"), lambda heading: ~t.contains(f"## {heading}")
     user = surface.isin("ui", "api", "cli", "user-facing")
-    return _findings(specs, key, [
-        *_front_checks(t, TEST_KEYS),
+    return _findings(opened, key, [
+        *_front_checks(TEST_KEYS),
         (category.isNull(), "warning", "key_missing:category"),
         ((kind == "ops") & lacks("Smoke Tests"), "error", "section_missing:Smoke Tests"),
         ((kind == "ops") & ~has_entries(t, "Edge Cases"), "warning", "section_empty:Edge Cases"),

@@ -114,8 +114,9 @@ def front_matter(text: Column) -> Column:
     block = F.regexp_extract(text, r"^---\n((?s:.*?))\n---(?:\n|$)", 1)
     pairs = F.filter(F.split(block, "\n"), lambda x: x.rlike("^[A-Za-z_][A-Za-z0-9_-]*:"))
     entry = lambda x: F.struct(F.regexp_extract(x, "^([^:]+):", 1).alias("key"), F.regexp_replace(F.trim(F.regexp_extract(x, "^[^:]+:(.*)$", 1)), "^[\"'](.*)[\"']$", "$1").alias("value"))
-    keys = F.transform(pairs, lambda x: F.regexp_extract(x, "^([^:]+):", 1))
-    return F.map_from_entries(F.filter(F.transform(pairs, entry), lambda x, i: i == F.size(keys) - F.array_position(F.reverse(keys), x["key"])))
+    # the entries are bound once, so that looking for a later one of the same key doesn't find all of them anew
+    later = lambda es, x, i: F.exists(F.slice(es, i + 2, F.size(es)), lambda y: y["key"] == x["key"])
+    return F.get(F.transform(F.array(F.transform(pairs, entry)), lambda es: F.map_from_entries(F.filter(es, lambda x, i: ~later(es, x, i)))), F.lit(0))
 
 
 def front_value(text: Column, key: str) -> Column:

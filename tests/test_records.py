@@ -107,3 +107,13 @@ def test_json_bodies(spark):
     bodies = docs(spark, '{ "b": 1, "a": [1, 2] }\n', ' [1, NaN]', " 12 ", '{"a":1}', None)
     assert [r[0] for r in bodies.orderBy("id").select(L.json_body(F.col("text"), F.array(F.lit("-s")))).collect()] == ['{"b":1,"a":[1,2]}\n', " [1, NaN]", " 12 ", '{"a":1}', None]
     assert bodies.filter("id = 0").select(L.json_body(F.col("text"), F.array(F.lit("-o")))).first()[0].startswith("{ ")
+
+
+def test_specs_of_one_split_are_checked_by_many_tasks(spark):
+    """Front matter was found anew for each check of each row, all in the table's own split."""
+    one = spark.range(0, 400, 1, 1).select("id", F.lit("---\nspec_ref: a\nsurface: api\nsurface: ui\ncategory: code\n---\n## Unit Tests\n").alias("text"))
+    got = V.test_spec_findings(one, "id", "text").withColumn("p", F.spark_partition_id())
+    assert got.select("p").distinct().count() >= 4
+    assert got.filter("finding = 'section_empty:Visual Verification'").count() == 400  # the last of one key counts
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_entries") == 1
