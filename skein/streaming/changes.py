@@ -117,16 +117,21 @@ class FileChanges(DataSource):
 def starts(events: DataFrame, key: str, at: str, gap: int) -> DataFrame:
     """(key, start): the first time of each key, then ever the first time `gap` or more after the last start. `at` and `gap` are whole numbers.
 
-    A time's next start lies in one of the next buckets of width `gap`, so pointers come from neighbouring buckets; the starts are those that
-    a key's first time reaches, in as many doubled steps as the logarithm of their number.
+    Times lie in buckets of width `gap`, so what is `gap` after a time is in the next bucket: sorted together, the times of a bucket and those asked
+    for give each pointer by a running minimum from the end, and where the bucket has none, the next bucket's first time is it. The starts are those
+    that a key's first time reaches, in as many doubled steps as the logarithm of their number.
     """
-    bucket = F.floor(c(at) / gap)
-    per = events.select(key, c(at).alias("at")).distinct().withColumn("bucket", bucket if at == "at" else F.floor(c("at") / gap))
-    lists = per.groupBy(key, "bucket").agg(F.sort_array(F.collect_list("at")).alias("ats"))
-    w = Window.partitionBy(key).orderBy("bucket")  # a row for each bucket
-    ahead = lists.select(key, "ats", F.lead("ats", 1).over(w).alias("one"), F.lead("ats", 2).over(w).alias("two"))
-    late = lambda xs, t: F.get(F.filter(xs, lambda x: x >= t + gap), F.lit(0))
-    step = written(ahead.select(key, "one", "two", F.explode("ats").alias("at")).select(key, "at", F.coalesce(late(c("one"), c("at")), late(c("two"), c("at"))).alias("next")).filter("next IS NOT NULL"), "pointers")
+    per = events.select(key, c(at).alias("at")).distinct()
+    bucket = lambda x: F.floor(c(x) / gap)
+    there = per.select(key, bucket("at").alias("bucket"), c("at").alias("v"), c("at").alias("time"), F.lit(None).cast("long").alias("from"))
+    asked = per.select(key, (bucket("at") + 1).alias("bucket"), (c("at") + gap).alias("v"), F.lit(None).cast("long").alias("time"), c("at").alias("from"))
+    # from the latest on; a time stands before what asks for it
+    back = Window.partitionBy(key, "bucket").orderBy(F.desc("v"), F.col("from").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    met = there.unionByName(asked).withColumn("next", F.min("time").over(back)).filter("from IS NOT NULL").select(key, "bucket", c("from").alias("at"), "next")
+    first = per.groupBy(key, bucket("at").alias("bucket")).agg(F.min("at").alias("first"))  # a row for each bucket, as are the buckets asked of
+    heads = first.unionByName(first.select(key, (c("bucket") + 1).alias("bucket"), F.lit(None).cast("long").alias("first"))).groupBy(key, "bucket").agg(F.min("first").alias("first"))
+    ahead = heads.select(key, "bucket", F.min("first").over(Window.partitionBy(key).orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    step = written(met.join(ahead, [key, "bucket"]).select(key, "at", F.coalesce("next", "later").alias("next")).filter("next IS NOT NULL"), "pointers")
     steps = [step]
     while True:
         last = steps[-1]

@@ -152,3 +152,10 @@ def test_append_stream_replays_nothing(spark, tmp_path):
     assert S.append_stream(stream(), log, f"{tmp_path}/c").awaitTermination(120)
     assert S.append_stream(stream(), log, f"{tmp_path}/other").awaitTermination(120)  # as if the checkpoint had been lost
     assert sorted(r.id for r in log.read().collect()) == [0, 1, 2, 3, 4]
+
+
+def test_starts_of_one_full_bucket_carry_no_lists(spark):
+    """Each time carried all times of two buckets with it, so a bucket of n times was n * n numbers in memory."""
+    times = spark.range(20_000).select(F.lit("k").alias("k"), F.col("id").alias("t"))
+    got = C.starts(times, "k", "t", 7_000)
+    assert rows(got) == [("k", 0), ("k", 14_000), ("k", 7_000)]
