@@ -4,8 +4,9 @@ Postings lie by document, BLOCK documents to a block, and the blocks of all term
 that its term can add to a score, so what a block of documents can reach is known before its postings are read: the most promising
 blocks are scored first, and of the others those alone that reach the k-th score found. The result is that of scoring every document.
 
-Terms have a dictionary and a neighbourhood index: each term under all that is left of it by up to EDITS deletions. Two words within EDITS
-edits of each other share such a rest, so typing errors are looked up by a join.
+Terms have a dictionary and a neighbourhood index: each beginning of PREFIX letters under all that is left of it by up to EDITS deletions. The
+beginnings of two words within EDITS edits of each other share such a rest, so typing errors are looked up by a join, and a long term has
+no more rests than a short one.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from skein.sources.storage import shared_dir, written
 
 c = F.col
 #: Documents of a block (a power of two), folders of postings and of neighbourhoods, parts of a term that all documents hold, edits of the
-#: neighbourhoods, and the longest term that has one: longer ones are compared by length and letters.
-SHIFT, BUCKETS, RESTS, SALTS, EDITS, LONGEST = 7, 64, 64, 16, 2, 40
+#: neighbourhoods, and the letters of a beginning.
+SHIFT, BUCKETS, RESTS, SALTS, EDITS, PREFIX = 7, 64, 64, 16, 2, 6
 BLOCK = 1 << SHIFT
 PARTS = {
     "postings": "term string, field int, block long, entries array<struct<doc:long,tf:int,len:int>>, most int, least int, df int, bucket int",
     "terms": "term string, df long",
-    "rests": "term string, rest string, bucket int",
+    "rests": "prefix string, rest string, bucket int",
 }
 K1, B = 1.2, 0.75
 
@@ -63,6 +64,10 @@ def _bucket(term: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(n)).cast("int")
 
 
+def _prefix(word: str) -> Column:
+    return F.substring(word, 1, PREFIX)
+
+
 def rests(words_: DataFrame, word: str, edits: int = EDITS) -> DataFrame:
     """`words_` with `rest`: a row for the word and for what is left of it by each way to delete up to `edits` letters."""
     keep = words_.columns
@@ -81,29 +86,27 @@ def build(docs: DataFrame, key: str, fields: list[str], near: bool = True) -> To
     by an index with neighbourhoods (`near`)."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/postings_{uuid.uuid4().hex}"
-    split = [words(F.coalesce(c(f), F.lit(""))).alias(f"words{i}") for i, f in enumerate(fields)]
     numbered = docs.repartitionByRange(key).sortWithinPartitions(key).select(F.monotonically_increasing_id().alias("doc"), *docs.columns)
     sized = [F.size(words(F.coalesce(c(f), F.lit("")))).alias(f"len{i}") for i, f in enumerate(fields)]
     placed = numbered.select("*", *sized)
     placed.write.parquet(f"{path}/documents")
     stored = spark.read.schema(placed.schema).parquet(f"{path}/documents")
     totals = stored.agg(F.count("*").alias("n"), *[F.avg(f"len{i}").alias(f"a{i}") for i in range(len(fields))]).first()
-    lists = stored.select("doc", *[f"len{i}" for i in range(len(fields))], *split)
-    terms = None
-    for i in range(len(fields)):
-        one = lists.select("doc", F.lit(i).alias("field"), c(f"len{i}").alias("len"), F.explode(f"words{i}").alias("term"))
-        terms = one if terms is None else terms.unionByName(one)
-    counted = terms.groupBy("doc", "field", "len", "term").agg(F.count("*").cast("int").alias("tf")).withColumn("block", F.shiftright("doc", SHIFT))
+    # texts are dealt out by block once, so that neither counts nor lists are
+    by_block = stored.select("doc", F.shiftright("doc", SHIFT).alias("block"), *[f"len{i}" for i in range(len(fields))], *dict.fromkeys(fields)).repartition("block")
+    texts = F.array(*[F.struct(F.lit(i).alias("field"), c(f"len{i}").alias("len"), words(F.coalesce(c(f), F.lit(""))).alias("words")) for i, f in enumerate(fields)])
+    terms = by_block.select("doc", "block", F.inline(texts)).select("doc", "block", "field", "len", F.explode("words").alias("term"))
+    counted = terms.groupBy("block", "doc", "field", "len", "term").agg(F.count("*").cast("int").alias("tf"))
     # BLOCK documents at most in a list
-    rows = counted.groupBy("term", "field", "block").agg(F.sort_array(F.collect_list(F.struct("doc", "tf", "len"))).alias("entries"), F.max("tf").alias("most"), F.min("len").alias("least"))
-    rows = rows.withColumn("df", F.size("entries")).withColumn("bucket", _bucket(c("term"), BUCKETS))
+    rows = counted.groupBy("term", "field", "block").agg(F.collect_list(F.struct("doc", "tf", "len")).alias("entries")).withColumn("bucket", _bucket(c("term"), BUCKETS))
     dealt = rows.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(SALTS))).sortWithinPartitions("bucket", "term", "field", "block")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    most, least = F.array_max("entries.tf").alias("most"), F.array_min("entries.len").alias("least")
+    dealt.select("term", "field", "block", F.sort_array("entries").alias("entries"), most, least, F.size("entries").alias("df"), "bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
     index = TopIndex(path, key, tuple(fields), totals.n, tuple(float(totals[f"a{i}"] or 1.0) for i in range(len(fields))), stored)
     if near:
         index.read("postings").groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{path}/terms")
-        short = rests(index.read("terms").filter(F.length("term") <= LONGEST).select("term"), "term").withColumn("bucket", _bucket(c("rest"), RESTS))
-        short.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(SALTS))).write.partitionBy("bucket").parquet(f"{path}/rests")
+        begun = rests(index.read("terms").select(_prefix("term").alias("prefix")).distinct(), "prefix").withColumn("bucket", _bucket(c("rest"), RESTS))
+        begun.repartition("bucket", F.pmod(F.xxhash64("prefix"), F.lit(SALTS))).write.partitionBy("bucket").parquet(f"{path}/rests")
     return index
 
 
@@ -157,11 +160,11 @@ def near_terms(index: TopIndex, tokens: dict[str, int]) -> DataFrame:
     """(token, term) of the index's terms within each token's edits: insertions, deletions, substitutions and swaps of neighbours."""
     spark = index.documents.sparkSession
     asked = spark.createDataFrame(list(tokens.items()), "token string, edits int")
-    sought = rests(asked, "token").distinct().withColumn("bucket", _bucket(c("rest"), RESTS))
-    short = index.read("rests").join(F.broadcast(sought), ["bucket", "rest"]).select("token", "edits", "term").distinct()  # a query's rests
+    sought = rests(asked.select("token", "edits", _prefix("token").alias("prefix")), "prefix").drop("prefix").distinct().withColumn("bucket", _bucket(c("rest"), RESTS))
+    begun = index.read("rests").join(F.broadcast(sought), ["bucket", "rest"]).select("token", "edits", "prefix").distinct()  # a query's rests
+    terms = index.read("terms").select("term", _prefix("term").alias("prefix")).join(F.broadcast(begun), "prefix")  # beginnings like those of a query
     apart = F.abs(F.length("term") - F.length("token")) <= c("edits")
-    long_ = index.read("terms").filter(F.length("term") > LONGEST).join(F.broadcast(asked), apart).select("token", "edits", "term")
-    return short.filter(apart).unionByName(long_).filter(S.osa_distance(c("term"), c("token")) <= c("edits")).select("token", "term")
+    return terms.filter(apart).filter(S.osa_distance(c("term"), c("token")) <= c("edits")).select("token", "term")
 
 
 def fuzzy(index: TopIndex, query: str, k: int) -> DataFrame:

@@ -156,3 +156,14 @@ def test_mistyped_query_and_nothing(tables):
     assert any("fn fetch_users" in r.body for r in recall(index, "ftech uesrs", **rest).collect())
     assert recall(index, "zz", **rest).collect() == []
     assert recall(index, "users", least=9.0, **rest).collect() == []
+
+
+def test_a_long_word_has_no_more_rests_than_a_short_one(spark):
+    """Every rest of a word of up to 40 letters was written: 821 rows for one of them."""
+    rnd = random.Random(3)
+    long_ = ["".join(rnd.choices("abcdefgh", k=40)) for _ in range(5)]
+    typed = [x[:3] + x[4:] for x in long_] + [x[:5] + x[6] + x[5] + x[7:-1] for x in long_] + ["q" + x for x in long_]
+    index = P.build(spark.createDataFrame(enumerate(long_), "id long, text string"), "id", ["text"])
+    assert index.read("rests").count() <= len(long_) * (1 + P.PREFIX + P.PREFIX * (P.PREFIX - 1) // 2)
+    got = {(r.token, r.term) for r in P.near_terms(index, dict.fromkeys(typed, 2)).collect()}
+    assert got == {(x, t) for x in typed for t in long_ if osa(t, x) <= 2} and len(got) >= len(typed)
