@@ -38,16 +38,24 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _counted(index: Index, docs: DataFrame, text: str | None) -> DataFrame:
+    """(key, dl, term, tf) of the documents."""
+    # rows are dealt out by key with their texts, so that a document is counted where it is
+    by_key = docs.select(c(index.key).alias("key"), (c(text) if text else F.lit(None).cast("string")).alias("text")).repartition("key")
+    parted = by_key.select("key", words(c("text")).alias("words")).withColumn("dl", F.coalesce(F.array_size("words"), F.lit(0)).cast("int"))
+    terms = parted.select("key", "dl", F.explode("words").alias("term"))
+    if index.stems:
+        terms = terms.withColumn("term", stemmed(c("term")))
+    return terms.groupBy("key", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+
+
 def _segment(index: Index, docs: DataFrame, text: str | None) -> Index:
     """`index` and a segment: the documents' words, or, without a text, no more than that they are gone."""
     path = f"{shared_dir(docs.sparkSession)}/fulltext_{uuid.uuid4().hex}"
     split = docs.select(c(index.key).alias("key"), (words(c(text)) if text else F.lit(None).cast("array<string>")).alias("words"))
     sized = split.withColumn("dl", F.when(F.lit(text is not None), F.coalesce(F.array_size("words"), F.lit(0))).cast("int"))
     sized.select("key", "dl").write.parquet(f"{path}/documents")
-    terms = sized.select("key", "dl", F.explode("words").alias("term"))
-    if index.stems:
-        terms = terms.withColumn("term", stemmed(c("term")))
-    counted = terms.groupBy("key", "dl", "term").agg(F.count("*").cast("int").alias("tf")).withColumn("bucket", _bucket(c("term")))
+    counted = _counted(index, docs, text).withColumn("bucket", _bucket(c("term")))
     counted.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(SALTS))).write.partitionBy("bucket").parquet(f"{path}/postings")
     return replace(index, segments=(*index.segments, path))
 

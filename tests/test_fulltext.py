@@ -67,3 +67,14 @@ def test_stems():
     pairs = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit radicalli radic vietnamization vietnam operator oper feudalism feudal decisiveness decis hopefulness hope sensibiliti sensibl triplicate triplic formative form formalize formal electrical electr goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust adoption adopt communism commun activate activ homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll".split()
     assert {a: stem(a) for a in pairs[::2]} == dict(zip(pairs[::2], pairs[1::2]))
     assert stem("Ünïcode".lower()) == stem("unicode") and stem("is") == "is" and stem("") == ""
+
+
+def test_documents_are_counted_where_their_texts_are_dealt(spark):
+    """Each word of each document was shuffled to count it; texts are now dealt by key, and nothing else is."""
+    from skein.operators import fulltext
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "B")], "id long, body string")
+    got = fulltext._counted(fulltext.Index("id", "bigint", False), docs, "body")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert "REPARTITION_BY_COL" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, 3, "a", 2), (1, 3, "b", 1), (3, 1, "b", 1)]
