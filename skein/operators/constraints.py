@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.graph import cyclic
+from skein.operators.lines import bound
 from skein.sources.storage import written
 
 c = F.col
@@ -46,6 +47,17 @@ def _case_checks(name: str, keys: tuple[str, ...]) -> Column:
     return F.coalesce(F.flatten(each), F.expr("CAST(array() AS array<struct<severity: string, finding: string>>)"))
 
 
+#: A plan of up to so many dependencies is trimmed where it lies, in so many rounds.
+SMALL, ROUNDS = 64, 4
+
+
+def _may_loop(tasks: Column) -> Column:
+    """Dependencies (task, dep) of a plan's tasks, without those of which an end has nothing before it or nothing behind it: they lie in no cycle."""
+    each = F.flatten(F.transform(tasks, lambda t: F.transform(F.filter(F.coalesce(t["depends_on"], F.array().cast("array<string>")), lambda d: d.isNotNull()), lambda d: F.struct(F.coalesce(t["id"], F.lit("?")).alias("task"), d.alias("dep")))))
+    inner = lambda es: bound(F.array_intersect(es["task"], es["dep"]), lambda core: F.filter(es, lambda e: F.array_contains(core, e["task"]) & F.array_contains(core, e["dep"])))
+    return bound(each, lambda es: F.when(F.size(es) <= SMALL, F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), es, lambda left, _: inner(left))).otherwise(es))
+
+
 def plan_findings(plans: DataFrame, key: str) -> DataFrame:
     """(key, task, severity, finding) of what plans (key, name, workspace_dir, budget_tokens, tasks array of TASK_TYPE) break.
 
@@ -82,6 +94,10 @@ def plan_findings(plans: DataFrame, key: str) -> DataFrame:
     deps = ids.select(key, "task", F.explode("deps").alias("dep")).filter("dep IS NOT NULL").distinct()
     dangling = deps.join(ids.select(key, c("task").alias("dep")), [key, "dep"], "left_anti").select(key, "task", F.lit("error").alias("severity"), F.concat(F.lit("dangling:"), "dep").alias("finding"))
     at = lambda name: F.to_json(F.struct(c(key).cast("string").alias("k"), c(name).alias("t")))
-    looped = cyclic(deps.select(at("task").alias("id"), at("dep").alias("dep")))
-    named = ids.select(key, "task").distinct().withColumn("id", at("task")).join(looped, "id", "left_semi")
+    # a cycle lies within a plan, which is one row unless its key comes again
+    again = plans.groupBy(key).agg(F.count("*").alias("n")).filter((c("n") > 1) | c(key).isNull())
+    inside = deps if not again.isEmpty() else plans.select(key, F.inline(_may_loop(c("tasks")))).distinct()
+    inside = written(inside.select(key, "task", "dep"), "plan_loops")
+    looped = cyclic(inside.select(at("task").alias("id"), at("dep").alias("dep")))
+    named = inside.select(key, "task").distinct().withColumn("id", at("task")).join(looped, "id", "left_semi")
     return whole.unionByName(by_task).unionByName(dangling).unionByName(named.select(key, "task", F.lit("error").alias("severity"), F.lit("cycle").alias("finding")))

@@ -64,13 +64,15 @@ _LINES = "SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, CAST(floor(
 )
 def _(t):
     lines = t.spark.sql(_LINES, lineitem=t.lineitem)
-    dep = "CASE WHEN p % 13 = 0 THEN n + 1 WHEN p % 7 = 0 THEN n + 100 WHEN n > 1 THEN n - 1 END"
-    task = f"""named_struct('id', concat('t', n), 'name', concat('part ', p), 'complexity', CASE p % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' WHEN 3 THEN 'huge' END, 'budget_tokens', budget,
-      'files', CASE p % 5 WHEN 0 THEN array() WHEN 1 THEN array('/w/a', concat('src/p', p)) ELSE array('/w/a') END, 'depends_on', filter(array(concat('t', {dep})), x -> x IS NOT NULL),
-      'context_pointers', CASE p % 5 WHEN 2 THEN array('', concat('src/p', p, ':1-2')) ELSE array('/w/a:1-2') END, 'acceptance', CASE p % 3 WHEN 1 THEN 'Works well' WHEN 2 THEN ' make test' ELSE '' END,
-      'test_cases', array(named_struct('name', 'a', 'expected', 'b', 'verify', 'c'), named_struct('name', 'a', 'expected', 'b', 'verify', CASE p % 2 WHEN 0 THEN ' ' ELSE 'c' END)),
-      'edge_cases', CASE WHEN p % 9 <> 0 THEN array() END, 'ui', false, 'type', NULL)"""
-    plans = lines.groupBy(c("k").alias("plan")).agg(F.collect_list(F.expr(f"CAST({task} AS {TASK_TYPE})")).alias("tasks"))
+    dep = "CASE WHEN x.p % 13 = 0 THEN x.n + 1 WHEN x.p % 7 = 0 THEN x.n + 100 WHEN x.n > 1 THEN x.n - 1 END"
+    task = f"""named_struct('id', concat('t', x.n), 'name', concat('part ', x.p), 'complexity', CASE x.p % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' WHEN 3 THEN 'huge' END, 'budget_tokens', x.budget,
+      'files', CASE x.p % 5 WHEN 0 THEN array() WHEN 1 THEN array('/w/a', concat('src/p', x.p)) ELSE array('/w/a') END, 'depends_on', filter(array(concat('t', {dep})), d -> d IS NOT NULL),
+      'context_pointers', CASE x.p % 5 WHEN 2 THEN array('', concat('src/p', x.p, ':1-2')) ELSE array('/w/a:1-2') END, 'acceptance', CASE x.p % 3 WHEN 1 THEN 'Works well' WHEN 2 THEN ' make test' ELSE '' END,
+      'test_cases', array(named_struct('name', 'a', 'expected', 'b', 'verify', 'c'), named_struct('name', 'a', 'expected', 'b', 'verify', CASE x.p % 2 WHEN 0 THEN ' ' ELSE 'c' END)),
+      'edge_cases', CASE WHEN x.p % 9 <> 0 THEN array() END, 'ui', false, 'type', NULL)"""
+    # lines are gathered as they are, and become tasks where they lie
+    plans = lines.groupBy(c("k").alias("plan")).agg(F.collect_list(F.struct("n", "p", "budget")).alias("lines"))
+    plans = plans.select("plan", F.expr(f"transform(lines, x -> CAST({task} AS {TASK_TYPE}))").alias("tasks"))
     plans = plans.withColumns({"name": F.when(c("plan") % 6 != 0, "plan"), "workspace_dir": F.when(c("plan") % 4 == 0, "w").otherwise("/w"), "budget_tokens": (c("plan") % 200 * 1000).cast("long")})
     return plan_findings(plans, "plan")
 

@@ -101,3 +101,42 @@ def test_statements_of_functions(spark):
     assert [r[:2] for r in rows(K.body_statements(df).filter("text LIKE '%b(%'"))] == [("p::a", 4), ("r::a", 7), ("r::o", 20)]
     calls = spark.createDataFrame([(f, "lib::b") for f in ("p::a", "r::a", "r::o")], "fn string, callee string")
     assert rows(K.call_bridges(K.body_statements(df), calls)) == [("p::a#s4", "lib::b"), ("r::a#s7", "lib::b"), ("r::o#s20", "lib::b")]
+
+
+def test_only_what_may_loop_is_walked(spark, monkeypatch):
+    """All dependencies were walked for cycles; a plan's own row now tells which of them may lie in one, unless its key comes again."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from skein.operators import constraints as C
+
+    draw, walked, cyclic = random.Random(4), [], C.cyclic
+    monkeypatch.setattr(C, "cyclic", lambda deps: walked.append(deps.count()) or cyclic(deps))
+
+    def found(plans):
+        rows = [(k, "x", "/w", 0, [{"id": t, "depends_on": d} for t, d in tasks]) for k, tasks in plans]
+        got = C.plan_findings(spark.createDataFrame(rows, f"k long, name string, workspace_dir string, budget_tokens long, tasks array<{C.TASK_TYPE}>"), "k")
+        return {(r.k, r.task) for r in got.filter(F.col("finding") == "cycle").collect()}
+
+    def want(plans):
+        out = set()
+        for k in {k for k, _ in plans}:
+            near = {}
+            for t, d in [x for key, tasks in plans if key == k for x in tasks]:
+                near.setdefault(t, set()).update(d or [])
+            for t in near:
+                seen, todo = set(), list(near[t])
+                while todo:
+                    if (x := todo.pop()) not in seen:
+                        seen.add(x)
+                        todo += near.get(x, ())
+                out |= {(k, t)} if t in seen else set()
+        return out
+
+    chains = [(k, [(f"t{i}", [f"t{i - 1}"] if i else None) for i in range(8)]) for k in range(5)]
+    assert found(chains) == set() and walked == [0]
+    drawn = [(k, [(f"t{i}", [f"t{draw.randrange(n)}" for _ in range(draw.randrange(3))]) for i in range(n)]) for k, n in enumerate((3, 6, 9, 12, 90))]
+    assert found(drawn) == want(drawn) != set()
+    split = [(1, [("a", ["b"])]), (1, [("b", ["a"])])]
+    assert found(split) == {(1, "a"), (1, "b")}
