@@ -174,7 +174,7 @@ def handled(command: Column, subcommand: Column, args: Column, text: Column, str
             hit = hit | (command == h.command if h.subcommand is None else (command == h.command) & (subcommand == h.subcommand))
         out = out.when(hit, text if errors and not same[0].both else same[0].output(text, args, strict))
     if not errors:
-        out = out.when(command == "curl", L.json_body(text, args))
+        out = out.when(command == "curl", L.json_body(F.when(command == "curl", text), args))
     return out.otherwise(text)
 
 

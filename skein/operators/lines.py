@@ -84,7 +84,8 @@ Filter = Callable[[Column], Column]
 
 def json_body(text: Column, args: Column) -> Column:
     """An HTTP response without white space, if it is a JSON object or array, that makes it shorter and no argument asks for more than a body."""
-    return F.when(~has_scope_flag(args, BODY_SCOPE) & text.rlike(r"^\s*[\[{]"), compacted_json(text)).otherwise(text)
+    body = text.rlike(r"^\s*[\[{]")
+    return F.when(~has_scope_flag(args, BODY_SCOPE) & body, compacted_json(F.when(body, text))).otherwise(text)  # Python gets no other texts, whatever the branch
 
 
 @dataclass

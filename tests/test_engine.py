@@ -299,3 +299,14 @@ def test_running_folds_of_a_hot_key(spark):
     found = {r.k: (r.p0, r.p50, r.p95, r.p100) for r in R.nearest_rank(spark.createDataFrame(values, "k string, v long"), ["k"], "v", [0, 50, 95, 100]).collect()}
     ordered = sorted(v for k, v in values if k == "a")
     assert found == {"a": tuple(ordered[int((199 * p) / 100 + 0.5)] for p in (0, 50, 95, 100)), "b": (5, 5, 5, 5)}
+
+
+def test_only_bodies_of_curl_go_to_python(spark):
+    """A Python function has its arguments for every row, whatever branch it stands in: all outputs were sent to it."""
+    from skein.operators import handlers as H
+
+    rows_ = spark.createDataFrame([("tar", '{ "a": 1 }'), ("curl", '{ "a": 1 }'), ("curl", "x"), (None, "[ ]")], "cmd string, t string")
+    got = rows_.select("cmd", "t", H.handled(F.col("cmd"), F.lit(None).cast("string"), F.array(F.lit("x")), F.col("t"), F.lit(False), H.of("pip")).alias("o"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_compacted(t#" not in plan and "_compacted(CASE WHEN" in plan
+    assert [r.o for r in got.collect()] == ['{ "a": 1 }', '{"a":1}', "x", "[ ]"]
