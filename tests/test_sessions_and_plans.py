@@ -94,6 +94,31 @@ def test_context_against_brute_force(spark):
     assert rows(symbol_context(e, n, 32, some)) == sorted([r for r in want if r[0] in ("solo", "m0::f0")], key=str)
 
 
+def test_context_writes_no_table_of_edges(spark, monkeypatch):
+    """A symbol that all call, by each of its three names and often; a caller without a node; names without one."""
+    from skein.operators import context, graph
+
+    callers = [f"m::c{i:04}" for i in range(400)]
+    nodes = spark.createDataFrame([(x, "a.rs") for x in ("a::b::f", *callers)] + [("m::c0000", "a.rs")], "id string, path string")
+    pairs = [(x, y, "calls") for x in callers for y in ("f", "b::f", "a::b::f", "nowhere")] + [("gone", "a::b::f", "calls"), ("m::c0001", "std::io", "imports"), ("m::c0001", "a::b::f", "imports")]
+    edges = spark.createDataFrame(pairs * 3, "src string, dst string, kind string")
+    sizes, write = [], context.written
+
+    def counted(df, label="step"):
+        out = write(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(context, "written", counted)
+    monkeypatch.setattr(graph, "written", counted)
+    for limit in (3, 128):
+        got = rows(symbol_context(edges, nodes, limit))
+        want = {("a::b::f", "callers", x) for x in callers[:limit]} | {(x, "callees", "a::b::f") for x in callers} | {("m::c0001", "imports_unresolved", "std::io")}
+        assert [r for r in got if r[1] != "siblings"] == sorted(want, key=str)
+        assert [r[2] for r in got if r[1] == "siblings" and r[0] == "m::c0000"] == ["a::b::f", *callers[1:limit]]
+    assert max(sizes) < 10  # names, never rows of 4,809 edges
+
+
 def test_statements_of_functions(spark):
     rust = "fn a(\n) {\n\n  // note\n  b(1);\n}"
     chunks = [("r::a", "r.rs", 3, rust), ("r::o", "r.rs", 20, "fn o() { b(2) }"), ("p::a", "p.py", 1, 'def a(x: int) -> int:\n    """Doc."""\n    # note\n    return b(x)'), ("n", "n.py", 1, None)]
