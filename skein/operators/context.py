@@ -46,7 +46,7 @@ def symbol_context(edges: DataFrame, nodes: DataFrame, limit: int = 32, asked: D
 
     # sections as numbers: they are shuffled with each row
     inner = edges.filter("kind <> 'imports'").select("src", "dst", *(_number(i).alias(x) for i, x in enumerate(("out", "in"))))
-    met = inner.join(meant.hint("merge"), "dst", "left").filter("strange IS NULL OR owner <> src")  # the same plan at all sizes
+    met = inner.join(meant.hint("shuffle_hash"), "dst", "left").filter("strange IS NULL OR owner <> src")  # the same plan at all sizes, and edges needn't be sorted
     way = lambda at, x, y, walk, when: F.when(c(at).isNotNull() & when, F.struct(x.alias("id"), c(at).alias("section"), walk.alias("walk"), y.alias("other")))
     named = c("strange").isNull()
     both = F.array(way("out", c("src"), c("dst"), F.lit(0), named), way("in", F.coalesce("owner", "dst"), c("src"), F.coalesce("walk", F.lit(0)), F.lit(True)))
