@@ -173,10 +173,12 @@ def _(t):
 
 @query("l10_trim_report", "SELECT doc_id, concat('before=', strlen(text), ' after=', least(strlen(text), 500), ' saved=', CAST(floor(100 - least(strlen(text), 500) * 100 / strlen(text)) AS BIGINT), '%') AS report FROM {documents}")
 def _(t):
+    """Of an empty text nothing is saved; what isn't known of a null text is left out, as the SQL does."""
     n = F.octet_length("text")
     after = F.least(n, F.lit(500))
-    saved = F.floor(100 - after * 100 / n)
-    return t.documents.select("doc_id", F.concat(F.lit("before="), n, F.lit(" after="), after, F.lit(" saved="), saved, F.lit("%")).alias("report"))
+    saved = F.when(n == 0, F.lit(0)).otherwise(F.floor(100 - after * 100 / n))
+    known = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    return t.documents.select("doc_id", F.concat(F.lit("before="), known(n), F.lit(" after="), known(after), F.lit(" saved="), known(saved), F.lit("%")).alias("report"))
 
 
 @query("e01_user_filters", f"SELECT doc_id, array_to_string(CASE WHEN source = 'src1' THEN l[1:2] ELSE l[1:1] END, chr(10)) AS body FROM {_LINES} WHERE source IN ('src1', 'src2')")

@@ -310,3 +310,12 @@ def test_only_bodies_of_curl_go_to_python(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "_compacted(t#" not in plan and "_compacted(CASE WHEN" in plan
     assert [r.o for r in got.collect()] == ['{ "a": 1 }', '{"a":1}', "x", "[ ]"]
+
+
+def test_trim_report_of_empty_and_null_texts(spark, tmp_path):
+    """An empty text was divided by its length, which failed the whole query; a null text had no report."""
+    from skein.plans.registry import QUERIES
+
+    spark.createDataFrame([(1, ""), (2, None), (3, "abc"), (4, "é" * 400)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.report for r in QUERIES["l10_trim_report"](spark, str(tmp_path)).collect()}
+    assert got == {1: "before=0 after=0 saved=0%", 2: "before= after=500 saved=%", 3: "before=3 after=3 saved=0%", 4: "before=800 after=500 saved=37%"}
