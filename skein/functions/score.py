@@ -50,6 +50,11 @@ def price(model: Column, which: int) -> Column:
     return F.coalesce(out, F.lit(PRICES[-1][1 + which] / 1e6))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double scaled, rounded to a whole number and scaled back, as the SQL does: what lies next to a tie is one when scaled, but not in the decimal form that F.round() goes by."""
+    return F.round(x * 10.0**places) / 10.0**places
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine over the shorter length; 1 for an empty or zero vector."""
     n = F.least(F.size(a), F.size(b))

@@ -65,8 +65,8 @@ def session_costs(turns: DataFrame) -> DataFrame:
     saved, cached = c("plain") - c("actual"), c("read") + c("write")
     score = F.when(c("input") + 2 * cached > 0, hit * cached / (c("input") + 2 * cached)).otherwise(0.0)
     return s.select(
-        "session_id", "n_turns", "model", F.round(hit, 3).alias("hit_rate"), F.round("actual", 4).alias("actual_cost"), F.round(saved, 4).alias("savings"), F.round(saved - c("overhead"), 4).alias("net_savings"),
-        F.round(F.when(c("plain") > 0, saved / c("plain") * 100).otherwise(0.0), 1).alias("savings_pct"), F.round(score, 3).alias("efficiency"), S.grade(score).alias("grade"),
+        "session_id", "n_turns", "model", S.rounded(hit, 3).alias("hit_rate"), S.rounded(c("actual"), 4).alias("actual_cost"), S.rounded(saved, 4).alias("savings"), S.rounded(saved - c("overhead"), 4).alias("net_savings"),
+        S.rounded(F.when(c("plain") > 0, saved / c("plain") * 100).otherwise(0.0), 1).alias("savings_pct"), S.rounded(score, 3).alias("efficiency"), S.grade(score).alias("grade"),
     )
 
 

@@ -319,3 +319,14 @@ def test_trim_report_of_empty_and_null_texts(spark, tmp_path):
     spark.createDataFrame([(1, ""), (2, None), (3, "abc"), (4, "é" * 400)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.report for r in QUERIES["l10_trim_report"](spark, str(tmp_path)).collect()}
     assert got == {1: "before=0 after=0 saved=0%", 2: "before= after=500 saved=%", 3: "before=3 after=3 saved=0%", 4: "before=800 after=500 saved=37%"}
+
+
+def test_session_costs_next_to_a_tie_are_rounded_as_in_sql(spark):
+    """Costs were rounded by their decimal form, so those next to a tie differed from the SQL by the last place."""
+    import duckdb
+
+    near = [(492, 332, 6855, 1370), (371, 222, 6090, 1808), (259, 212, 2810, 6680), (301, 144, 4340, 2396)]  # input, output, cache read and cache write
+    turns = spark.createDataFrame([(k, 1, "other", *n) for k, n in enumerate(near)], "session_id long, seq long, model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long")
+    got = [r.actual_cost for r in L.session_costs(turns).orderBy("session_id").collect()]
+    want = "SELECT round(? * (CAST(3.75 AS DOUBLE) / 1e6) + ? * (CAST(0.3 AS DOUBLE) / 1e6) + ? * (CAST(3.0 AS DOUBLE) / 1e6) + ? * (CAST(15.0 AS DOUBLE) / 1e6), 4)"
+    assert got == [duckdb.execute(want, [w, r, i, o]).fetchone()[0] for i, o, r, w in near]
